@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: One module for each problem; every module has QUERIES and SQL.
-MODULES = ("rankfuse", "topn", "tokens", "leakage")
+MODULES = ("rankfuse", "topn", "canonical", "tokens", "leakage")
 
 
 def _parts():
