@@ -32,7 +32,7 @@ NICKNAMES = {
 }
 KIND = {short: full for full, shorts in NICKNAMES.items() for short in (full, *shorts.split())}
 #: Likeness at which two words are the same word misspelt.
-SAME = 0.86
+SAME = 0.85
 
 
 @lru_cache(maxsize=200_000)

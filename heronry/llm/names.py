@@ -37,10 +37,11 @@ def _read_all(names: DataFrame) -> DataFrame:
     return names.mapInPandas(run, "company string, node string, core string, kind string")
 
 
-def block_keys(core: list[str]) -> set[str]:
-    """Phonetic codes of the sorted words; one word's code with the other's first letter; the words' first two letters."""
+def block_keys(core: list[str], kind: str) -> set[str]:
+    """Phonetic codes of the sorted words; one word's code with the other's first letter; first two letters; first letters and kind."""
     codes = [sound(w) for w in core]
     keys = {"s:" + " ".join(sorted(codes)), "f:" + " ".join(sorted(w[:2] for w in core))}
+    keys.add("k:" + "".join(sorted(w[0] for w in core)) + kind)
     for k, c in enumerate(codes):
         keys.add("l:" + c + " " + " ".join(sorted(w[0] for j, w in enumerate(core) if j != k)))
     return keys
@@ -146,7 +147,7 @@ def pairs(forms: DataFrame) -> DataFrame:
 
     A block larger than PIECE is cut into pieces, and each two pieces meet in a task of their own, so no task holds a large block.
     """
-    rows = _pieces(_keyed(forms, lambda c, d: block_keys(c)), "piece")
+    rows = _pieces(_keyed(forms, block_keys), "piece")
     # a row of piece i goes to the tasks (i, j) and (j, i) of every j
     meet = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     meet = meet.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", "node", "core", "kind")
