@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules with QUERIES (name -> f(spark, sf_dir)) and SQL (name -> DuckDB text).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("heronry.operators.units",)
 
 
 def _parts():
