@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: One module for each problem; every module has QUERIES and SQL.
-MODULES = ("markup", "rankfuse", "topn", "canonical", "names", "tokens", "leakage")
+MODULES = ("markup", "rankfuse", "mainbody", "topn", "canonical", "names", "tokens", "leakage")
 
 
 def _parts():
