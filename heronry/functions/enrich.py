@@ -44,7 +44,7 @@ SKILLS = {
 }
 #: Regions of remote openings as written and as stored.
 REGIONS = (("emea", "EMEA"), ("apac", "APAC"), ("latam", "LATAM"), ("europe", "Europe"), ("north america", "North America"), ("americas", "Americas"), ("africa", "Africa"), ("asia", "Asia"), ("worldwide", "global"), ("anywhere", "global"), ("global", "global"))
-MOST_SKILLS, SCAN_CHARS = 12, 4000
+MOST_SKILLS, SCAN_CHARS = 12, 6000
 
 
 def category(title: Column | str, department: Column | str) -> Column:

@@ -69,7 +69,7 @@ DEPARTMENTS = {
     "engineering": ("engineering", "engineers", "developers", "software", "technology", "tech"), "data": ("data", "analytics", "machine learning"), "product": ("product",), "design": ("design",), "sales": ("sales",),
     "marketing": ("marketing", "growth"), "customer_support": ("support", "customer success"), "operations": ("operations",), "finance": ("finance",), "hr": ("people", "recruiting", "talent"), "legal": ("legal",), "security": ("security",), "it": ("it",),
 }
-STEER_SEGMENTS = ("careers", "career", "jobs", "job", "openings", "positions", "vacancies", "opportunities")
+STEER_SEGMENTS = ("careers", "career", "jobs", "job", "positions", "openings", "vacancies", "join-us", "work-with-us", "opportunities")
 
 
 def steering_boost(url: Column | str, anchor: Column | str, topics: Sequence[str], categories: Sequence[str]) -> Column:
