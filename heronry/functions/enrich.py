@@ -57,6 +57,10 @@ def seniority(title: Column | str) -> Column:
     return first_match(words(F.coalesce(col(title), F.lit(""))), SENIORITIES)
 
 
+def _among(listed: list[str]):
+    return lambda x: x.isin(*listed)
+
+
 def skill_counts(text: Column) -> Column:
     """Array of structs name, count in table order: mentions of each skill that occurs.
 
@@ -69,7 +73,7 @@ def skill_counts(text: Column) -> Column:
         n = F.lit(0)
         single = [s for s in signs if " " not in s]
         if single:
-            n = n + F.size(F.filter(tokens, lambda x, single=single: x.isin(*single)))
+            n = n + F.size(F.filter(tokens, _among(single)))
         for s in signs:
             if " " in s:
                 n = n + ((F.length(padded) - F.length(F.replace(padded, F.lit(f" {s} "), F.lit("")))) / (len(s) + 2)).cast("int")
