@@ -152,12 +152,20 @@ class _Tree(HTMLParser):
         self.flush()
 
 
+#: Without one of these a text has no inline markup.
+_SIGNS = re.compile(r"[\\$\[{'*_`~]")
+#: Without one of these it has no Markdown, wiki or LaTeX at all.
+_ANY = re.compile(r"[\\$\[{'*_`~#=|>]|-{3}")
+
+
 def _one_line(text: str) -> str:
     return re.sub(r"\s+", " ", inline(text)).strip()
 
 
 def inline(text: str) -> str:
     """Text without emphasis, links and commands; what they wrap stays."""
+    if not _SIGNS.search(text):
+        return text
     text = re.sub(_MATH, lambda m: next(g for g in m.groups() if g is not None).strip(), text, flags=re.S) if "\\" in text or "$" in text else text
     if "\\" in text:
         text = re.sub(r"\\(?:ref|label|cite)\{[^{}]*\}", "", text)
@@ -204,7 +212,9 @@ def lines(text: str, out: Read, path: str = "") -> None:
         if not bare:
             numbered = 0
             continue
-        if m := _FENCE.match(row):
+        if bare[0].isalpha() and not _ANY.search(bare) and not bare.endswith(":") and not (at < len(rows) and rows[at].strip()[:3] in ("---", "===")):
+            add("para", row)
+        elif m := _FENCE.match(row):
             code = []
             while at < len(rows) and not rows[at].strip().startswith(m[1]):
                 code.append(rows[at])
@@ -297,9 +307,10 @@ def read(text: str | None) -> Read:
         rest = html.unescape(TAG.sub(" ", code))
     else:
         rest = src
-    for kind, pattern in (("markdown", MARKDOWN), ("wiki", WIKI), ("latex", LATEX)):
-        if pattern.search(rest):
-            out.markup.add(kind)
+    if _ANY.search(rest):
+        for kind, pattern in (("markdown", MARKDOWN), ("wiki", WIKI), ("latex", LATEX)):
+            if pattern.search(rest):
+                out.markup.add(kind)
     if TAG.search(src):
         src = re.sub(rf"(?i)</?(?:{_TAGS})\b[^<>]*$|<!--(?:(?!-->).)*$", "", src)  # a tag that the end cuts off
         src = re.sub(r"<(?![a-zA-Z/!])", "&lt;", src)  # signs that open no tag

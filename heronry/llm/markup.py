@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm._dom import Block, read, write
-from heronry.session import spread, table
+from heronry.session import table
 
 #: Texts that a host must have before anything counts as recurring.
 LEAST_TEXTS = 8
@@ -26,6 +26,8 @@ IMPORTANCE = 0.15
 ATTENUATION = 0.9
 #: Pieces that the texts of one host are spread over when they meet the host's tree.
 SALT = 16
+#: The feature that counts a host's texts.
+TEXTS = 0
 
 
 def _hash(path: str, text: str) -> int:
@@ -59,29 +61,40 @@ def prune(blocks: list[Block], common: dict[int, float]) -> list[Block]:
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
-    """(id, host, text): the host without `careers.` and `www.`; rows of unusable url form one host."""
+    """(id, host, text, salt), shuffled once by host and salt: both passes read this exchange.
+
+    The host is without `www.`; rows of unusable url have none. The salt comes from the text, so equal texts of a host lie together, and a
+    host that has most texts is spread over SALT tasks.
+    """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:www\.)?([^/?#:]+)", 1)), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
+    # rows without a host form no tree: they are spread by id
+    salt = F.when(F.col("host") == "", F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(F.pmod(F.xxhash64("text"), F.lit(SALT)))
+    return rows.withColumn("salt", salt.cast("int")).repartition("host", "salt")
 
 
 def common_content(rows: DataFrame) -> DataFrame:
     """(host, common): content of low importance and its importance, of each host of at least LEAST_TEXTS different texts.
 
     Content counts once a text and equal texts (reposts) once. Content that recurs in m^(1 - IMPORTANCE) of m texts is rare by
-    counting, so each host's list is short. Counts are combined before each shuffle.
+    counting, so each host's list is short. Counts are combined before the shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int]] = set()
         for b in batches:
-            out = [(h, f) for h, t in zip(b["host"], b["text"]) for f in set(features(read(t).blocks))]
+            out = []
+            for h, t in zip(b["host"], b["text"]):
+                if not h or not isinstance(t, str) or (h, key := _hash(h, t)) in seen:
+                    continue
+                seen.add((h, key))
+                out += [(h, f) for f in {*features(read(t).blocks), TEXTS}]
             yield pd.DataFrame(out, columns=["host", "feature"])
 
-    texts = rows.where("text is not null and host <> ''").groupBy("host", F.xxhash64("text").alias("h"), F.md5("text").alias("h2")).agg(F.first("text").alias("text")).select("host", "text")
-    m = texts.groupBy(F.col("host").alias("mh")).agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_TEXTS)
-    large = texts.join(m, F.col("host") == F.col("mh"), "left_semi")
-    counts = large.mapInPandas(run, "host string, feature long").groupBy("host", "feature").agg(F.count("*").alias("f"))
+    counts = rows.mapInPandas(run, "host string, feature long").groupBy("host", "feature").agg(F.count("*").alias("f")).where("f > 2")
+    m = counts.where((F.col("feature") == TEXTS) & (F.col("f") >= LEAST_TEXTS)).select(F.col("host").alias("mh"), F.col("f").alias("m"))
     imp = 1 - F.log("f") / F.log("m")
-    low = counts.where("f > 2").join(m, F.col("host") == F.col("mh")).withColumn("imp", imp).where(F.col("imp") < IMPORTANCE)
+    low = counts.where(F.col("feature") != TEXTS).join(m, F.col("host") == F.col("mh")).withColumn("imp", imp).where(F.col("imp") < IMPORTANCE)
     return low.groupBy("host").agg(F.collect_list(F.struct("feature", "imp")).alias("common"))
 
 
@@ -93,11 +106,9 @@ def clean(df: DataFrame, id_col: str = "id", text_col: str = "description", url_
     markup. Rows without a host are cleaned by themselves. One row comes out for each that goes in; other columns are ignored; texts of any length are read whole.
     """
     rows = _rows(df, id_col, text_col, url_col)
-    common = common_content(rows)
-    # one host may have most texts: they are spread over SALT keys, and the host's short list is copied to each
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
-    right = common.select(F.col("host").alias("ch"), "common").withColumn("cs", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    met = left.join(right, (F.col("host") == F.col("ch")) & (F.col("salt") == F.col("cs")), "left").select("id", "text", "common")
+    # the host's short list is copied to each salt, so the join keeps the rows where they are
+    right = common_content(rows).select(F.col("host").alias("ch"), "common").withColumn("cs", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = rows.join(right, (F.col("host") == F.col("ch")) & (F.col("salt") == F.col("cs")), "left").select("id", "text", "common")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,7 +122,7 @@ def clean(df: DataFrame, id_col: str = "id", text_col: str = "description", url_
                 out.append((i, write(prune(r.blocks, low)), sorted(r.markup)))
             yield pd.DataFrame(out, columns=["id", "text", "markup"])
 
-    return spread(met, "id").mapInPandas(run, "id long, text string, markup array<string>")
+    return met.mapInPandas(run, "id long, text string, markup array<string>")
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
