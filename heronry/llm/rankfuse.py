@@ -25,30 +25,30 @@ class Score:
     weight: float = 1.0
 
 
-def standing(df: DataFrame, group: str, key: Column, out: str, per_slice: int = SLICE) -> DataFrame:
-    """`df` with `out`: 1 + the rows of the group whose `key` (larger is better) is better; ties share a rank.
+def standing(rows: DataFrame, keys: list[str], value: str, per_slice: int = SLICE) -> DataFrame:
+    """(keys, value, rank, held) of each different value: 1 + the rows of the keys with a larger value, and the keys' rows with any.
 
-    A group of any size is cut at approximate quantiles into slices of about `per_slice` rows; a row's rank is its rank within
-    its slice plus the rows in better slices. Cuts only place the borders: equal keys fall into one slice, so ranks are exact.
-    Rows of equal key are counted once for all before the window, so ties don't fill a task. A null key has a null rank.
+    A group of any size is cut at approximate quantiles into slices of about `per_slice` values; a value's rank is its rank within
+    its slice plus the rows in better slices. Cuts only place the borders, so ranks are exact. Rows of equal value are counted before
+    the window, so ties don't fill a task. Null values have no row; null keys are a group of their own.
     """
-    g = F.col(group)
-    values = df.select(g.alias("__g"), key.cast("double").alias("__v")).where("__v is not null and not isnan(__v)").groupBy("__g", "__v").agg(F.count("*").alias("__n"))
-    sizes = values.groupBy("__g").agg(F.count("*").alias("__d"))
-    # the number of cuts follows the size, so a small group stays whole; 1,000 slices at most fine enough for 20 million distinct values
-    large = sizes.where(F.col("__d") > per_slice).select(F.col("__g").alias("__gl"))
-    at = F.percentile_approx("__v", [k / 1000 for k in range(1, 1000)], 10_000)
-    cuts = values.join(large, F.col("__g").eqNullSafe(F.col("__gl"))).groupBy("__gl").agg(at.alias("__cuts"))
-    sliced = values.join(cuts, F.col("__g").eqNullSafe(F.col("__gl")), "left").select("__g", "__v", "__n", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col("__v"))), F.lit(0)).alias("__s"))
-    sliced = sliced.withColumn("__s", F.greatest("__s", F.lit(0)))
-    best = Window.partitionBy("__g", "__s").orderBy(F.desc("__v")).rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.partitionBy("__g").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = sliced.groupBy("__g", "__s").agg(F.sum("__n").alias("__m")).withColumn("__before", F.coalesce(F.sum("__m").over(above), F.lit(0)))
-    ranks = sliced.withColumn("__in", F.coalesce(F.sum("__n").over(best), F.lit(0)))
-    ranks = ranks.join(whole.select(F.col("__g").alias("__g3"), F.col("__s").alias("__s3"), "__before"), F.col("__g").eqNullSafe(F.col("__g3")) & (F.col("__s") == F.col("__s3")))
-    ranks = ranks.select("__g", "__v", (F.col("__in") + F.col("__before") + 1).cast("long").alias(out))
-    named = df.withColumn("__k", key.cast("double"))
-    return named.join(ranks, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__k") == F.col("__v")), "left").drop("__g", "__v", "__k")
+    v = F.col(value)
+    values = rows.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    keyed = [F.col(k).alias(f"{k}_") for k in keys]
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"{k}_")), keys, F.lit(True))
+    stats = values.groupBy(*keyed).agg(F.count("*").alias("__d"), F.sum("__n").alias("held"))
+    # only large groups have cuts, and only as many as make slices of that size; mostly there are none, which AQE sees at run time
+    at = F.percentile_approx(value, [k / 500 for k in range(1, 500)], 5000)
+    cuts = values.join(stats.where(F.col("__d") > per_slice), same).groupBy(*keys).agg(at.alias("__cuts")).select(*keyed, "__cuts")
+    step = F.greatest(F.lit(1), F.floor(F.lit(500.0 * per_slice) / F.col("__d"))).cast("int")
+    slice_ = F.coalesce(F.size(F.filter("__cuts", lambda c, i: ((i + 1) % step == 0) & (c <= v))), F.lit(0))
+    placed = values.join(stats, same).drop(*[f"{k}_" for k in keys]).join(cuts, same, "left")
+    sliced = placed.withColumn("__s", F.greatest(slice_, F.lit(0))).drop("__cuts", "__d", *[f"{k}_" for k in keys])
+    best = Window.partitionBy(*keys, "__s").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*[f"{k}_" for k in keys]).orderBy(F.desc("__s_")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = sliced.groupBy(*[F.col(k).alias(f"{k}_") for k in keys], F.col("__s").alias("__s_")).agg(F.sum("__n").alias("__m")).withColumn("__before", F.coalesce(F.sum("__m").over(above), F.lit(0)))
+    ranks = sliced.withColumn("__in", F.coalesce(F.sum("__n").over(best), F.lit(0))).join(whole, same & (F.col("__s") == F.col("__s_")))
+    return ranks.select(*keys, value, (F.col("__in") + F.col("__before") + 1).cast("long").alias("rank"), F.col("held").cast("long").alias("held"))
 
 
 def weighted_median(ranks: list[Column], weights: list[float]) -> Column:
@@ -72,19 +72,22 @@ def fuse(df: DataFrame, group: str, item: str, scores: list[Score], per_slice: i
     has no say; an item without a value of a recorded score stands behind all that have one. Where nothing is recorded
     the medians are null and the identifier decides. Null groups and items form rows of their own; NaN counts as null. Other columns are ignored.
     """
-    best = [(F.min if s.ascending else F.max)(F.when(~F.isnan(F.col(s.name).cast("double")), F.col(s.name).cast("double"))).alias(s.name) for s in scores]
-    # an item's repeated rows are combined before the shuffle
-    rows = df.groupBy(F.col(group).alias("__group"), F.col(item).alias("__item")).agg(*best)
-    held = rows.groupBy("__group").agg(*[F.count(s.name).alias(f"__held_{s.name}") for s in scores])
-    for s in scores:
-        rows = standing(rows, "__group", -F.col(s.name) if s.ascending else F.col(s.name), f"__r_{s.name}", per_slice)
-    held = held.withColumnRenamed("__group", "__gh")
-    rows = rows.join(held, F.col("__group").eqNullSafe(F.col("__gh"))).drop("__gh")
-    full = [F.when(F.col(f"__held_{s.name}") > 0, F.coalesce(F.col(f"__r_{s.name}"), F.col(f"__held_{s.name}") + 1)) for s in scores]
+    best = [(F.min if s.ascending else F.max)(F.when(~F.isnan(F.col(s.name).cast("double")), F.col(s.name).cast("double"))).alias(f"__v{k}") for k, s in enumerate(scores)]
+    # an item's repeated rows are combined before the shuffle; then all scores are ranked in one pass, larger values being better
+    rows = df.groupBy(F.col(group).alias("__g"), F.col(item).alias("__i")).agg(*best)
+    long = F.array(*[F.struct(F.lit(k).alias("k"), (-F.col(f"__v{k}") if s.ascending else F.col(f"__v{k}")).alias("v")) for k, s in enumerate(scores)])
+    long = rows.select("__g", "__i", F.explode(long).alias("x")).select("__g", "__i", F.col("x.k").alias("__k"), F.col("x.v").alias("__v"))
+    ranks = standing(long, ["__g", "__k"], "__v", per_slice).select(*[F.col(c).alias(f"{c}_") for c in ("__g", "__k", "__v")], "rank", "held")
+    met = long.join(ranks, F.col("__g").eqNullSafe(F.col("__g_")) & (F.col("__k") == F.col("__k_")) & (F.col("__v") == F.col("__v_")), "left")
+    per = [F.max(F.when(F.col("__k") == k, F.col("rank"))).alias(f"__r{k}") for k in range(len(scores))]
+    items = met.groupBy("__g", "__i").agg(*per)
+    held = ranks.groupBy(F.col("__g_").alias("__gh")).agg(*[F.max(F.when(F.col("__k_") == k, F.col("held"))).alias(f"__h{k}") for k in range(len(scores))])
+    rows = items.join(held, F.col("__g").eqNullSafe(F.col("__gh")), "left")
+    full = [F.when(F.col(f"__h{k}").isNotNull(), F.coalesce(F.col(f"__r{k}"), F.col(f"__h{k}") + 1)) for k in range(len(scores))]
     weights = [s.weight for s in scores]
     total = reduce(lambda a, b: a + b, [F.when(r.isNotNull(), F.lit(float(w))).otherwise(0.0) for r, w in zip(full, weights)])
     mean = reduce(lambda a, b: a + b, [F.coalesce(r * F.lit(float(w)), F.lit(0.0)) for r, w in zip(full, weights)]) / F.nullif(total, F.lit(0.0))
-    return rows.select(F.col("__group").alias(group), F.col("__item").alias(item), *[r.cast("long").alias(f"rank_{s.name}") for r, s in zip(full, scores)], weighted_median(full, weights).alias("median_rank"), F.round(mean, 9).alias("mean_rank"))
+    return rows.select(F.col("__g").alias(group), F.col("__i").alias(item), *[r.cast("long").alias(f"rank_{s.name}") for r, s in zip(full, scores)], weighted_median(full, weights).alias("median_rank"), F.round(mean, 9).alias("mean_rank"))
 
 
 #: The scores of a search's hits: each has an equal say.
