@@ -9,6 +9,9 @@ from html.parser import HTMLParser
 
 _TAGS = "a|abbr|address|article|aside|b|big|blockquote|body|br|button|caption|center|cite|code|col|dd|del|div|dl|dt|em|figcaption|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|meta|nav|ol|option|p|pre|q|s|samp|script|section|select|small|span|strike|strong|style|sub|sup|svg|table|tbody|td|textarea|tfoot|th|thead|time|title|tr|tt|u|ul|var|video|wbr"
 TAG = re.compile(rf"<!--|<!doctype\b|</?(?:{_TAGS})(?=[\s/>]|$)[^<>]*(?:>|$)", re.I)
+_ATTRS = r"(?:\s+[a-zA-Z_:@][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))?)*"
+#: A tag that nothing closes: only its own name is markup, what follows is text.
+_BROKEN = re.compile(rf"</?(?:{_TAGS})(?=[\s/>]|$)(?!{_ATTRS}\s*/?>)|<!--(?!.*?-->)", re.I | re.S)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});", re.I)
 _ESCAPED = re.compile(rf"&(?:amp;)*lt;(?:!--|/?(?:{_TAGS})\b)", re.I)
 
@@ -303,6 +306,7 @@ def read(text: str | None) -> Read:
             if not _ESCAPED.search(src):
                 break
             src = html.unescape(src)
+        src = _BROKEN.sub("", src)
         code = re.sub(r"(?is)<(pre|code|style|script)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)", " ", src)
         rest = html.unescape(TAG.sub(" ", code))
     else:
@@ -312,7 +316,6 @@ def read(text: str | None) -> Read:
             if pattern.search(rest):
                 out.markup.add(kind)
     if TAG.search(src):
-        src = re.sub(rf"(?i)</?(?:{_TAGS})\b[^<>]*$|<!--(?:(?!-->).)*$", "", src)  # a tag that the end cuts off
         src = re.sub(r"<(?![a-zA-Z/!])", "&lt;", src)  # signs that open no tag
         t = _Tree(out)
         t.feed(re.sub(rf"<(?!/?(?:{_TAGS})\b|!)", "&lt;", src, flags=re.I))

@@ -41,7 +41,7 @@ def test_runs(spark, small, name):
         ("<p>Hi</p>", {"html"}), ("a &bull; b", {"html"}), ("&lt;b&gt;x&lt;/b&gt;", {"html"}), ("<!-- c -->x", {"html"}), ("cut off <p", {"html"}), ("## Head\ntext", {"markdown"}), ("is **bold** here", {"markdown"}), ("see [a](b) now", {"markdown"}), ("see [a][1]\n\n[1]: /b", {"markdown"}),
         ("Head\n-----\nx", {"markdown"}), ("> said", {"markdown"}), ("| a | b |\n|---|---|\n| 1 | 2 |", {"markdown"}), ("`x = 1`", {"markdown"}), ("== H ==\nx", {"wiki"}), ("'''b''' x", {"wiki"}), ("[[a|b]]", {"wiki"}), ("{{t}}", {"wiki"}), ("{| class=x\n|}", {"wiki"}), ("__NOTOC__\nx", {"wiki"}),
         ("\\section{A}", {"latex"}), ("a \\& b", {"latex"}), ("load $p \\leq 1$.", {"latex"}), ("\\[ x^2 \\]", {"latex"}), ("<b>**x**</b>", {"html", "markdown"}),
-        ("plain • text\nHead:\n• item", set()), ("Shifts are 4 * 10 hours. cv_first_last C# #1 x=y A/B", set()), ("Stars: **** from our guests", set()), ("Path: share\\forms\\new", set()), ("Bonus {paid} ~20% [in]", set()), ("$2,000 to $4,000", set()), ("> 3 years, < 5 is fine".replace("> ", "need > "), set()), (None, set()), ("  \n", set()),
+        ("cut <p\n\n## Head\n\nMore text", {"html", "markdown"}), ("x <!-- never closed\n\n== H ==", {"html", "wiki"}), ("plain • text\nHead:\n• item", set()), ("Shifts are 4 * 10 hours. cv_first_last C# #1 x=y A/B", set()), ("Stars: **** from our guests", set()), ("Path: share\\forms\\new", set()), ("Bonus {paid} ~20% [in]", set()), ("$2,000 to $4,000", set()), ("> 3 years, < 5 is fine".replace("> ", "need > "), set()), (None, set()), ("  \n", set()),
     ],
 )
 def test_markup_kinds(text, kinds):
@@ -51,6 +51,7 @@ def test_markup_kinds(text, kinds):
 def test_clean_text_keeps_structure():
     html_ = "<style>.a{}</style><h2>Tasks</h2><p>One &amp; <b>two</b></p><ul><li>first<li>second</ul><ol><li>x</li><li>y</li></ol><pre><code>if a < b:\n  go()</code></pre><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>"
     assert _dom.write(_dom.read(html_).blocks) == "Tasks\n\nOne & two\n\n• first\n• second\n1. x\n2. y\n\n    if a < b:\n      go()\n\nA\tB\n1\t2"
+    assert _dom.write(_dom.read("One.<p\n\nTwo is\n\nThree < four <b>five</b> <p").blocks) == "One.\n\nTwo is\n\nThree < four five"
     md = "# Tasks\n\nOne **two** [three](x)\n- first\n- second\n\n```\ncode *x*\n```"
     assert _dom.write(_dom.read(md).blocks) == "Tasks\n\nOne two three\n\n• first\n• second\n\n    code *x*"
     tex = "\\section{Tasks}\nOne \\textbf{two}\n\\begin{itemize}\n\\item first\n\\end{itemize}\n$$a \\leq b$$\n\\begin{verbatim}\nx\n\\end{verbatim}"
