@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.session import spread, table
+from heronry.session import cut, spread, table
 
 #: What a year has of each period.
 PER_YEAR = {"hour": 2080.0, "day": 260.0, "week": 52.0, "month": 12.0, "year": 1.0}
@@ -65,6 +65,10 @@ _THOUSANDS = re.compile(r"(?i)\b(?:given|shown|stated|quoted|are|figures|amounts
 _HUNDREDTHS = re.compile(r"(?i)\b(?:in|as) (?:cents|pence|hundredths|minor units)\b")
 _IN_CURRENCY = re.compile(r"(?i)\b(?:figures are|all amounts|amounts are|paid|pay is|salary is|stated|quoted)(?: \w+)? in ([^.\n;,]{1,30})")
 _IN_PERIOD = re.compile(r"(?i)\b(?:pay is quoted|the rate shown is|all amounts are|rates? (?:is|are)|amounts are|salary is (?:quoted|stated)) ([^.\n;,]{1,24})")
+#: Words without which a text says nothing of thousands or hundredths.
+_NOTES = re.compile(r"(?i)thousand|\bk\b|cents|pence|hundredths|minor units|&")
+#: US dollars a year that can be pay.
+PLAUSIBLE = (1e3, 5e6)
 #: Ratio of a segment's level to its history's that betrays each factor.
 FACTORS = {1000.0: -math.log(1000.0), 0.01: math.log(100.0)}
 #: How far a segment's level may lie from where a factor would put it, in log units.
@@ -143,9 +147,16 @@ class Reader:
 
     def record(self, lo: float, hi: float, cur: object, per: object, text: object) -> tuple[float | None, float | None, float | None]:
         """(US dollars a year of the fields as they stand, factor that the text states, US dollars a year of the text)."""
-        text = plain(text) if isinstance(text, str) else ""
         given = [float(v) for v in (lo, hi) if v is not None and math.isfinite(v) and v > 0]
-        value, factor = None, None
+        text, value, factor = text if isinstance(text, str) else "", None, None
+        if given and isinstance(cur, str) and cur.strip() and period(per) and not _NOTES.search(text):
+            # nothing to look up in the text, unless the fields turn out to be no pay
+            code = self.currency(cur)
+            if code:
+                value = sum(given) / len(given) * self.rates[code] * PER_YEAR[period(per)]
+                if PLAUSIBLE[0] <= value < PLAUSIBLE[1]:
+                    return value, None, None
+        text = plain(text) if text else ""
         # the notes are plain sentences; dashes and bullets within them are residue of markup
         note = re.sub(r"[ \t–•]+", " ", text) if given else ""
         if given:
@@ -162,7 +173,9 @@ class Reader:
                 value = sum(given) / len(given) * self.rates[code] * PER_YEAR[p]
             if text:
                 factor = 1000.0 if _THOUSANDS.search(note) else 0.01 if _HUNDREDTHS.search(note) else None
-        return value, factor, self.stated(text) if text else None
+        if value is not None and PLAUSIBLE[0] <= value * (factor or 1.0) < PLAUSIBLE[1]:
+            return value, factor, None
+        return value, factor, self.stated(text) if text and _PAY.search(text) else None
 
 
 def segments(x: np.ndarray, spread_: float = SPREAD, penalty: float | None = None) -> np.ndarray:
@@ -235,8 +248,9 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
         F.col("salary_min").cast("double").alias("lo"), F.col("salary_max").cast("double").alias("hi"), F.col("salary_currency").alias("cur"), F.col("salary_period").alias("per"), F.col("description").alias("text"),
     ).where("id is not null")
     parsed = spread(src, "id").mapInPandas(read, "id long, history string, t long, value double, factor double, told double").where("value is not null or told is not null")
+    # texts are read once: what they say is a few numbers a row, written to the shared folder
+    parsed = cut(parsed.withColumn("t", F.coalesce("t", F.lit(0))))
     # histories of over PIECE rows are cut at quantiles of time, so that no task holds a long one
-    parsed = parsed.withColumn("t", F.coalesce("t", F.lit(0)))
     sizes = parsed.groupBy("history").agg(F.count("*").alias("n"), F.percentile_approx("t", [k / 500 for k in range(1, 500)], 2000).alias("cuts"))
     step = F.greatest(F.lit(1), F.floor(F.lit(500) * PIECE / F.col("n"))).cast("int")
     cuts = sizes.select(F.col("history").alias("h"), F.when(F.col("n") > PIECE, F.filter("cuts", lambda c, i: (i + 1) % step == 0)).alias("cuts"))
@@ -251,11 +265,11 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
         found = np.ones(len(value))
         if have.any():
             found[have] = hidden_factor(value[have])
-        raw_ok = (value >= 1e3) & (value < 5e6)
+        raw_ok = (value >= PLAUSIBLE[0]) & (value < PLAUSIBLE[1])
         # an unstated factor is reversed only where the value as it stands can't be pay
         use = np.where(np.isfinite(factor), by_note, np.where(raw_ok, 1.0, found))
         usd = np.where(have, value * use, np.nan)
-        ok = (usd >= 1e3) & (usd < 5e6)
+        ok = (usd >= PLAUSIBLE[0]) & (usd < PLAUSIBLE[1])
         how = np.where(ok, np.where(np.isfinite(factor), "scaled", np.where(use != 1.0, "segment", "fields")), "text")
         return pd.DataFrame({"id": group["id"], "usd_year": np.where(ok, usd, told), "how": how})
 
