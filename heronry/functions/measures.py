@@ -99,3 +99,18 @@ def seniority_gap(mine: Column | str, theirs: Column | str) -> Column:
     """1.0, 0.8, 0.35 or 0.1 for levels that are 0, 1, 2 or more apart; null for unknown levels."""
     gap = F.abs(lookup(LEVELS, col(mine)) - lookup(LEVELS, col(theirs)))
     return F.when(gap == 0, 1.0).when(gap == 1, 0.8).when(gap == 2, 0.35).when(gap > 2, 0.1)
+
+
+def current_year(now_ms: int) -> int:
+    """The year of a time, by mean years."""
+    return 1970 + now_ms // 31_556_952_000
+
+
+def shown_bytes(n: Column | str) -> Column:
+    """A size as people read it."""
+    v, out = col(n).cast("double"), None
+    for limit, unit, places in ((1e3, "B", 0), (1e6, "kB", 1), (1e9, "MB", 1), (float("inf"), "GB", 1)):
+        by = {"B": 1.0, "kB": 1e3, "MB": 1e6, "GB": 1e9}[unit]
+        c = F.concat(F.format_number(v / by, places), F.lit(f" {unit}"))
+        out = F.when(v < limit, c) if out is None else out.when(v < limit, c)
+    return out

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules with QUERIES (name -> f(spark, sf_dir)) and SQL (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("heronry.plans.relational", "heronry.plans.scalars", "heronry.plans.domain", "heronry.plans.live", "heronry.operators.units")
+MODULES: tuple[str, ...] = ("heronry.plans.relational", "heronry.plans.scalars", "heronry.plans.domain", "heronry.plans.live", "heronry.plans.extras", "heronry.operators.units")
 
 
 def _parts():

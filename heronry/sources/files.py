@@ -47,6 +47,29 @@ def careers_from_sitemap(locs: DataFrame, domain: str, most: int = 3) -> DataFra
     return shallowest(locs.select(normalize("loc").alias("url")).where(is_careers_page("url", F.lit(domain))), most)
 
 
+def discover(maps: DataFrame, domain: str, roots: int = 2, children: int = 3) -> DataFrame:
+    """(url): careers pages in a site's sitemaps (url, xml, root): the first roots, and of an index's children the most promising, one level deep."""
+    first = maps.where("root").orderBy("url").limit(roots)
+    locs = parse_sitemaps(first.select("url", "xml"))
+    next_ = locs.where("is_index").withColumn("k", child_order()).orderBy("k", "loc").limit(children).select(F.col("loc").alias("url"))
+    below = parse_sitemaps(maps.join(next_, "url", "left_semi").select("url", "xml")).where("not is_index")
+    return careers_from_sitemap(locs.where("not is_index").select("loc").unionByName(below.select("loc")), domain)
+
+
+def robots_filter(df: DataFrame, agent: str) -> DataFrame:
+    """`df` (path, status, robots) with `allowed`, in Arrow batches."""
+    import pandas as pd
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", allowed boolean"
+
+    def run(batches):
+        for b in batches:
+            b["allowed"] = [robots_decision(None if pd.isna(s) else int(s), r or "", agent, p or "/") for s, r, p in zip(b["status"], b["robots"], b["path"])]
+            yield b
+
+    return df.mapInPandas(run, schema)
+
+
 def robots_allowed(robots: str, agent: str, path: str) -> bool:
     """Whether robots.txt lets an agent fetch a path: its own group, else that of *; the longest rule counts, a tie allows."""
     import re

@@ -54,6 +54,24 @@ def decode_html(body: bytes, content_type: str | None = None) -> str:
         return body.decode("utf-8", "replace")
 
 
+def decode_bodies(df: DataFrame, limit: int = 5 * 1024 * 1024) -> DataFrame:
+    """`df` (body, encoding, content_type) with `html`: null for bodies that are broken, of unknown encoding or larger than the limit once decoded."""
+    keep = [f for f in df.schema.fields if f.name not in ("body", "encoding", "content_type")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "html string"])
+
+    def one(body: bytes | None, encoding: str | None, kind: str | None) -> str | None:
+        raw = None if body is None else decompress(encoding, bytes(body), limit)
+        return None if raw is None else decode_html(raw, kind)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[[f.name for f in keep]].reset_index(drop=True)
+            out["html"] = [one(*r) for r in zip(b["body"], b["encoding"], b["content_type"])]
+            yield out
+
+    return df.mapInPandas(run, schema)
+
+
 def normalize_url(url: str) -> str | None:
     """The same form as the column expression gives, for use inside the parser."""
     try:
@@ -285,6 +303,31 @@ def postings(page_url: str, blocks: list[str] | None) -> list[dict]:
     return out
 
 
+def organizations(pages: DataFrame) -> DataFrame:
+    """(url, name, org_url) of every organisation in the JSON-LD of pages (url, json_ld), nested ones too."""
+
+    def nested(v: object) -> list[dict]:
+        if isinstance(v, list):
+            return [n for x in v for n in nested(x)]
+        if not isinstance(v, dict):
+            return []
+        own = [v] if _is(v.get("@type"), is_organization) else []
+        return own + [n for x in v.values() for n in nested(x)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for u, blocks in zip(b["url"], b["json_ld"]):
+                for t in blocks if blocks is not None else []:
+                    try:
+                        out += [(u, _text(n.get("name")) if isinstance(n.get("name"), str) else None, _text(n.get("url")) if isinstance(n.get("url"), str) else None) for n in nested(json.loads(t))]
+                    except ValueError:
+                        continue
+            yield pd.DataFrame(out, columns=["url", "name", "org_url"])
+
+    return pages.select("url", "json_ld").mapInPandas(run, "url string, name string, org_url string")
+
+
 _POSTING = "posting_url string, external_id string, title string, company string, location string, country string, remote string, employment string, salary_min double, salary_max double, salary_currency string, period string, posted string, description string"
 
 
