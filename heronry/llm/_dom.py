@@ -196,6 +196,25 @@ def inline(text: str) -> str:
 
 
 _FENCE = re.compile(r" {0,3}(```|~~~)")
+_BULLETS = frozenset("•·▪◦‣")
+_RULE_UNDER = re.compile(r" {0,3}(?:-{3,}|={3,})[ \t]*")
+_ITEM = re.compile(r"\s*(?:[•·▪◦‣]|[-*+])[ \t]+(.*)")
+_LISTING = re.compile(r"\\begin\{(verbatim|lstlisting|equation\*?|align\*?|displaymath)\}(.*)")
+_LAYOUT = re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?|\\(?:maketitle|noindent|centering|newpage|hline)")
+_SECTION = re.compile(r"\\(?:part|chapter|(sub)?(sub)?section|paragraph)\*?\{(.*?)\}\s*(.*)")
+_BOLD_LINE = re.compile(r"\\textbf\{([^{}]*)\}\s*\\\\")
+_TEX_ITEM = re.compile(r"\\item\b\s*(?:\[[^\]]*\])?\s*(.*)")
+_FORMULA = re.compile(r"(?:\$\$(.+)\$\$|\\\[(.+)\\\])")
+_WIKI_HEAD = re.compile(r"(={1,6})\s*([^=].*?)\s*\1")
+_MD_HEAD = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t#]*$")
+_RULE = re.compile(r"(?:-{3,}|\*{3,}|_{3,})")
+_TABLE_RULE = re.compile(r"\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t]*:?-*:?[ \t]*")
+_REFERENCE = re.compile(r" {0,3}\[[^\]\n]+\]:\s+\S+\s*$")
+_WIKI_ITEM = re.compile(r"\s*[*#:;]{1,4}[ \t]+(.*)")
+_NUMBERED = re.compile(r"\s*(\d{1,3})[.)][ \t]+(.*)")
+_QUOTE = re.compile(r" {0,3}> ?(.*)")
+_BOLD_HEAD = re.compile(r"\*\*([^*]+?):?\*\*:?")
+_STOPS = re.compile(r"[.!?]")
 
 
 def lines(text: str, out: Read, path: str = "") -> None:
@@ -204,8 +223,8 @@ def lines(text: str, out: Read, path: str = "") -> None:
     at, numbered = 0, 0
 
     def add(kind: str, t: str, **more) -> None:
-        t = t if kind in ("code", "formula") else re.sub(r"[ \t]+", " ", inline(t)).strip()
-        if t.strip():
+        t = t if kind in ("code", "formula") else " ".join(inline(t).split())
+        if t and not t.isspace():
             out.blocks.append(Block(kind, t, f"{path}/{kind}", **more))
 
     while at < len(rows):
@@ -215,16 +234,21 @@ def lines(text: str, out: Read, path: str = "") -> None:
         if not bare:
             numbered = 0
             continue
-        if bare[0].isalpha() and not _ANY.search(bare) and not bare.endswith(":") and not (at < len(rows) and rows[at].strip()[:3] in ("---", "===")):
+        # what a line can be is told by its first sign; a plain line of text takes the first way out
+        c = bare[0]
+        under = at < len(rows) and rows[at][:4].lstrip(" ")[:1] in ("-", "=") and bool(_RULE_UNDER.fullmatch(rows[at]))
+        if c in _BULLETS and (m := _ITEM.match(row)):
+            add("item", m[1], level=1)
+        elif c.isalpha() and not under and not bare.endswith(":"):
             add("para", row)
-        elif m := _FENCE.match(row):
+        elif c in "`~" and (m := _FENCE.match(row)):
             code = []
             while at < len(rows) and not rows[at].strip().startswith(m[1]):
                 code.append(rows[at])
                 at += 1
             at += 1
             add("code", "\n".join(code))
-        elif m := re.match(r"\\begin\{(verbatim|lstlisting|equation\*?|align\*?|displaymath)\}(.*)", bare):
+        elif c == "\\" and (m := _LISTING.match(bare)):
             body = [m[2]] if m[2].strip() else []
             while at < len(rows) and f"\\end{{{m[1]}}}" not in rows[at]:
                 body.append(rows[at])
@@ -233,25 +257,25 @@ def lines(text: str, out: Read, path: str = "") -> None:
                 body.append(last)
             at += 1
             add("code" if m[1] in ("verbatim", "lstlisting") else "formula", "\n".join(body).strip("\n"))
-        elif re.fullmatch(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?|\\(?:maketitle|noindent|centering|newpage|hline)", bare):
+        elif c == "\\" and _LAYOUT.fullmatch(bare):
             numbered = 0
-        elif m := re.match(r"\\(?:part|chapter|(sub)?(sub)?section|paragraph)\*?\{(.*?)\}\s*(.*)", bare):
+        elif c == "\\" and (m := _SECTION.match(bare)):
             add("heading", m[3], level=2 + bool(m[1]) + bool(m[2]))
             add("para", m[4])
-        elif m := re.fullmatch(r"\\textbf\{([^{}]*)\}\s*\\\\", bare):
+        elif c == "\\" and (m := _BOLD_LINE.fullmatch(bare)):
             add("heading", m[1], level=2)
-        elif m := re.match(r"\\item\b\s*(?:\[[^\]]*\])?\s*(.*)", bare):
+        elif c == "\\" and (m := _TEX_ITEM.match(bare)):
             add("item", m[1], level=1)
-        elif m := re.fullmatch(r"(?:\$\$(.+)\$\$|\\\[(.+)\\\])", bare):
+        elif c in "$\\" and (m := _FORMULA.fullmatch(bare)):
             add("formula", (m[1] or m[2]).strip())
-        elif m := re.fullmatch(r"(={1,6})\s*([^=].*?)\s*\1", bare):
+        elif c == "=" and (m := _WIKI_HEAD.fullmatch(bare)):
             add("heading", m[2], level=len(m[1]))
         elif bare.startswith("{|"):
             cells: list[str] = []
 
             def close() -> None:
                 if cells:
-                    add("row", "\t".join(c for c in cells if c))
+                    out.blocks.append(Block("row", "\t".join(x for x in map(_one_line, cells) if x), f"{path}/row"))
                     cells.clear()
 
             while at < len(rows) and not rows[at].strip().startswith("|}"):
@@ -259,36 +283,35 @@ def lines(text: str, out: Read, path: str = "") -> None:
                 at += 1
                 if r.startswith("|-"):
                     close()
-                elif r[:1] in "|!":
-                    cells += [c.strip().split("|")[-1].strip() if "=" in c else c.strip() for c in re.split(r"\|\||!!", r.lstrip("|!+"))]
+                elif r[:1] in ("|", "!"):
+                    cells += [x.strip().split("|")[-1].strip() if "=" in x else x.strip() for x in re.split(r"\|\||!!", r.lstrip("|!+"))]
             at += 1
-            if cells:
-                out.blocks.append(Block("row", "\t".join(c for c in map(_one_line, cells) if c), f"{path}/row"))
-        elif m := re.match(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t#]*$", row):
+            close()
+        elif c == "#" and (m := _MD_HEAD.match(row)):
             add("heading", m[2], level=len(m[1]))
-        elif at < len(rows) and re.fullmatch(r" {0,3}(?:-{3,}|={3,})[ \t]*", rows[at]) and "|" not in bare:
+        elif under and "|" not in bare:
             add("heading", bare, level=2 if "-" in rows[at] else 1)
             at += 1
-        elif re.fullmatch(r"(?:-{3,}|\*{3,}|_{3,})", bare):
+        elif c in "-*_" and _RULE.fullmatch(bare):
             numbered = 0
-        elif re.fullmatch(r"\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t]*:?-*:?[ \t]*", bare):
+        elif c in "|:-" and _TABLE_RULE.fullmatch(bare):
             continue  # the rule under a table's head
-        elif bare.startswith("|") and bare.count("|") > 1:
-            add("row", "\t".join(c.strip() for c in bare.strip("|").split("|")))
-        elif re.match(r" {0,3}\[[^\]\n]+\]:\s+\S+\s*$", row):
+        elif c == "|" and bare.count("|") > 1:
+            add("row", "\t".join(x.strip() for x in bare.strip("|").split("|")))
+        elif c == "[" and _REFERENCE.match(row):
             continue  # where a reference link leads
-        elif m := re.match(r"\s*(?:[•·▪◦‣]|[-*+])[ \t]+(.*)", row):
+        elif c in "-*+" and (m := _ITEM.match(row)):
             add("item", m[1], level=1)
-        elif m := re.match(r"\s*[*#:;]{1,4}[ \t]+(.*)", row):
-            numbered += row.strip().startswith("#")
-            add("item", m[1], mark=str(numbered) if row.strip().startswith("#") else "", level=1)
-        elif m := re.match(r"\s*(\d{1,3})[.)][ \t]+(.*)", row):
+        elif c in "*#:;" and (m := _WIKI_ITEM.match(row)):
+            numbered += c == "#"
+            add("item", m[1], mark=str(numbered) if c == "#" else "", level=1)
+        elif c.isdigit() and (m := _NUMBERED.match(row)):
             add("item", m[2], mark=m[1], level=1)
-        elif m := re.match(r" {0,3}> ?(.*)", row):
+        elif c == ">" and (m := _QUOTE.match(row)):
             add("para", m[1])
-        elif m := re.fullmatch(r"\*\*([^*]+?):?\*\*:?", bare):
+        elif c == "*" and (m := _BOLD_HEAD.fullmatch(bare)):
             add("heading", m[1], level=3)
-        elif bare.endswith(":") and len(bare) < 60 and not re.search(r"[.!?]", bare):
+        elif bare.endswith(":") and len(bare) < 60 and not _STOPS.search(bare):
             add("heading", bare, level=3)
         else:
             add("para", row)
@@ -300,7 +323,7 @@ def read(text: str | None) -> Read:
     if not text or not text.strip():
         return out
     src = text.replace("\0", "")
-    if TAG.search(src) or ENTITY.search(src):
+    if "<" in src and TAG.search(src) or "&" in src and ENTITY.search(src):
         out.markup.add("html")
         for _ in range(4):  # escaped, perhaps more than once
             if not _ESCAPED.search(src):
@@ -315,7 +338,7 @@ def read(text: str | None) -> Read:
         for kind, pattern in (("markdown", MARKDOWN), ("wiki", WIKI), ("latex", LATEX)):
             if pattern.search(rest):
                 out.markup.add(kind)
-    if TAG.search(src):
+    if "<" in src and TAG.search(src):
         src = re.sub(r"<(?![a-zA-Z/!])", "&lt;", src)  # signs that open no tag
         t = _Tree(out)
         t.feed(re.sub(rf"<(?!/?(?:{_TAGS})\b|!)", "&lt;", src, flags=re.I))

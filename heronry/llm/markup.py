@@ -24,8 +24,8 @@ LEAST_TEXTS = 8
 IMPORTANCE = 0.15
 #: Weight of a block's own place against what lies in it, by the published measure.
 ATTENUATION = 0.9
-#: Pieces that the texts of one host are spread over when they meet the host's tree.
-SALT = 16
+#: A host of more rows than HOT, and than all rows through PIECES, is split.
+HOT, PIECES = 100_000, 2000
 #: The feature that counts a host's texts.
 TEXTS = 0
 
@@ -60,17 +60,22 @@ def prune(blocks: list[Block], common: dict[int, float]) -> list[Block]:
     return [b for b, y in zip(blocks, keep) if y]
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
-    """(id, host, text, salt), shuffled once by host and salt: both passes read this exchange.
+def _rows(df: DataFrame, id_col: str, text_col: str, url_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, hot): rows are (id, host, text, salt), shuffled once by host and salt, and both passes read this exchange; hot has the hosts that are split.
 
-    The host is without `www.`; rows of unusable url have none. The salt comes from the text, so equal texts of a host lie together, and a
-    host that has most texts is spread over SALT tasks.
+    The host is without `www.`; rows of unusable url have none and are spread by id. A host of more rows than HOT and than a PIECES-th of all is
+    split by its texts' hash, so equal texts lie together; there are fewer than PIECES such hosts, whatever the data.
     """
+    spark = df.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:www\.)?([^/?#:]+)", 1)), F.lit(""))
+    sizes = df.select(host.alias("h")).where("h <> ''").groupBy("h").agg(F.count("*").alias("n"))
+    limit = max(HOT, (sizes.agg(F.sum("n")).first()[0] or 0) / PIECES)
+    split = [(r.h, -int(-r.n // limit)) for r in sizes.where(F.col("n") > limit).collect()]
+    hot = spark.createDataFrame(split, "h string, pieces int")
     rows = df.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
-    # rows without a host form no tree: they are spread by id
-    salt = F.when(F.col("host") == "", F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(F.pmod(F.xxhash64("text"), F.lit(SALT)))
-    return rows.withColumn("salt", salt.cast("int")).repartition("host", "salt")
+    rows = rows.join(F.broadcast(hot), F.col("host") == F.col("h"), "left")
+    salt = F.when(F.col("host") == "", F.pmod(F.xxhash64("id"), F.lit(PIECES))).otherwise(F.pmod(F.xxhash64("text"), F.coalesce("pieces", F.lit(1))))
+    return rows.select("id", "host", "text", salt.cast("int").alias("salt")).repartition("host", "salt"), hot
 
 
 def common_content(rows: DataFrame) -> DataFrame:
@@ -105,9 +110,10 @@ def clean(df: DataFrame, id_col: str = "id", text_col: str = "description", url_
     a bullet or their number, code and formulas are indented, cells are a tab apart. Null text stays null, blank text becomes empty; both hold no
     markup. Rows without a host are cleaned by themselves. One row comes out for each that goes in; other columns are ignored; texts of any length are read whole.
     """
-    rows = _rows(df, id_col, text_col, url_col)
-    # the host's short list is copied to each salt, so the join keeps the rows where they are
-    right = common_content(rows).select(F.col("host").alias("ch"), "common").withColumn("cs", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows, hot = _rows(df, id_col, text_col, url_col)
+    # a split host's short list is copied to each of its pieces, so the join keeps the rows where they are
+    lists = common_content(rows).join(F.broadcast(hot), F.col("host") == F.col("h"), "left")
+    right = lists.select(F.col("host").alias("ch"), "common", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("cs"))
     met = rows.join(right, (F.col("host") == F.col("ch")) & (F.col("salt") == F.col("cs")), "left").select("id", "text", "common")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -68,7 +68,9 @@ def test_reading_never_fails(text):
     assert r.markup <= {"html", "markdown", "wiki", "latex"}
 
 
-def test_site_tree(spark):
+@pytest.mark.parametrize("hot", [4, 100_000])
+def test_site_tree(spark, monkeypatch, hot):
+    monkeypatch.setattr(markup, "HOT", hot)
     rows = [(i, f"https://careers.acme.example/{i}", f"<div><h2>About us</h2><p>Only on page {i}.</p><p>Follow us everywhere for news.</p></div>", "clash") for i in range(12)]
     rows += [(100, None, "<p>Follow us everywhere for news.</p>", "x"), (101, "https://x.example/", None, "x"), (102, "https://x.example/", " ", "x"), (1, "https://careers.acme.example/1", rows[1][2], "repeat")]
     df = spark.createDataFrame(rows, "id long, url string, description string, text string")
