@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from heronry.session import spread, table
 
 #: Pages whose lines train the trees, at most: those of the lowest hash of id, the same at each run.
 SAMPLE_PAGES = 1500
-TREES = 120
+TREES = 80
 #: Lines labelled by hand as no part of a main body (* stands for anything).
 BOILERPLATE = """© * All rights reserved.|© * Alle Rechte vorbehalten.|© * Todos los derechos reservados.|© * Tous droits réservés.|Copyright 9 * - made with care|Terms · Privacy · Imprint · Accessibility
 Privacy policy Terms of use Sitemap|* Registered office: *|Impressum Datenschutz AGB|Aviso legal Privacidad|Mentions légales Confidentialité|This site stores small files on your device. By browsing on you agree to our cookie policy.
@@ -51,6 +52,12 @@ def _seeds(text: str) -> list[re.Pattern]:
 _BAD, _GOOD = _seeds(BOILERPLATE), _seeds(CONTENT)
 
 
+@lru_cache(maxsize=50_000)
+def by_hand(flat: str) -> int:
+    """The label of the template that a line is made by, -1 without one."""
+    return 0 if any(p.fullmatch(flat) for p in _GOOD) else 1 if any(p.fullmatch(flat) for p in _BAD) else -1
+
+
 def _squash(line: str) -> str:
     return re.sub(r"\s*[|·]\s*|\s{2,}", " ", re.sub(r"\d+", "9", line.strip()))
 
@@ -59,9 +66,10 @@ def label(lines: list[str], k: int, footer: int, nav: frozenset[str] = frozenset
     """1 boilerplate, 0 main body, -1 not told: hand labels, the footer's own lines, runs of links, and paragraphs."""
     s = lines[k].strip()
     flat = _squash(s)
-    if any(p.fullmatch(flat) for p in _GOOD):
+    told = by_hand(flat)
+    if told == 0:
         return 0
-    if any(p.fullmatch(flat) for p in _BAD) or k >= footer:
+    if told == 1 or k >= footer:
         return 1
     parts = [p for p in _SEP.split(s) if p.strip()]
     if len(parts) >= 3 and max(len(p.split()) for p in parts) <= 4 and not _END.search(s):
@@ -83,7 +91,7 @@ def label(lines: list[str], k: int, footer: int, nav: frozenset[str] = frozenset
         return 1
     if run >= 4 and k < len(lines) / 2 and k <= last - 2:
         return 1
-    if lines[k].strip() not in nav and any(len(x.split()) >= 9 and _END.search(x.strip()) and not any(p.fullmatch(_squash(x)) for p in _BAD) for x in lines[k + 1 : k + 4]):
+    if lines[k].strip() not in nav and any(len(x.split()) >= 9 and _END.search(x.strip()) and by_hand(_squash(x)) != 1 for x in lines[k + 1 : k + 4]):
         return 0
     return 0 if prose and run <= 2 else -1
 
@@ -138,22 +146,37 @@ def tokens(line: str) -> list[str]:
     return ws + pairs + threes + signs + (["^ " + " ".join(ws[:2])] if ws else [])
 
 
+_SEEN: dict[str, tuple] = {}
+#: Lines remembered by a Python worker with their features; beyond it the memory starts anew.
+REMEMBERED = 50_000
+
+
+def _line_features(s: str, odds: dict[str, float]) -> tuple:
+    """A line's own features; headings and notices recur, so they are remembered for one set of odds."""
+    if _SEEN.get("") is not odds or len(_SEEN) > REMEMBERED:
+        _SEEN.clear()
+        _SEEN[""] = odds  # type: ignore[assignment]
+    if s and (got := _SEEN.get(s)) is not None:
+        return got
+    words = s.split()
+    parts = [p for p in _SEP.split(s) if p.strip()]
+    toks = tokens(s)
+    o = [odds.get(t, 0.0) for t in toks]
+    o3 = [v for t, v in zip(toks, o) if t.count(" ") == 2]
+    letters = sum(map(str.isalpha, s))
+    out = (
+        len(words), len(s), len(s) / max(1, len(words)), bool(_END.search(s)), len(parts), max((len(p.split()) for p in parts), default=0), sum(map(str.isdigit, s)) / max(1, len(s)),
+        sum(w[:1].isupper() for w in words) / max(1, len(words)), letters / max(1, len(s)), s.count(",") + s.count(";"), sum(o) / max(1, len(o)), max(o, default=0.0), min(o, default=0.0), _short(s), ":" in s, max(o3, default=0.0), min(o3, default=0.0), sum(o3) / max(1, len(o3)),
+    )
+    if s and len(s) < 200:
+        _SEEN[s] = out
+    return out
+
+
 def node_features(lines: list[str], footer: int, odds: dict[str, float], nav: frozenset[str] = frozenset()) -> np.ndarray:
     """One row for each line; neighbours' numbers stand beside its own."""
     n = len(lines)
-    own = np.zeros((n, 18))
-    for k, raw in enumerate(lines):
-        s = raw.strip()
-        words = s.split()
-        parts = [p for p in _SEP.split(s) if p.strip()]
-        toks = tokens(s)
-        o = [odds.get(t, 0.0) for t in toks]
-        o3 = [v for t, v in zip(toks, o) if t.count(" ") == 2]
-        letters = sum(c.isalpha() for c in s)
-        own[k] = (
-            len(words), len(s), len(s) / max(1, len(words)), bool(_END.search(s)), len(parts), max((len(p.split()) for p in parts), default=0), sum(c.isdigit() for c in s) / max(1, len(s)),
-            sum(w[:1].isupper() for w in words) / max(1, len(words)), letters / max(1, len(s)), s.count(",") + s.count(";"), sum(o) / max(1, len(o)), max(o, default=0.0), min(o, default=0.0), _short(s), ":" in s, max(o3, default=0.0), min(o3, default=0.0), sum(o3) / max(1, len(o3)),
-        )
+    own = np.array([_line_features(s.strip(), odds) for s in lines]).reshape(n, 18)
     run = np.zeros(n)
     for k in range(n):
         run[k] = run[k - 1] + 1 if own[k, 13] and k else own[k, 13]
@@ -248,8 +271,8 @@ def main_body(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.iloc[lo : lo + 256]
+            for lo in range(0, len(b), 1024):
+                part = b.iloc[lo : lo + 1024]
                 split = [t.split("\n") for t in part["text"]]
                 feats = [node_features(s, footer_start(s, f if isinstance(f, str) else None), m["odds"], m["nav"]) for s, f in zip(split, part["footer"])]
                 p = predict(m["model"], np.vstack(feats)) if m["model"] else np.zeros(sum(map(len, split)))
