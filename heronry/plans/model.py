@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronry.session import ship
+
 #: The clock of all queries: nothing reads the time of day.
 NOW = 1_777_600_000_000
 DAY = 86_400_000
@@ -18,6 +20,8 @@ DAY = 86_400_000
 class Model:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        ship(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # stored times have no zone and mean UTC
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

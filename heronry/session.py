@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,21 @@ def session(app: str = "heronry", master: str | None = None, **conf: object) ->
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once a context, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_heronry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # else it runs from such a file already
+        to = Path(tempfile.mkdtemp()) / "heronry_package.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(to))
+    sc._heronry_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`; only where that is unset (tests, local use) a temporary one."""
     jsc = spark.sparkContext._jsc.sc()
@@ -39,15 +56,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and go on from there: the lineage ends, lost executors cost nothing."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame, key: str, factor: int = 3) -> DataFrame:
     """Hash-repartition by `key` only where the scan has fewer splits than would keep the cores busy with Python work."""
+    ship(df.sparkSession)
     par = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= 2 * par else df.repartition(factor * par, key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
