@@ -31,8 +31,8 @@ NICKNAMES = {
     "industries": "industry inds",
 }
 KIND = {short: full for full, shorts in NICKNAMES.items() for short in (full, *shorts.split())}
-#: Likeness at which two words are the same word misspelt.
-SAME = 0.85
+#: Jaro-Winkler likeness from which two words can be the same word misspelt, and edits that two names may differ by in all their words together.
+SAME, EDITS = 0.8, 2
 
 
 @lru_cache(maxsize=200_000)
@@ -60,6 +60,27 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * min(lead, 4) * (1 - jaro)
 
 
+@lru_cache(maxsize=200_000)
+def edits(a: str, b: str) -> int:
+    """Letters inserted, dropped, replaced or swapped with the next, each letter once; EDITS + 1 for more than EDITS."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > EDITS:
+        return EDITS + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            new.append(d)
+        if min(new) > EDITS:
+            return EDITS + 1
+        before, row = row, new
+    return min(row[-1], EDITS + 1)
+
+
 _SOUND = {c: str(k) for k, cs in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
 
 

@@ -1,8 +1,8 @@
 """Problem 6: bring together the spellings of one name.
 
-Names are read into core words, kind of business and legal form. Full names (two core words or more) are blocked by phonetic codes
+Names are read into core words, kind of business and legal form. Full names (two core words or more and a kind) are blocked by phonetic codes
 of their sorted words and compared with Jaro-Winkler inside each block; accepted pairs are clustered by connected components.
-Shortened names (an initial, a dropped word, both words run together or blended) join the one cluster they fit.
+Shortened names (no kind, an initial, a dropped word, both words run together or blended) join the one cluster they fit.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm._company import SAME, head, jaro_winkler, read, sound
+from heronry.llm._company import EDITS, SAME, edits, head, jaro_winkler, read, sound
 from heronry.session import cut, table
 
 #: Forms of a block compared in one piece; larger blocks are cut, and every piece meets every other.
 PIECE = 256
+#: Likeness of names that differ by more edits than allowed.
+ENOUGH = 1.0 - (EDITS + 0.5) / 10
 
 
 def _read_all(names: DataFrame) -> DataFrame:
@@ -47,13 +49,29 @@ def block_keys(core: list[str], kind: str) -> set[str]:
     return keys
 
 
+def likeness(a: str, b: str) -> float:
+    """1 for equal words, 0.1 less for each edit of words that Jaro-Winkler finds alike, 0 for others."""
+    if a == b:
+        return 1.0
+    if jaro_winkler(a, b) < SAME:
+        return 0.0
+    d = edits(a, b)
+    return 1.0 - d / 10 if d <= EDITS else 0.0
+
+
 def alike(a: list[str], b: list[str]) -> float:
-    """The least likeness of two names' words under the best pairing of them; 0 where the numbers of words differ."""
+    """Likeness of two names under the best pairing of their words: 1 less 0.1 for each edit in all words together, 0 from more than EDITS on.
+
+    Names of other companies can be near in every word, so the words are judged together; words that merely sound alike don't count.
+    """
     if len(a) != len(b):
         return 0.0
-    if len(a) > 4:  # many words: in sorted order, not in all orders
-        return min(jaro_winkler(x, y) for x, y in zip(a, b))
-    return max(min(jaro_winkler(x, y) for x, y in zip(a, p)) for p in permutations(b))
+    best = 0.0
+    for p in permutations(b) if len(b) <= 4 else [b]:  # many words: in sorted order, not in all orders
+        each = [likeness(x, y) for x, y in zip(a, p)]
+        if min(each) > 0:
+            best = max(best, 1.0 - sum(1.0 - x for x in each))
+    return best if best > ENOUGH else 0.0
 
 
 def short_keys(core: list[str], kind: str) -> set[str]:
@@ -69,12 +87,14 @@ def short_keys(core: list[str], kind: str) -> set[str]:
         return keys
     long = [w for w in core if len(w) > 1]
     first = sorted(w for w in core if len(w) == 1)
+    if not first:  # all words, but no kind of business
+        return block_keys(core, "")
     return {f"i:{sound(w)} {' '.join(first)}" for w in long}
 
 
 def full_keys(core: list[str], kind: str) -> set[str]:
     """Where a full name can be looked up by its shortened forms."""
-    keys = set()
+    keys = block_keys(core, "") if len(core) > 1 else set()
     if len(core) == 2:
         for a, b in (core, core[::-1]):
             keys |= {"j:" + sound(a + b), "b:" + head(a) + head(b), f"i:{sound(a)} {b[0]}"}
@@ -92,21 +112,20 @@ def fits(short: list[str], skind: str, core: list[str], kind: str) -> float:
         if len(core) == 2:
             stem = w.rstrip("aeiouy")
             for a, b in (core, core[::-1]):
-                s = jaro_winkler(w, a + b)
-                best = max(best, s if s >= 0.94 and abs(len(w) - len(a + b)) <= 2 else 0.0)
+                best = max(best, likeness(w, a + b))
                 if stem != w and stem == head(a) + head(b):
-                    best = max(best, 0.99)
+                    best = max(best, 0.95)
         if skind and skind == kind:
-            s = max(jaro_winkler(w, c) for c in core)
-            best = max(best, s if s >= SAME else 0.0)
+            best = max(best, *(likeness(w, c) for c in core))
         return best
     if len(short) != len(core):
         return 0.0
     best = 0.0
     for p in permutations(core) if len(core) <= 4 else [core]:
-        s = min(1.0 if len(x) == 1 and x == y[0] else 0.0 if len(x) == 1 else jaro_winkler(x, y) for x, y in zip(short, p))
-        best = max(best, s)
-    return best if best >= SAME else 0.0
+        each = [1.0 if len(x) == 1 and x == y[0] else 0.0 if len(x) == 1 else likeness(x, y) for x, y in zip(short, p)]
+        if min(each) > 0:
+            best = max(best, 1.0 - sum(1.0 - x for x in each))
+    return best if best > ENOUGH else 0.0
 
 
 def _keyed(forms: DataFrame, keys) -> DataFrame:
@@ -162,7 +181,7 @@ def pairs(forms: DataFrame) -> DataFrame:
                 for q, m, e, f in parsed[i + 1 :]:
                     if lo != hi and p == q or n == m or d and f and d != f:
                         continue
-                    if alike(c, e) >= SAME:
+                    if alike(c, e):
                         out.append((n, m) if n < m else (m, n))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
@@ -218,15 +237,14 @@ def attach(short: DataFrame, forms: DataFrame, labels: DataFrame) -> DataFrame:
                 mine = core.split(" ")
                 fit = [(fits(mine, kind, c, d), m) for m, c, d in fulls]
                 best = max((s for s, _ in fit), default=0.0)
-                out += [(node, m, s) for s, m in fit if s >= best - 0.02 and s > 0]
+                out += [(node, m, s) for s, m in fit if s == best and s > 0]
             if out:
                 yield pd.DataFrame(out, columns=["node", "full", "score"])
                 out = []
 
     met = both.mapInPandas(run, "node string, full string, score double")
     met = met.join(labels.select(F.col("node").alias("full"), "label"), "full", "left").withColumn("label", F.coalesce("label", "full"))
-    # the score rounded down to steps: a slightly better typo doesn't decide between two companies
-    per = met.groupBy("node", "label").agg(F.max(F.floor(F.col("score") * 20)).alias("s"))
+    per = met.groupBy("node", "label").agg(F.max(F.round("score", 6)).alias("s"))
     top = per.groupBy("node").agg(F.max("s").alias("top")).withColumnRenamed("node", "n")
     best = per.join(top, (F.col("node") == F.col("n")) & (F.col("s") == F.col("top")))
     return best.groupBy("node").agg(F.min("label").alias("label"), F.count("*").alias("c")).where("c = 1").select("node", "label")
@@ -236,16 +254,19 @@ def clusters(jobs: DataFrame, col: str = "company") -> DataFrame:
     """(company, cluster): each different spelling, exactly as stored, that names a company, and the smallest spelling of its cluster.
 
     Nulls, blanks and placeholders name no company and don't occur. Case, accents, order, legal form and filler words make no
-    difference; misspelt words, initials, short forms of the kind of business, dropped and blended words are followed. A
+    difference; misspelt words (two edits in all), initials, short forms of the kind of business, dropped and blended words are followed. A
     shortened name that fits several companies stays by itself. Spellings are made distinct first, so repeated rows cost nothing.
     """
     read_ = cut(_read_all(jobs.select(F.col(col).alias("company")).where("company is not null").distinct()))
     nodes = read_.select("node", "core", "kind").distinct()
     whole = (F.size(F.split("core", " ")) > 1) & ~F.exists(F.split("core", " "), lambda w: F.length(w) == 1)
-    forms = nodes.where(whole)
+    forms, shorts = nodes.where(whole & (F.col("kind") != "")), nodes.where(~whole | (F.col("kind") == ""))
     labels = components(pairs(forms))
-    shorts = attach(nodes.where(~whole), forms, labels)
-    named = read_.join(labels.unionByName(shorts), "node", "left").select("company", F.coalesce("label", "node").alias("label"))
+    # a name without its kind of business is a shortened one too: it joins the company it fits, but can't tie two together
+    joined = attach(shorts, forms, labels)
+    rest = shorts.where(whole).join(joined.select("node"), "node", "left_anti")
+    labels = labels.unionByName(joined).unionByName(components(pairs(rest)))
+    named = read_.join(labels, "node", "left").select("company", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("company").alias("cluster"))
     return named.join(smallest, "label").select("company", "cluster")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 llm = pytest.importorskip("heronry.llm")
 from heronry.llm import _boost, _dom, canonical, leakage, mainbody, markup, names, rankfuse, reading, tokens, topn  # noqa: E402
-from heronry.llm._company import jaro_winkler, read, sound  # noqa: E402
+from heronry.llm._company import edits, jaro_winkler, read, sound  # noqa: E402
 from tests.oracle import assert_same, connect  # noqa: E402
 
 QUERIES, SQL = llm.queries(), llm.oracle_sql()
@@ -268,7 +268,7 @@ def test_large_blocks_are_cut(spark, monkeypatch):
     want = set()
     for i, (n, c) in enumerate(rows):
         for m, d in rows[i + 1 :]:
-            if names.block_keys(c, "") & names.block_keys(d, "") and names.alike(c, d) >= names.SAME:
+            if names.block_keys(c, "") & names.block_keys(d, "") and names.alike(c, d):
                 want.add((min(n, m), max(n, m)))
     assert {(r.a, r.b) for r in names.pairs(forms).collect()} == want and want
 
@@ -297,6 +297,8 @@ def test_components(spark):
 
 def test_likeness():
     assert round(jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(jaro_winkler("dixon", "dicksonx"), 4) == 0.8133 and jaro_winkler("", "a") == 0
+    assert names.alike(["bonbov", "belbir"], ["blbir", "bonobv"]) > 0 and names.alike(["dradgron", "tramstip"], ["dravgron", "trarstil"]) == 0 and names.alike(["ab"], ["ab", "c"]) == 0
+    assert edits("ca", "abc") == 3 and edits("bonbov", "bonobv") == 1 and edits("a", "abcdef") == 3
     assert sound("robert") == sound("rupert") == "R163" and read("N/A") is None and read("The & Co.") is None
 
 
