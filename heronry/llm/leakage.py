@@ -21,7 +21,7 @@ from heronry.session import spread, table
 #: Words in a row that make a leak; items with fewer words must occur as a whole.
 SPAN = 12
 #: Words of items that one scan searches for; more items make more scans, none is left out.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -35,19 +35,19 @@ class Searcher:
 
     def __init__(self, items: list[tuple[int, list[str]]], span: int = SPAN):
         self.vocab = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws))}
-        by_len: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+        by_len: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item, ws in items:
-            seq = [self.vocab[w] for w in ws]
+            seq = np.array([self.vocab[w] for w in ws], dtype=np.int64)
             n = min(span, len(seq))
             if n:
-                by_len[n] += [(tuple(seq[i : i + n]), item) for i in range(len(seq) - n + 1)]
+                by_len[n].append((np.lib.stride_tricks.sliding_window_view(seq, n), item))
         self.sizes = [self._tables(n, pats) for n, pats in sorted(by_len.items())]
         self.most = max(by_len, default=0)
 
-    def _tables(self, n: int, pats: list[tuple[tuple[int, ...], int]]) -> dict:
+    def _tables(self, n: int, pats: list[tuple[np.ndarray, int]]) -> dict:
         b = min(2 if n < 6 else 3, n)
         base = len(self.vocab) + 1
-        pat, item = np.array([p for p, _ in pats], dtype=np.int64), np.array([i for _, i in pats], dtype=np.int64)
+        pat, item = np.concatenate([p for p, _ in pats]), np.repeat(np.array([i for _, i in pats], dtype=np.int64), [len(p) for p, _ in pats])
         keys, shifts = [], []
         for end in range(b - 1, n):  # a block ending at `end` lets the window move on by n - 1 - end
             k = np.zeros(len(pat), dtype=np.int64)
