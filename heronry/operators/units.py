@@ -204,12 +204,15 @@ def segments(x: np.ndarray, spread_: float = SPREAD, penalty: float | None = Non
     return np.array(starts[::-1])
 
 
-def hidden_factor(values: np.ndarray) -> np.ndarray:
-    """For each value of one history in order of time: the factor that its segment's level calls for, 1 where it's in line."""
+def hidden_factor(values: np.ndarray, level: float | None = None) -> np.ndarray:
+    """For each value of one history (or a piece of it) in order of time: the factor that its segment's level calls for, 1 where it's in line.
+
+    `level` is the whole history's usual value, by default the median of `values`.
+    """
     x = np.log(values)
-    if len(x) < LEAST:
+    if level is None and len(x) < LEAST:
         return np.ones(len(x))
-    out, base = np.ones(len(x)), float(np.median(x))
+    out, base = np.ones(len(x)), float(np.median(x)) if level is None else math.log(level)
     starts = segments(x)
     for a, b in zip(starts, [*starts[1:], len(x)]):
         shift = float(x[a:b].mean()) - base
@@ -251,9 +254,11 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
     # texts are read once: what they say is a few numbers a row, written to the shared folder
     parsed = cut(parsed.withColumn("t", F.coalesce("t", F.lit(0))))
     # histories of over PIECE rows are cut at quantiles of time, so that no task holds a long one
-    sizes = parsed.groupBy("history").agg(F.count("*").alias("n"), F.percentile_approx("t", [k / 500 for k in range(1, 500)], 2000).alias("cuts"))
+    good = F.when(F.col("value") > 0, F.col("value"))
+    usual = F.when(F.count(good) >= LEAST, F.percentile_approx(good, 0.5, 1000)).alias("level")
+    sizes = parsed.groupBy("history").agg(F.count("*").alias("n"), F.percentile_approx("t", [k / 500 for k in range(1, 500)], 2000).alias("cuts"), usual)
     step = F.greatest(F.lit(1), F.floor(F.lit(500) * PIECE / F.col("n"))).cast("int")
-    cuts = sizes.select(F.col("history").alias("h"), F.when(F.col("n") > PIECE, F.filter("cuts", lambda c, i: (i + 1) % step == 0)).alias("cuts"))
+    cuts = sizes.select(F.col("history").alias("h"), F.when(F.col("n") > PIECE, F.filter("cuts", lambda c, i: (i + 1) % step == 0)).alias("cuts"), "level")
     piece = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("t"))))
     by = ["history", "piece"]
     placed = parsed.join(cuts, F.col("history") == F.col("h")).withColumn("piece", piece).drop("h", "cuts").repartition(*by).sortWithinPartitions(*by, "t", "id")
@@ -263,8 +268,9 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
         have = np.isfinite(value) & (value > 0)
         by_note = np.where(np.isfinite(factor), factor, 1.0)
         found = np.ones(len(value))
-        if have.any():
-            found[have] = hidden_factor(value[have])
+        level = group["level"].iloc[0]  # of the whole history; null for a short one
+        if have.any() and level == level and level is not None:
+            found[have] = hidden_factor(value[have], float(level))
         raw_ok = (value >= PLAUSIBLE[0]) & (value < PLAUSIBLE[1])
         # an unstated factor is reversed only where the value as it stands can't be pay
         use = np.where(np.isfinite(factor), by_note, np.where(raw_ok, 1.0, found))

@@ -1,6 +1,7 @@
 """Operators on hand-made tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from heronry.operators import aggregates, catalog, fulltext, graph, matching, merge, search, sequences, timeline, units
@@ -165,7 +166,9 @@ def test_stated_units(spark):
     assert _usd(spark, rows, []) == {} and _usd(spark, []) == {}
 
 
-def test_changepoints(spark):
+@pytest.mark.parametrize("piece", [10, 4000])
+def test_changepoints(spark, monkeypatch, piece):
+    monkeypatch.setattr(units, "PIECE", piece)
     rng = np.random.default_rng(1)
     level = np.exp(rng.normal(11, 0.4, 60))
     rows = [(float(v / 1000 if 20 <= i < 35 else v), None, "USD", "year", None) for i, v in enumerate(level)]
