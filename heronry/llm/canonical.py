@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.session import table
+from heronry.session import cut, table
 
 #: Accented letters and what they stand for when names are compared.
 _ACCENTED = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįłñńňòóôõöøōőřśšşťùúûüūůűýÿźžż"
@@ -77,7 +77,9 @@ def place_of(spark: SparkSession, typed: DataFrame, places: DataFrame) -> DataFr
         SELECT DISTINCT location, value FROM (SELECT location, explode(array(trim(s), trim(c), regexp_replace(trim(c), '^greater ', ''), regexp_replace(trim(c), '[.]', ''))) AS value FROM clean) WHERE value <> ''""",
         typed=typed,
     )
-    near = pigeonhole(spark, parts.select("value"), names.select("name"))
+    # both are used several times below: written once to the shared folder, a few short strings for each different location
+    parts = cut(parts)
+    near = cut(pigeonhole(spark, parts.select("value"), names.select("name")))
     return spark.sql(
         """
         WITH best AS (SELECT value, name, dist FROM (SELECT *, min(dist) OVER (PARTITION BY value) AS low FROM {near}) WHERE dist = low),
