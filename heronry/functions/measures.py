@@ -52,7 +52,8 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     """Great-circle distance by the haversine formula; null with any null."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # least() passes nulls over, so they are kept out of it
+    return F.when(h.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
 
 
 def bbox(lat: float, lon: float, radius_km: float) -> tuple[float, float, float, float]:
@@ -87,7 +88,12 @@ def yield_points(hits: Column | str) -> Column:
 
 def per_second(before: Column, after: Column, ms: Column) -> Column:
     """Rate of a counter, never negative; null where no time passed."""
-    return F.when(ms > 0, F.greatest(after - before, F.lit(0)) / (ms / 1000.0))
+    return F.when(ms > 0, grown(after - before) / (ms / 1000.0))
+
+
+def grown(change: Column) -> Column:
+    """A counter's growth: nothing for a counter that fell back, null for an unknown one."""
+    return F.when(change.isNotNull(), F.greatest(change, F.lit(0)))
 
 
 def node_size(n: Column | str, base: float = 2.0) -> Column:

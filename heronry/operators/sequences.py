@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.functions.measures import grown
+
 
 def best_per_host(frontier: DataFrame, limit: int, exclude: Sequence[str] = ()) -> DataFrame:
     """The queued url of the highest score of each host (then the earliest), and of these the best `limit`.
@@ -24,7 +26,7 @@ def rates(samples: DataFrame, counters: Sequence[str]) -> DataFrame:
     """id, ts, run_id and the rate a second of each counter since the run's sample before; null at its first, never negative."""
     w = Window.partitionBy("run_id").orderBy("id")
     secs = (F.col("ts") - F.lag("ts").over(w)) / 1000.0
-    out = [F.when(secs > 0, F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) / secs).alias(f"{c}_per_sec") for c in counters]
+    out = [F.when(secs > 0, grown(F.col(c) - F.lag(c).over(w)) / secs).alias(f"{c}_per_sec") for c in counters]
     return samples.select("id", "ts", "run_id", *out)
 
 

@@ -207,7 +207,7 @@ _MATCH = r"""WITH s AS (SELECT f.id, {skills} AS a, {title} AS b, {level} AS c,
     place="CASE WHEN remote_mode = 'remote' THEN CASE WHEN len(remote_regions) = 0 THEN 0.7 WHEN list_contains(remote_regions, 'global') OR list_contains(remote_regions, 'DE') OR list_contains(remote_regions, 'FR') THEN 1.0 ELSE 0.15 END WHEN km IS NOT NULL THEN CASE WHEN km <= 50 THEN 1.0 WHEN km <= 100 THEN 0.8 WHEN km <= 250 THEN 0.5 WHEN country_code IN ('DE', 'FR') THEN 0.4 ELSE 0.05 END WHEN country_code IN ('DE', 'FR') THEN 0.5 WHEN country_code IS NOT NULL THEN 0.05 ELSE 0.5 END",
     pay="CASE WHEN salary_usd_annual IS NULL THEN 0.5 WHEN salary_usd_annual >= 60000 THEN 1.0 WHEN salary_usd_annual / 60000.0::DOUBLE >= 0.8 THEN 0.7 ELSE 0.2 END",
     words=words_sql("coalesce(title, '')"),
-    km="2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(10.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10.0::DOUBLE)) * pow(sin(radians(20.0 - lon) / 2), 2))))",
+    km="CASE WHEN lat IS NOT NULL THEN 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(10.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10.0::DOUBLE)) * pow(sin(radians(20.0 - lon) / 2), 2)))) END",
 )
 
 
@@ -315,7 +315,13 @@ def _(m: Model) -> DataFrame:
     return search.run(m.facts, m.domains, q, NOW)[0].select("id")
 
 
-@query("I24_search_near")
+_NEAR = """WITH p AS (SELECT lat AS here_lat, lon AS here_lon, 500 / 111.32 AS dy, 500 / (111.32 * greatest(abs(cos(radians(lat))), 0.01)) AS dx FROM places WHERE city = 'Vivvuvval' ORDER BY place_id LIMIT 1),
+  c AS (SELECT f.*, coalesce(posted_at, first_seen) AS seen, CASE WHEN lat IS NOT NULL THEN 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - here_lat) / 2), 2) + cos(radians(here_lat)) * cos(radians(lat)) * pow(sin(radians(lon - here_lon) / 2), 2)))) END AS km
+    FROM facts f, p WHERE closed_at IS NULL AND ((lat BETWEEN greatest(here_lat - dy, -90) AND least(here_lat + dy, 90) AND lon BETWEEN greatest(here_lon - dx, -180) AND least(here_lon + dx, 180)) OR (lat IS NULL AND country_code = 'JP') OR (remote_mode = 'remote' AND (len(remote_regions) = 0 OR list_contains(remote_regions, 'global') OR list_contains(remote_regions, 'JP')))))
+  SELECT id, round(km, 1) AS distance_km FROM c WHERE km IS NULL OR km <= 500 ORDER BY seen DESC NULLS LAST, id DESC LIMIT 50"""
+
+
+@query("I24_search_near", _NEAR, "facts")
 def _(m: Model) -> DataFrame:
     q = search.JobQuery(near="Vivvuvval, Japan", radius_km=500, sort="recent")
     return search.run(m.facts, m.domains, q, NOW, places=m.places)[0].select("id", "distance_km")

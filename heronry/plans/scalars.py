@@ -192,7 +192,7 @@ def _(m: Model) -> DataFrame:
     return m.log.where("ts >= 1704067200000").select("id", N.bucket_start("ts", 1_704_067_200_000, 7_200_000).cast("long").alias("bucket"))
 
 
-_KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - 6.45) / 2), 2) + cos(radians(6.45::DOUBLE)) * cos(radians(lat)) * pow(sin(radians(lon - 3.39) / 2), 2))))"
+_KM = "CASE WHEN lat IS NOT NULL THEN 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - 6.45) / 2), 2) + cos(radians(6.45::DOUBLE)) * cos(radians(lat)) * pow(sin(radians(lon - 3.39) / 2), 2)))) END"
 
 
 @query("H37_distance", f"SELECT place_id, round({_KM}, 4) AS km FROM places")

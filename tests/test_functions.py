@@ -43,6 +43,8 @@ def test_money(spark):
 def test_distance_and_box(spark):
     km = one(spark, measures.distance_km(F.lit(6.45), F.lit(3.39), F.lit(9.06), F.lit(7.49)).alias("d")).d
     assert 500 < km < 570
+    none = one(spark, measures.distance_km(F.lit(None).cast("double"), F.lit(3.39), F.lit(9.06), F.lit(7.49)).alias("d")).d
+    assert none is None
     s, n, w, e = measures.bbox(0, 0, 111.32)
     assert (round(s), round(n), round(w), round(e)) == (-1, 1, -1, 1)
 
