@@ -113,12 +113,21 @@ def _(m: Model) -> DataFrame:
 # --- I: domain operators ----------------------------------------------------------------------------------------------
 
 
-@query("I2_score_links")
+_LINK = rf"""WITH b AS (SELECT p.id, p.url, lower(coalesce(p.title, '')) AS t, d.host, d.status, p.id % 5 = 0 AS nf, p.id % 4 AS depth, p.id % 30 AS pages, array_to_string(string_split({_HOST.format("p.url")}, '.')[-2:], '.') AS target,
+    list_filter(string_split(lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS segs, regexp_extract(p.url, '\?([^#]*)', 1) AS q FROM parsed_pages p LEFT JOIN domains d ON d.id = p.domain_id),
+  s AS (SELECT *, coalesce(target = host, false) AS inside,
+    len(list_filter(segs, lambda x: x IN ({", ".join(f"'{c}'" for c in U.CAREERS_TOKENS)}) OR len(list_intersect(regexp_split_to_array(x, '[-_.]'), ['careers', 'career', 'jobs', 'hiring', 'vacancies'])) > 0)) > 0 AS in_url, {" OR ".join(f"contains(t, $q${c}$q$)" for c in U.CAREERS_PHRASES)} AS in_text,
+    len(list_intersect(segs, {L.ARCHIVES})) > 0 OR len(list_intersect(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: lower(split_part(x, '=', 1))), {L.ARCHIVE_PARAMS})) > 0 AS archive, len(list_intersect(segs, {L.DROPPED})) > 0 AS never FROM b)
+  SELECT id, CASE WHEN NOT never THEN 10.0 + CASE WHEN in_url AND in_text THEN 60 WHEN in_url THEN 50 WHEN in_text THEN 40 ELSE 0 END + CASE WHEN NOT inside THEN 8 WHEN len(list_intersect(segs, {L.COMPANY_SEGMENTS})) > 0 THEN 4 ELSE 0 END - CASE WHEN archive THEN 8 WHEN q <> '' THEN 2 ELSE 0 END
+    - CASE WHEN segs[1] IN ('blog', 'news', 'press', 'events', 'articles', 'resources', 'podcast') THEN 4 ELSE 0 END + CASE status WHEN 'company' THEN 10 WHEN 'not_company' THEN -15 ELSE 0 END - CASE WHEN nf THEN 5 ELSE 0 END - 2.0 * depth - least(0.5 * pages, 10) END::DOUBLE AS score FROM s"""
+
+
+@query("I2_score_links", _LINK)
 def _(m: Model) -> DataFrame:
     d = m.domains.select(F.col("id").alias("domain_id"), "host", "status")
     p = m.pages.select("id", "url", "title", "domain_id").join(d, "domain_id", "left")
     s = L.score_link("url", "title", F.col("id") % 5 == 0, "host", F.col("id") % 4, F.col("id") % 30, "status")
-    return p.select("id", s["score"].alias("score"), F.array_join(s["reasons"], ",").alias("reasons"))
+    return p.select("id", s["score"].alias("score"))
 
 
 @query("I3_assess_pages", rf"""SELECT id, round(least(1.0, (CASE WHEN len(list_intersect(regexp_split_to_array(f, '[^\p{{L}}\p{{N}}]+'), ['{"','".join(L.LEGAL)}'])) > 0 THEN 0.2 ELSE 0 END) + (CASE WHEN contains(f, '©') OR contains(f, 'copyright') OR contains(f, '(c) 20') THEN 0.1 ELSE 0 END)
@@ -279,12 +288,20 @@ def _page_graph(m: Model):
     return graph.page_graph(m.pages, m.links, m.frontier, 2, "navmommavlom.example")
 
 
-@query("I19_page_graph")
+_LABEL = r"CASE WHEN regexp_extract({0}, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') AND regexp_extract({0}, '\?([^#]*)', 1) = '' THEN " + _HOST.replace("{}", "{0}") + r" ELSE regexp_extract({0}, '^[a-z]+://[^/?#]*([^#]*)', 1) END"
+_PAGES = rf"""WITH own AS (SELECT id, url, kind, error FROM parsed_pages WHERE domain_id = 2 ORDER BY (kind = 'home') DESC NULLS LAST, (kind = 'careers') DESC NULLS LAST, (kind = 'job') DESC NULLS LAST, id LIMIT 500),
+  o AS (SELECT own.id, own.url AS src, dst_url, {_HOST.format("dst_url")} AS h, dst_url IN (SELECT url FROM own) AS fetched FROM own JOIN links ON src_page_id = own.id),
+  w AS (SELECT dst_url FROM o WHERE array_to_string(string_split(h, '.')[-2:], '.') = 'navmommavlom.example' AND NOT fetched GROUP BY dst_url ORDER BY min(id), dst_url LIMIT 200),
+  x AS (SELECT h, count(*) AS n FROM o WHERE array_to_string(string_split(h, '.')[-2:], '.') <> 'navmommavlom.example' GROUP BY h ORDER BY n DESC, h LIMIT 40)
+"""
+
+
+@query("I19_page_graph", _PAGES + f"SELECT url AS key, {_LABEL.format('url')} AS label, CASE WHEN error IS NOT NULL THEN 'failed' ELSE kind END AS kind, NULL::VARCHAR AS state FROM own UNION ALL SELECT dst_url, {_LABEL.format('dst_url')}, 'pending', f.state FROM w LEFT JOIN frontier f ON f.url = dst_url UNION ALL SELECT h, h, 'external', NULL FROM x", "links", "frontier")
 def _(m: Model) -> DataFrame:
     return _page_graph(m)[0]
 
 
-@query("C20_page_graph_edges")
+@query("C20_page_graph_edges", _PAGES + "SELECT source, target, count(*) AS n FROM (SELECT src AS source, dst_url AS target FROM o WHERE fetched UNION ALL SELECT src, dst_url FROM o WHERE NOT fetched AND dst_url IN (FROM w) UNION ALL SELECT src, h FROM o WHERE array_to_string(string_split(h, '.')[-2:], '.') <> 'navmommavlom.example' AND h IN (SELECT h FROM x)) GROUP BY 1, 2", "links", "frontier")
 def _(m: Model) -> DataFrame:
     return _page_graph(m)[1]
 
