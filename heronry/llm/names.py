@@ -162,7 +162,7 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[list[tup
 
 
 def pairs(forms: DataFrame) -> DataFrame:
-    """(a, b): full names of one company, compared only where they share a block; only accepted pairs leave a task.
+    """(a, b): full names of one company and kind, compared only where they share a block; only accepted pairs leave a task.
 
     A block larger than PIECE is cut into pieces, and each two pieces meet in a task of their own, so no task holds a large block.
     """
@@ -179,7 +179,7 @@ def pairs(forms: DataFrame) -> DataFrame:
             lo, hi, out = group[0][1], group[0][2], []
             for i, (p, n, c, d) in enumerate(parsed):
                 for q, m, e, f in parsed[i + 1 :]:
-                    if lo != hi and p == q or n == m or d and f and d != f:
+                    if lo != hi and p == q or n == m or d != f:
                         continue
                     if alike(c, e):
                         out.append((n, m) if n < m else (m, n))
@@ -260,19 +260,21 @@ def clusters(jobs: DataFrame, col: str = "company") -> DataFrame:
     read_ = cut(_read_all(jobs.select(F.col(col).alias("company")).where("company is not null").distinct()))
     nodes = read_.select("node", "core", "kind").distinct()
     whole = (F.size(F.split("core", " ")) > 1) & ~F.exists(F.split("core", " "), lambda w: F.length(w) == 1)
-    forms, shorts = nodes.where(whole & (F.col("kind") != "")), nodes.where(~whole | (F.col("kind") == ""))
+    # names without their kind of business are clustered among themselves, and each is a shortened name too: it joins the
+    # company that it fits, but can't tie two together
+    forms, shorts = nodes.where(whole), nodes.where(~whole | (F.col("kind") == ""))
     labels = components(pairs(forms))
-    # a name without its kind of business is a shortened one too: it joins the company it fits, but can't tie two together
-    joined = attach(shorts, forms, labels)
-    rest = shorts.where(whole).join(joined.select("node"), "node", "left_anti")
-    labels = labels.unionByName(joined).unionByName(components(pairs(rest)))
-    named = read_.join(labels, "node", "left").select("company", F.coalesce("label", "node").alias("label"))
+    joined = cut(attach(shorts, forms.where("kind <> ''"), labels).withColumnRenamed("label", "company_label"))
+    # one that fits none goes with those it's clustered with, where they fit one
+    mates = labels.join(joined, "node").groupBy(F.col("label").alias("l")).agg(F.min("company_label").alias("mate"), F.max("company_label").alias("other")).where("mate = other").drop("other")
+    known = read_.join(joined, "node", "left").join(labels, "node", "left").join(mates, F.col("label") == F.col("l"), "left")
+    named = known.select("company", F.coalesce("company_label", "mate", "label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("company").alias("cluster"))
     return named.join(smallest, "label").select("company", "cluster")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = clusters(table(spark, sf_dir, "jobs"))
+    c = cut(clusters(table(spark, sf_dir, "jobs")))
     one = c.select(F.col("company").alias("company_a"), "cluster")
     two = c.select(F.col("company").alias("company_b"), "cluster")
     return one.join(two, "cluster").where("company_a < company_b").select("company_a", "company_b")
