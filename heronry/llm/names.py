@@ -59,6 +59,14 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - d / 10 if d <= EDITS else 0.0
 
 
+def letters(text: str) -> int:
+    """The set of a text's letters as bits."""
+    out = 0
+    for ch in text:
+        out |= 1 << (ord(ch) & 63)
+    return out
+
+
 def alike(a: list[str], b: list[str]) -> float:
     """Likeness of two names under the best pairing of their words: 1 less 0.1 for each edit in all words together, 0 from more than EDITS on.
 
@@ -175,11 +183,12 @@ def pairs(forms: DataFrame) -> DataFrame:
         for group in _groups(batches, ["key", "lo", "hi"]):
             if len(group) < 2:
                 continue
-            parsed = [(piece, n, c.split(" "), d) for _, _, _, piece, n, c, d in group]
+            parsed = [(piece, n, c.split(" "), d, letters(c), len(c)) for _, _, _, piece, n, c, d in group]
             lo, hi, out = group[0][1], group[0][2], []
-            for i, (p, n, c, d) in enumerate(parsed):
-                for q, m, e, f in parsed[i + 1 :]:
-                    if lo != hi and p == q or n == m or d != f:
+            for i, (p, n, c, d, a, x) in enumerate(parsed):
+                for q, m, e, f, b, y in parsed[i + 1 :]:
+                    # an edit changes at most two letters of the set and the length by one: most pairs go here
+                    if (a ^ b).bit_count() > 2 * EDITS or abs(x - y) > EDITS or d != f or n == m or lo != hi and p == q:
                         continue
                     if alike(c, e):
                         out.append((n, m) if n < m else (m, n))
