@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.session import cut, spread, table
+from heronry.session import cut, shipped, spread, table
 
 #: What a year has of each period.
 PER_YEAR = {"hour": 2080.0, "day": 260.0, "week": 52.0, "month": 12.0, "year": 1.0}
@@ -250,7 +250,7 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
         F.col("id").cast("long").alias("id"), F.coalesce("board_key", "source", F.lit("")).alias("history"), F.coalesce("posted_at", "first_seen").cast("long").alias("t"),
         F.col("salary_min").cast("double").alias("lo"), F.col("salary_max").cast("double").alias("hi"), F.col("salary_currency").alias("cur"), F.col("salary_period").alias("per"), F.col("description").alias("text"),
     ).where("id is not null")
-    parsed = spread(src, "id").mapInPandas(read, "id long, history string, t long, value double, factor double, told double").where("value is not null or told is not null")
+    parsed = spread(src, "id").transform(shipped).mapInPandas(read, "id long, history string, t long, value double, factor double, told double").where("value is not null or told is not null")
     # texts are read once: what they say is a few numbers a row, written to the shared folder
     parsed = cut(parsed.withColumn("t", F.coalesce("t", F.lit(0))))
     # histories of over PIECE rows are cut at quantiles of time, so that no task holds a long one
@@ -292,7 +292,7 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield settle(held)
 
-    return placed.mapInPandas(run, "id long, usd_year double, how string").where("usd_year is not null and not isnan(usd_year)")
+    return placed.transform(shipped).mapInPandas(run, "id long, usd_year double, how string").where("usd_year is not null and not isnan(usd_year)")
 
 
 def banded(amounts: DataFrame, bands: DataFrame, value: str) -> DataFrame:

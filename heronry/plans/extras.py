@@ -15,7 +15,7 @@ from heronry.functions import measures as N
 from heronry.functions import text as T
 from heronry.operators import answers, search, visits
 from heronry.plans.model import NOW, Model, registry
-from heronry.session import checkpoint_dir
+from heronry.session import checkpoint_dir, shipped
 from heronry.sources import files as S
 from heronry.sources import pages as H
 from heronry.streaming.live import lagged
@@ -37,7 +37,7 @@ def _packed(m: Model) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "body": [gzip.compress((t or "").encode()) for t in b["text"]], "encoding": "gzip", "content_type": "text/html; charset=utf-8"})
 
-    return m.pages.select("id", "text").mapInPandas(run, "id long, body binary, encoding string, content_type string")
+    return m.pages.select("id", "text").transform(shipped).mapInPandas(run, "id long, body binary, encoding string, content_type string")
 
 
 @query("A4_decompress", "SELECT id, CASE WHEN octet_length(encode(coalesce(text, ''))) <= 1500 THEN md5(coalesce(text, '')) END AS h FROM parsed_pages")
@@ -81,7 +81,7 @@ def _(m: Model) -> DataFrame:
                     out.append((i, None, str(e)))
             yield pd.DataFrame(out, columns=["doc_id", "chars", "refused"])
 
-    return m.documents.select("doc_id", "text").mapInPandas(run, "doc_id long, chars double, refused string")
+    return m.documents.select("doc_id", "text").transform(shipped).mapInPandas(run, "doc_id long, chars double, refused string")
 
 
 @query("A18_append_events", "SELECT id, ts, kind FROM log", "log")
@@ -195,7 +195,7 @@ def _(m: Model) -> DataFrame:
             got = [T.parse_json_reply(f"Here you are:\n```json\n{{\"answer\": {i}}}\n```" if i % 2 else f'Sure {{"answer": {i}}} bye') for i in b["id"]]
             yield pd.DataFrame({"id": b["id"], "answer": [g["answer"] for g in got]})
 
-    return m.domains.select("id").mapInPandas(run, "id long, answer long")
+    return m.domains.select("id").transform(shipped).mapInPandas(run, "id long, answer long")
 
 
 @query("H53_patched", "SELECT 'seniority' AS field, 'senior' AS value UNION ALL SELECT 'titles', 'Data Engineer'")

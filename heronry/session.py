@@ -43,6 +43,12 @@ def ship(spark: SparkSession) -> None:
     sc._heronry_shipped = True
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """`df`, for whose Python functions this package is there."""
+    ship(df.sparkSession)
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`; only where that is unset (tests, local use) a temporary one."""
     jsc = spark.sparkContext._jsc.sc()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.urls import host, is_careers_page, normalize, scheme
+from heronry.session import shipped
 
 
 def parse_seeds(lists: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,7 @@ def robots_filter(df: DataFrame, agent: str) -> DataFrame:
             b["allowed"] = [robots_decision(None if pd.isna(s) else int(s), r or "", agent, p or "/") for s, r, p in zip(b["status"], b["robots"], b["path"])]
             yield b
 
-    return df.mapInPandas(run, schema)
+    return df.transform(shipped).mapInPandas(run, schema)
 
 
 def robots_allowed(robots: str, agent: str, path: str) -> bool:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.urls import TRACKING
+from heronry.session import shipped
 
 PAGE = """title string, canonical string, noindex boolean, nofollow boolean, links array<struct<url: string, text: string, nofollow: boolean>>, og_site_name string, json_ld array<string>, text string,
   footer_text string, embeds array<string>"""
@@ -69,7 +70,7 @@ def decode_bodies(df: DataFrame, limit: int = 5 * 1024 * 1024) -> DataFrame:
             out["html"] = [one(*r) for r in zip(b["body"], b["encoding"], b["content_type"])]
             yield out
 
-    return df.mapInPandas(run, schema)
+    return df.transform(shipped).mapInPandas(run, schema)
 
 
 def normalize_url(url: str) -> str | None:
@@ -214,7 +215,7 @@ def parse_pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFram
             got = pd.DataFrame(rows, columns=[c.split()[0] for c in ("title s", "canonical s", "noindex b", "nofollow b", "links a", "og_site_name s", "json_ld a", "text s", "footer_text s", "embeds a")])
             yield pd.concat([out, got], axis=1)
 
-    return df.mapInPandas(run, schema)
+    return df.transform(shipped).mapInPandas(run, schema)
 
 
 def walk(value: object, wanted) -> list[dict]:
@@ -325,7 +326,7 @@ def organizations(pages: DataFrame) -> DataFrame:
                         continue
             yield pd.DataFrame(out, columns=["url", "name", "org_url"])
 
-    return pages.select("url", "json_ld").mapInPandas(run, "url string, name string, org_url string")
+    return pages.select("url", "json_ld").transform(shipped).mapInPandas(run, "url string, name string, org_url string")
 
 
 _POSTING = "posting_url string, external_id string, title string, company string, location string, country string, remote string, employment string, salary_min double, salary_max double, salary_currency string, period string, posted string, description string"
@@ -344,7 +345,7 @@ def job_postings(pages: DataFrame) -> DataFrame:
             rows = [{"url": u, **p} for u, blocks in zip(b["url"], b["json_ld"]) for p in postings(u, list(blocks) if blocks is not None else [])]
             yield pd.DataFrame(rows, columns=["url", *names])
 
-    raw = pages.select("url", "json_ld").mapInPandas(run, f"url string, {_POSTING}")
+    raw = pages.select("url", "json_ld").transform(shipped).mapInPandas(run, f"url string, {_POSTING}")
     return raw.select(
         "url", "posting_url", "external_id", "title", "company", "location", country(F.col("country")).alias("country_code"), remote_mode("remote").alias("remote_mode"), employment_type("employment").alias("employment_type"),
         "salary_min", "salary_max", "salary_currency", salary_period("period").alias("salary_period"), datetime_ms("posted").alias("posted_at"), F.nullif(plain_html(F.col("description")), F.lit("")).alias("description"), F.lit("jsonld").alias("source"),

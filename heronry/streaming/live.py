@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.session import checkpoint_dir
+from heronry.session import checkpoint_dir, shipped
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -65,7 +65,7 @@ def carried_rates(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["event_id", "user_id", "rate"])
 
     s = stream.select("event_id", "user_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return s.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, rate double", "last_id long, last_ts long, total double", "append", GroupStateTimeout.NoTimeout)
+    return s.transform(shipped).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, rate double", "last_id long, last_ts long, total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_status(stream: DataFrame) -> DataFrame:
