@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.session import spread, table
+from heronry.session import shipped, spread, table
 
 #: Words in a row that make a leak; items with fewer words must occur as a whole.
 SPAN = 12
@@ -151,7 +151,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
                     if len(doc):
                         yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[doc], "item_id": item})
 
-        found = rows.mapInPandas(run, "doc_id long, item_id long")
+        found = rows.transform(shipped).mapInPandas(run, "doc_id long, item_id long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long")

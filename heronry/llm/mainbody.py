@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm._boost import fit, predict
-from heronry.session import spread, table
+from heronry.session import shipped, spread, table
 
 #: Pages whose lines train the trees, at most: those of the lowest hash of id, the same at each run.
 SAMPLE_PAGES = 1500
@@ -283,7 +283,7 @@ def main_body(pages: DataFrame) -> DataFrame:
                     out += [(i, k + 1, line, bool(line.strip()) and not bad[k]) for k, line in enumerate(s)]
                 yield pd.DataFrame(out, columns=["id", "line_no", "line", "main"])
 
-    return spread(rows, "id").mapInPandas(run, "id long, line_no long, line string, main boolean")
+    return spread(rows, "id").transform(shipped).mapInPandas(run, "id long, line_no long, line string, main boolean")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm._dom import Block, read, write
-from heronry.session import table
+from heronry.session import shipped, table
 
 #: Texts that a host must have before anything counts as recurring.
 LEAST_TEXTS = 8
@@ -96,7 +96,7 @@ def common_content(rows: DataFrame) -> DataFrame:
                 out += [(h, f) for f in {*features(read(t).blocks), TEXTS}]
             yield pd.DataFrame(out, columns=["host", "feature"])
 
-    counts = rows.mapInPandas(run, "host string, feature long").groupBy("host", "feature").agg(F.count("*").alias("f")).where("f > 2")
+    counts = rows.transform(shipped).mapInPandas(run, "host string, feature long").groupBy("host", "feature").agg(F.count("*").alias("f")).where("f > 2")
     m = counts.where((F.col("feature") == TEXTS) & (F.col("f") >= LEAST_TEXTS)).select(F.col("host").alias("mh"), F.col("f").alias("m"))
     imp = 1 - F.log("f") / F.log("m")
     low = counts.where(F.col("feature") != TEXTS).join(m, F.col("host") == F.col("mh")).withColumn("imp", imp).where(F.col("imp") < IMPORTANCE)
@@ -128,7 +128,7 @@ def clean(df: DataFrame, id_col: str = "id", text_col: str = "description", url_
                 out.append((i, write(prune(r.blocks, low)), sorted(r.markup)))
             yield pd.DataFrame(out, columns=["id", "text", "markup"])
 
-    return met.mapInPandas(run, "id long, text string, markup array<string>")
+    return met.transform(shipped).mapInPandas(run, "id long, text string, markup array<string>")
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.session import cut, spread, table
+from heronry.session import cut, shipped, spread, table
 
 #: Graded texts that the model is fitted on, at most: those of the lowest hash of id.
 MOST_LABELS = 5000
@@ -175,7 +175,7 @@ def document_frequency(texts: DataFrame) -> DataFrame:
                 seen = Counter()
         yield pd.DataFrame({"word": [*seen, ""], "df": [*seen.values(), texts_]})
 
-    return texts.mapInPandas(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return texts.transform(shipped).mapInPandas(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
 
 def common_words(texts: DataFrame) -> tuple[dict[str, float], float]:
@@ -215,7 +215,7 @@ def levels(docs: DataFrame, labels: DataFrame, count: int = 4) -> DataFrame:
                     out.append((int(y), measure(t, ws, known, rest)))
             yield pd.DataFrame(out, columns=["level", "x"])
 
-    got = sorted((r.level, tuple(r.x)) for r in sample.mapInPandas(features, "level int, x array<double>").collect())
+    got = sorted((r.level, tuple(r.x)) for r in sample.transform(shipped).mapInPandas(features, "level int, x array<double>").collect())
     if not got:
         return spark.createDataFrame([], "doc_id long, level long")
     model = spark.sparkContext.broadcast(calibrated(np.array([x for _, x in got]), np.array([y for y, _ in got]), count))
@@ -231,7 +231,7 @@ def levels(docs: DataFrame, labels: DataFrame, count: int = 4) -> DataFrame:
                     xs.append(measure(t, ws, known, rest))
             yield pd.DataFrame({"doc_id": ids, "level": predict(model.value, np.array(xs)) if xs else []})
 
-    return rows.mapInPandas(judge, "doc_id long, level long")
+    return rows.transform(shipped).mapInPandas(judge, "doc_id long, level long")
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:

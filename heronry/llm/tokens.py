@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.session import spread, table
+from heronry.session import shipped, spread, table
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published splitting pattern of this vocabulary.
@@ -138,7 +138,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": pd.Series(enc.batch(texts), dtype=object)})
 
     rows = spread(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), "doc_id")
-    return rows.mapInPandas(run, "doc_id long, ids array<int>")
+    return rows.transform(shipped).mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
