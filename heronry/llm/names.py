@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm._company import EDITS, SAME, edits, head, jaro_winkler, read, sound
-from heronry.session import cut, table
+from heronry.session import cut, shipped, table
 
 #: Forms of a block compared in one piece; larger blocks are cut, and every piece meets every other.
 PIECE = 256
@@ -36,7 +37,7 @@ def _read_all(names: DataFrame) -> DataFrame:
                     out.append((name, f"{core}|{kind}", core, kind))
             yield pd.DataFrame(out, columns=["company", "node", "core", "kind"])
 
-    return names.mapInPandas(run, "company string, node string, core string, kind string")
+    return names.transform(shipped).mapInPandas(run, "company string, node string, core string, kind string")
 
 
 def block_keys(core: list[str], kind: str) -> set[str]:
@@ -59,12 +60,9 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - d / 10 if d <= EDITS else 0.0
 
 
-def letters(text: str) -> int:
-    """The set of a text's letters as bits."""
-    out = 0
-    for ch in text:
-        out |= 1 << (ord(ch) & 63)
-    return out
+def letters(text: str) -> np.ndarray:
+    """How often a text has each letter, letters folded into 32 bins."""
+    return np.bincount([ord(ch) & 31 for ch in text], minlength=32).astype(np.int16)
 
 
 def alike(a: list[str], b: list[str]) -> float:
@@ -144,7 +142,7 @@ def _keyed(forms: DataFrame, keys) -> DataFrame:
             rows = [(k, n, c, d) for n, c, d in zip(b["node"], b["core"], b["kind"]) for k in keys(c.split(" "), d)]
             yield pd.DataFrame(rows, columns=["key", "node", "core", "kind"])
 
-    return forms.mapInPandas(run, "key string, node string, core string, kind string")
+    return forms.transform(shipped).mapInPandas(run, "key string, node string, core string, kind string")
 
 
 def _pieces(rows: DataFrame, side: str) -> DataFrame:
@@ -169,6 +167,27 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[list[tup
         yield held
 
 
+def near(group: list[tuple], same_piece: bool) -> Iterator[tuple[int, int]]:
+    """Positions of the rows (key, lo, hi, piece, node, core, kind) of a group whose names can be within EDITS, by numbers alone.
+
+    An edit changes the counts of letters by two in all at most, and the length by one. Rows of one piece were compared in that piece's own task.
+    """
+    if len(group) < 2:
+        return
+    counts = np.stack([letters(r[5]) for r in group])
+    sizes = np.array([len(r[5]) for r in group])
+    kinds = np.unique([r[6] for r in group], return_inverse=True)[1]
+    pieces = np.array([r[3] for r in group])
+    for i in range(len(group) - 1):
+        rest = slice(i + 1, None)
+        ok = (np.abs(sizes[rest] - sizes[i]) <= EDITS) & (kinds[rest] == kinds[i])
+        ok &= np.abs(counts[rest] - counts[i]).sum(axis=1) <= 2 * EDITS
+        if not same_piece:
+            ok &= pieces[rest] != pieces[i]
+        for j in np.flatnonzero(ok):
+            yield i, i + 1 + int(j)
+
+
 def pairs(forms: DataFrame) -> DataFrame:
     """(a, b): full names of one company and kind, compared only where they share a block; only accepted pairs leave a task.
 
@@ -183,20 +202,16 @@ def pairs(forms: DataFrame) -> DataFrame:
         for group in _groups(batches, ["key", "lo", "hi"]):
             if len(group) < 2:
                 continue
-            parsed = [(piece, n, c.split(" "), d, letters(c), len(c)) for _, _, _, piece, n, c, d in group]
-            lo, hi, out = group[0][1], group[0][2], []
-            for i, (p, n, c, d, a, x) in enumerate(parsed):
-                for q, m, e, f, b, y in parsed[i + 1 :]:
-                    # an edit changes at most two letters of the set and the length by one: most pairs go here
-                    if (a ^ b).bit_count() > 2 * EDITS or abs(x - y) > EDITS or d != f or n == m or lo != hi and p == q:
-                        continue
-                    if alike(c, e):
-                        out.append((n, m) if n < m else (m, n))
+            out = []
+            for i, j in near(group, same_piece=group[0][1] == group[0][2]):
+                n, m = group[i][4], group[j][4]
+                if n != m and alike(group[i][5].split(" "), group[j][5].split(" ")):
+                    out.append((n, m) if n < m else (m, n))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     by = ["key", "lo", "hi"]
-    return meet.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, "a string, b string").distinct()
+    return meet.repartition(*by).sortWithinPartitions(*by).transform(shipped).mapInPandas(run, "a string, b string").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,7 +266,7 @@ def attach(short: DataFrame, forms: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["node", "full", "score"])
                 out = []
 
-    met = both.mapInPandas(run, "node string, full string, score double")
+    met = both.transform(shipped).mapInPandas(run, "node string, full string, score double")
     met = met.join(labels.select(F.col("node").alias("full"), "label"), "full", "left").withColumn("label", F.coalesce("label", "full"))
     per = met.groupBy("node", "label").agg(F.max(F.round("score", 6)).alias("s"))
     top = per.groupBy("node").agg(F.max("s").alias("top")).withColumnRenamed("node", "n")
