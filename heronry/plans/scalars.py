@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heronry.functions import measures as N
 from heronry.functions import text as T
 from heronry.functions import urls as U
+from heronry.functions.enrich import REGIONS
 from heronry.plans.model import NOW, Model, first_match_sql, has_word_sql, registry, words_sql
 
 QUERIES, SQL, query = registry()
@@ -276,4 +277,14 @@ def _(m: Model) -> DataFrame:
     return m.jobs.where(F.col("location").isin("Worldwide", "Anywhere", "TBC", "Remote")).select("id", remote_region("location").alias("region"))
 
 
+_REGION = "CASE v " + " ".join(f"WHEN '{w}' THEN '{name}'" for w, name in REGIONS) + " ELSE CASE WHEN regexp_matches(v, '^[a-z]{2}$') THEN upper(v) END END"
+
+
+@query("H54_regions_all", f"SELECT id, {_REGION} AS region FROM (SELECT id, lower(trim(location, ' ')) AS v FROM jobs)")
+def _(m: Model) -> DataFrame:
+    from heronry.functions.enrich import remote_region
+
+    return m.jobs.select("id", remote_region("location").alias("region"))
+
+
 __all__ = ["NOW", "QUERIES", "SQL", "first_match_sql"]

@@ -22,3 +22,12 @@ def test_every_company_is_deduplicated(spark, tmp_path):
 
     got = {r.id: list(r.words) for r in _over(spark, tmp_path, "jobs", list(enumerate(values)), "id long, company string", "G5_dedupe_all").collect()}
     assert got == {i: brute(v) for i, v in enumerate(values) if v is not None}
+
+
+def test_every_location_is_mapped(spark, tmp_path):
+    want = {
+        "EMEA": "EMEA", " apac ": "APAC", "LatAm": "LATAM", "europe": "Europe", "North America": "North America", "AMERICAS": "Americas", "africa": "Africa", "Asia": "Asia",
+        "WORLDWIDE": "global", " anywhere": "global", "Global": "global", "de": "DE", " Ng ": "NG", "Remote": None, "TBC": None, "": None, "DEU": None, "Berlin, DE": None, None: None,
+    }
+    got = {r.id: r.region for r in _over(spark, tmp_path, "jobs", list(enumerate(want)), "id long, location string", "H54_regions_all").collect()}
+    assert got == dict(enumerate(want.values()))
