@@ -2,7 +2,7 @@
 
 What a record or its text states (currency, period, thousands or hundredths) is read first. Then the history of each source is
 segmented by an exact penalised changepoint search on the logarithms of the stated values; a segment whose level is off
-by a known factor (1,000 or 1/100) marks a change of unit that nothing states, and is reversed.
+by a known factor (1,000, 1/100 or that of a period) marks a change of unit that nothing states, and is reversed.
 """
 
 from __future__ import annotations
@@ -73,8 +73,14 @@ PLAUSIBLE = (1e3, 5e6)
 FACTORS = {1000.0: -math.log(1000.0), 0.01: math.log(100.0)}
 #: How far a segment's level may lie from where a factor would put it, in log units.
 OFF = 1.6
-#: Spread of pay within a source, in log units; rows of one history that one task segments at once.
-SPREAD, PIECE = 0.8, 4000
+#: Spread of pay within a source, in log units; rows of one history that one task segments at once; rows of its neighbours that a piece sees besides.
+SPREAD, PIECE, HALO = 0.8, 4000, 500
+#: Values that a segment must have to decide by its level alone; how far levels drift without a change of unit, in log units.
+LEAST_SEGMENT, DRIFT = 8, 0.15
+#: Distance of an ordinary value from its history's level, half a factor of 12, and rounds in which the level is taken from ordinary values.
+NEAR, ROUNDS = math.log(12.0) / 2, 3
+#: Standard deviations that a level may lie off its factor's; log odds by which that factor must beat the next one, and a value's own place its segment's factor.
+FIT, ODDS, OWN_ODDS = 3.0, 3.0, 7.0
 #: A shorter history has no level to be off from.
 LEAST = 8
 
@@ -204,22 +210,48 @@ def segments(x: np.ndarray, spread_: float = SPREAD, penalty: float | None = Non
     return np.array(starts[::-1])
 
 
-def hidden_factor(values: np.ndarray, level: float | None = None) -> np.ndarray:
-    """For each value of one history (or a piece of it) in order of time: the factor that its segment's level calls for, 1 where it's in line.
+def level_factor(shift: float, n: int, said: float | None = None) -> tuple[float, float] | None:
+    """(factor, the shift that it makes) of a segment of n values whose level is off by `shift`; None where no factor fits, or two do.
 
-    `level` is the whole history's usual value, by default the median of `values`.
+    `said`: what a year has of the period that the values state; another period in truth is a factor, too.
+    """
+    if n < LEAST_SEGMENT:
+        return None
+    var = SPREAD**2 / n + DRIFT**2
+    periods = {k / said: -math.log(k / said) for k in PER_YEAR.values() if k != said} if said else {}
+    (off, factor, expected), (next_, *_) = sorted((abs(shift - e), f, e) for f, e in ({1.0: 0.0} | FACTORS | periods).items())[:2]
+    return (factor, expected) if factor != 1.0 and off <= FIT * math.sqrt(var) and (next_**2 - off**2) / (2 * var) >= ODDS else None
+
+
+def hidden_factor(values: np.ndarray, level: float | None = None, usual: float | None = None, said: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of one history (or a piece of it) in order of time: the factor that its segment's level calls for, 1 where it's in line,
+    and whether the segment is long enough that this holds for values that could be pay as they stand.
+
+    `level` is the whole history's usual value, by default the median of the ordinary `values`; `usual` that of all histories: where a segment's level is nearer to it
+    than the history's, the segment isn't what is off. `said`: what a year has of the period that each value states, NaN where none is; a segment with
+    different ones isn't compared with periods.
     """
     x = np.log(values)
+    out, sure = np.ones(len(x)), np.zeros(len(x), dtype=bool)
     if level is None and len(x) < LEAST:
-        return np.ones(len(x))
-    out, base = np.ones(len(x)), float(np.median(x)) if level is None else math.log(level)
+        return out, sure
+    base = float(np.median(x)) if level is None else math.log(level)
+    for _ in range(ROUNDS if level is None else 0):
+        base = float(np.median(x[np.abs(x - base) <= NEAR])) if (np.abs(x - base) <= NEAR).any() else base
+    middle = base if usual is None else math.log(usual)
     starts = segments(x)
     for a, b in zip(starts, [*starts[1:], len(x)]):
         shift = float(x[a:b].mean()) - base
         for factor, expected in FACTORS.items():
             if abs(shift - expected) <= OFF:
                 out[a:b][np.abs(x[a:b] - base - expected) <= OFF] = factor
-    return out
+        one = None if said is None or not np.isfinite(said[a]) or (said[a:b] != said[a]).any() else float(said[a])
+        by_level = level_factor(shift, b - a, one)
+        if by_level and abs(base - middle) <= abs(base + shift - middle):
+            d = x[a:b] - base
+            off = (d - by_level[1]) ** 2 - d**2 <= 2 * SPREAD**2 * OWN_ODDS
+            out[a:b][off], sure[a:b][off] = by_level[0], True
+    return out, sure
 
 
 def _small(df: DataFrame, what: str, most: int = 1000) -> list:
@@ -244,40 +276,53 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
         for b in batches:
             rows = [reader.record(*r) for r in zip(b["lo"], b["hi"], b["cur"], b["per"], b["text"])]
             got = pd.DataFrame(rows, columns=["value", "factor", "told"], dtype="float64")
+            got["said"] = b["per"].map(lambda p: PER_YEAR.get(period(p))).astype("float64").to_numpy()
             yield pd.concat([b[["id", "history", "t"]].reset_index(drop=True), got], axis=1)
 
     src = jobs.select(
         F.col("id").cast("long").alias("id"), F.coalesce("board_key", "source", F.lit("")).alias("history"), F.coalesce("posted_at", "first_seen").cast("long").alias("t"),
         F.col("salary_min").cast("double").alias("lo"), F.col("salary_max").cast("double").alias("hi"), F.col("salary_currency").alias("cur"), F.col("salary_period").alias("per"), F.col("description").alias("text"),
     ).where("id is not null")
-    parsed = spread(src, "id").transform(shipped).mapInPandas(read, "id long, history string, t long, value double, factor double, told double").where("value is not null or told is not null")
+    parsed = spread(src, "id").transform(shipped).mapInPandas(read, "id long, history string, t long, value double, factor double, told double, said double").where("value is not null or told is not null")
     # texts are read once: what they say is a few numbers a row, written to the shared folder
     parsed = cut(parsed.withColumn("t", F.coalesce("t", F.lit(0))))
-    # histories of over PIECE rows are cut at quantiles of time, so that no task holds a long one
+    # histories of over PIECE rows are cut at quantiles of time, so that no task holds a long one; a piece sees HALO rows on each side as well,
+    # so that a segment over a border is judged by more than its part on one side
     good = F.when(F.col("value") > 0, F.col("value"))
-    usual = F.when(F.count(good) >= LEAST, F.percentile_approx(good, 0.5, 1000)).alias("level")
+    usual = F.when(F.count(good) >= LEAST, F.percentile_approx(good, [k / 200 for k in range(1, 200)], 1000)).alias("values")
     sizes = parsed.groupBy("history").agg(F.count("*").alias("n"), F.percentile_approx("t", [k / 500 for k in range(1, 500)], 2000).alias("cuts"), usual)
-    step = F.greatest(F.lit(1), F.floor(F.lit(500) * PIECE / F.col("n"))).cast("int")
-    cuts = sizes.select(F.col("history").alias("h"), F.when(F.col("n") > PIECE, F.filter("cuts", lambda c, i: (i + 1) % step == 0)).alias("cuts"), "level")
-    piece = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("t"))))
+    # the median of the ordinary values, so that a long segment that is off doesn't move the level by which it's judged
+    sizes = sizes.withColumn("level", F.element_at("values", 100))
+    for _ in range(ROUNDS):
+        sizes = sizes.withColumn("ordinary", F.filter("values", lambda v: F.abs(F.log(v / F.col("level"))) <= NEAR)).withColumn("level", F.element_at("ordinary", F.ceil((F.size("ordinary") + 1) / 2).cast("int")))
+    per = lambda rows: F.greatest(F.lit(1), F.floor(F.lit(500) * rows / F.col("n"))).cast("int")
+    long_ = F.col("n") > PIECE
+    middle = sizes.agg(F.percentile_approx("level", 0.5, 1000)).first()[0]
+    cuts = sizes.select(F.col("history").alias("h"), F.when(long_, F.col("cuts")).alias("cuts"), per(PIECE).alias("step"), F.least(per(PIECE), per(HALO) + 1).alias("halo"), "level")
+    at = F.size(F.filter("cuts", lambda c: c < F.col("t")))
+    of = lambda bin_: F.floor(bin_ / F.col("step")).cast("int")
+    near = F.array_distinct(F.array(of(F.greatest(F.col("at") - F.col("halo"), F.lit(0))), of(F.col("at")), of(F.least(F.col("at") + F.col("halo"), F.size("cuts")))))
+    pieces = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(near)
     by = ["history", "piece"]
-    placed = parsed.join(cuts, F.col("history") == F.col("h")).withColumn("piece", piece).drop("h", "cuts").repartition(*by).sortWithinPartitions(*by, "t", "id")
+    placed = parsed.join(cuts, F.col("history") == F.col("h")).withColumn("at", at).withColumn("pieces", pieces)
+    placed = placed.withColumn("own", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(of(F.col("at")))).withColumn("piece", F.explode("pieces")).withColumn("own", F.col("own") == F.col("piece"))
+    placed = placed.drop("h", "cuts", "step", "halo", "at", "pieces").repartition(*by).sortWithinPartitions(*by, "t", "id")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        value, factor, told = (group[c].to_numpy() for c in ("value", "factor", "told"))
+        value, factor, told, own = (group[c].to_numpy() for c in ("value", "factor", "told", "own"))
         have = np.isfinite(value) & (value > 0)
         by_note = np.where(np.isfinite(factor), factor, 1.0)
-        found = np.ones(len(value))
+        found, sure = np.ones(len(value)), np.zeros(len(value), dtype=bool)
         level = group["level"].iloc[0]  # of the whole history; null for a short one
         if have.any() and level == level and level is not None:
-            found[have] = hidden_factor(value[have], float(level))
+            found[have], sure[have] = hidden_factor(value[have], float(level), middle, group["said"].to_numpy()[have])
         raw_ok = (value >= PLAUSIBLE[0]) & (value < PLAUSIBLE[1])
-        # an unstated factor is reversed only where the value as it stands can't be pay
-        use = np.where(np.isfinite(factor), by_note, np.where(raw_ok, 1.0, found))
+        # an unstated factor is reversed where a whole segment tells it, or the value as it stands can't be pay
+        use = np.where(np.isfinite(factor), by_note, np.where(raw_ok & ~sure, 1.0, found))
         usd = np.where(have, value * use, np.nan)
         ok = (usd >= PLAUSIBLE[0]) & (usd < PLAUSIBLE[1])
         how = np.where(ok, np.where(np.isfinite(factor), "scaled", np.where(use != 1.0, "segment", "fields")), "text")
-        return pd.DataFrame({"id": group["id"], "usd_year": np.where(ok, usd, told), "how": how})
+        return pd.DataFrame({"id": group["id"], "usd_year": np.where(ok, usd, told), "how": how})[own.astype(bool)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None

@@ -1,6 +1,10 @@
 """Queries over whole columns, on values that their filtered forms leave out."""
 
+import numpy as np
+import pytest
+
 from heronry import plans
+from heronry.operators import units
 
 QUERIES = plans.queries()
 
@@ -31,3 +35,36 @@ def test_every_location_is_mapped(spark, tmp_path):
     }
     got = {r.id: r.region for r in _over(spark, tmp_path, "jobs", list(enumerate(want)), "id long, location string", "H54_regions_all").collect()}
     assert got == dict(enumerate(want.values()))
+
+
+def _silent(spark, values):
+    """(US dollars a year, how) by place in the history, of values that all say US dollars a year."""
+    cols = "id long, board_key string, source string, posted_at long, first_seen long, salary_min double, salary_max double, salary_currency string, salary_period string, description string"
+    jobs = spark.createDataFrame([(i, "h", None, None, i, float(v), None, "USD", "year", None) for i, v in enumerate(values)], cols)
+    rates = spark.createDataFrame([("USD", 1.0, "US dollar")], "currency string, usd_per_unit double, currency_name string")
+    return {r.id: (r.usd_year, r.how) for r in units.to_common_unit(jobs, rates).collect()}
+
+
+@pytest.mark.parametrize("factor", [100.0, 1 / 12, 1 / 52, 1 / 260, 1 / 2080])
+def test_a_silent_segment_is_reversed_whole(spark, factor):
+    true = np.exp(np.random.default_rng(3).normal(10.5, 0.3, 120))  # about 36,000 dollars, 3.6 million in cents
+    got = _silent(spark, [v * factor if 40 <= i < 70 else v for i, v in enumerate(true)])
+    assert {i for i, (_, how) in got.items() if how == "segment"} == set(range(40, 70))
+    assert all(abs(got[i][0] / v - 1) < 1e-9 for i, v in enumerate(true))
+
+
+def test_a_segment_over_a_border_is_judged_as_one(spark, monkeypatch):
+    monkeypatch.setattr(units, "PIECE", 40)
+    monkeypatch.setattr(units, "HALO", 20)
+    true = np.exp(np.random.default_rng(4).normal(10.5, 0.3, 120))
+    for a in (34, 36, 38, 74, 76):  # ten values, cut by the border at about 40 or 80
+        got = _silent(spark, [v / 12 if a <= i < a + 10 else v for i, v in enumerate(true)])
+        assert len(got) == 120 and {i for i, (_, how) in got.items() if how == "segment"} == set(range(a, a + 10))
+
+
+def test_ordinary_differences_of_pay_stay():
+    rng = np.random.default_rng(5)
+    for n in (8, 30, 200):
+        for _ in range(50):
+            x = rng.normal(11, 0.8, n)
+            assert not units.hidden_factor(np.exp(x), None)[1].any()
