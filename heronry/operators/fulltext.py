@@ -13,10 +13,22 @@ WEIGHTS = {"title": 8.0, "description": 1.0, "skills": 2.0}
 K1, B = 1.2, 0.75
 
 
+def _marked() -> tuple[str, str]:
+    """The letters of all scripts that are a letter with marks, and those letters."""
+    import unicodedata
+
+    bases = {c: [b for b in unicodedata.normalize("NFD", c) if not unicodedata.combining(b)] for c in map(chr, range(0x80, 0x2000)) if c.isalpha()}
+    pairs = [(c, b[0]) for c, b in bases.items() if len(b) == 1 and b[0] != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _marked()
+
+
 def normalized(c: Column) -> Column:
-    """Lower case words between single spaces; marks of the accented letters used in Europe are taken off."""
+    """Lower case words between single spaces; marks of accented letters are taken off."""
     accents, plain = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿąćęłńóśźżčďěňřšťůžğışőűăâîșț", "aaaaaaceeeeiiiinoooooouuuuyyacelnoszzcdenrstuzgisouaaist"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), accents, plain), r"\p{M}", ""), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), accents + _MARKED, plain + _BARE), r"\p{M}", ""), r"[^\p{L}\p{N}]+", " "))
 
 
 def strip_marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -50,6 +50,12 @@ def _(m: Model) -> DataFrame:
     return p.select("id", "title", "noindex", "nofollow", F.size("links").alias("links"), F.col("footer_text").alias("footer"), F.col("text").alias("body"))
 
 
+@query("A6_parse_all")
+def _(m: Model) -> DataFrame:
+    p = H.parse_pages(_page_html(m))
+    return p.select("id", "title", "noindex", "nofollow", F.size("links").alias("links"), F.col("footer_text").alias("footer"), F.col("text").alias("body"))
+
+
 @query("A7_json_ld", "SELECT id, 1 AS blocks FROM parsed_pages WHERE text IS NOT NULL")
 def _(m: Model) -> DataFrame:
     return H.parse_pages(_page_html(m)).select("id", F.size("json_ld").alias("blocks"))
@@ -110,6 +116,14 @@ def _(m: Model) -> DataFrame:
     return term_index(d, {"text": F.col("text")}).where("term = 'team'").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
+@query("A23_index_all", r"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS t FROM documents) WHERE t = 'team' GROUP BY doc_id")
+def _(m: Model) -> DataFrame:
+    from heronry.operators.fulltext import term_index
+
+    d = m.documents.withColumnRenamed("doc_id", "id")
+    return term_index(d, {"text": F.col("text")}).where("term = 'team'").groupBy("doc_id").agg(F.count("*").alias("hits"))
+
+
 # --- I: domain operators ----------------------------------------------------------------------------------------------
 
 

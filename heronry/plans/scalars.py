@@ -106,6 +106,13 @@ def _(m: Model) -> DataFrame:
     return m.documents.where("lang in ('en', 'de', 'fr', 'es')").select("doc_id", normalized(F.col("text")).alias("t"))
 
 
+@query("H16_tokenizer_all", r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents")
+def _(m: Model) -> DataFrame:
+    from heronry.operators.fulltext import normalized
+
+    return m.documents.select("doc_id", normalized(F.col("text")).alias("t"))
+
+
 @query("H18_content_hash", "SELECT id, sha256(text)[1:32] AS h FROM parsed_pages")
 def _(m: Model) -> DataFrame:
     return m.pages.select("id", T.content_hash("text").alias("h"))

@@ -5,6 +5,7 @@ import pytest
 
 from heronry import plans
 from heronry.operators import units
+from tests.oracle import connect
 
 QUERIES = plans.queries()
 
@@ -68,3 +69,36 @@ def test_ordinary_differences_of_pay_stay():
         for _ in range(50):
             x = rng.normal(11, 0.8, n)
             assert not units.hidden_factor(np.exp(x), None)[1].any()
+
+
+LANGS = ["en", "EN", "en-US", "de", "xx", "", None]
+
+
+def test_documents_of_any_language_are_scanned(spark, tmp_path):
+    rows = [(str(i), lang, "Our TEAM, the team's töam") for i, lang in enumerate(LANGS)] + [("none", "en", None), ("other", None, "teams")]
+    got = {r.doc_id: r.hits for r in _over(spark, tmp_path, "documents", rows, "doc_id string, lang string, text string", "A23_index_all").collect()}
+    assert got == {str(i): 2 for i in range(len(LANGS))}
+
+
+def test_documents_of_any_language_are_tokenized(spark, tmp_path):
+    text = "Crème BRÛLÉE, Ðà Nẵng; Ελλάδα Ё-mail été"
+    rows = [(str(i), lang, text) for i, lang in enumerate(LANGS)] + [("none", "en", None)]
+    got = {r.doc_id: r.t for r in _over(spark, tmp_path, "documents", rows, "doc_id string, lang string, text string", "H16_tokenizer_all").collect()}
+    assert got == {str(i): "creme brulee ða nang ελλαδα е mail ete" for i in range(len(LANGS))} | {"none": None}
+    con = connect(str(tmp_path))
+    assert got == dict(con.execute(plans.oracle_sql()["H16_tokenizer_all"]).fetchall())
+
+
+def test_pages_of_any_length_are_parsed(spark, tmp_path):
+    texts = ["short", "\n".join(["word " * 9] * 2100), "x" * 99_999 + "\ny\nz", "\n".join(["längere Zeile " * 5] * 3000), None]
+    rows = [(i, f"https://a.example/{i}", f"T{i}", t) for i, t in enumerate(texts)]
+    got = {r.id: r for r in _over(spark, tmp_path, "parsed_pages", rows, "id long, url string, title string, text string", "A6_parse_all").collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for i, t in enumerate(texts[:4]):
+        kept, size = [], 0  # text nodes up to the one that reaches 100,000 bytes
+        for node in [*t.split("\n"), "Jobs ", "here", "again", "out", "top", f"© Foot {i}"]:
+            if size < 100_000:
+                kept.append(node)
+                size += len(node.encode()) + 1
+        assert got[i].body == " ".join(" ".join(kept).split())
+        assert (got[i].title, got[i].links, got[i].footer, got[i].noindex, got[i].nofollow) == (f"T{i}", 2, f"© Foot {i}", True, False)
