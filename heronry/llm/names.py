@@ -7,6 +7,7 @@ Shortened names (no kind, an initial, a dropped word, both words run together or
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -41,12 +42,16 @@ def _read_all(names: DataFrame) -> DataFrame:
 
 
 def block_keys(core: list[str], kind: str) -> set[str]:
-    """Phonetic codes of the sorted words; one word's code with the other's first letter; first two letters; first letters and kind."""
+    """Phonetic codes of the sorted words; one word's code with the other's first letter; first two letters; first letters and kind;
+    one word's codes without its first or second letter (a wrong, missing or swapped one) with the other words' codes."""
     codes = [sound(w) for w in core]
     keys = {"s:" + " ".join(sorted(codes)), "f:" + " ".join(sorted(w[:2] for w in core))}
     keys.add("k:" + "".join(sorted(w[0] for w in core)) + kind)
     for k, c in enumerate(codes):
         keys.add("l:" + c + " " + " ".join(sorted(w[0] for j, w in enumerate(core) if j != k)))
+        w, rest = core[k], " ".join(sorted(codes[:k] + codes[k + 1 :]))
+        if len(w) > 2:
+            keys |= {f"m:{sound(v)} {rest}" for v in (w, w[1:], w[0] + w[2:])}
     return keys
 
 
@@ -73,9 +78,14 @@ def alike(a: list[str], b: list[str]) -> float:
     if len(a) != len(b):
         return 0.0
     best = 0.0
-    for p in permutations(b) if len(b) <= 4 else [b]:  # many words: in sorted order, not in all orders
+    if len(b) > 4:  # equal words pair up, each of the others takes an edit at least
+        both = Counter(a) & Counter(b)
+        a, b = (sorted((Counter(x) - both).elements()) for x in (a, b))
+        if len(b) > EDITS:
+            return 0.0
+    for p in permutations(b):
         each = [likeness(x, y) for x, y in zip(a, p)]
-        if min(each) > 0:
+        if min(each, default=1.0) > 0:
             best = max(best, 1.0 - sum(1.0 - x for x in each))
     return best if best > ENOUGH else 0.0
 

@@ -102,3 +102,13 @@ def test_pages_of_any_length_are_parsed(spark, tmp_path):
                 size += len(node.encode()) + 1
         assert got[i].body == " ".join(" ".join(kept).split())
         assert (got[i].title, got[i].links, got[i].footer, got[i].noindex, got[i].nofollow) == (f"T{i}", 2, f"© Foot {i}", True, False)
+
+
+def test_a_first_letter_may_be_wrong():
+    """Wrong, missing and swapped first letters share a block, and many words pair up in any order."""
+    names = pytest.importorskip("heronry.llm.names")
+    for a, b in (("bright harbor", "vright harbor"), ("bright harbor", "right harbor"), ("bright harbor", "rbight harbor"), ("bright harbor", "bright yarbor"), ("one apple two three four", "one zapple two three four")):
+        a, b = sorted(a.split()), sorted(b.split())
+        assert names.block_keys(a, "labs") & names.block_keys(b, "labs") and names.alike(a, b) == (names.alike(b, a) or None)
+    assert names.alike(sorted("one apple two three four".split()), sorted("six pear ten nine eight".split())) == 0.0
+    assert names.alike(sorted("one apple two three four".split()), sorted("one apple two three four".split())) == 1.0
