@@ -1,65 +1,58 @@
-"""Gradient-boosted regression trees for two classes, on binned features; small enough to train on the driver."""
+"""Gradient-boosted regression trees for two classes, on binned features; small enough to train on the driver.
+
+All trees have one depth and lie in arrays, so a level of a tree is one histogram when it's grown and one lookup when it's used.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 4.0) -> dict:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 1.0) -> dict:
     """Trees of the logistic loss, second order; ties go to the first feature and cut, so the result is the same each time."""
     n, d = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for j in range(d)]
-    code = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1) if n else np.zeros((0, d), int)
+    cuts = np.full((d, bins), np.inf)
+    for j in range(d):
+        c = np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0)
+        cuts[j, : len(c)] = c
+    code = np.stack([np.searchsorted(cuts[j, :-1], x[:, j], side="left") for j in range(d)], axis=1) if n else np.zeros((0, d), np.int64)
     base = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    score, forest = np.full(n, base), []
-    for _ in range(trees):
+    inner = 2**depth - 1
+    feat, cut, leaf = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, 2**depth))
+    score, rows = np.full(n, base), np.arange(n)
+    place = code + np.arange(d) * bins
+    for t in range(trees):
         p = 1 / (1 + np.exp(-score))
         g, h = p - y, np.maximum(p * (1 - p), 1e-6)
-        size = 2 ** (depth + 1) - 1
-        feat, cut, leaf = np.full(size, -1), np.zeros(size), np.zeros(size)
-        node = np.zeros(n, dtype=np.int64)
-        for k in range(size):
-            here = np.flatnonzero(node == k)
-            if not len(here):
-                continue
-            gs, hs = g[here].sum(), h[here].sum()
-            leaf[k] = -gs / (hs + l2)
-            if k >= 2**depth - 1:
-                continue
-            best = (1e-6, -1, 0)
-            for j in range(d):
-                m = len(cuts[j])
-                if not m:
-                    continue
-                gl = np.cumsum(np.bincount(code[here, j], g[here], m + 1))[:m]
-                hl = np.cumsum(np.bincount(code[here, j], h[here], m + 1))[:m]
-                gain = gl**2 / (hl + l2) + (gs - gl) ** 2 / (hs - hl + l2) - gs**2 / (hs + l2)
-                gain[(hl < least / 4) | (hs - hl < least / 4)] = -1
-                at = int(np.argmax(gain))
-                if gain[at] > best[0]:
-                    best = (gain[at], j, at)
-            if best[1] >= 0:
-                feat[k], cut[k] = best[1], cuts[best[1]][best[2]]
-                node[here] = np.where(code[here, best[1]] <= best[2], 2 * k + 1, 2 * k + 2)
-        forest.append((feat, cut, leaf * rate))
-        score += _walk(x, feat, cut, leaf * rate)
-    return {"base": base, "forest": forest}
-
-
-def _walk(x: np.ndarray, feat: np.ndarray, cut: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(x), dtype=np.int64)
-    while True:
-        f = feat[node]
-        go = f >= 0
-        if not go.any():
-            return leaf[node]
-        v = x[np.arange(len(x)), np.maximum(f, 0)]
-        node = np.where(go, np.where(v <= cut[node], 2 * node + 1, 2 * node + 2), node)
+        node = np.zeros(n, np.int64)  # within its level
+        for level in range(depth):
+            wide = 2**level
+            at = (node[:, None] * (d * bins) + place).ravel()
+            gs = np.bincount(at, np.repeat(g, d), wide * d * bins).reshape(wide, d, bins)
+            hs = np.bincount(at, np.repeat(h, d), wide * d * bins).reshape(wide, d, bins)
+            gl, hl = gs.cumsum(axis=2), hs.cumsum(axis=2)
+            ga, ha = gl[:, :1, -1:], hl[:, :1, -1:]
+            gain = gl**2 / (hl + l2) + (ga - gl) ** 2 / (ha - hl + l2) - ga**2 / (ha + l2)
+            gain[(hl < least) | (ha - hl < least) | ~np.isfinite(cuts)[None]] = -1
+            best = gain.reshape(wide, -1).argmax(axis=1)
+            good = gain.reshape(wide, -1)[np.arange(wide), best] > 1e-6
+            j, b = best // bins, np.where(good, best % bins, bins)  # where nothing is gained, all go left
+            feat[t, wide - 1 : 2 * wide - 1] = j
+            cut[t, wide - 1 : 2 * wide - 1] = np.where(good, cuts[j, np.minimum(b, bins - 1)], np.inf)
+            node = 2 * node + (code[rows, j[node]] > b[node])
+        gs, hs = np.bincount(node, g, 2**depth), np.bincount(node, h, 2**depth)
+        leaf[t] = -rate * gs / (hs + l2)
+        score += leaf[t][node]
+    return {"base": base, "feat": feat, "cut": cut, "leaf": leaf, "depth": depth}
 
 
 def predict(model: dict, x: np.ndarray) -> np.ndarray:
     """Probability of class 1."""
-    s = np.full(len(x), model["base"])
-    for t in model["forest"]:
-        s += _walk(x, *t)
+    n, d = x.shape
+    s, flat, rows = np.full(n, model["base"]), np.ascontiguousarray(x).ravel(), np.arange(n) * d
+    for feat, cut, leaf in zip(model["feat"], model["cut"], model["leaf"]):
+        node = np.zeros(n, np.int64)
+        for _ in range(model["depth"]):
+            node = 2 * node + 1 + (flat[rows + feat[node]] > cut[node])
+        s += leaf[node - len(feat)]
     return 1 / (1 + np.exp(-s))

@@ -1,18 +1,21 @@
 """Problem 3: keep only the main body of each page.
 
-The lines of a page are its nodes: a heading's children are the lines up to the next heading, a heading without lines of its own has
-the next section as its child. Boosted trees over features of each node (density, tokens, depth, siblings) give the probability that it's
-boilerplate; decoding along the tree chooses labels so that a heading is kept exactly if something under it is.
+The lines of a page are its nodes; headings, told by their form, are inner nodes and nest. Boosted trees over features of each node (density of it and its section,
+tokens, depth, siblings, and how its words recur over the hosts of the crawl) give the probability that it's boilerplate; decoding along
+the tree takes the likeliest labels under which a heading is kept exactly if something under it is.
+
+Nobody labels lines. What structure shows labels the lines of a bounded sample: the footer element, rows and lists of links, paragraphs that
+occur once, and lines that recur. A site repeats its notices on its own pages, so they come from few hosts for their number; words that authors
+choose come from about as many hosts as chance would have.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,109 +23,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm._boost import fit, predict
-from heronry.session import shipped, spread, table
-
-#: Pages whose lines train the trees, at most: those of the lowest hash of id, the same at each run.
-SAMPLE_PAGES = 1500
-TREES = 80
-#: Lines labelled by hand as no part of a main body (* stands for anything).
-BOILERPLATE = """© * All rights reserved.|© * Alle Rechte vorbehalten.|© * Todos los derechos reservados.|© * Tous droits réservés.|Copyright 9 * - made with care|Terms · Privacy · Imprint · Accessibility
-Privacy policy Terms of use Sitemap|* Registered office: *|Impressum Datenschutz AGB|Aviso legal Privacidad|Mentions légales Confidentialité|This site stores small files on your device. By browsing on you agree to our cookie policy.
-Your privacy matters: choose which cookies * may set.|We use cookies to improve your visit. Accept all / Reject / Settings|* and its partners use cookies for statistics. Manage preferences|Diese Website nutzt Cookies. Einstellungen
-Usamos cookies para mejorar tu visita a *. Aceptar / Rechazar|Wir verwenden Cookies, um * zu verbessern. Alle akzeptieren / Ablehnen|Ce site dépose des cookies. Paramétrer|Este sitio utiliza cookies. Configurar
-Nous utilisons des cookies pour mesurer *. Tout accepter / Refuser|Rate this page: was it helpful? Yes / No|Subscribe to our newsletter and never miss an opening|Download the * app|Share this page: mail, link, print|Follow us: *
-Call us on *|Enter your email to get job alerts|Chat with us - *|Back to top|Log in to save this job|You have viewed * postings. Create an account to go on.|Search jobs by keyword or place|Skip to main content|Language: *|Sprache: *
-Idioma: *|Langue : *|Nach oben|Newsletter abonnieren|Seite teilen|Zum Inhalt springen|S'abonner à la lettre d'information|Volver arriba|Compartir esta página|Suscríbete a nuestro boletín|Haut de page|Aller au contenu|Partager cette page
-Saltar al contenido|Sponsored: *|Related jobs: *|People also viewed: *|Popular searches: *|Latest openings at *|Similar jobs: *|Offres similaires : *|Ähnliche Stellen: *|Ofertas similares: *|Empleos parecidos: *|* > Careers > *|* > Karriere > *|* > Empleo > *|* > Carrières > *"""
-#: Lines of main bodies that speak of such things.
-CONTENT = """We build consent tools, so you will read about cookies and privacy all day.|Our rights and terms group reviews contracts before they are signed.|The newsletter team writes two issues a week and answers every reader.
-You will redesign our home page, its menu and its footer.|Share what you know in our Friday sessions.|All rights to your own inventions stay with you.|Please contact the site office before your first shift.|Starting date: *|Team size: *"""
-#: From this probability on a short line isn't taken for a heading.
-SURE = 0.9
+from heronry.session import cut, shipped, spread, table
+
+#: Pages whose lines train the trees, at most, and their longest text in characters: those of the lowest hash of id, the same at each run.
+SAMPLE_PAGES, SAMPLE_CHARS = 1500, 200_000
+TREES, DEPTH = 50, 5
+#: A line recurs from so many different pages on, and this share of all; the share bounds the list of those (1 / SHARE times the lines of a page).
+LEAST, SHARE = 8, 1e-4
+#: The like for names that stand in rows of links.
+LEAST_LINK = 3
+#: Hosts of a recurring line as a share of those that chance would give: up to FEW it's the site's, from MANY on the authors'.
+FEW, MANY = 0.4, 0.55
+#: From this probability on a short line isn't taken for a heading; from NOT_KEPT on a line is dropped if it stands alone.
+SURE, NOT_KEPT = 0.9, 0.5
+#: Words that a paragraph has at least; words of a heading or a link at most.
+PARAGRAPH, HEADING = 9, 6
 _SEP = re.compile(r"\s(?:[|·>/»•])\s|\s{2,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…][\"'”’)]?$")
-
-
-def _seeds(text: str) -> list[re.Pattern]:
-    parts = [p.strip() for p in text.replace("\n", "|").split("|") if p.strip()]
-    return [re.compile(r"\s*".join(".+" if w == "*" else re.escape(w).replace(r"\*", ".+") for w in p.split()) + r"\s*", re.S) for p in parts]
-
-
-_BAD, _GOOD = _seeds(BOILERPLATE), _seeds(CONTENT)
-
-
-@lru_cache(maxsize=50_000)
-def by_hand(flat: str) -> int:
-    """The label of the template that a line is made by, -1 without one."""
-    return 0 if any(p.fullmatch(flat) for p in _GOOD) else 1 if any(p.fullmatch(flat) for p in _BAD) else -1
-
-
-def _squash(line: str) -> str:
-    return re.sub(r"\s*[|·]\s*|\s{2,}", " ", re.sub(r"\d+", "9", line.strip()))
-
-
-def label(lines: list[str], k: int, footer: int, nav: frozenset[str] = frozenset()) -> int:
-    """1 boilerplate, 0 main body, -1 not told: hand labels, the footer's own lines, runs of links, and paragraphs."""
-    s = lines[k].strip()
-    flat = _squash(s)
-    told = by_hand(flat)
-    if told == 0:
-        return 0
-    if told == 1 or k >= footer:
-        return 1
-    parts = [p for p in _SEP.split(s) if p.strip()]
-    if len(parts) >= 3 and max(len(p.split()) for p in parts) <= 4 and not _END.search(s):
-        return 1
-    words = len(s.split())
-    if words >= 9 and _END.search(s):
-        return 0
-    if not _short(s):
-        return -1
-    first, last = k, k
-    while first and _short(lines[first - 1]):
-        first -= 1
-    while last + 1 < len(lines) and _short(lines[last + 1]):
-        last += 1
-    # short lines in a row: up to two headings before a paragraph; of a longer row at the top all but its last two are links
-    prose = last + 1 < len(lines) and len(lines[last + 1].split()) >= 9 and bool(_END.search(lines[last + 1].strip()))
-    run = last - first + 1
-    if nav_before(lines, k, nav) >= 1 and nav_before(lines, min(first + 2, last), nav) >= 3:
-        return 1
-    if run >= 4 and k < len(lines) / 2 and k <= last - 2:
-        return 1
-    if lines[k].strip() not in nav and any(len(x.split()) >= 9 and _END.search(x.strip()) and by_hand(_squash(x)) != 1 for x in lines[k + 1 : k + 4]):
-        return 0
-    return 0 if prose and run <= 2 else -1
-
-
-def nav_items(texts: list[str]) -> frozenset[str]:
-    """Names that stand in rows of links again and again."""
-    seen: Counter = Counter()
-    for text in texts:
-        for line in text.split("\n"):
-            parts = [p.strip() for p in _SEP.split(line.strip()) if p.strip()]
-            if len(parts) >= 3 and max(len(p.split()) for p in parts) <= 3 and not _END.search(line):
-                seen.update(set(parts))
-    return frozenset(x for x, n in seen.items() if n >= 3)
-
-
-def nav_before(lines: list[str], k: int, nav: frozenset[str]) -> int:
-    """How many lines in a row up to this one, from where the row of short lines starts, are names of links; 0 if any isn't."""
-    n = 0
-    for j in range(k, -1, -1):
-        if not _short(lines[j]):
-            break
-        if lines[j].strip() not in nav:
-            return 0
-        n += 1
-    return n
+_NO_HEADING = re.compile(r"[.!?:,;|·>/]|\s{2,}")
 
 
 def _short(line: str) -> bool:
-    """A line that can be a heading or a link: up to six words that end no sentence."""
-    w = len(line.split())
-    return 0 < w <= 6 and not re.search(r"[.!?:,;|·>/]", line) and not re.search(r"\s{2,}", line.strip())
+    """A line that can be a heading or a link: a few words that end no sentence."""
+    return 0 < len(line.split()) <= HEADING and not _NO_HEADING.search(line)
 
 
 def footer_start(lines: list[str], footer: str | None) -> int:
@@ -138,20 +62,74 @@ def footer_start(lines: list[str], footer: str | None) -> int:
     return len(lines)
 
 
-def tokens(line: str) -> list[str]:
-    """Words and pairs of them, with signs of links; what a DOM's attributes tell, a line's words tell here."""
-    ws = [w.lower() for w in _WORD.findall(line)]
-    signs = [c for c in "©|·>/@" if c in line]
-    pairs, threes = [f"{a} {b}" for a, b in zip(ws, ws[1:])], [f"{a} {b} {c}" for a, b, c in zip(ws, ws[1:], ws[2:])]
-    return ws + pairs + threes + signs + (["^ " + " ".join(ws[:2])] if ws else [])
+# --- how lines recur -------------------------------------------------------------------------------------------------------------
+
+
+def prepared(pages: DataFrame) -> DataFrame:
+    """(id, text, footer, host, flat, keys, links): keys has a number for each line's wording without digits, the site's name, and what stands behind a label's colon; links those of the names in rows of links."""
+    text = F.col("text").cast("string")
+    host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:www\.)?([^/?#:]+)", 1)), F.lit(""))
+    rows = pages.select(F.col("id").cast("long").alias("id"), text.alias("text"), F.col("footer_text").cast("string").alias("footer"), host.alias("host")).where("text is not null")
+    # the site's name as its host spells it, however it is spaced and written in the text
+    label = F.regexp_replace(F.regexp_replace("host", r"\.[a-z]{2,}$", ""), "[^a-z0-9]", "")
+    name = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])"), F.regexp_replace(label, "(.)(?=.)", r"$1[^\\p{L}\\p{N}\\n]{0,3}"), F.lit(r"(?![\p{L}\p{N}])"))
+    masked = F.regexp_replace(F.regexp_replace("text", F.when(F.length(label) >= 4, name).otherwise(F.lit(r"\n\B\n")), F.lit("*")), F.lit(r"\d+"), F.lit("9"))
+    flat = F.regexp_replace(F.regexp_replace("masked", r"[ \t]*[|·][ \t]*|[ \t]{2,}", " "), r"(?md)^([^:\n]{3,30}): [^\n]*$", "$1:*")
+    rows = rows.withColumn("masked", masked).withColumn("flat", flat)
+    keys = F.transform(F.split("flat", "\n", -1), lambda s: F.xxhash64(F.trim(s)))
+    parts = F.transform(F.split("masked", "\n", -1), lambda s: F.filter(F.split(F.trim(s), r"\s(?:[|·>/»•])\s|\s{2,}"), lambda p: F.trim(p) != ""))
+    names = F.filter(parts, lambda ps: (F.size(ps) >= 3) & F.forall(ps, lambda p: (F.size(F.split(F.trim(p), r"\s+")) <= 3) & ~F.trim(p).rlike(r"[.!?…]$")))
+    links = F.transform(F.array_distinct(F.flatten(names)), lambda p: F.xxhash64(F.trim(p)))
+    return rows.select("id", "text", "footer", "host", keys.alias("keys"), links.alias("links"))
+
+
+class Recurring(NamedTuple):
+    """lines: (pages, hosts as a share of those by chance) of each recurring line; links: names that stand in rows of links again and again."""
+
+    lines: dict[int, tuple[int, float]]
+    links: frozenset[int]
+
+
+def expected_hosts(n: int, sizes: list[tuple[int, int]]) -> float:
+    """Hosts that n pages drawn by chance come from; sizes: (pages of a host, hosts of that size)."""
+    total = sum(s * c for s, c in sizes)
+    return sum(c * -math.expm1(n * math.log1p(-min(s / total, 1 - 1e-12))) for s, c in sizes)
+
 
+def recurring(rows: DataFrame) -> Recurring:
+    """How the lines of all pages recur. Copies of a page on a host count once; counts are combined before each shuffle, and what comes to the driver is bounded by shares of the pages."""
+    once = rows.groupBy("host", F.xxhash64("text").alias("t")).agg(F.first("keys").alias("keys"), F.first("links").alias("links"))
+    of = lambda c, link: F.transform(F.array_distinct(c), lambda k: F.struct(F.lit(link).alias("link"), k.alias("key")))
+    page = F.array(F.struct(F.lit(True).alias("link"), F.lit(None).cast("long").alias("key")))
+    each = once.select("host", F.explode(F.concat(page, of("keys", False), of("links", True))).alias("x")).select("host", "x.link", "x.key")
+    per = each.groupBy("host", "link", "key").agg(F.count("*").alias("n"))
+    # sizes of hosts, rounded to a fortieth, are few however many hosts there are
+    size = F.when(F.col("key").isNull(), F.pow(F.lit(1.025), F.round(F.log("n") / math.log(1.025))))
+    per = cut(per.groupBy("link", "key", size.alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("hosts")))
+    sizes = [(r["size"], r.hosts) for r in per.where("key is null").select("size", "hosts").collect()]
+    pages = sum(s * c for s, c in sizes)
+    least = F.when(F.col("link"), F.lit(max(LEAST_LINK, SHARE * pages))).otherwise(F.lit(max(LEAST, SHARE * pages)))
+    found = per.where(F.col("key").isNotNull() & (F.col("n") >= least)).select("link", "key", "n", "hosts").collect()
+    by_chance: dict[int, float] = {}
+    for n in {r.n for r in found if not r.link}:
+        by_chance[n] = max(expected_hosts(n, sizes), 1e-9)
+    return Recurring({r.key: (r.n, r.hosts / by_chance[r.n]) for r in found if not r.link}, frozenset(r.key for r in found if r.link))
+
+
+# --- features and labels of nodes ---------------------------------------------------------------------------------------------------
 
 _SEEN: dict[str, tuple] = {}
 #: Lines remembered by a Python worker with their features; beyond it the memory starts anew.
 REMEMBERED = 50_000
 
 
-def _line_features(s: str, odds: dict[str, float]) -> tuple:
+def tokens(line: str) -> list:
+    """Words, pairs of them and signs of links; what a DOM's attributes tell, a line's words tell here."""
+    ws = [w.lower() for w in _WORD.findall(line)]
+    return ws + list(zip(ws, ws[1:])) + [c for c in "©|·>/@" if c in line] + ([("", *ws[:2])] if ws else [])
+
+
+def _line_features(s: str, odds: dict) -> tuple:
     """A line's own features; headings and notices recur, so they are remembered for one set of odds."""
     if _SEEN.get("") is not odds or len(_SEEN) > REMEMBERED:
         _SEEN.clear()
@@ -159,46 +137,101 @@ def _line_features(s: str, odds: dict[str, float]) -> tuple:
     if s and (got := _SEEN.get(s)) is not None:
         return got
     words = s.split()
-    parts = [p for p in _SEP.split(s) if p.strip()]
-    toks = tokens(s)
-    o = [odds.get(t, 0.0) for t in toks]
-    o3 = [v for t, v in zip(toks, o) if t.count(" ") == 2]
-    letters = sum(map(str.isalpha, s))
+    parts = [len(p.split()) for p in _SEP.split(s) if p.strip()]
+    o = [odds.get(t, 0.0) for t in tokens(s)] or [0.0]
+    n, chars = max(1, len(words)), max(1, len(s))
+    digits = sum(map(str.isdigit, s)) if s and not s.isalpha() else 0
     out = (
-        len(words), len(s), len(s) / max(1, len(words)), bool(_END.search(s)), len(parts), max((len(p.split()) for p in parts), default=0), sum(map(str.isdigit, s)) / max(1, len(s)),
-        sum(w[:1].isupper() for w in words) / max(1, len(words)), letters / max(1, len(s)), s.count(",") + s.count(";"), sum(o) / max(1, len(o)), max(o, default=0.0), min(o, default=0.0), _short(s), ":" in s, max(o3, default=0.0), min(o3, default=0.0), sum(o3) / max(1, len(o3)),
+        len(words), len(s), len(s) / n, bool(_END.search(s)), len(parts), max(parts, default=0), digits / chars, sum(w[0].isupper() for w in words) / n, len("".join(_WORD.findall(s))) / chars, s.count(",") + s.count(";"),
+        sum(o) / len(o), max(o), min(o), _short(s), ":" in s,
     )
     if s and len(s) < 200:
         _SEEN[s] = out
     return out
 
 
-def node_features(lines: list[str], footer: int, odds: dict[str, float], nav: frozenset[str] = frozenset()) -> np.ndarray:
-    """One row for each line; neighbours' numbers stand beside its own."""
-    n = len(lines)
-    own = np.array([_line_features(s.strip(), odds) for s in lines]).reshape(n, 18)
-    run = np.zeros(n)
-    for k in range(n):
-        run[k] = run[k - 1] + 1 if own[k, 13] and k else own[k, 13]
-    back = np.zeros(n)
-    for k in range(n - 1, -1, -1):
-        back[k] = back[k + 1] + 1 if own[k, 13] and k + 1 < n else own[k, 13]
-    at = np.arange(n)
-    pad = np.zeros((1, 18))
-    before, after = np.vstack([pad, own[:-1]]), np.vstack([own[1:], pad])
-    prose = np.cumsum((own[:, 0] >= 9) & (own[:, 3] > 0))
-    total = prose[-1] if n else 0
-    named = np.array([s.strip() in nav for s in lines], dtype=float)
-    row = np.array([nav_before(lines, k, nav) if named[k] else 0 for k in range(n)], dtype=float)
-    ahead = np.r_[named[1:], 0.0] if n else named
-    depth = np.stack([named, row, ahead, at, n - at, at / max(1, n), at >= footer, run, back, prose, total - prose, np.full(n, total)], axis=1)
-    return np.hstack([own, before[:, [0, 3, 4, 10, 13]], after[:, [0, 3, 4, 10, 13]], depth])
-
-
-def token_odds(samples: list[tuple[str, int]]) -> dict[str, float]:
+OWN = 15
+_WORDS, _ENDS, _PARTS, _PART_WORDS, _ODDS, _IS_SHORT = 0, 3, 4, 5, 10, 13
+
+
+class Nodes:
+    """The lines of some pages, one page after the other, with what features and labels are made of."""
+
+    def __init__(self, split: list[list[str]], keys: list, footers: list, known: Recurring, odds: dict):
+        sizes = np.array([len(s) for s in split], dtype=np.int64)
+        self.first = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, np.int64)
+        n = int(sizes.sum())
+        self.own = np.array([_line_features(s.strip(), odds) for ls in split for s in ls], dtype=float).reshape(n, OWN)
+        self.start, self.size = np.repeat(self.first, sizes), np.repeat(sizes, sizes)
+        self.at = np.arange(n) - self.start
+        self.footer = np.repeat([footer_start(ls, f if isinstance(f, str) else None) for ls, f in zip(split, footers)], sizes) if n else np.zeros(0)
+        flat = [k for ks in keys for k in ks]
+        self.recurs = np.array([known.lines.get(k, (1, -1.0)) for k in flat], dtype=float).reshape(n, 2)
+        self.named = np.array([k in known.links for k in flat], dtype=bool)
+        self.short = self.own[:, _IS_SHORT] > 0
+        self.run, self.ahead = self._runs(self.short), self._runs(self.short, back=True)
+        # links in a row from where the row of short lines starts
+        self.row = np.where(self._runs(self.named & self.short) == self.run, self.run, 0)
+        self.prose = (self.own[:, _WORDS] >= PARAGRAPH) & (self.own[:, _ENDS] > 0) & ~(self.recurs[:, 1] >= 0)
+
+    def _runs(self, mask: np.ndarray, back: bool = False) -> np.ndarray:
+        """How many lines in a row, up to each one (back: from it on), of its page have the mask; 0 where it hasn't."""
+        i, edge = np.arange(len(mask)), self.at == (self.size - 1 if back else 0)
+        if back:
+            mask, edge = mask[::-1], edge[::-1]
+        last = np.maximum.accumulate(np.where(~mask, i, np.where(edge, i - 1, -1))) if len(mask) else i
+        return (i - last)[::-1] if back else i - last
+
+    def _next(self, v: np.ndarray, by: int) -> np.ndarray:
+        """The value `by` lines further on the same page, 0 beyond its ends."""
+        out = np.zeros_like(v)
+        if by > 0:
+            out[:-by] = v[by:]
+        elif by < 0:
+            out[-by:] = v[:by]
+        ok = (self.at + by >= 0) & (self.at + by < self.size)
+        return np.where(ok if v.ndim == 1 else ok[:, None], out, np.zeros((), v.dtype))
+
+    def features(self) -> np.ndarray:
+        n = len(self.own)
+        if not n:
+            return np.zeros((0, 0))
+        total = np.cumsum(self.prose)
+        before = total - total[self.start] + self.prose[self.start]
+        whole = before[self.start + self.size - 1]
+        # density of the section that a heading opens: words and lines up to the next short line
+        opens = np.maximum.accumulate(np.where(self.short | (self.at == 0), np.arange(n), 0))
+        words = np.bincount(opens, self.own[:, _WORDS], n) - np.where(self.short, self.own[:, _WORDS], 0)
+        near = np.c_[self.own[:, [_WORDS, _ENDS, _PARTS, _ODDS, _IS_SHORT]], self.recurs[:, 1], self.named]
+        place = [np.log(self.recurs[:, 0]), self.recurs[:, 1], self.named, self.row, self.at, self.size - self.at, self.at / self.size, self.at >= self.footer, self.run, self.ahead, before, whole - before, whole, words[opens], words * self.short]
+        return np.hstack([self.own, self._next(near, -1), self._next(near, 1), np.stack(place, axis=1).astype(float)])
+
+    def labels(self) -> np.ndarray:
+        """1 boilerplate, 0 main body, -1 not told."""
+        y = np.full(len(self.own), -1)
+        own, ratio = self.own, self.recurs[:, 1]
+        first, last = np.arange(len(y)) - self.run + 1, np.arange(len(y)) + self.ahead - 1
+        many = (ratio >= MANY) & ~self.named
+        y[self.prose | many] = 0
+        y[(ratio >= 0) & (ratio <= FEW) & ~self.named] = 1
+        y[(own[:, _PARTS] >= 3) & (own[:, _PART_WORDS] <= 4) & (own[:, _ENDS] == 0)] = 1
+        # short lines in a row: up to two headings stand before a paragraph; of a longer row at the top all but its last two are links
+        told = self.short & (y < 0)
+        prose = [self._next(self.prose, k) for k in (1, 2, 3)]
+        run = self.run + self.ahead - 1
+        y[told & (self.named & prose[0] & (run <= 2))] = 0
+        y[told & ~self.named & (prose[0] | prose[1] | prose[2])] = 0
+        links = (self.row >= 1) & (self.row[np.clip(np.minimum(first + 2, last), 0, len(y) - 1)] >= 3) if len(y) else told
+        y[told & (links | ((run >= 4) & (self.at < self.size / 2) & (np.arange(len(y)) <= last - 2)))] = 1
+        y[self.at >= self.footer] = 1
+        y[own[:, _WORDS] == 0] = -1
+        return y
+
+
+def token_odds(samples: list[tuple[str, int]]) -> dict:
     """Log odds of each token for boilerplate, smoothed; a line that occurs again and again counts up to 20 times."""
     counts, total = (Counter(), Counter()), [1.0, 1.0]
-    for (line, y), n in Counter((_squash(s), y) for s, y in samples).items():
+    for (line, y), n in Counter((re.sub(r"\d+", "9", s.strip()), y) for s, y in samples).items():
         w = float(min(n, 20))
         total[y] += w
         for t in set(tokens(line)):
@@ -208,82 +241,106 @@ def token_odds(samples: list[tuple[str, int]]) -> dict[str, float]:
     return {t: math.log((f[1].get(t, 0) + 2) / (f[0].get(t, 0) + 2)) for t in f[0].keys() | f[1].keys()}
 
 
-def train(pages: list[tuple[str, str | None]]) -> dict:
-    """Trees and token odds from the labelled lines of (text, footer) pages. Odds come from one half of the pages for the other, so trees learn how far to trust them."""
-    nav = nav_items([t for t, _ in pages])
-    told = []
-    for text, footer in pages:
-        lines = text.split("\n")
-        f = footer_start(lines, footer)
-        told.append((lines, f, [label(lines, k, f, nav) for k in range(len(lines))]))
-    part = [int(hashlib.md5("\n".join(t[0]).encode("utf-8", "replace")).hexdigest()[:4], 16) % 2 for t in told]
-    words = lambda keep: token_odds([(s, y) for t, p in zip(told, part) if p in keep for s, y in zip(t[0], t[2]) if y >= 0])
-    halves = (words({1}), words({0}))
+def train(pages: list[tuple[str, str | None, list[int]]], known: Recurring) -> dict:
+    """Trees and token odds from the lines of (text, footer, keys) pages that structure labels. Odds come from one half of the wordings for the other, so trees learn how far to trust words in lines never seen."""
+    split, footers, keys = [t.split("\n") for t, _, _ in pages], [f for _, f, _ in pages], [k for _, _, k in pages]
+    ys = Nodes(split, keys, footers, known, {}).labels()
+    lines, half = [s for ls in split for s in ls], np.array([k for ks in keys for k in ks], dtype=np.int64) & 1
+    words = lambda keep: token_odds([(s, int(y)) for s, y, h in zip(lines, ys, half) if y >= 0 and h in keep])
     x, y = [], []
-    for (lines, f, ys), p in zip(told, part):
-        known = np.array(ys) >= 0
-        if known.any():
-            x.append(node_features(lines, f, halves[p], nav)[known])
-            y.append(np.array(ys)[known])
-    if not x:
-        return {"model": None, "odds": {}, "nav": nav}
-    return {"model": fit(np.vstack(x), np.concatenate(y).astype(float), trees=TREES, depth=5), "odds": words({0, 1}), "nav": nav}
-
-
-def decode(lines: list[str], p: np.ndarray) -> np.ndarray:
-    """True for each line that's boilerplate; p: its probability of that. The likeliest labels under which a heading is kept exactly if something under it is."""
+    for h in (0, 1):
+        told = (half == h) & (ys >= 0)
+        if told.any():
+            x.append(Nodes(split, keys, footers, known, words({1 - h})).features()[told])
+            y.append(ys[told])
+    model = fit(np.vstack(x), np.concatenate(y).astype(float), trees=TREES, depth=DEPTH) if x else None
+    return {"model": model, "odds": words({0, 1}), "known": known}
+
+
+# --- decoding ---------------------------------------------------------------------------------------------------------------------
+
+
+def heading_tree(short: np.ndarray, p: np.ndarray) -> list[int]:
+    """The heading over each line, -1 for none. A heading with nothing of its own before the next heading is over that one; the headings after it are its sections until such a chain starts again."""
+    n = len(short)
+    heads = [k for k in range(n) if short[k] and p[k] < SURE]
+    parent, chain, at = [-1] * n, False, -1
+    for i, k in enumerate(heads):
+        end = heads[i + 1] if i + 1 < len(heads) else n
+        bare = not (p[k + 1 : end] < NOT_KEPT).any()
+        if bare and end < n and p[k] >= NOT_KEPT:
+            parent[k] = at  # a stray link, say: it heads nothing
+            parent[k + 1 : end] = [at] * (end - k - 1)
+            continue
+        over = at if chain else (parent[at] if at >= 0 and not bare else -1)
+        parent[k], at, chain = over, k, bare and end < n
+        parent[k + 1 : end] = [k] * (end - k - 1)
+    return parent
+
+
+def decode(short: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """True for each line that's boilerplate; p: its probability of that. The likeliest labels under which a heading is kept exactly if a line or heading under it is."""
     p = np.clip(p, 1e-4, 1 - 1e-4)
-    bad, good = np.log(p), np.log(1 - p)
-    # a short line that is surely a notice ("back to top") heads nothing; links at the top have no lines under them anyway
-    heads = [k for k, s in enumerate(lines) if _short(s) and p[k] < SURE]
-    out = p > 0.5
-    below = False  # whether the section after the current heading is kept
-    for i in range(len(heads) - 1, -1, -1):
-        k, end = heads[i], heads[i + 1] if i + 1 < len(heads) else len(lines)
-        kids = np.arange(k + 1, end)
-        if len(kids):
-            kept = good[kids] > bad[kids]
-            if kept.any():
-                with_, none = good[k] + np.maximum(good[kids], bad[kids]).sum(), bad[k] + bad[kids].sum()
-                out[k] = with_ <= none
-                out[kids] = True if out[k] else ~kept
-            else:
-                out[kids] = True
-                # only notices stand between this heading and the next: it goes with the next section if it looks like a heading
-                out[k] = not (below and p[k] < 0.5)
+    n, parent = len(p), heading_tree(short, p)
+    gain = (np.log(1 - p) - np.log(p)).tolist()  # of keeping the node itself over dropping it
+    isolated = [bool(short[k]) and p[k] < SURE and p[k] < NOT_KEPT for k in range(n)]  # a heading with nothing under it heads nothing
+    kids: dict[int, list[int]] = {}
+    for k, q in enumerate(parent):
+        kids.setdefault(q, []).append(k)
+    worth = [0.0] * n  # of keeping something of the node's branch over dropping all of it
+    for k in range(n - 1, -1, -1):  # children stand behind their heading
+        if k in kids:
+            under = [worth[c] for c in kids[k]]
+            best = sum(v for v in under if v > 0)
+            worth[k] = gain[k] + (best if best > 0 else max(under))
         else:
-            out[k] = not (below and p[k] < 0.5)
-        below = below or not out[k]
+            worth[k] = min(gain[k], -1e-9) if isolated[k] else gain[k]
+    out = np.ones(n, dtype=bool)
+    for k in range(n):
+        q = parent[k]
+        if q >= 0 and out[q]:
+            continue
+        keep = worth[k] > 0
+        if q >= 0 and not keep and all(worth[c] <= 0 for c in kids[q]):
+            keep = k == max(kids[q], key=lambda c: worth[c])
+        out[k] = not keep
     return out
 
 
-def main_body(pages: DataFrame) -> DataFrame:
+# --- the operator -----------------------------------------------------------------------------------------------------------------
+
+
+def learned(rows: DataFrame) -> dict:
+    """What `main_body` judges by, from the rows of `prepared`; can be kept and used for other pages of the same crawl."""
+    known = recurring(rows)
+    sample = rows.where(F.col("id").isNotNull() & (F.trim("text") != "") & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("id"), "id", F.length("text")).limit(SAMPLE_PAGES)
+    got = sorted(((r.text, r.footer, r["keys"]) for r in sample.select("text", "footer", "keys").collect()), key=lambda r: (r[0], r[1] or ""))
+    return train(got, known)
+
+
+def main_body(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """(id, line_no, line, main): each line of each page, counted from 1, and whether it belongs to the main body.
 
     Null text has no lines; empty text has one, empty, which isn't part of a body; blank lines are none either. Repeated rows give repeated lines. Other
-    columns are ignored. The trees are trained on at most SAMPLE_PAGES pages (a documented bound); every line of every page is judged. Without a
-    page to learn from nothing comes out. Pages are judged one by one, so nothing but the sample leaves its task.
+    columns are ignored; pages of unusable url count as one host. How lines recur is counted over all pages; the trees are trained on at most SAMPLE_PAGES pages (a documented
+    bound), or taken from `model` (see `learned`). Without a page to learn from nothing is main body. Pages are judged one by one, so nothing but the sample leaves its task.
     """
-    rows = pages.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("footer_text").cast("string").alias("footer")).where("text is not null")
-    sample = rows.where("id is not null and trim(text) <> ''").orderBy(F.xxhash64("id"), "id", F.length("text")).limit(SAMPLE_PAGES).select("text", "footer").collect()
-    shared = pages.sparkSession.sparkContext.broadcast(train(sorted((r.text, r.footer) for r in sample) if sample else []))
+    rows = prepared(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(model or learned(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            for lo in range(0, len(b), 1024):
-                part = b.iloc[lo : lo + 1024]
+            for lo in range(0, len(b), 512):
+                part = b.iloc[lo : lo + 512]
                 split = [t.split("\n") for t in part["text"]]
-                feats = [node_features(s, footer_start(s, f if isinstance(f, str) else None), m["odds"], m["nav"]) for s, f in zip(split, part["footer"])]
-                p = predict(m["model"], np.vstack(feats)) if m["model"] else np.zeros(sum(map(len, split)))
-                out, at = [], 0
-                for i, s in zip(part["id"], split):
-                    bad = decode(s, p[at : at + len(s)])
-                    at += len(s)
-                    out += [(i, k + 1, line, bool(line.strip()) and not bad[k]) for k, line in enumerate(s)]
-                yield pd.DataFrame(out, columns=["id", "line_no", "line", "main"])
-
-    return spread(rows, "id").transform(shipped).mapInPandas(run, "id long, line_no long, line string, main boolean")
+                nodes = Nodes(split, part["keys"].tolist(), part["footer"].tolist(), m["known"], m["odds"])
+                p = predict(m["model"], nodes.features()) if m["model"] else np.ones(len(nodes.own))
+                bad = [decode(nodes.short[a : a + len(s)], p[a : a + len(s)]) for a, s in zip(nodes.first, split)]
+                blank = nodes.own[:, _WORDS] == 0
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(s) for s in split]), "line_no": nodes.at + 1, "line": [x for s in split for x in s], "main": ~np.concatenate(bad) & ~blank})
+
+    return spread(rows.select("id", "text", "footer", "keys"), "id").transform(shipped).mapInPandas(run, "id long, line_no long, line string, main boolean")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
