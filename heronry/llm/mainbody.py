@@ -15,11 +15,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm._boost import fit, predict
@@ -36,17 +37,21 @@ LEAST_LINK = 3
 FEW, MANY = 0.4, 0.55
 #: From this probability on a short line isn't taken for a heading; from NOT_KEPT on a line is dropped if it stands alone.
 SURE, NOT_KEPT = 0.9, 0.5
+#: Characters up to which a line's wording is compared without names and numbers, and a line can be a row of links.
+WORDING = 200
 #: Words that a paragraph has at least; words of a heading or a link at most.
 PARAGRAPH, HEADING = 9, 6
-_SEP = re.compile(r"\s(?:[|·>/»•])\s|\s{2,}")
+SEPARATOR = r"\s(?:[|·>/»•])\s|\s{2,}"
+_SEP = re.compile(SEPARATOR)
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…][\"'”’)]?$")
+_SIGN, _DIGIT, _OTHER, _first = re.compile("[©|·>/@]"), re.compile(r"\d"), re.compile(r"[\W\d_]"), itemgetter(0)
 _NO_HEADING = re.compile(r"[.!?:,;|·>/]|\s{2,}")
 
 
 def _short(line: str) -> bool:
     """A line that can be a heading or a link: a few words that end no sentence."""
-    return 0 < len(line.split()) <= HEADING and not _NO_HEADING.search(line)
+    return len(line) < 200 and 0 < len(line.split()) <= HEADING and not _NO_HEADING.search(line)
 
 
 def footer_start(lines: list[str], footer: str | None) -> int:
@@ -65,22 +70,35 @@ def footer_start(lines: list[str], footer: str | None) -> int:
 # --- how lines recur -------------------------------------------------------------------------------------------------------------
 
 
-def prepared(pages: DataFrame) -> DataFrame:
-    """(id, text, footer, host, flat, keys, links): keys has a number for each line's wording without digits, the site's name, and what stands behind a label's colon; links those of the names in rows of links."""
-    text = F.col("text").cast("string")
+def _base(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:www\.)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.col("id").cast("long").alias("id"), text.alias("text"), F.col("footer_text").cast("string").alias("footer"), host.alias("host")).where("text is not null")
+    return pages.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("footer_text").cast("string").alias("footer"), host.alias("host")).where("text is not null")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """`rows` with keys and links. Only lines of up to WORDING characters are worth the search for names and numbers; longer ones are compared as they are."""
     # the site's name as its host spells it, however it is spaced and written in the text
     label = F.regexp_replace(F.regexp_replace("host", r"\.[a-z]{2,}$", ""), "[^a-z0-9]", "")
-    name = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])"), F.regexp_replace(label, "(.)(?=.)", r"$1[^\\p{L}\\p{N}\\n]{0,3}"), F.lit(r"(?![\p{L}\p{N}])"))
-    masked = F.regexp_replace(F.regexp_replace("text", F.when(F.length(label) >= 4, name).otherwise(F.lit(r"\n\B\n")), F.lit("*")), F.lit(r"\d+"), F.lit("9"))
-    flat = F.regexp_replace(F.regexp_replace("masked", r"[ \t]*[|·][ \t]*|[ \t]{2,}", " "), r"(?md)^([^:\n]{3,30}): [^\n]*$", "$1:*")
-    rows = rows.withColumn("masked", masked).withColumn("flat", flat)
-    keys = F.transform(F.split("flat", "\n", -1), lambda s: F.xxhash64(F.trim(s)))
-    parts = F.transform(F.split("masked", "\n", -1), lambda s: F.filter(F.split(F.trim(s), r"\s(?:[|·>/»•])\s|\s{2,}"), lambda p: F.trim(p) != ""))
-    names = F.filter(parts, lambda ps: (F.size(ps) >= 3) & F.forall(ps, lambda p: (F.size(F.split(F.trim(p), r"\s+")) <= 3) & ~F.trim(p).rlike(r"[.!?…]$")))
+    name = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])"), F.regexp_replace(label, "(.)(?=.)", r"$1[^\\p{L}\\p{N}]{0,3}"), F.lit(r"(?![\p{L}\p{N}])"))
+    rows = rows.withColumn("name", F.when(F.length(label) >= 4, name).otherwise(F.lit(r"\b\B"))).withColumn("all", F.split("text", "\n", -1))
+
+    def masked(s: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.trim(s), F.col("name"), F.lit("*")), F.lit(r"\d+"), F.lit("9"))
+
+    def key(s: Column) -> Column:
+        flat = F.regexp_replace(F.regexp_replace(masked(s), r"[ \t]*[|·][ \t]*|[ \t]{2,}", " "), r"^([^:]{3,30}): .*$", "$1:*")
+        return F.xxhash64(F.when(F.length(s) <= WORDING, F.trim(flat)).otherwise(s))
+
+    row = F.filter("all", lambda s: (F.length(s) <= WORDING) & s.rlike(rf"(?:{SEPARATOR}).*(?:{SEPARATOR})") & ~F.trim(s).rlike(r"[.!?…]$"))
+    parts = F.transform(row, lambda s: F.filter(F.split(masked(s), SEPARATOR), lambda p: F.trim(p) != ""))
+    names = F.filter(parts, lambda ps: (F.size(ps) >= 3) & F.forall(ps, lambda p: F.size(F.split(F.trim(p), r"\s+")) <= 3))
     links = F.transform(F.array_distinct(F.flatten(names)), lambda p: F.xxhash64(F.trim(p)))
-    return rows.select("id", "text", "footer", "host", keys.alias("keys"), links.alias("links"))
+    return rows.withColumn("keys", F.transform("all", key)).withColumn("links", links).drop("name", "all")
+
+
+def prepared(pages: DataFrame) -> DataFrame:
+    """(id, text, footer, host, keys, links): keys has a number for each line's wording without digits, the site's name, and what stands behind a label's colon; links those of the names in rows of links."""
+    return _keyed(_base(pages))
 
 
 class Recurring(NamedTuple):
@@ -125,8 +143,8 @@ REMEMBERED = 50_000
 
 def tokens(line: str) -> list:
     """Words, pairs of them and signs of links; what a DOM's attributes tell, a line's words tell here."""
-    ws = [w.lower() for w in _WORD.findall(line)]
-    return ws + list(zip(ws, ws[1:])) + [c for c in "©|·>/@" if c in line] + ([("", *ws[:2])] if ws else [])
+    ws = _WORD.findall(line.lower())
+    return [*ws, *zip(ws, ws[1:]), *_SIGN.findall(line), ("", *ws[:2])]
 
 
 def _line_features(s: str, odds: dict) -> tuple:
@@ -137,12 +155,12 @@ def _line_features(s: str, odds: dict) -> tuple:
     if s and (got := _SEEN.get(s)) is not None:
         return got
     words = s.split()
-    parts = [len(p.split()) for p in _SEP.split(s) if p.strip()]
-    o = [odds.get(t, 0.0) for t in tokens(s)] or [0.0]
+    parts = [len(p.split()) for p in _SEP.split(s) if p and not p.isspace()] if _SEP.search(s) else [len(words)] * bool(s)
+    get = odds.get
+    o = [get(t, 0.0) for t in tokens(s)]
     n, chars = max(1, len(words)), max(1, len(s))
-    digits = sum(map(str.isdigit, s)) if s and not s.isalpha() else 0
     out = (
-        len(words), len(s), len(s) / n, bool(_END.search(s)), len(parts), max(parts, default=0), digits / chars, sum(w[0].isupper() for w in words) / n, len("".join(_WORD.findall(s))) / chars, s.count(",") + s.count(";"),
+        len(words), len(s), len(s) / n, bool(_END.search(s, max(0, len(s) - 2))), len(parts), max(parts, default=0), len(_DIGIT.findall(s)) / chars, sum(map(str.isupper, map(_first, words))) / n, (chars - len(_OTHER.findall(s))) / chars, s.count(",") + s.count(";"),
         sum(o) / len(o), max(o), min(o), _short(s), ":" in s,
     )
     if s and len(s) < 200:
@@ -310,23 +328,25 @@ def decode(short: np.ndarray, p: np.ndarray) -> np.ndarray:
 # --- the operator -----------------------------------------------------------------------------------------------------------------
 
 
-def learned(rows: DataFrame) -> dict:
-    """What `main_body` judges by, from the rows of `prepared`; can be kept and used for other pages of the same crawl."""
-    known = recurring(rows)
-    sample = rows.where(F.col("id").isNotNull() & (F.trim("text") != "") & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("id"), "id", F.length("text")).limit(SAMPLE_PAGES)
-    got = sorted(((r.text, r.footer, r["keys"]) for r in sample.select("text", "footer", "keys").collect()), key=lambda r: (r[0], r[1] or ""))
+def learned(pages: DataFrame) -> dict:
+    """What `main_body` judges by; can be kept and used for other pages of the same crawl."""
+    known = recurring(prepared(pages))
+    rows = _base(pages).where(F.col("id").isNotNull() & (F.trim("text") != "") & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("id"), "id", F.length("text")).limit(SAMPLE_PAGES)
+    sample = pages.sparkSession.createDataFrame(rows.toArrow())
+    got = sorted(((r.text, r.footer, r["keys"]) for r in _keyed(sample).select("text", "footer", "keys").collect()), key=lambda r: (r[0], r[1] or ""))
     return train(got, known)
 
 
-def main_body(pages: DataFrame, model: dict | None = None) -> DataFrame:
+def main_body(pages: DataFrame, model: dict | None = None, with_lines: bool = True) -> DataFrame:
     """(id, line_no, line, main): each line of each page, counted from 1, and whether it belongs to the main body.
 
     Null text has no lines; empty text has one, empty, which isn't part of a body; blank lines are none either. Repeated rows give repeated lines. Other
     columns are ignored; pages of unusable url count as one host. How lines recur is counted over all pages; the trees are trained on at most SAMPLE_PAGES pages (a documented
-    bound), or taken from `model` (see `learned`). Without a page to learn from nothing is main body. Pages are judged one by one, so nothing but the sample leaves its task.
+    bound), or taken from `model` (see `learned`). Without a page to learn from nothing is main body. Pages are judged one by one, so nothing but the sample leaves its task. Without
+    `with_lines` the lines themselves are left out.
     """
     rows = prepared(pages)
-    shared = pages.sparkSession.sparkContext.broadcast(model or learned(rows))
+    shared = pages.sparkSession.sparkContext.broadcast(model or learned(pages))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -338,24 +358,22 @@ def main_body(pages: DataFrame, model: dict | None = None) -> DataFrame:
                 p = predict(m["model"], nodes.features()) if m["model"] else np.ones(len(nodes.own))
                 bad = [decode(nodes.short[a : a + len(s)], p[a : a + len(s)]) for a, s in zip(nodes.first, split)]
                 blank = nodes.own[:, _WORDS] == 0
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(s) for s in split]), "line_no": nodes.at + 1, "line": [x for s in split for x in s], "main": ~np.concatenate(bad) & ~blank})
-
-    return spread(rows.select("id", "text", "footer", "keys"), "id").transform(shipped).mapInPandas(run, "id long, line_no long, line string, main boolean")
-
+                text = {"line": [x for s in split for x in s]} if with_lines else {}
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(s) for s in split]), "line_no": nodes.at + 1, **text, "main": ~np.concatenate(bad) & ~blank})
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_body(table(spark, sf_dir, "parsed_pages"))
+    out = "id long, line_no long, line string, main boolean" if with_lines else "id long, line_no long, main boolean"
+    return spread(rows.select("id", "text", "footer", "keys"), "id").transform(shipped).mapInPandas(run, out)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where("not main and id is not null").select("id", "line_no").distinct()
+    return main_body(table(spark, sf_dir, "parsed_pages"), with_lines=False).where("not main and id is not null").select("id", "line_no").distinct()
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, body): the main body of each page, its lines in order; null where nothing of the page is one."""
     kept = F.array_sort(F.collect_list(F.when(F.col("main"), F.struct("line_no", "line"))))
     body = F.nullif(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"), F.lit(""))
-    return lines(spark, sf_dir).groupBy("id").agg(kept.alias("kept")).select("id", body.alias("body"))
+    return main_body(table(spark, sf_dir, "parsed_pages")).groupBy("id").agg(kept.alias("kept")).select("id", body.alias("body"))
 
 
 QUERIES = {"p3_found": found, "p3_body": bodies}
