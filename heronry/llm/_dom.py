@@ -53,10 +53,17 @@ class _Tree(HTMLParser):
     def __init__(self, out: Read):
         super().__init__(convert_charrefs=True)
         self.out, self.stack, self.buf, self.lists, self.cells, self.silent = out, [], [], [], None, 0
+        self.said: list[str] = []  # the leaf's text without code, a blank for each tag
+
+    def leaf(self) -> None:
+        """What stood in the leaf that ends here tells its kinds of markup."""
+        self.out.markup |= kinds("".join(self.said))
+        self.said = []
 
     def flush(self, kind: str | None = None) -> None:
         text = "".join(self.buf)
         self.buf = []
+        self.leaf()
         if not text.strip():
             return
         path = "/".join(t for t in self.stack if t in _BLOCK_TAGS)
@@ -76,6 +83,7 @@ class _Tree(HTMLParser):
             lines(text, self.out, path)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.said.append(" ")
         if tag in _SILENT:
             self.flush()
             self.silent += 1
@@ -107,6 +115,7 @@ class _Tree(HTMLParser):
 
     def _cell(self) -> None:
         if self.cells is not None and "".join(self.buf).strip():
+            self.leaf()
             self.cells.append(_one_line("".join(self.buf)))
             self.buf = []
 
@@ -124,6 +133,7 @@ class _Tree(HTMLParser):
                 pass
 
     def handle_endtag(self, tag: str) -> None:
+        self.said.append(" ")
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
             return
@@ -148,6 +158,8 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.buf.append(data)
+            if "code" not in self.stack and "pre" not in self.stack:
+                self.said.append(data)
 
     def finish(self) -> None:
         self.close()
@@ -217,6 +229,13 @@ _BOLD_HEAD = re.compile(r"\*\*([^*]+?):?\*\*:?")
 _STOPS = re.compile(r"[.!?]")
 
 
+def kinds(text: str) -> set[str]:
+    """The kinds of markup besides HTML in the text of a leaf."""
+    if not _ANY.search(text):
+        return set()
+    return {kind for kind, pattern in (("markdown", MARKDOWN), ("wiki", WIKI), ("latex", LATEX)) if pattern.search(text)}
+
+
 def lines(text: str, out: Read, path: str = "") -> None:
     """Adds the blocks of a text of lines: Markdown, wiki, LaTeX or plain."""
     rows = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -330,27 +349,21 @@ def read(text: str | None) -> Read:
                 break
             src = html.unescape(src)
         src = _BROKEN.sub("", src)
-        code = re.sub(r"(?is)<(pre|code|style|script)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)", " ", src)
-        rest = html.unescape(TAG.sub(" ", code))
-    else:
-        rest = src
-    if _ANY.search(rest):
-        for kind, pattern in (("markdown", MARKDOWN), ("wiki", WIKI), ("latex", LATEX)):
-            if pattern.search(rest):
-                out.markup.add(kind)
     if "<" in src and TAG.search(src):
         src = re.sub(r"<(?![a-zA-Z/!])", "&lt;", src)  # signs that open no tag
         t = _Tree(out)
         t.feed(re.sub(rf"<(?!/?(?:{_TAGS})\b|!)", "&lt;", src, flags=re.I))
         t.finish()
     else:
-        lines(html.unescape(src) if "html" in out.markup else src, out)
+        src = html.unescape(src) if "html" in out.markup else src
+        out.markup |= kinds(src)
+        lines(src, out)
     return out
 
 
-def write(blocks: list[Block]) -> str:
-    """Plain text: headings between blank lines, items with a bullet or their number, code and formulas indented, cells of a row a tab apart."""
-    parts: list[str] = []
+def parts(blocks: list[Block]) -> list[str]:
+    """What each block adds to the text, with the line feeds before it."""
+    out: list[str] = []
     before = ""
     for b in blocks:
         if b.kind == "item":
@@ -360,6 +373,11 @@ def write(blocks: list[Block]) -> str:
         else:
             t = b.text
         near = b.kind == before and b.kind in ("item", "row")
-        parts.append(("\n" if near else "\n\n") + t if parts else t)
+        out.append(("\n" if near else "\n\n") + t if out else t)
         before = b.kind
-    return "".join(parts)
+    return out
+
+
+def write(blocks: list[Block]) -> str:
+    """Plain text: headings between blank lines, items with a bullet or their number, code and formulas indented, cells of a row a tab apart."""
+    return "".join(parts(blocks))

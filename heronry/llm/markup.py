@@ -1,8 +1,9 @@
-"""Problem 1: markup residue in text documents, with a site style tree over the pages of each host.
+"""Problem 1: markup residue in text documents, with a site style tree over the texts of each host.
 
-Every text is read into blocks with their place in the document. All texts of a host are merged: at each place of the merged tree
-it is counted how many texts have each content. A block whose content recurs in almost all texts of its host has
-low importance by entropy and is cut out with what hangs on it; the rest is written as clean text with its structure.
+Every text is read once, into a tree: elements by their tags, sections by their headings, blocks of text as leaves. The trees of a host are
+merged: elements of one path of tags are one element node, their different sequences of child tags are its style nodes, and each leaf has
+its contents. The entropy of an element's style nodes is its presentation importance, that of a leaf's contents its content importance; composite importance carries both up the tree,
+and branches of low composite importance are cut out of each text. The rest is written as clean text with its structure.
 """
 
 from __future__ import annotations
@@ -15,56 +16,111 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm._dom import Block, read, write
-from heronry.session import shipped, table
+from heronry.llm._dom import Block, parts, read
+from heronry.session import cut, shipped, spread, table
 
-#: Texts that a host must have before anything counts as recurring.
-LEAST_TEXTS = 8
 #: Branches of lower composite importance are cut out.
-IMPORTANCE = 0.15
-#: Weight of a block's own place against what lies in it, by the published measure.
+IMPORTANCE = 0.2
+#: By what a style node more takes weight from what lies in an element to its presentation, by the published measure.
 ATTENUATION = 0.9
+#: Texts that each host counts as having besides, all different: what two or three texts share needn't be the site's.
+OTHERS = 6
+#: What m^(1 - LISTED) of a host's m texts have is listed with its importance; that of rarer things is taken for 1.
+LISTED = 0.35
 #: A host of more rows than HOT, and than all rows through PIECES, is split.
 HOT, PIECES = 100_000, 2000
-#: The feature that counts a host's texts.
+#: The group and key that count a host's texts; the group of contents.
 TEXTS = 0
+#: What leaves have for a style: those of HELD (headings, code, formulas) are only cut with a branch.
+LEAF, HELD = 0, -1
 
 
-def _hash(path: str, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def _hash(*what: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(what).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def features(blocks: list[Block]) -> list[int]:
-    """One number for each block: its place and its content."""
-    return [_hash(b.path, b.text) for b in blocks]
+def tree(blocks: list[Block]) -> tuple[list[int], list[int], list[int]]:
+    """(up, key, style) of each node, parents first: the parent's position, -1 for the root's; a number for the path of tags (of a leaf: with its content); for an
+    element's sequence of child tags, equal neighbours once (of a leaf: LEAF or HELD). Sections are elements that hold their heading and what follows to the next heading of their level."""
+    up, key, style = [-1], [_hash("")], [0]
+    path: list[tuple] = []  # open elements: (tag, number of the section or 0)
+    at, tags, kids = [0], [""], [[]]
+    chain: list[tuple[int, tuple]] = []  # open sections: (level, element)
 
+    def close() -> None:
+        style[at[-1]] = _hash(tags[-1], *kids[-1])
+        for open_ in (at, tags, kids):
+            open_.pop()
 
-def importance(texts_with: int, texts: int) -> float:
-    """1 for content that one text has alone, 0 for content that all have: 1 - log_m f, the entropy of its spread over the texts."""
-    return 1.0 if texts < 2 or texts_with < 1 else 1.0 - math.log(texts_with) / math.log(texts)
-
-
-def prune(blocks: list[Block], common: dict[int, float]) -> list[Block]:
-    """`blocks` without branches of low importance. A heading's branch is the blocks up to the next heading: their mean importance
-    counts for it besides its own, so a heading that recurs on all pages stays where its section is particular."""
-    own = [common.get(h, 1.0) for h in features(blocks)]
-    keep = [True] * len(blocks)
-    for k, b in enumerate(blocks):
+    for n, b in enumerate(blocks):
         if b.kind == "heading":
-            end = next((j for j in range(k + 1, len(blocks)) if blocks[j].kind == "heading" and blocks[j].level <= b.level), len(blocks))
-            inner = own[k + 1 : end]
-            share = ATTENUATION if inner else 0.0
-            keep[k] = (1 - share) * own[k] + share * (sum(inner) / len(inner) if inner else 0.0) >= IMPORTANCE
-        elif b.kind not in ("code", "formula"):
-            keep[k] = own[k] >= IMPORTANCE
-    return [b for b, y in zip(blocks, keep) if y]
+            while chain and chain[-1][0] >= b.level:
+                chain.pop()
+            chain.append((b.level, (f"section{b.level}", n + 1)))
+        *outer, own = b.path.split("/")
+        want = [e for _, e in chain] + [(t, 0) for t in outer if t]
+        same = 0
+        while same < len(path) and same < len(want) and path[same] == want[same]:
+            same += 1
+        while len(at) > same + 1:
+            close()
+        path = want
+        for e in want[same:]:
+            if kids[-1][-1:] != [e[0]]:
+                kids[-1].append(e[0])
+            up.append(at[-1])
+            tags.append(f"{tags[-1]}/{e[0]}")
+            key.append(_hash(tags[-1]))
+            style.append(0)
+            at.append(len(up) - 1)
+            kids.append([])
+        if kids[-1][-1:] != [own or b.kind]:
+            kids[-1].append(own or b.kind)
+        up.append(at[-1])
+        key.append(_hash(tags[-1], b.kind, b.text))
+        style.append(HELD if b.kind in ("heading", "code", "formula") else LEAF)
+    while at:
+        close()
+    return up, key, style
+
+
+def importance(texts_with: float, texts: int) -> float:
+    """Of content that so many of a host's texts have: 1 for one, less the more have it; the entropy of its spread over the texts."""
+    return 1.0 if texts_with < 1 else 1.0 - math.log(texts_with) / math.log(texts + OTHERS)
+
+
+def composite(up: list[int], key: list[int], style: list[int], known: dict[int, tuple[float, float | None]]) -> list[float]:
+    """Composite importance of each node; known: (importance, weight of what lies in it) of elements, (importance, None) of contents.
+
+    An element's is its presentation's and, the fewer style nodes it has the more, the mean of its children's in this text. What isn't listed counts 1.
+    """
+    inner, kids = [0.0] * len(up), [0] * len(up)
+    out = [1.0] * len(up)
+    for k in range(len(up) - 1, -1, -1):
+        got = known.get(key[k])
+        if got is not None:
+            below = inner[k] / kids[k] if kids[k] else 1.0
+            out[k] = got[0] if style[k] in (LEAF, HELD) else (1 - got[1]) * got[0] + got[1] * below
+        if up[k] >= 0:
+            inner[up[k]] += out[k]
+            kids[up[k]] += 1
+    return out
+
+
+def kept(up: list[int], key: list[int], style: list[int], known: dict[int, tuple[float, float | None]]) -> list[bool]:
+    """For each leaf: whether neither it nor a branch that it's in is of low importance. Headings stay or go with their section; the whole text is never cut."""
+    worth, out, gone = composite(up, key, style, known), [], [False] * len(up)
+    for k in range(1, len(up)):
+        gone[k] = gone[up[k]] or (worth[k] < IMPORTANCE and style[k] != HELD)
+        if style[k] in (LEAF, HELD):
+            out.append(not gone[k])
+    return out
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, url_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, hot): rows are (id, host, text, salt), shuffled once by host and salt, and both passes read this exchange; hot has the hosts that are split.
+    """(rows, hot): rows are (id, host, text, salt); hot has the hosts that are split.
 
-    The host is without `www.`; rows of unusable url have none and are spread by id. A host of more rows than HOT and than a PIECES-th of all is
-    split by its texts' hash, so equal texts lie together; there are fewer than PIECES such hosts, whatever the data.
+    The host is without `www.`; rows of unusable url have none. A host of more rows than HOT and than a PIECES-th of all is split by id, fewer than PIECES such, whatever the data.
     """
     spark = df.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:www\.)?([^/?#:]+)", 1)), F.lit(""))
@@ -74,33 +130,51 @@ def _rows(df: DataFrame, id_col: str, text_col: str, url_col: str) -> tuple[Data
     hot = spark.createDataFrame(split, "h string, pieces int")
     rows = df.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(hot), F.col("host") == F.col("h"), "left")
-    salt = F.when(F.col("host") == "", F.pmod(F.xxhash64("id"), F.lit(PIECES))).otherwise(F.pmod(F.xxhash64("text"), F.coalesce("pieces", F.lit(1))))
-    return rows.select("id", "host", "text", salt.cast("int").alias("salt")).repartition("host", "salt"), hot
+    return rows.select("id", "host", "text", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("salt")), hot
 
 
-def common_content(rows: DataFrame) -> DataFrame:
-    """(host, common): content of low importance and its importance, of each host of at least LEAST_TEXTS different texts.
-
-    Content counts once a text and equal texts (reposts) once. Content that recurs in m^(1 - IMPORTANCE) of m texts is rare by
-    counting, so each host's list is short. Counts are combined before the shuffle.
-    """
+def _read(rows: DataFrame) -> DataFrame:
+    """(id, host, salt, same, text, markup, ends, up, key, style): the one reading of each text: its clean text with where its blocks end, and its tree. same: a number for the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[str, int]] = set()
         for b in batches:
             out = []
             for h, t in zip(b["host"], b["text"]):
-                if not h or not isinstance(t, str) or (h, key := _hash(h, t)) in seen:
+                if not isinstance(t, str):
+                    out.append((None, [], [], [], [], []))
                     continue
-                seen.add((h, key))
-                out += [(h, f) for f in {*features(read(t).blocks), TEXTS}]
-            yield pd.DataFrame(out, columns=["host", "feature"])
+                r = read(t)
+                text, ends = [], []
+                for p in parts(r.blocks):
+                    text.append(p)
+                    ends.append((ends[-1] if ends else 0) + len(p))
+                out.append(("".join(text), sorted(r.markup), ends, *(tree(r.blocks) if h and ends else ([], [], []))))
+            got = pd.DataFrame(out, columns=["text", "markup", "ends", "up", "key", "style"])
+            yield pd.concat([b[["id", "host", "salt", "same"]].reset_index(drop=True), got], axis=1)
+
+    schema = "id long, host string, salt int, same long, text string, markup array<string>, ends array<int>, up array<int>, key array<long>, style array<long>"
+    return spread(rows.withColumn("same", F.xxhash64("text")), "id").transform(shipped).mapInPandas(run, schema)
 
-    counts = rows.transform(shipped).mapInPandas(run, "host string, feature long").groupBy("host", "feature").agg(F.count("*").alias("f")).where("f > 2")
-    m = counts.where((F.col("feature") == TEXTS) & (F.col("f") >= LEAST_TEXTS)).select(F.col("host").alias("mh"), F.col("f").alias("m"))
-    imp = 1 - F.log("f") / F.log("m")
-    low = counts.where(F.col("feature") != TEXTS).join(m, F.col("host") == F.col("mh")).withColumn("imp", imp).where(F.col("imp") < IMPORTANCE)
-    return low.groupBy("host").agg(F.collect_list(F.struct("feature", "imp")).alias("common"))
+
+def style_tree(done: DataFrame) -> DataFrame:
+    """(host, common): of each host with anything to cut, importance and weight of the elements and contents that many of its texts have.
+
+    A node counts once a text and equal texts (reposts) once. What m^(1 - LISTED) of m texts have is rare by counting, so each host's list is short. Counts are combined before the shuffle.
+    """
+    once = done.where("host <> '' and size(key) > 0").groupBy("host", "same").agg(F.first("key").alias("key"), F.first("style").alias("style"))
+    struct = lambda group, key: F.struct(group.alias("group"), key.alias("key"))
+    zero = F.lit(TEXTS).cast("long")
+    nodes = F.array_distinct(F.zip_with("key", "style", lambda k, s: F.when(s.isin(LEAF, HELD), struct(zero, k)).otherwise(struct(k, s))))
+    each = once.select("host", F.explode(F.concat(F.array(struct(zero, zero)), nodes)).alias("x")).select("host", "x.group", "x.key")
+    counts = cut(each.groupBy("host", "group", "key").agg(F.count("*").alias("f")).where(f"group <> {TEXTS} or key = {TEXTS} or f > 2"))
+    m = counts.where(f"group = {TEXTS} and key = {TEXTS}").select(F.col("host").alias("mh"), (F.col("f") + OTHERS).alias("m"))
+    contents = counts.where(f"group = {TEXTS} and key <> {TEXTS}").select("host", "key", F.col("f").alias("n"), (1 - F.log("f")).alias("e"), F.lit(None).cast("int").alias("styles"))
+    elements = counts.where(f"group <> {TEXTS}").groupBy("host", F.col("group").alias("key")).agg(F.sum("f").alias("n"), F.sum(F.col("f") * F.log("f")).alias("e"), F.count("*").cast("int").alias("styles"))
+    # content: 1 - log_m f; presentation: the entropy of the styles, - sum of p log_m p
+    imp = F.when(F.col("styles").isNull(), 1 - F.log("n") / F.log("m")).otherwise((F.log("n") - F.col("e") / F.col("n")) / F.log("m"))
+    known = contents.unionByName(elements).join(m, F.col("host") == F.col("mh")).where(F.log("n") >= (1 - LISTED) * F.log("m")).withColumn("imp", imp)
+    node = F.struct("key", "imp", F.pow(F.lit(ATTENUATION), "styles").alias("weight"))
+    return known.groupBy("host").agg(F.collect_list(node).alias("common"), F.min(F.when(F.col("styles").isNull(), F.col("imp"))).alias("least")).where(F.col("least") < IMPORTANCE / ATTENUATION).drop("least")
 
 
 def clean(df: DataFrame, id_col: str = "id", text_col: str = "description", url_col: str = "url") -> DataFrame:
@@ -111,24 +185,28 @@ def clean(df: DataFrame, id_col: str = "id", text_col: str = "description", url_
     markup. Rows without a host are cleaned by themselves. One row comes out for each that goes in; other columns are ignored; texts of any length are read whole.
     """
     rows, hot = _rows(df, id_col, text_col, url_col)
-    # a split host's short list is copied to each of its pieces, so the join keeps the rows where they are
-    lists = common_content(rows).join(F.broadcast(hot), F.col("host") == F.col("h"), "left")
+    done = cut(_read(rows))  # texts are parsed once, and read again as written
+    # a split host's short list is copied to each of its pieces
+    lists = style_tree(done).join(F.broadcast(hot), F.col("host") == F.col("h"), "left")
     right = lists.select(F.col("host").alias("ch"), "common", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("cs"))
-    met = rows.join(right, (F.col("host") == F.col("ch")) & (F.col("salt") == F.col("cs")), "left").select("id", "text", "common")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t, c in zip(b["id"], b["text"], b["common"]):
-                if not isinstance(t, str):
-                    out.append((i, None, []))
-                    continue
-                r = read(t)
-                low = {x["feature"]: x["imp"] for x in c} if c is not None else {}
-                out.append((i, write(prune(r.blocks, low)), sorted(r.markup)))
-            yield pd.DataFrame(out, columns=["id", "text", "markup"])
-
-    return met.transform(shipped).mapInPandas(run, "id long, text string, markup array<string>")
+    met = done.join(right, (F.col("host") == F.col("ch")) & (F.col("salt") == F.col("cs")), "left")
+
+    def pruned(texts: pd.DataFrame) -> pd.Series:
+        out = []
+        for t, ends, up, key, style, common in texts.itertuples(index=False, name=None):
+            if not isinstance(t, str):
+                out.append(None)
+                continue
+            keep = kept(up, key, style, {c["key"]: (c["imp"], c["weight"]) for c in common})
+            got = "".join(t[a:b] for a, b, y in zip([0, *ends], ends, keep) if y)
+            out.append(got.lstrip("\n"))
+        return pd.Series(out, dtype=object)
+
+    # only texts that hold something common go to Python again
+    hit = F.arrays_overlap("key", F.transform("common", lambda c: c["key"]))
+    cols = [F.when(hit, F.col(c)).alias(c) for c in ("text", "ends", "up", "key", "style", "common")]
+    again = F.pandas_udf(pruned, "string")(F.struct(*cols))
+    return met.transform(shipped).select("id", F.coalesce(again, "text").alias("text"), "markup")
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,37 @@ def test_site_tree(spark, monkeypatch, hot):
     assert out[3] == [("About us\n\nOnly on page 3.", ["html"])] and len(out[1]) == 2
     assert out[100] == [("Follow us everywhere for news.", ["html"])] and out[101] == [(None, [])] and out[102] == [("", [])]
     assert markup.clean(df.limit(0)).count() == 0
-    assert markup.importance(1, 100) == 1.0 and markup.importance(100, 100) == 0.0
+    assert markup.importance(1, 100) == 1.0 and markup.importance(100, 100) < 0.02 and markup.importance(2, 2) > 0.5
+
+
+def test_tree_nodes_and_importance(spark):
+    """Elements merge by their tags; entropy of styles and contents, by brute force; branches go as a whole."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(1000 + k))
+    footer = "<div><h3>Stay in touch</h3><ul><li>Join our talent pool</li><li>Ask us anything</li></ul></div>"
+    text = lambda k: f"<div><h2>Role {word(k)}</h2><p>Work on {word(k)}.</p>{'<p>More on ' + word(k * 7) + '.</p><pre>x = 1</pre>' if k % 2 else ''}</div>{footer if k < 20 else ''}"
+    rows = [(k, f"https://acme.example/{k}", text(k)) for k in range(24)] + [(99, "https://acme.example/again", text(3))] * 3
+    df = spark.createDataFrame(rows, "id long, url string, description string")
+    done = markup._read(markup._rows(df, "id", "description", "url")[0])
+    common = {c["key"]: c for c in markup.style_tree(done).first()["common"]}
+    trees = [markup.tree(_dom.read(text(k)).blocks) for k in range(24)]
+    styles, contents = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for up, key, style in trees:
+        for k, s in {(k, s) for k, s in zip(key, style)}:
+            if s in (markup.LEAF, markup.HELD):
+                contents[k] += 1
+            else:
+                styles[k][s] += 1
+    m = 24 + markup.OTHERS
+    for k, c in common.items():
+        if c["weight"] is None:
+            assert c["imp"] == pytest.approx(1 - np.log(contents[k]) / np.log(m))
+        else:
+            n = sum(styles[k].values())
+            assert c["imp"] == pytest.approx(-sum(f / n * np.log(f / n) for f in styles[k].values()) / np.log(m)) and c["weight"] == pytest.approx(0.9 ** len(styles[k]))
+    assert any(c["weight"] is not None and c["imp"] > 0 for c in common.values())
+    out = {r.id: r.text for r in markup.clean(df).collect()}
+    assert out[3] == out[99] == f"Role {word(3)}\n\nWork on {word(3)}.\n\nMore on {word(21)}.\n\n    x = 1" and out[4] == f"Role {word(4)}\n\nWork on {word(4)}."
+    assert "touch" not in "".join(out.values()) and "anything" not in "".join(out.values()) and len(out) == 25
 
 
 # --- 2 rank fusion -----------------------------------------------------------------------------------------------------------
