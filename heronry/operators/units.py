@@ -71,6 +71,8 @@ _NOTES = re.compile(r"(?i)thousand|\bk\b|cents|pence|hundredths|minor units|&")
 PLAUSIBLE = (1e3, 5e6)
 #: Ratio of a segment's level to its history's that betrays each factor.
 FACTORS = {1000.0: -math.log(1000.0), 0.01: math.log(100.0)}
+#: The like of factors that only a whole segment betrays.
+WHOLE_FACTORS = {0.001: math.log(1000.0)}
 #: How far a segment's level may lie from where a factor would put it, in log units.
 OFF = 1.6
 #: Spread of pay within a source, in log units; rows of one history that one task segments at once; rows of its neighbours that a piece sees besides.
@@ -184,15 +186,16 @@ class Reader:
         return value, factor, self.stated(text) if text and _PAY.search(text) else None
 
 
-def segments(x: np.ndarray, spread_: float = SPREAD, penalty: float | None = None) -> np.ndarray:
+def segments(x: np.ndarray, spread_: float = SPREAD, penalty: float | None = None, whole: int | None = None) -> np.ndarray:
     """First positions of the segments of the exact least-cost segmentation: squared deviations in units of the spread plus a penalty each.
 
-    Candidates that can never be the last change again are pruned (PELT), which keeps the search exact.
+    Candidates that can never be the last change again are pruned (PELT), which keeps the search exact. `whole`: values of the whole history, of which x is a
+    piece; its penalty holds for the piece too.
     """
     n = len(x)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    beta = 2 * math.log(n + 1) + 2 if penalty is None else penalty
+    beta = 2 * math.log((whole or n) + 1) + 2 if penalty is None else penalty
     s1, s2 = np.r_[0.0, np.cumsum(x)], np.r_[0.0, np.cumsum(x * x)]
     best, last = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
     best[0] = -beta
@@ -219,17 +222,17 @@ def level_factor(shift: float, n: int, said: float | None = None) -> tuple[float
         return None
     var = SPREAD**2 / n + DRIFT**2
     periods = {k / said: -math.log(k / said) for k in PER_YEAR.values() if k != said} if said else {}
-    (off, factor, expected), (next_, *_) = sorted((abs(shift - e), f, e) for f, e in ({1.0: 0.0} | FACTORS | periods).items())[:2]
+    (off, factor, expected), (next_, *_) = sorted((abs(shift - e), f, e) for f, e in ({1.0: 0.0} | FACTORS | WHOLE_FACTORS | periods).items())[:2]
     return (factor, expected) if factor != 1.0 and off <= FIT * math.sqrt(var) and (next_**2 - off**2) / (2 * var) >= ODDS else None
 
 
-def hidden_factor(values: np.ndarray, level: float | None = None, usual: float | None = None, said: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def hidden_factor(values: np.ndarray, level: float | None = None, usual: float | None = None, said: np.ndarray | None = None, whole: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each value of one history (or a piece of it) in order of time: the factor that its segment's level calls for, 1 where it's in line,
     and whether the segment is long enough that this holds for values that could be pay as they stand.
 
     `level` is the whole history's usual value, by default the median of the ordinary `values`; `usual` that of all histories: where a segment's level is nearer to it
     than the history's, the segment isn't what is off. `said`: what a year has of the period that each value states, NaN where none is; a segment with
-    different ones isn't compared with periods.
+    different ones isn't compared with periods. `whole`: values of the whole history.
     """
     x = np.log(values)
     out, sure = np.ones(len(x)), np.zeros(len(x), dtype=bool)
@@ -239,7 +242,7 @@ def hidden_factor(values: np.ndarray, level: float | None = None, usual: float |
     for _ in range(ROUNDS if level is None else 0):
         base = float(np.median(x[np.abs(x - base) <= NEAR])) if (np.abs(x - base) <= NEAR).any() else base
     middle = base if usual is None else math.log(usual)
-    starts = segments(x)
+    starts = segments(x, whole=whole)
     for a, b in zip(starts, [*starts[1:], len(x)]):
         shift = float(x[a:b].mean()) - base
         for factor, expected in FACTORS.items():
@@ -264,8 +267,9 @@ def _small(df: DataFrame, what: str, most: int = 1000) -> list:
 def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
     """(id, usd_year, how): US dollars a year of each posting whose pay can be told; how is fields, scaled, segment or text.
 
-    The fields count first, scaled by what the text says of thousands or hundredths; where it says nothing, by their source's history. If
-    they give no amount, or one outside 1,000 to 5,000,000 dollars, the pay stated in the text counts. An amount of zero or less, or NaN, isn't given; two
+    The fields count first, in the unit that their segment's level shows: what the text says of thousands or hundredths is confirmed by it (segment), or goes by itself
+    where the history doesn't show it (scaled). A board is a history; boards of under LEAST postings go with their source. Postings of one time follow by id, postings without a time come first. If
+    the fields give no amount, or one outside 1,000 to 5,000,000 dollars, the pay stated in the text counts. An amount of zero or less, or NaN, isn't given; two
     amounts count by their middle. Null text, fields and times are allowed; no rates, or an empty table, give no rows; repeated rows give
     one row each; other columns are ignored. `rates` is small by definition and its size is checked.
     """
@@ -277,20 +281,23 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
             rows = [reader.record(*r) for r in zip(b["lo"], b["hi"], b["cur"], b["per"], b["text"])]
             got = pd.DataFrame(rows, columns=["value", "factor", "told"], dtype="float64")
             got["said"] = b["per"].map(lambda p: PER_YEAR.get(period(p))).astype("float64").to_numpy()
-            yield pd.concat([b[["id", "history", "t"]].reset_index(drop=True), got], axis=1)
+            yield pd.concat([b[["id", "board", "source", "t"]].reset_index(drop=True), got], axis=1)
 
     src = jobs.select(
-        F.col("id").cast("long").alias("id"), F.coalesce("board_key", "source", F.lit("")).alias("history"), F.coalesce("posted_at", "first_seen").cast("long").alias("t"),
+        F.col("id").cast("long").alias("id"), F.col("board_key").cast("string").alias("board"), F.col("source").cast("string").alias("source"), F.coalesce("posted_at", "first_seen").cast("long").alias("t"),
         F.col("salary_min").cast("double").alias("lo"), F.col("salary_max").cast("double").alias("hi"), F.col("salary_currency").alias("cur"), F.col("salary_period").alias("per"), F.col("description").alias("text"),
     ).where("id is not null")
-    parsed = spread(src, "id").transform(shipped).mapInPandas(read, "id long, history string, t long, value double, factor double, told double, said double").where("value is not null or told is not null")
+    parsed = spread(src, "id").transform(shipped).mapInPandas(read, "id long, board string, source string, t long, value double, factor double, told double, said double").where("value is not null or told is not null")
     # texts are read once: what they say is a few numbers a row, written to the shared folder
     parsed = cut(parsed.withColumn("t", F.coalesce("t", F.lit(0))))
+    boards = parsed.where("value > 0 and board is not null").groupBy(F.col("board").alias("b")).agg(F.count("*").alias("c")).where(F.col("c") >= LEAST).select("b")
+    history = F.when(F.col("b").isNotNull(), F.concat(F.lit("board "), "b")).otherwise(F.concat(F.lit("source "), F.coalesce("source", F.lit(""))))
+    parsed = parsed.join(boards, F.col("board") == F.col("b"), "left").select("id", history.alias("history"), "t", "value", "factor", "told", "said")
     # histories of over PIECE rows are cut at quantiles of time, so that no task holds a long one; a piece sees HALO rows on each side as well,
     # so that a segment over a border is judged by more than its part on one side
     good = F.when(F.col("value") > 0, F.col("value"))
     usual = F.when(F.count(good) >= LEAST, F.percentile_approx(good, [k / 200 for k in range(1, 200)], 1000)).alias("values")
-    sizes = parsed.groupBy("history").agg(F.count("*").alias("n"), F.percentile_approx("t", [k / 500 for k in range(1, 500)], 2000).alias("cuts"), usual)
+    sizes = parsed.groupBy("history").agg(F.count("*").alias("n"), F.percentile_approx("t", [k / 500 for k in range(1, 500)], 2000).alias("cuts"), F.min("id").alias("first"), F.max("id").alias("last"), usual)
     # the median of the ordinary values, so that a long segment that is off doesn't move the level by which it's judged
     sizes = sizes.withColumn("level", F.element_at("values", 100))
     for _ in range(ROUNDS):
@@ -298,15 +305,17 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
     per = lambda rows: F.greatest(F.lit(1), F.floor(F.lit(500) * rows / F.col("n"))).cast("int")
     long_ = F.col("n") > PIECE
     middle = sizes.agg(F.percentile_approx("level", 0.5, 1000)).first()[0]
-    cuts = sizes.select(F.col("history").alias("h"), F.when(long_, F.col("cuts")).alias("cuts"), per(PIECE).alias("step"), F.least(per(PIECE), per(HALO) + 1).alias("halo"), "level")
-    at = F.size(F.filter("cuts", lambda c: c < F.col("t")))
+    cuts = sizes.select(F.col("history").alias("h"), F.when(long_, F.col("cuts")).alias("cuts"), per(PIECE).alias("step"), F.least(per(PIECE), per(HALO) + 1).alias("halo"), "level", F.col("n").alias("whole"), "first", "last")
+    # rows of one time are spread over the cuts that fall on it, in order of id
+    ties = F.size(F.filter("cuts", lambda c: c == F.col("t")))
+    at = F.size(F.filter("cuts", lambda c: c < F.col("t"))) + F.floor((ties + 0.999) * (F.col("id") - F.col("first")) / (F.col("last") - F.col("first") + 1)).cast("int")
     of = lambda bin_: F.floor(bin_ / F.col("step")).cast("int")
     near = F.array_distinct(F.array(of(F.greatest(F.col("at") - F.col("halo"), F.lit(0))), of(F.col("at")), of(F.least(F.col("at") + F.col("halo"), F.size("cuts")))))
     pieces = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(near)
     by = ["history", "piece"]
     placed = parsed.join(cuts, F.col("history") == F.col("h")).withColumn("at", at).withColumn("pieces", pieces)
     placed = placed.withColumn("own", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(of(F.col("at")))).withColumn("piece", F.explode("pieces")).withColumn("own", F.col("own") == F.col("piece"))
-    placed = placed.drop("h", "cuts", "step", "halo", "at", "pieces").repartition(*by).sortWithinPartitions(*by, "t", "id")
+    placed = placed.drop("h", "cuts", "step", "halo", "at", "pieces", "first", "last").repartition(*by).sortWithinPartitions(*by, "t", "id")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         value, factor, told, own = (group[c].to_numpy() for c in ("value", "factor", "told", "own"))
@@ -315,13 +324,13 @@ def to_common_unit(jobs: DataFrame, rates: DataFrame) -> DataFrame:
         found, sure = np.ones(len(value)), np.zeros(len(value), dtype=bool)
         level = group["level"].iloc[0]  # of the whole history; null for a short one
         if have.any() and level == level and level is not None:
-            found[have], sure[have] = hidden_factor(value[have], float(level), middle, group["said"].to_numpy()[have])
+            found[have], sure[have] = hidden_factor(value[have], float(level), middle, group["said"].to_numpy()[have], int(group["whole"].iloc[0]))
         raw_ok = (value >= PLAUSIBLE[0]) & (value < PLAUSIBLE[1])
         # an unstated factor is reversed where a whole segment tells it, or the value as it stands can't be pay
         use = np.where(np.isfinite(factor), by_note, np.where(raw_ok & ~sure, 1.0, found))
         usd = np.where(have, value * use, np.nan)
         ok = (usd >= PLAUSIBLE[0]) & (usd < PLAUSIBLE[1])
-        how = np.where(ok, np.where(np.isfinite(factor), "scaled", np.where(use != 1.0, "segment", "fields")), "text")
+        how = np.where(ok, np.where(use == 1.0, "fields", np.where(use == found, "segment", "scaled")), "text")
         return pd.DataFrame({"id": group["id"], "usd_year": np.where(ok, usd, told), "how": how})[own.astype(bool)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -46,7 +46,7 @@ def _silent(spark, values):
     return {r.id: (r.usd_year, r.how) for r in units.to_common_unit(jobs, rates).collect()}
 
 
-@pytest.mark.parametrize("factor", [100.0, 1 / 12, 1 / 52, 1 / 260, 1 / 2080])
+@pytest.mark.parametrize("factor", [1000.0, 1 / 1000, 100.0, 1 / 12, 1 / 52, 1 / 260, 1 / 2080])
 def test_a_silent_segment_is_reversed_whole(spark, factor):
     true = np.exp(np.random.default_rng(3).normal(10.5, 0.3, 120))  # about 36,000 dollars, 3.6 million in cents
     got = _silent(spark, [v * factor if 40 <= i < 70 else v for i, v in enumerate(true)])
@@ -63,6 +63,32 @@ def test_a_segment_over_a_border_is_judged_as_one(spark, monkeypatch):
         assert len(got) == 120 and {i for i, (_, how) in got.items() if how == "segment"} == set(range(a, a + 10))
 
 
+def _history(spark, rows):
+    cols = "id long, board_key string, source string, posted_at long, first_seen long, salary_min double, salary_max double, salary_currency string, salary_period string, description string"
+    rates = spark.createDataFrame([("USD", 1.0, "US dollar")], "currency string, usd_per_unit double, currency_name string")
+    return {r.id: (r.usd_year, r.how) for r in units.to_common_unit(spark.createDataFrame(rows, cols), rates).collect()}
+
+
+@pytest.mark.parametrize("time", [None, 7])
+def test_a_history_without_times_is_cut_by_id(spark, monkeypatch, time):
+    monkeypatch.setattr(units, "PIECE", 40)
+    monkeypatch.setattr(units, "HALO", 20)
+    true = np.exp(np.random.default_rng(6).normal(10.5, 0.3, 200))
+    got = _history(spark, [(i, "h", None, time, None, float(v * (100 if 90 <= i < 110 else 1)), None, "USD", "year", None) for i, v in enumerate(true)])
+    assert {i for i, (_, how) in got.items() if how == "segment"} == set(range(90, 110))
+    assert all(abs(got[i][0] / v - 1) < 1e-9 for i, v in enumerate(true))
+
+
+def test_short_boards_go_with_their_source_and_notes_are_confirmed(spark):
+    true = np.exp(np.random.default_rng(7).normal(10.5, 0.3, 60))
+    note = "All figures are given in thousands."
+    rows = [(i, f"b{i // 2}", "s", i, None, float(v / (1000 if 20 <= i < 40 else 1)), None, "USD", "year", note if 20 <= i < 30 else None) for i, v in enumerate(true)]
+    rows += [(900, "alone", "t", 1, None, 55.0, None, "USD", "year", note), (901, None, None, None, None, 70_000.0, None, "USD", "year", None)]
+    got = _history(spark, rows)
+    assert all(got[i][1] == ("segment" if 20 <= i < 40 else "fields") and abs(got[i][0] / v - 1) < 1e-9 for i, v in enumerate(true))
+    assert got[900] == (55_000.0, "scaled") and got[901] == (70_000.0, "fields")
+
+
 def test_ordinary_differences_of_pay_stay():
     rng = np.random.default_rng(5)
     for n in (8, 30, 200):
