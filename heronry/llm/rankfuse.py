@@ -11,11 +11,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from heronry.session import table
 
-#: Rows of a group that one task ranks at once, about; larger groups are cut at quantiles of the value.
-SLICE = 20_000
+#: Rows of a group that one task ranks at once, about, or a PIECES-th of all rows; larger groups are cut at quantiles of the value.
+SLICE, PIECES = 20_000, 2000
 
 
 @dataclass(frozen=True)
@@ -25,30 +26,38 @@ class Score:
     weight: float = 1.0
 
 
-def standing(rows: DataFrame, keys: list[str], value: str, per_slice: int = SLICE) -> DataFrame:
-    """(keys, value, rank, held) of each different value: 1 + the rows of the keys with a larger value, and the keys' rows with any.
+def _sliced(df: DataFrame, group: str, long: DataFrame, per_slice: int) -> DataFrame:
+    """`long` (__g, __k, __v and more) with __s, the slice of its group and score that a row is in, __tie, whether all of the slice have one value, and __before, the rows in better slices.
 
-    A group of any size is cut at approximate quantiles into slices of about `per_slice` values; a value's rank is its rank within
-    its slice plus the rows in better slices. Cuts only place the borders, so ranks are exact. Rows of equal value are counted before
-    the window, so ties don't fill a task. Null values have no row; null keys are a group of their own.
+    Only groups of over `per_slice` rows, and over a PIECES-th of all, have more than one slice; there are fewer than PIECES such groups, and not many more slices, whatever the data. Values
+    that fill slices of their own, and nulls, have one that needs no ranking and may be spread over tasks. Cuts only place the borders, so ranks are exact.
     """
-    v = F.col(value)
-    values = rows.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    keyed = [F.col(k).alias(f"{k}_") for k in keys]
-    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"{k}_")), keys, F.lit(True))
-    stats = values.groupBy(*keyed).agg(F.count("*").alias("__d"), F.sum("__n").alias("held"))
-    # only large groups have cuts, and only as many as make slices of that size; mostly there are none, which AQE sees at run time
-    at = F.percentile_approx(value, [k / 500 for k in range(1, 500)], 5000)
-    cuts = values.join(stats.where(F.col("__d") > per_slice), same).groupBy(*keys).agg(at.alias("__cuts")).select(*keyed, "__cuts")
-    step = F.greatest(F.lit(1), F.floor(F.lit(500.0 * per_slice) / F.col("__d"))).cast("int")
-    slice_ = F.coalesce(F.size(F.filter("__cuts", lambda c, i: ((i + 1) % step == 0) & (c <= v))), F.lit(0))
-    placed = values.join(stats, same).drop(*[f"{k}_" for k in keys]).join(cuts, same, "left")
-    sliced = placed.withColumn("__s", F.greatest(slice_, F.lit(0))).drop("__cuts", "__d", *[f"{k}_" for k in keys])
-    best = Window.partitionBy(*keys, "__s").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.partitionBy(*[f"{k}_" for k in keys]).orderBy(F.desc("__s_")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = sliced.groupBy(*[F.col(k).alias(f"{k}_") for k in keys], F.col("__s").alias("__s_")).agg(F.sum("__n").alias("__m")).withColumn("__before", F.coalesce(F.sum("__m").over(above), F.lit(0)))
-    ranks = sliced.withColumn("__in", F.coalesce(F.sum("__n").over(best), F.lit(0))).join(whole, same & (F.col("__s") == F.col("__s_")))
-    return ranks.select(*keys, value, (F.col("__in") + F.col("__before") + 1).cast("long").alias("rank"), F.col("held").cast("long").alias("held"))
+    sizes = df.groupBy(F.col(group).alias("b")).agg(F.count("*").alias("n"))
+    limit = max(per_slice, (sizes.agg(F.sum("n")).first()[0] or 0) // PIECES)
+    big = sizes.where(F.col("n") > limit).collect()
+    if not big:
+        return long.withColumn("__s", F.lit(0)).withColumn("__tie", F.lit(False)).withColumn("__before", F.lit(0).cast("long"))
+    spark = df.sparkSession
+    schema = StructType([StructField("b", df.schema[group].dataType), StructField("n", LongType())])
+    large = long.join(F.broadcast(spark.createDataFrame(big, schema)), F.col("__g").eqNullSafe(F.col("b")))
+    at = F.percentile_approx("__v", [k / 500 for k in range(1, 500)], 5000)
+    known = []
+    for r in large.groupBy("b", F.col("__k").alias("c")).agg(at.alias("all"), F.first("n").alias("n")).where("all is not null").collect():
+        thin = r["all"][:: max(1, int(500 * limit / r.n))]
+        known.append((r.b, r.c, sorted(set(thin)), sorted({x for x, y in zip(thin, thin[1:]) if x == y})))
+    cuts = StructType([schema["b"], StructField("c", IntegerType()), StructField("cuts", ArrayType(DoubleType())), StructField("ties", ArrayType(DoubleType()))])
+    known = F.broadcast(spark.createDataFrame(known, cuts))
+    v = F.col("__v")
+    tie = F.coalesce(v.isNull() | F.array_contains("ties", v), F.lit(False))
+    slice_ = F.when(F.col("cuts").isNull(), 0).when(v.isNull(), -1).otherwise(2 * F.size(F.filter("cuts", lambda c: c < v)) + F.when(F.array_contains("ties", v), 1).otherwise(0))
+    met = long.join(known, F.col("__g").eqNullSafe(F.col("b")) & (F.col("__k") == F.col("c")), "left")
+    met = met.withColumn("__s", slice_.cast("int")).withColumn("__tie", F.col("cuts").isNotNull() & tie)
+    per = met.where("cuts is not null").groupBy("b", "c", F.col("__s").alias("s")).agg(F.count("*").alias("m"))
+    above = Window.partitionBy("b", "c").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("b", "c", "s", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("__before"))
+    before = F.broadcast(spark.createDataFrame(before.collect(), before.schema))
+    out = met.drop("b", "c", "cuts", "ties").join(before, F.col("__g").eqNullSafe(F.col("b")) & (F.col("__k") == F.col("c")) & (F.col("__s") == F.col("s")), "left")
+    return out.withColumn("__before", F.coalesce("__before", F.lit(0))).drop("b", "c", "s")
 
 
 def weighted_median(ranks: list[Column], weights: list[float]) -> Column:
@@ -73,17 +82,18 @@ def fuse(df: DataFrame, group: str, item: str, scores: list[Score], per_slice: i
     the medians are null and the identifier decides. Null groups and items form rows of their own; NaN counts as null. Other columns are ignored.
     """
     best = [(F.min if s.ascending else F.max)(F.when(~F.isnan(F.col(s.name).cast("double")), F.col(s.name).cast("double"))).alias(f"__v{k}") for k, s in enumerate(scores)]
-    # an item's repeated rows are combined before the shuffle; then all scores are ranked in one pass, larger values being better
+    # an item's repeated rows are combined before the shuffle; then all scores are ranked in one shuffle, larger values being better, and brought together by item in another
     rows = df.groupBy(F.col(group).alias("__g"), F.col(item).alias("__i")).agg(*best)
-    long = F.array(*[F.struct(F.lit(k).alias("k"), (-F.col(f"__v{k}") if s.ascending else F.col(f"__v{k}")).alias("v")) for k, s in enumerate(scores)])
-    long = rows.select("__g", "__i", F.explode(long).alias("x")).select("__g", "__i", F.col("x.k").alias("__k"), F.col("x.v").alias("__v"))
-    ranks = standing(long, ["__g", "__k"], "__v", per_slice).select(*[F.col(c).alias(f"{c}_") for c in ("__g", "__k", "__v")], "rank", "held")
-    met = long.join(ranks, F.col("__g").eqNullSafe(F.col("__g_")) & (F.col("__k") == F.col("__k_")) & (F.col("__v") == F.col("__v_")), "left")
-    per = [F.max(F.when(F.col("__k") == k, F.col("rank"))).alias(f"__r{k}") for k in range(len(scores))]
-    items = met.groupBy("__g", "__i").agg(*per)
-    held = ranks.groupBy(F.col("__g_").alias("__gh")).agg(*[F.max(F.when(F.col("__k_") == k, F.col("held"))).alias(f"__h{k}") for k in range(len(scores))])
-    rows = items.join(held, F.col("__g").eqNullSafe(F.col("__gh")), "left")
-    full = [F.when(F.col(f"__h{k}").isNotNull(), F.coalesce(F.col(f"__r{k}"), F.col(f"__h{k}") + 1)) for k in range(len(scores))]
+    each = F.array(*[F.struct(F.lit(k).alias("k"), (-F.col(f"__v{k}") if s.ascending else F.col(f"__v{k}")).alias("v")) for k, s in enumerate(scores)])
+    long = rows.select("__g", "__i", F.explode(each).alias("x")).select("__g", "__i", F.col("x.k").alias("__k"), F.col("x.v").alias("__v"))
+    placed = _sliced(df, group, long, per_slice)
+    # nulls rank behind all values; a null that comes first has no value before it: the score isn't recorded in the group
+    spread = F.when(F.col("__tie"), F.pmod(F.xxhash64("__i"), F.lit(PIECES))).otherwise(0)
+    within = F.rank().over(Window.partitionBy("__g", "__k", "__s", spread).orderBy(F.desc_nulls_last("__v")))
+    ranked = placed.withColumn("__r", F.col("__before") + F.when(F.col("__tie"), 1).otherwise(within))
+    ranked = ranked.withColumn("__r", F.when(F.col("__v").isNotNull() | (F.col("__r") > 1), F.col("__r")))
+    rows = ranked.groupBy("__g", "__i").agg(*[F.max(F.when(F.col("__k") == k, F.col("__r"))).alias(f"__r{k}") for k in range(len(scores))])
+    full = [F.col(f"__r{k}") for k in range(len(scores))]
     weights = [s.weight for s in scores]
     total = reduce(lambda a, b: a + b, [F.when(r.isNotNull(), F.lit(float(w))).otherwise(0.0) for r, w in zip(full, weights)])
     mean = reduce(lambda a, b: a + b, [F.coalesce(r * F.lit(float(w)), F.lit(0.0)) for r, w in zip(full, weights)]) / F.nullif(total, F.lit(0.0))

@@ -156,6 +156,19 @@ def test_rank_fusion(spark, per_slice):
     assert rankfuse.fuse(df.limit(0), "g", "i", scores).count() == 0
 
 
+def test_values_that_fill_slices(spark):
+    """One value of a score may be that of most items, of all, or of none: slices of its own, the same ranks."""
+    rng = random.Random(11)
+    rows = [("g", i, rng.choice([1.0, 1.0, 1.0, 2.0, 3.0, None]), float(rng.randrange(10_000))) for i in range(400)]
+    rows += [("tied", i, 5.0, None) for i in range(90)] + [(None, i, None, float(i // 40)) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, i long, a double, b double")
+    scores = [rankfuse.Score("a"), rankfuse.Score("b", ascending=True)]
+    whole, sliced = (sorted(map(str, rankfuse.fuse(df, "g", "i", scores, n).collect())) for n in (20_000, 20))
+    assert whole == sliced
+    want = _fuse_brute(rows)
+    assert {(r.g, r.i): (r.median_rank, r.mean_rank) for r in rankfuse.fuse(df, "g", "i", scores, 20).collect()} == want
+
+
 def test_weighted_median(spark):
     df = spark.createDataFrame([(1, 5, 9), (4, None, None)], "a int, b int, c int")
     got = [r.m for r in df.select(rankfuse.weighted_median([F.col("a"), F.col("b"), F.col("c")], [1.0, 1.0, 3.0]).alias("m")).collect()]
