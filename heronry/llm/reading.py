@@ -7,9 +7,9 @@ regression is a proportional-odds model with a ridge penalty on the graded sampl
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,40 +41,86 @@ _VOWELS = re.compile(r"[aeiouyäöüéèêàâîôûáíóúñ]+")
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
-def language(ws: list[str]) -> str | None:
-    """The language whose frequent words the text has most of; None where it has none of any."""
-    hits: Counter = Counter()
-    for w in ws:
-        ks = _LANG.get(w)
-        if ks:
-            for k in ks:
-                hits[k] += 1 / len(ks)
-    if not hits:
-        return None
-    return max(hits, key=lambda k: (hits[k], k == "en"))
-
-
-NAMES = (
-    "word_chars", "syllables", "share_long", "share_very_long", "share_short", "sd_chars", "diversity", "hapax", "rare", "idf", "connectives", "subordinate", "marks",
-)
-
-
-def measure(text: str, ws: list[str], idf: dict[str, float], top: float) -> list[float]:
-    """The features of one text, all shares or means, so that its length doesn't matter."""
-    n = len(ws)
-    chars = np.array([len(w) for w in ws], dtype=float)
-    syl = sum(len(_VOWELS.findall(w)) or 1 for w in ws) / n
-    spans = [len(set(ws[i : i + 50])) / len(ws[i : i + 50]) for i in range(0, n, 50) if len(ws[i : i + 50]) >= min(50, n)]
-    seen = Counter(ws)
-    rarity = [idf.get(w, top) for w in ws]
-    marks = text.count(",") + text.count(";") + text.count(":")
-    return [
-        float(chars.mean()), syl, float((chars >= 8).mean()), float((chars >= 12).mean()), float((chars <= 4).mean()), float(chars.std()), sum(spans) / len(spans), sum(1 for v in seen.values() if v == 1) / n,
-        sum(w not in idf for w in ws) / n, sum(rarity) / n, sum(w in _CONNECT for w in ws) / n, sum(w in _SUBORDINATE for w in ws) / n, marks / n,
-    ]
+    return _WORD.findall(text.lower())
+
+
+#: What a text alone tells; with the corpus, shares of rare words and mean rarity.
+NAMES = ("word_chars", "syllables", "share_long", "share_very_long", "share_short", "sd_chars", "diversity", "hapax", "connectives", "subordinate", "marks")
+#: Words over which diversity is measured, so that a text's length doesn't matter.
+SPAN = 50
+#: Words that a Python worker remembers; beyond it the memory starts anew.
+REMEMBERED = 500_000
+_LANGUAGES = tuple(FREQUENT)
+
+
+class Lexicon(dict):
+    """Words to numbers from 0 on, with what features need of each word; a worker's words are looked at once."""
+
+    def __init__(self):
+        self.facts: list[tuple] = []
+        self.hashes: list[int] = []
+        self._table: np.ndarray | None = None
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self.facts)
+        langs = _LANG.get(w, ())
+        self.facts.append((len(w), len(_VOWELS.findall(w)) or 1, w in _CONNECT, w in _SUBORDINATE, *(1 / len(langs) if k in langs else 0.0 for k in _LANGUAGES)))
+        self.hashes.append(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
+        return n
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(facts, hashes) by number."""
+        if self._table is None or len(self._table[0]) < len(self.facts):
+            self._table = (np.array(self.facts, dtype=float).reshape(len(self.facts), 4 + len(_LANGUAGES)), np.array(self.hashes, dtype=np.int64))
+        return self._table
+
+
+def measure(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(positions, x, words, counts) of the English texts: the features NAMES, all shares or means, so that a text's length doesn't matter; numbers of its different words, and how often it has each."""
+    said = [words(t) for t in texts]
+    ids = [np.fromiter(map(lexicon.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in said]
+    facts, hashes = lexicon.table()
+    n = np.array([len(i) for i in ids], dtype=np.int64)
+    flat, of = np.concatenate([*ids, np.zeros(0, np.int64)]), np.repeat(np.arange(len(texts)), n)
+    votes = np.stack([np.bincount(of, facts[flat, 4 + k], len(texts)) for k in range(len(_LANGUAGES))], axis=1) if len(facts) else np.zeros((len(texts), len(_LANGUAGES)))
+    en = _LANGUAGES.index("en")
+    keep = np.flatnonzero((votes[:, en] > 0) & (votes[:, en] >= votes.max(axis=1, initial=0.0)))
+    if not len(keep):
+        return keep, np.zeros((0, len(NAMES))), [], []
+    kept = np.isin(of, keep)
+    flat, of, n = flat[kept], np.searchsorted(keep, of[kept]), n[keep]
+    f, d = facts[flat], len(keep)
+    mean = lambda v: np.bincount(of, v, d) / n
+    chars = f[:, 0]
+    average = mean(chars)
+    sd = np.sqrt(mean((chars - average[of]) ** 2))
+    # different words of each full span, or of the whole text where it has none
+    start = np.cumsum(n) - n
+    at = np.arange(len(flat)) - start[of]
+    full = (at // SPAN < n[of] // SPAN) | (n[of] < SPAN)
+    spans = (np.cumsum(np.maximum(1, n // SPAN)) - np.maximum(1, n // SPAN))[of] + at // SPAN
+    seen = np.unique(spans[full] * len(facts) + flat[full]) // len(facts)
+    span_of, span_words = np.repeat(np.arange(d), np.maximum(1, n // SPAN)), np.bincount(spans[full])
+    diversity = np.bincount(span_of, np.bincount(seen) / span_words, d) / np.maximum(1, n // SPAN)
+    pair, count = np.unique(of * len(facts) + flat, return_counts=True)
+    mine = pair // len(facts)
+    hapax = np.bincount(mine, count == 1, d) / n
+    marks = np.array([texts[k].count(",") + texts[k].count(";") + texts[k].count(":") for k in keep]) / n
+    x = np.stack([average, mean(f[:, 1]), mean(chars >= 8), mean(chars >= 12), mean(chars <= 4), sd, diversity, hapax, mean(f[:, 2]), mean(f[:, 3]), marks], axis=1)
+    cuts = np.searchsorted(mine, np.arange(1, d))
+    return keep, x, np.split(hashes[pair % len(facts)], cuts), np.split(count.astype(np.int32), cuts)
+
+
+def with_rarity(x: list, seen: list, counts: list, idf: tuple[np.ndarray, np.ndarray], top: float) -> np.ndarray:
+    """Features of texts, with the share of rare words and the mean rarity; idf: numbers of the words that aren't rare, sorted, and their inverse document frequency."""
+    sizes = np.array([len(w) for w in seen])
+    flat, count, of = np.concatenate(seen).astype(np.int64), np.concatenate(counts).astype(float), np.repeat(np.arange(len(x)), sizes)
+    at = np.minimum(np.searchsorted(idf[0], flat), max(0, len(idf[0]) - 1))
+    known = idf[0][at] == flat if len(idf[0]) else np.zeros(len(flat), dtype=bool)
+    n = np.bincount(of, count, len(x))
+    rare = np.bincount(of, count * ~known, len(x)) / n
+    rarity = np.bincount(of, count * np.where(known, idf[1][at] if len(idf[0]) else 0.0, top), len(x)) / n
+    return np.c_[np.array([np.asarray(v, dtype=float) for v in x]), rare, rarity]
 
 
 def fit(x: np.ndarray, y: np.ndarray, levels: int = 4, ridge: float = 1.0, rounds: int = 60) -> dict:
@@ -158,35 +204,29 @@ def calibrated(x: np.ndarray, y: np.ndarray, levels: int = 4) -> dict:
     return m
 
 
-def document_frequency(texts: DataFrame) -> DataFrame:
-    """(word, df): in how many English texts each word is. Counted in each partition first, so that little is shuffled."""
+def read_texts(rows: DataFrame) -> DataFrame:
+    """(doc_id, x, words, counts) of each English text: the corpus is read once, and later steps go on from these numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        texts_ = 0
+        lexicon = Lexicon()
         for b in batches:
-            for t in b["text"]:
-                ws = words(t)
-                if language(ws) == "en":
-                    texts_ += 1
-                    seen.update(set(ws))
-            if len(seen) > 300_000:  # memory stays bounded; the counts are added up behind the shuffle anyway
-                yield pd.DataFrame({"word": list(seen), "df": list(seen.values())})
-                seen = Counter()
-        yield pd.DataFrame({"word": [*seen, ""], "df": [*seen.values(), texts_]})
-
-    return texts.transform(shipped).mapInPandas(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
-
-
-def common_words(texts: DataFrame) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the words that at least COMMON of the English texts have, and that of all rarer ones."""
-    df = cut(document_frequency(texts))
-    n = next((r.df for r in df.where("word = ''").collect()), 0)
-    if not n:
-        return {}, 0.0
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                if len(lexicon) > REMEMBERED:
+                    lexicon = Lexicon()
+                keep, x, seen, counts = measure(part["text"].tolist(), lexicon)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[keep], "x": list(x), "words": seen, "counts": counts})
+
+    return rows.transform(shipped).mapInPandas(run, "doc_id long, x array<double>, words array<long>, counts array<int>")
+
+
+def common_words(read_: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """((numbers of words, sorted; inverse document frequency), that of rarer ones): the words that at least COMMON of the English texts have, at most (mean different words a text) / COMMON."""
+    n = read_.count()
     least = max(2.0, COMMON * n)
-    rows = df.where((F.col("word") != "") & (F.col("df") >= least)).collect()
-    return {r.word: math.log(n / r.df) for r in rows}, math.log(n / least) + 1.0
+    rows = read_.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least).collect() if n else []
+    rows = sorted((r.word, math.log(n / r.df)) for r in rows)
+    return (np.array([w for w, _ in rows], dtype=np.int64), np.array([v for _, v in rows])), math.log(n / least) + 1.0 if n else 0.0
 
 
 def levels(docs: DataFrame, labels: DataFrame, count: int = 4) -> DataFrame:
@@ -194,44 +234,29 @@ def levels(docs: DataFrame, labels: DataFrame, count: int = 4) -> DataFrame:
 
     Null and blank texts, texts without a word and texts in other languages give no row. Texts are read whole. The model is fitted on at
     most MOST_LABELS grades (a documented bound; several grades of a text count each), word counts are of all texts. Grades that are null, out of range or of
-    unknown texts don't count; without any grade no row comes out. Repeated rows give repeated rows; other columns are ignored.
+    unknown texts don't count; without any grade no row comes out. Repeated rows give repeated rows, of which one is graded; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text is not null and trim(text) <> ''")
-    rows = spread(rows, "doc_id")
-    idf, top = common_words(rows.select("text"))
-    shared = spark.sparkContext.broadcast((idf, top))
+    read_ = cut(read_texts(spread(rows, "doc_id")))
+    shared = spark.sparkContext.broadcast(common_words(read_))
     graded = labels.select(labels["doc_id"].cast("long").alias("l_id"), labels["level_id"].cast("int").alias("level")).where(f"l_id is not null and level between 1 and {int(count)}")
-    graded = graded.orderBy(F.xxhash64("l_id", "level"), "l_id", "level").limit(MOST_LABELS)
-    sample = rows.join(F.broadcast(graded), F.col("doc_id") == F.col("l_id")).select("text", "level")  # at most MOST_LABELS pairs of numbers
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, rest = shared.value
-        for b in batches:
-            out = []
-            for t, y in zip(b["text"], b["level"]):
-                ws = words(t)
-                if ws and language(ws) == "en":
-                    out.append((int(y), measure(t, ws, known, rest)))
-            yield pd.DataFrame(out, columns=["level", "x"])
-
-    got = sorted((r.level, tuple(r.x)) for r in sample.transform(shipped).mapInPandas(features, "level int, x array<double>").collect())
+    graded = graded.orderBy(F.xxhash64("l_id", "level"), "l_id", "level").limit(MOST_LABELS).groupBy("l_id", "level").agg(F.count("*").alias("times"))
+    sample = read_.join(F.broadcast(graded), F.col("doc_id") == F.col("l_id"))  # at most MOST_LABELS rows of numbers
+    got = sample.groupBy("doc_id", "level", "times").agg(F.min(F.struct("x", "words", "counts")).alias("m")).orderBy("level", "doc_id").select("level", "times", "m.*").collect()
     if not got:
         return spark.createDataFrame([], "doc_id long, level long")
-    model = spark.sparkContext.broadcast(calibrated(np.array([x for _, x in got]), np.array([y for y, _ in got]), count))
+    x = with_rarity([r.x for r in got], [r.words for r in got], [r.counts for r in got], *shared.value)
+    times = [r.times for r in got]
+    model = spark.sparkContext.broadcast(calibrated(np.repeat(x, times, axis=0), np.repeat([r.level for r in got], times), count))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, rest = shared.value
+        idf, top = shared.value
         for b in batches:
-            ids, xs = [], []
-            for i, t in zip(b["doc_id"], b["text"]):
-                ws = words(t)
-                if ws and language(ws) == "en":
-                    ids.append(i)
-                    xs.append(measure(t, ws, known, rest))
-            yield pd.DataFrame({"doc_id": ids, "level": predict(model.value, np.array(xs)) if xs else []})
-
-    return rows.transform(shipped).mapInPandas(judge, "doc_id long, level long")
+            xs = with_rarity(b["x"].tolist(), b["words"].tolist(), b["counts"].tolist(), idf, top) if len(b) else None
+            yield pd.DataFrame({"doc_id": b["doc_id"], "level": predict(model.value, xs) if len(b) else []})
+
+    return read_.transform(shipped).mapInPandas(judge, "doc_id long, level long")
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:

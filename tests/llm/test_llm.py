@@ -493,9 +493,24 @@ def test_ordinal_regression():
     assert set(reading.predict(reading.fit(np.zeros((3, 2)), np.array([2, 2, 2])), np.zeros((2, 2)))) == {2}
 
 
-def test_language():
-    f = lambda t: reading.language(reading.words(t))
-    assert f("We are looking for someone with a calm manner") == "en" and f("Wir suchen für die Planung eine Person") == "de" and f("Nous cherchons une personne pour la vente") == "fr" and f("Buscamos una persona para el equipo") == "es" and f("1 2 3") is None
+def test_measures_by_brute_force():
+    """English texts only, and each feature as its definition says, for texts of any number of words in one batch."""
+    rng = random.Random(5)
+    english = "the we of and because although which office station work careful responsibility documentation a in team".split()
+    texts = ["We are looking for someone with a calm manner", "Wir suchen für die Planung eine Person", "Nous cherchons une personne pour la vente", "Buscamos una persona para el equipo", "1 2 3", ""]
+    texts += [", ".join(rng.choice(english) for _ in range(n)) for n in (1, 49, 50, 51, 149, 150, 700)]
+    keep, x, seen, counts = reading.measure(texts, reading.Lexicon())
+    assert keep.tolist() == [k for k in range(len(texts)) if k == 0 or k > 5 and any(w in reading.FREQUENT["en"].split() for w in reading.words(texts[k]))]
+    for k, got, w, c in zip(keep, x, seen, counts):
+        ws = reading.words(texts[k])
+        chars, n = np.array([len(v) for v in ws]), len(ws)
+        chunks = [ws[i : i + 50] for i in range(0, n, 50) if len(ws[i : i + 50]) >= min(50, n)]
+        want = [chars.mean(), sum(len(reading._VOWELS.findall(v)) or 1 for v in ws) / n, (chars >= 8).mean(), (chars >= 12).mean(), (chars <= 4).mean(), chars.std(), np.mean([len(set(q)) / len(q) for q in chunks])]
+        want += [sum(ws.count(v) == 1 for v in ws) / n, sum(v in reading._CONNECT for v in ws) / n, sum(v in reading._SUBORDINATE for v in ws) / n, texts[k].count(",") / n]
+        assert got == pytest.approx(want) and len(w) == len(set(ws)) and sum(c) == n
+    idf = (np.sort(seen[0][:3]), np.array([0.5, 1.0, 2.0]))
+    full = reading.with_rarity([x[0]], [seen[0]], [counts[0]], idf, 9.0)
+    assert full[0, -2] == pytest.approx((9 - 3) / 9) and full[0, -1] == pytest.approx((3.5 + 6 * 9.0) / 9)
 
 
 def test_held_out_levels(spark, small):
