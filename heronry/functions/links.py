@@ -15,13 +15,23 @@ BASE, ATS, CAREERS_PATH, CAREERS_ANCHOR, CAREERS_BOTH, EXTERNAL, COMPANY_PAGE =
 DEPTH, SATURATION, MOST_SATURATION, NOFOLLOW, QUERY, ARCHIVE, CONTENT, COMPANY_DOMAIN, NOT_COMPANY = 2.0, 0.5, 10.0, 5.0, 2.0, 8.0, 4.0, 10.0, 15.0
 #: File endings and path segments.
 SKIPPED = (
-    "pdf jpg jpeg png gif svg webp avif ico bmp tif tiff mp4 mov avi webm mp3 wav ogg zip gz tar rar 7z dmg exe msi apk css js json xml rss atom woff woff2 ttf otf eot doc docx xls xlsx ppt pptx csv txt ics"
-).split()
-DROPPED = "login log-in signin sign-in signup sign-up register logout cart checkout basket account my-account wp-admin wp-login.php wp-json cdn-cgi xmlrpc.php feed share sharer print".split()
-ARCHIVES = "tag tags category categories author search page".split()
-ARCHIVE_PARAMS = "page p sort order filter replytocom s q".split()
-SECTIONS = "blog news press events articles resources podcast".split()
-COMPANY_SEGMENTS = "about about-us company team our-team our-story who-we-are contact contact-us".split()
+    "pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "avif", "ico", "bmp", "tif", "tiff", "mp4", "mov", "avi", "webm", "mp3", "wav", "ogg", "zip", "gz", "tar", "rar", "7z", "dmg", "exe", "msi", "apk", "css", "js", "json", "xml", "rss", "atom", "woff", "woff2", "ttf", "otf", "eot", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "csv", "txt", "ics",
+)
+DROPPED = (
+    "login", "log-in", "signin", "sign-in", "signup", "sign-up", "register", "logout", "cart", "checkout", "basket", "account", "my-account", "wp-admin", "wp-login.php", "wp-json", "cdn-cgi", "xmlrpc.php", "feed", "share", "sharer", "print",
+)
+ARCHIVES = (
+    "tag", "tags", "category", "categories", "author", "search", "page",
+)
+ARCHIVE_PARAMS = (
+    "page", "p", "sort", "order", "filter", "replytocom", "s", "q",
+)
+SECTIONS = (
+    "blog", "news", "press", "events", "articles", "resources", "podcast",
+)
+COMPANY_SEGMENTS = (
+    "about", "about-us", "company", "team", "our-team", "our-story", "who-we-are", "contact", "contact-us",
+)
 
 
 def _any_in(segs: Column, listed: Sequence[str]) -> Column:
@@ -88,11 +98,19 @@ def steering_boost(url: Column | str, anchor: Column | str, topics: Sequence[str
 
 
 #: Signs of a company's page and their weights; marks of parked domains.
-LEGAL = "inc incorporated ltd limited llc llp lp plc corp corporation gmbh ag bv nv pty sarl srl oy kk".split()
+LEGAL = (
+    "inc", "incorporated", "ltd", "limited", "llc", "llp", "lp", "plc", "corp", "corporation", "gmbh", "ag", "bv", "nv", "pty", "sarl", "srl", "oy", "kk",
+)
 PARKED = ("domain is for sale", "domain may be for sale", "buy this domain", "this domain is parked", "domain parking", "parked free", "hugedomains.com", "sedo domain parking", "afternic", "dan.com")
-ABOUT = "about about-us company who-we-are our-story team our-team".split()
-CONTACT = "contact contact-us".split()
-TERMS = "terms tos terms-of-service terms-of-use terms-and-conditions legal imprint impressum".split()
+ABOUT = (
+    "about", "about-us", "company", "who-we-are", "our-story", "team", "our-team",
+)
+CONTACT = (
+    "contact", "contact-us",
+)
+TERMS = (
+    "terms", "tos", "terms-of-service", "terms-of-use", "terms-and-conditions", "legal", "imprint", "impressum",
+)
 WEIGHTS = {"org_json_ld": 0.25, "site_name": 0.05, "legal_suffix": 0.2, "copyright": 0.1, "careers_link": 0.2, "about_link": 0.1, "contact_link": 0.05, "privacy_link": 0.1, "terms_link": 0.05, "https": 0.05, "many_inbound": 0.1, "some_inbound": 0.05}
 
 

@@ -135,7 +135,9 @@ def dedupe_ci(c: Column | str, cap: int) -> Column:
 
 
 #: Words of a question that are no keywords.
-STOPWORDS = frozenset("a am an and any are around as at be find for from get give good i in is it job jobs like looking me my near nice of on or paid paying please role roles show some the to top want well with work would".split())
+STOPWORDS = frozenset((
+    "a", "am", "an", "and", "any", "are", "around", "as", "at", "be", "find", "for", "from", "get", "give", "good", "i", "in", "is", "it", "job", "jobs", "like", "looking", "me", "my", "near", "nice", "of", "on", "or", "paid", "paying", "please", "role", "roles", "show", "some", "the", "to", "top", "want", "well", "with", "work", "would",
+))
 
 
 def keyword_fallback(text: str, most: int = 8) -> list[str]:

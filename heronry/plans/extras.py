@@ -220,7 +220,7 @@ def _(m: Model) -> DataFrame:
 
 @query("I15_answered_profile", "SELECT 'mid' AS seniority, 2 AS titles, 1 AS skills, 4.0::DOUBLE AS years")
 def _(m: Model) -> DataFrame:
-    rules = cv.profile("Experience\nData Engineer, Acme 2015 - 2019\nAnalyst, Beta\nSQL", 2025)
+    rules = cv.profile(m.spark, "Experience\nData Engineer, Acme 2015 - 2019\nAnalyst, Beta\nSQL", 2025)
     p = answers.profile_of({"seniority": " Mid ", "titles": [], "skills": [{"name": "Rust", "weight": float("nan")}, {"name": "rust"}], "years_experience": 99}, rules)
     return _values(m, [(p["seniority"], len(p["titles"]), len(p["skills"]), p["years"])], "seniority string, titles int, skills int, years double")
 

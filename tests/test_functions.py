@@ -134,17 +134,39 @@ def test_seeds_sitemaps_robots(spark):
     assert files.Config.from_toml("max_depth = 3").max_depth == 3
 
 
-def test_cv():
+def test_cv(spark):
     t = "Ada Example\nSenior Backend Engineer | Remote\n\nExperience\nBackend Engineer, Acme Ltd 2015 - 2018\nLead Developer at Beta Jan 2017 – Present\n- Built SQL things.\nSkills\nPython, SQL, Docker\nLanguages:\nEnglish, German"
-    p = cv.profile(t, 2025)
+    p = cv.profile(spark, t, 2025)
     assert p["titles"][0] == "Senior Backend Engineer" and p["years"] == 10.0 and p["seniority"] == "senior" and p["languages"] == ["English", "German"] and p["remote"] == "remote"
     assert set(p["skills"]) == {"sql", "python", "docker"} and p["skills"]["sql"] > p["skills"]["docker"]
-    assert cv.profile("", 2025)["years"] is None
+    assert cv.profile(spark, "", 2025)["years"] is None
+    assert p["titles"] == ["Senior Backend Engineer", "Backend Engineer", "Lead Developer"]
     with pytest.raises(ValueError):
         files.cv_text(b"%PDF-1.4 ...")
     assert files.cv_text(b"a  b\r\n\r\n\r\n\r\n" + b"word " * 20).startswith("a b\n\nword")
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("2015 - 2018", 3.0), ("Jan 2015 – Mar 2018", 3.0), ("2015 to present", 10.0), ("2015-2018, 2017 — 2020", 5.0), ("2015 - 2016; 2018 - 2019", 2.0), ("2018 - 2015", None), ("1960 - 1990", None), ("2019 - 2031", None), ("2020 - 2020", None),
+        ("1970 - 2025", 50.0), ("call 2015 or 2018", None), ("12015 - 2018", None), (None, None), ("", None), ("2015 - August 2016", 1.0), ("2010 - today", None), ("x 2010-current y", 15.0),
+    ],
+)
+def test_years_are_a_union(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(cv.years(F.col("t"), 2025).alias("y")).first().y == want
+
+
+def test_cv_columns(spark):
+    """Other columns stay, nulls and texts without sections are read, skills are ranked by mentions."""
+    t = "# Summary\nOpen to remote.\n# Skills:\nSQL\nEducation\nSQL SQL at a fintech and a hospital"
+    df = spark.createDataFrame([(1, None, "a"), (2, "Python python\nHead of Data | Acme 2019\nHEAD OF DATA", "b"), (3, t, "c")], "id long, text string, titles2 string")
+    got = {r.id: r for r in cv.profiles(df, 2025).collect()}
+    assert (got[1].titles, got[1].skills, got[1].years, got[1].seniority, got[1].titles2) == ([], {}, None, None, "a")
+    assert got[2].titles == ["Head of Data"] and got[2].seniority == "director" and got[2].skills == {"python": 0.54}
+    assert got[3].skills == {"sql": 0.71} and got[3].industries == ["fintech", "healthcare"] and got[3].remote == "remote" and cv.profiles(df.limit(0), 2025).count() == 0
+
+
 def test_geocode(spark, small):
     places = spark.createDataFrame(
         [(1, "Lagos", "LA", "NG", "Nigeria", 6.45, 3.39, "Eko"), (2, "Birmingham", "AL", "US", "United States", 33.5, -86.8, None), (3, "Birmingham", None, "GB", "United Kingdom", 52.5, -1.9, None), (9001, None, None, "NG", "Nigeria", None, None, None), (9002, None, None, "GB", "United Kingdom", None, None, "UK"), (9003, None, None, "PT", "Portugal", None, None, None)],
