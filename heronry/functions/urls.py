@@ -10,8 +10,15 @@ from heronry.functions.text import col, simplify
 _URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: Query parameters that only track, besides utm_*.
 TRACKING = ("gclid", "fbclid", "msclkid", "dclid", "yclid", "igshid", "mc_cid", "mc_eid", "_ga", "_gl", "ref", "ref_src", "jsessionid", "phpsessid", "sessionid")
-#: Public suffixes of two labels that hosts here can have; all others have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "ltd.uk", "plc.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "com.br", "com.mx", "co.jp", "co.in", "com.ng", "org.ng", "co.ke", "com.sg", "com.tr", "com.cn", "co.kr", "com.ar", "com.hk", "co.id", "com.my", "com.ph", "com.pl", "co.il", "com.gh", "com.eg", "com.co", "com.pe")
+#: Labels that are registries of their own under a country's code, with the countries that have no such registries, those where every second label is one, and further ones by country.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "mil", "ne", "net", "nom", "or", "org")
+NO_REGISTRIES = ("ch", "cz", "de", "dk", "eu", "fi", "is", "li", "lu", "nl", "no", "su")
+ALL_REGISTRIES = ("bd", "ck", "er", "fk", "jm", "kh", "mm", "np", "pg")
+MORE_REGISTRIES = {
+    "au": ("asn", "id"), "br": ("adv", "art", "blog", "eco", "emp", "eng", "ind", "inf", "jus", "leg", "srv", "tur"), "il": ("k12", "muni"), "in": ("firm", "gen", "ind", "nic", "res"), "jp": ("ad", "ed", "gr", "lg"),
+    "ke": ("info", "me", "mobi", "sc"), "kr": ("hs", "pe", "re"), "ng": ("mobi", "name", "sch"), "nz": ("cri", "geek", "gen", "govt", "iwi", "kiwi", "maori", "school"), "pl": ("biz", "info", "waw"), "th": ("in", "mi"),
+    "tr": ("av", "bbs", "bel", "biz", "dr", "gen", "info", "k12", "kep", "name", "pol", "tel", "tv", "web"), "uk": ("ltd", "me", "nhs", "plc", "police", "sch"), "vn": ("biz", "health", "info", "name", "pro"), "za": ("law", "school", "web"),
+}
 #: Job-board hosts whose first path segment names the company, and suffixes whose subdomain does.
 PATH_TENANTS = {
     "boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "job-boards.eu.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "jobs.eu.lever.co": "lever",
@@ -94,6 +101,20 @@ def normalize(url: Column | str) -> Column:
     return F.concat(scheme(url), F.lit("://"), host(url), _port(url), F.when(bare == "", F.lit("/")).otherwise(bare), query)
 
 
+def without_dots(url: Column) -> Column:
+    """A URL whose path has no segments . and .. any more, however many it had: each .. takes away the segment before it, and nothing at the root."""
+    dots = lambda x: F.regexp_replace(x, "(?i)%2e", ".")
+
+    def step(kept: Column, s: Column) -> Column:
+        return F.when(dots(s) == ".", kept).when(dots(s) == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s)))
+
+    segs = F.split(F.regexp_replace(part(url, 4), "^/", ""), "/")
+    kept = F.array_join(F.aggregate(segs, F.array().cast("array<string>"), step), "/")
+    folder = dots(F.element_at(segs, -1)).isin(".", "..") & (kept != "")
+    rest = F.regexp_extract(url, r"[?#].*$", 0)
+    return F.concat(F.regexp_extract(url, r"^[^:]+://[^/?#]*", 0), F.lit("/"), kept, F.when(folder, F.lit("/")).otherwise(F.lit("")), rest)
+
+
 def resolve(base: Column | str, href: Column | str) -> Column:
     """An href against its page, normalised; null for fragments, other schemes and nothing. Dot segments are taken out."""
     h = F.trim(col(href))
@@ -101,19 +122,25 @@ def resolve(base: Column | str, href: Column | str) -> Column:
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     joined = F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(F.startswith(h, F.lit("//")), F.concat(scheme(base), F.lit(":"), h))
     joined = joined.when(F.startswith(h, F.lit("/")), F.concat(root, h)).when(F.startswith(h, F.lit("?")), F.concat(root, path(base), h)).otherwise(F.concat(root, folder, h))
-    for _ in range(3):  # a/b/../c, /./
-        joined = F.regexp_replace(F.regexp_replace(joined, r"(?<!:/)/\./", "/"), r"(?<=[^/:])/(?!\.\./)[^/?#]+/\.\./", "/")
+    joined = F.when(joined.rlike(r"^[^?#]*/(?:\.|%2[eE])"), without_dots(joined)).otherwise(joined)
     ok = (h != "") & ~F.startswith(h, F.lit("#")) & joined.rlike(r"^(?i)https?://[^/]")
     return F.when(ok, normalize(joined))
 
 
 def registrable_domain(url: Column | str) -> Column:
-    """The host's public suffix and one label before it; addresses as they are; null for a bare suffix."""
+    """The host's public suffix and one label before it; addresses as they are; null for a bare suffix.
+
+    Suffixes have one label, or two where a country has registries of its own, by rule and fixed values; private suffixes count as names.
+    """
     h = F.regexp_replace(host(url), r"\.$", "")
     n = F.split(h, r"\.")
     two = F.array_join(F.slice(n, F.greatest(F.size(n) - 1, F.lit(1)), 2), ".")
     three = F.array_join(F.slice(n, F.greatest(F.size(n) - 2, F.lit(1)), 3), ".")
-    listed = two.isin(*TWO_LABEL_SUFFIXES)
+    last, own = F.try_element_at(n, F.lit(-1)), F.try_element_at(n, F.lit(-2))
+    more = [f"{r}.{c}" for c, rs in MORE_REGISTRIES.items() for r in rs]
+    country = (F.length(last) == 2) & ~last.isin(*NO_REGISTRIES)
+    # a country whose code is a registry's name too (org.co, co.cm) has its registries as others have
+    listed = F.coalesce(country & (own.isin(*REGISTRIES) | last.isin(*ALL_REGISTRIES) | two.isin(*more)), F.lit(False))
     return F.when(h.rlike(r"^(\d{1,3}\.){3}\d{1,3}$|^\["), h).when(listed & (F.size(n) > 2), three).when(~listed & (F.size(n) > 1), two)
 
 

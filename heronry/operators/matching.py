@@ -139,29 +139,70 @@ def _salary(p: Profile) -> Column:
     return F.when(r.isNull(), NEUTRAL).when(r >= 1, 1.0).when(r >= 0.8, 0.7).otherwise(0.2)
 
 
+def _argmax(pairs: list[tuple[Column, str]]) -> Column:
+    """The name of the first pair of the largest value above 0; null where none is."""
+    best = F.greatest(*[v for v, _ in pairs], F.lit(0.0)) if pairs else F.lit(0.0)
+    return F.coalesce(*[F.when((v == best) & (v > 0), F.lit(n)) for v, n in pairs], F.lit(None).cast("string"))
+
+
+def _reasons(p: Profile) -> list[Column]:
+    """What each part says of a posting, null where it's neutral, in the order of the parts."""
+    text = F.concat
+    n = F.coalesce(F.size("skill_list"), F.lit(0))
+    mine = [k.lower() for k in p.skills]
+    hit = F.filter("skill_list", lambda x: F.lower(x).isin(*mine))
+    skills = F.when(n > 0, F.when(F.size(hit) == 0, text(F.lit("skills: none of "), n, F.lit(" match"))).otherwise(text(F.lit("skills: "), F.array_join(hit, ", "), F.lit(" ("), F.size(hit), F.lit("/"), n, F.lit(")")))) if p.skills else F.lit(None)
+    like, o, c = _argmax([(title_overlap("title", [t]), t) for t in p.titles]), title_overlap("title", p.titles), F.col("category")
+    value = _title(p)
+    by_category = F.when(value == 0.7, text(F.lit("category: "), c)).when(value == 0.4, text(F.lit("category: near "), c)).otherwise(text(F.lit("category: "), c, F.lit(" is outside your titles")))
+    title = F.when(o >= 0.6, text(F.lit("title: like "), like)).when(o >= 0.34, text(F.lit("title: close to "), like)).when(c.isNotNull(), by_category) if p.titles else F.lit(None)
+    known = lookup(LEVELS, F.coalesce("seniority", F.lit(""))).isNotNull()
+    level = F.when(known, text(F.lit("seniority: "), "seniority", F.lit(f" vs your {p.level()}"))) if LEVELS.get(p.level() or "") is not None else F.lit(None)
+    lands = [x.country_code for x in p.locations if x.country_code]
+    regions = F.coalesce("remote_regions", F.array().cast("array<string>"))
+    open_ = F.array_contains(regions, "global") | (F.arrays_overlap(regions, F.array(*map(F.lit, lands))) if lands else F.lit(False))
+    remote = F.when(F.size(regions) == 0, "remote").when(open_, "remote, open to you").otherwise("remote, but not open to your country")
+    spots = [(distance_km(F.col("lat"), F.col("lon"), F.lit(x.lat), F.lit(x.lon)), x.name) for x in p.locations if x.lat is not None and x.lon is not None]
+    place = F.lit(None).cast("string")
+    if p.locations:
+        home = F.coalesce(F.col("country_code").isin(*lands), F.lit(False)) if lands else F.lit(False)
+        place = F.when(home, text(F.lit("location: in "), "country_code")).otherwise(text(F.lit("location: "), "country_code"))
+        if spots:
+            nearest = F.array_min(F.array(*[F.struct(km.alias("km"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (km, name) in enumerate(spots)]))
+            known_km = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+            place = F.when(known_km, text(F.lit("location: "), F.bround(nearest["km"], 0).cast("bigint"), F.lit(" km from "), nearest["name"])).otherwise(place)
+    location = F.when(F.col("remote_mode") == "remote", remote).otherwise(place)
+    pay = F.when(F.col("salary_usd_annual").isNotNull(), F.when(_salary(p) == 1.0, "salary: at or above your expectation").when(_salary(p) == 0.7, "salary: a little under your expectation").otherwise("salary: well under your expectation")) if (p.salary_usd or 0) > 0 else F.lit(None)
+    return [x.cast("string") for x in (skills, title, level, location, pay)]
+
+
 def score(jobs: DataFrame, profile: Profile) -> DataFrame:
-    """`jobs` with the five parts, `score` in [0, 1] and `why` (excluded or missing terms, null without any).
+    """`jobs` with the five parts, `score` in [0, 1] and `reasons`: what excludes a posting, or what each part that isn't neutral says, then the terms that it must have and lacks.
 
     Needs title, company, host, description, category, seniority, skill_list, lat, lon, country_code, remote_mode, remote_regions,
     salary_usd_annual. All in the JVM, no shuffle; of descriptions only the first 3,000 characters are looked at for terms.
     """
-    e = F.lit("")
+    e, none = F.lit(""), F.lit(None).cast("string")
     hay = F.lower(F.concat_ws(" ", F.coalesce("title", e), F.coalesce("company", e), F.substring(F.coalesce("description", e), 1, 3000)))
-    bad = F.lit(False)
-    for c in profile.excluded_companies:
+    out = jobs.withColumn("__hay", hay)
+    company = none
+    for c in reversed(profile.excluded_companies):
         k = "".join(ch for ch in c.lower() if ch.isalnum())
         if len(k.encode()) >= 3:
-            bad = bad | F.coalesce(F.contains(simplify("company"), F.lit(k)), F.lit(False)) | F.coalesce(simplify(F.substring_index("host", ".", 1)) == k, F.lit(False))
-    for t in profile.exclude:
-        if t.strip():
-            bad = bad | F.contains(hay, F.lit(t.strip().lower()))
-    missing = F.array_compact(F.array(*[F.when(~F.contains(hay, F.lit(t.strip().lower())), F.lit(t)) for t in profile.must_have if t.strip()])).cast("array<string>")
+            named = F.coalesce(F.contains(simplify("company"), F.lit(k)), F.lit(False)) | F.coalesce(simplify(F.substring_index("host", ".", 1)) == k, F.lit(False))
+            company = F.when(named, f"excluded company: {c}").otherwise(company)
+    term = none
+    for t in reversed([t for t in profile.exclude if t.strip()]):
+        term = F.when(F.contains("__hay", F.lit(t.strip().lower())), f'excluded: mentions "{t}"').otherwise(term)
+    missing = F.array_compact(F.array(*[F.when(~F.contains("__hay", F.lit(t.strip().lower())), F.lit(t)) for t in profile.must_have if t.strip()])).cast("array<string>")
     parts = {"p_skills": (W_SKILLS, _skills), "p_title": (W_TITLE, _title), "p_seniority": (W_SENIORITY, _seniority), "p_location": (W_LOCATION, _location), "p_salary": (W_SALARY, _salary)}
-    out = jobs.withColumns({k: f(profile) for k, (_, f) in parts.items()})
+    out = out.withColumns({k: f(profile) for k, (_, f) in parts.items()} | {"__missing": missing, "__out": F.coalesce(company, term)})
     total = reduce(lambda a, kv: a + F.col(kv[0]) * kv[1][0], parts.items(), F.lit(0.0))
-    capped = F.when(F.size(missing) > 0, F.least(total, F.lit(CAP))).otherwise(total)
-    why = F.when(bad, "excluded").when(F.size(missing) > 0, F.concat(F.lit("missing must-have: "), F.array_join(missing, ", ")))
-    return out.withColumn("score", F.when(bad, 0.0).otherwise(F.least(F.greatest(capped, F.lit(0.0)), F.lit(1.0)))).withColumn("why", why)
+    lacks = F.size("__missing") > 0
+    capped = F.when(lacks, F.least(total, F.lit(CAP))).otherwise(total)
+    said = F.array_compact(F.array(*_reasons(profile), F.when(lacks, F.concat(F.lit("missing must-have: "), F.array_join("__missing", ", ")))))
+    reasons = F.when(F.col("__out").isNotNull(), F.array("__out")).otherwise(said)
+    return out.withColumn("score", F.when(F.col("__out").isNotNull(), 0.0).otherwise(F.least(F.greatest(capped, F.lit(0.0)), F.lit(1.0)))).withColumn("reasons", reasons).drop("__hay", "__missing", "__out")
 
 
 def browse(matches: DataFrame, jobs: DataFrame, domains: DataFrame, profile_id: int, q: str = "", min_score: float = 0.0, days: int | None = None, now: int = 0, has_salary: bool = False, sort: str = "score", limit: int = 25, offset: int = 0, **equal: str | None) -> tuple[DataFrame, DataFrame]:

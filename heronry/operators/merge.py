@@ -84,6 +84,27 @@ def retry(frontier: DataFrame, failed: DataFrame, most: int = 2) -> DataFrame:
     )
 
 
+def set_state(frontier: DataFrame, changes: DataFrame) -> DataFrame:
+    """Urls of `changes` (url, state) are in its state; of several for a url the last by name counts."""
+    c = changes.groupBy("url").agg(F.max("state").alias("__s"))
+    return frontier.join(c, "url", "left").withColumn("state", F.coalesce("__s", "state")).select(*frontier.columns)
+
+
+def mark_visited(frontier: DataFrame, visited: DataFrame, now: int) -> DataFrame:
+    """Urls that a redirect led to (url, host, domain, depth) are done: known ones change their state only, others are added with score 0."""
+    done = set_state(frontier, visited.select("url", F.lit("done").alias("state")))
+    new = visited.select("url", "host", "domain", "depth").withColumns({"score": F.lit(0.0), "reason": F.lit("redirect"), "state": F.lit("done"), "enqueued_at": F.lit(now)})
+    return insert_missing(done, new, ["url"])
+
+
+def backfill_hosts(frontier: DataFrame) -> DataFrame:
+    """Host and domain of urls that have no host yet; an empty host for what is no URL."""
+    from heronry.functions.urls import host_key, registrable_domain
+
+    bare = F.col("host").isNull()
+    return frontier.withColumns({"domain": F.when(bare, registrable_domain("url")).otherwise(F.col("domain")), "host": F.when(bare, F.coalesce(host_key("url"), F.lit(""))).otherwise(F.col("host"))})
+
+
 def reset_in_flight(frontier: DataFrame) -> DataFrame:
     return frontier.withColumn("state", F.when(F.col("state") == "in_flight", "queued").otherwise(F.col("state")))
 
@@ -115,18 +136,33 @@ def delete_cascade(profiles: DataFrame, matches: DataFrame, profile_id: int) ->
     return profiles.where(F.col("id") != profile_id), matches.where(F.col("profile_id") != profile_id)
 
 
-def fold_domains(pages: DataFrame) -> DataFrame:
-    """(domain_id, best_score, status, reasons) from page assessments (domain_id, id, score, parked, conclusive, home, reasons).
+#: Scores from which a domain is a company, and under which it's none.
+COMPANY, NO_COMPANY = 0.6, 0.3
+
 
-    The best page's score counts; company from 0.6 on; not_company under 0.3 once a conclusive home page was seen, or for
-    parked domains; else probing. Order-free: a maximum and flags, so visits can come in any order.
+def fold_domains(pages: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(domain_id, best_score, status, reasons, home_seen) from page assessments (domain_id, id, score, parked, conclusive, home, reasons), taken in order of id.
+
+    `before`: (domain_id, status, company_score, home_seen) as stored; only domains with pages come out. The best score ever counts. A company stays one; a domain becomes one with the first page from
+    which on its best score is at least COMPANY and that isn't parked itself. Else its last page decides: not_company if parked, or if under NO_COMPANY once a
+    conclusive home page was seen; else probing. Reasons are the best page's, null where the stored score is better. Aggregates tell all that, so no task goes through a domain's pages in turn.
     """
-    best = F.greatest(F.max("score"), F.lit(0.0))
-    home = F.max(F.coalesce(F.col("home") & F.col("conclusive"), F.lit(False)))
-    parked = F.max(F.coalesce(F.col("parked"), F.lit(False)))
-    a = pages.groupBy("domain_id").agg(best.alias("best_score"), home.alias("home"), parked.alias("parked"), F.max_by("reasons", F.struct("score", "id")).alias("reasons"))
-    status = F.when(F.col("best_score") >= 0.6, "company").when(F.col("parked") | ((F.col("best_score") < 0.3) & F.col("home")), "not_company").otherwise("probing")
-    return a.select("domain_id", "best_score", status.alias("status"), "reasons")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    score = F.coalesce("score", F.lit(0.0))
+    parked = yes(F.col("parked"))
+    a = pages.groupBy("domain_id").agg(
+        F.greatest(F.max("score"), F.lit(0.0)).alias("best"), F.max(yes(F.col("home") & F.col("conclusive"))).alias("home"), F.max_by("reasons", F.struct(score, "id")).alias("reasons"),
+        F.min(F.when(score >= COMPANY, F.col("id"))).alias("rose"), F.max(F.when(~parked, F.col("id"))).alias("plain"), F.max_by(parked, "id").alias("parked"),
+    )
+    empty = a.select("domain_id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("company_score"), F.lit(None).cast("boolean").alias("home_seen"))
+    j = empty.join(a, "domain_id") if before is None else a.join(before.select("domain_id", "status", "company_score", "home_seen"), "domain_id", "left")
+    was = F.coalesce("company_score", F.lit(0.0))
+    best = F.greatest(was, F.coalesce("best", F.lit(0.0)))
+    seen = yes(F.col("home_seen")) | F.col("home")
+    risen = F.col("plain").isNotNull() & ((was >= COMPANY) | yes(F.col("plain") >= F.col("rose")))
+    status = F.when((F.col("status") == "company") | risen, "company").when(F.col("parked") | (seen & (best < NO_COMPANY)), "not_company").otherwise("probing")
+    reasons = F.when(F.col("company_score").isNull() | (F.col("best") >= was), F.col("reasons"))
+    return j.select("domain_id", best.alias("best_score"), status.alias("status"), reasons.alias("reasons"), seen.alias("home_seen"))
 
 
 def control(commands: DataFrame, started_at: int, done: DataFrame) -> DataFrame:

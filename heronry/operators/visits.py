@@ -9,19 +9,19 @@ from heronry.operators.merge import close_missing, fold_domains, latest_per_key,
 
 
 def classify_update(domains: DataFrame, pages: DataFrame) -> DataFrame:
-    """Domains after the assessments of pages: the best score counts, a company stays one, a home page's name wins over the first one found.
+    """Domains after the assessments of pages, as `fold_domains` tells; a home page's name wins over the first one found. home_seen is kept where `domains` has it, score_reasons where a page is as good as the best before.
 
     `pages`: domain_id, id, score, parked, conclusive, home, reasons, name.
     """
-    f = fold_domains(pages).select(F.col("domain_id").alias("id"), "best_score", F.col("status").alias("new_status"), "reasons")
+    seen = F.col("home_seen") if "home_seen" in domains.columns else F.lit(False)
+    f = fold_domains(pages, domains.select(F.col("id").alias("domain_id"), "status", "company_score", seen.alias("home_seen")))
+    f = f.select(F.col("domain_id").alias("id"), F.col("best_score").alias("__best"), F.col("status").alias("__status"), F.to_json("reasons").alias("__reasons"), F.col("home_seen").alias("__seen"))
     home = F.max_by("name", F.when(F.col("home") & F.col("name").isNotNull(), F.col("id")))
     first = F.min_by("name", F.when(F.col("name").isNotNull(), F.col("id")))
-    names = pages.groupBy(F.col("domain_id").alias("id")).agg(home.alias("home_name"), first.alias("first_name"))
+    names = pages.groupBy(F.col("domain_id").alias("id")).agg(home.alias("__home"), first.alias("__first"))
     j = domains.join(f, "id", "left").join(names, "id", "left")
-    best = F.greatest(F.coalesce("company_score", F.lit(0.0)), F.coalesce("best_score", F.lit(0.0)))
-    now = F.when(F.col("status") == "company", "company").when(F.col("new_status").isNull(), F.col("status")).when(best >= 0.6, "company").otherwise(F.col("new_status"))
-    score = F.when(F.col("new_status").isNotNull(), best).otherwise(F.col("company_score"))
-    return j.withColumns({"company_score": score, "status": now, "name": F.coalesce("home_name", "name", "first_name")}).select(*domains.columns)
+    new = {"company_score": F.coalesce("__best", "company_score"), "status": F.coalesce("__status", "status"), "name": F.coalesce("__home", "name", "__first"), "home_seen": F.coalesce("__seen", seen), "score_reasons": F.coalesce("__reasons", *[c for c in ("score_reasons",) if c in domains.columns])}
+    return j.withColumns(new).select(*domains.columns)
 
 
 def record(pages: DataFrame, domains: DataFrame, visits: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from heronry.functions import enrich as E
 from heronry.functions import links as L
 from heronry.functions import urls as U
 from heronry.functions.text import json_list
-from heronry.operators import catalog, graph, matching, merge, search, timeline
+from heronry.operators import boards, catalog, graph, matching, merge, search, timeline
 from heronry.operators.sequences import pair_runs
 from heronry.plans.model import NOW, Model, first_match_sql, has_word_sql, registry, words_sql
 from heronry.sources import boards as B
@@ -44,13 +44,7 @@ def _page_html(m: Model) -> DataFrame:
     return m.pages.where("text is not null").select("id", "url", html.alias("html"))
 
 
-@query("A6_parse_html", rf"SELECT id, nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, true AS noindex, false AS nofollow, 2 AS links, '© Foot ' || id AS footer, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' Jobs here again out top © Foot ' || id AS body FROM parsed_pages WHERE text IS NOT NULL AND length(text) < 90000")
-def _(m: Model) -> DataFrame:
-    p = H.parse_pages(_page_html(m).where(F.length("html") < 90_000 + 600))
-    return p.select("id", "title", "noindex", "nofollow", F.size("links").alias("links"), F.col("footer_text").alias("footer"), F.col("text").alias("body"))
-
-
-@query("A6_parse_all")
+@query("A6_parse_html")
 def _(m: Model) -> DataFrame:
     p = H.parse_pages(_page_html(m))
     return p.select("id", "title", "noindex", "nofollow", F.size("links").alias("links"), F.col("footer_text").alias("footer"), F.col("text").alias("body"))
@@ -108,15 +102,7 @@ def _(m: Model) -> DataFrame:
     return G.city_names(m.places).agg(F.count("*").alias("names"))
 
 
-@query("A23_index_scan", r"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS t FROM documents WHERE lang = 'en') WHERE t = 'team' GROUP BY doc_id")
-def _(m: Model) -> DataFrame:
-    from heronry.operators.fulltext import term_index
-
-    d = m.documents.where("lang = 'en'").withColumnRenamed("doc_id", "id")
-    return term_index(d, {"text": F.col("text")}).where("term = 'team'").groupBy("doc_id").agg(F.count("*").alias("hits"))
-
-
-@query("A23_index_all", r"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS t FROM documents) WHERE t = 'team' GROUP BY doc_id")
+@query("A23_index_scan", r"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS t FROM documents) WHERE t = 'team' GROUP BY doc_id")
 def _(m: Model) -> DataFrame:
     from heronry.operators.fulltext import term_index
 
@@ -131,8 +117,8 @@ _LINK = rf"""WITH b AS (SELECT p.id, p.url, lower(coalesce(p.title, '')) AS t, d
     list_filter(string_split(lower(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS segs, regexp_extract(p.url, '\?([^#]*)', 1) AS q FROM parsed_pages p LEFT JOIN domains d ON d.id = p.domain_id),
   s AS (SELECT *, coalesce(target = host, false) AS inside,
     len(list_filter(segs, lambda x: x IN ({", ".join(f"'{c}'" for c in U.CAREERS_TOKENS)}) OR len(list_intersect(regexp_split_to_array(x, '[-_.]'), ['careers', 'career', 'jobs', 'hiring', 'vacancies'])) > 0)) > 0 AS in_url, {" OR ".join(f"contains(t, $q${c}$q$)" for c in U.CAREERS_PHRASES)} AS in_text,
-    len(list_intersect(segs, {L.ARCHIVES})) > 0 OR len(list_intersect(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: lower(split_part(x, '=', 1))), {L.ARCHIVE_PARAMS})) > 0 AS archive, len(list_intersect(segs, {L.DROPPED})) > 0 AS never FROM b)
-  SELECT id, CASE WHEN NOT never THEN 10.0 + CASE WHEN in_url AND in_text THEN 60 WHEN in_url THEN 50 WHEN in_text THEN 40 ELSE 0 END + CASE WHEN NOT inside THEN 8 WHEN len(list_intersect(segs, {L.COMPANY_SEGMENTS})) > 0 THEN 4 ELSE 0 END - CASE WHEN archive THEN 8 WHEN q <> '' THEN 2 ELSE 0 END
+    len(list_intersect(segs, {list(L.ARCHIVES)})) > 0 OR len(list_intersect(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: lower(split_part(x, '=', 1))), {list(L.ARCHIVE_PARAMS)})) > 0 AS archive, len(list_intersect(segs, {list(L.DROPPED)})) > 0 AS never FROM b)
+  SELECT id, CASE WHEN NOT never THEN 10.0 + CASE WHEN in_url AND in_text THEN 60 WHEN in_url THEN 50 WHEN in_text THEN 40 ELSE 0 END + CASE WHEN NOT inside THEN 8 WHEN len(list_intersect(segs, {list(L.COMPANY_SEGMENTS)})) > 0 THEN 4 ELSE 0 END - CASE WHEN archive THEN 8 WHEN q <> '' THEN 2 ELSE 0 END
     - CASE WHEN segs[1] IN ('blog', 'news', 'press', 'events', 'articles', 'resources', 'podcast') THEN 4 ELSE 0 END + CASE status WHEN 'company' THEN 10 WHEN 'not_company' THEN -15 ELSE 0 END - CASE WHEN nf THEN 5 ELSE 0 END - 2.0 * depth - least(0.5 * pages, 10) END::DOUBLE AS score FROM s"""
 
 
@@ -152,17 +138,35 @@ def _(m: Model) -> DataFrame:
     return m.pages.select("id", F.round(a["score"], 6).alias("score"), a["conclusive"].alias("conclusive"))
 
 
-@query("I4_fold_domains", """SELECT domain_id, greatest(max(s), 0) AS best_score, CASE WHEN greatest(max(s), 0) >= 0.6 THEN 'company' WHEN bool_or(id % 50 = 0) OR (greatest(max(s), 0) < 0.3 AND bool_or(coalesce(kind = 'home', false))) THEN 'not_company' ELSE 'probing' END AS status
-  FROM (SELECT *, (id * 17 % 80) / 100.0::DOUBLE AS s FROM parsed_pages WHERE domain_id IS NOT NULL) GROUP BY domain_id""")
+_FOLD = """WITH p AS (SELECT domain_id, list({{'s': (id * 17 % 80) / 100.0::DOUBLE, 'parked': id % 7 = 0, 'home': coalesce(kind = 'home', false) AND id % 5 <> 0}} ORDER BY id) AS l FROM parsed_pages WHERE domain_id IS NOT NULL GROUP BY domain_id),
+  -- one page after the other: the state is what is stored of a domain
+  r AS (SELECT d.id, list_reduce(list_prepend({{'st': {status}, 'best': {score}, 'seen': false, 's': 0.0::DOUBLE, 'parked': false, 'home': false}}, list_transform(l, lambda x: {{'st': '', 'best': 0.0::DOUBLE, 'seen': false, 's': x.s, 'parked': x.parked, 'home': x.home}})),
+    lambda a, x: {{'st': CASE WHEN a.st = 'company' THEN 'company' WHEN x.parked THEN 'not_company' WHEN greatest(a.best, x.s) >= 0.6 THEN 'company' WHEN (a.seen OR x.home) AND greatest(a.best, x.s) < 0.3 THEN 'not_company' ELSE 'probing' END,
+      'best': greatest(a.best, x.s), 'seen': a.seen OR x.home, 's': 0.0::DOUBLE, 'parked': false, 'home': false}}) AS z FROM {domains} d JOIN p ON p.domain_id = d.id)"""
+
+
+@query("I4_fold_domains", _FOLD.format(status="''", score="0.0::DOUBLE", domains="(SELECT domain_id AS id FROM p)") + " SELECT id AS domain_id, z.best AS best_score, z.st AS status, z.seen AS home_seen FROM r")
 def _(m: Model) -> DataFrame:
-    p = m.pages.where("domain_id is not null").select("domain_id", "id", ((F.col("id") * 17 % 80) / 100.0).alias("score"), (F.col("id") % 50 == 0).alias("parked"), F.lit(True).alias("conclusive"), (F.col("kind") == "home").alias("home"), F.array(F.lit("x")).alias("reasons"))
-    return merge.fold_domains(p).select("domain_id", "best_score", "status")
+    return merge.fold_domains(assessments(m)).select("domain_id", "best_score", "status", "home_seen")
+
+
+def assessments(m: Model) -> DataFrame:
+    """Assessments of the pages, by their numbers: each seventh is parked, each fifth proves nothing."""
+    p = m.pages.where("domain_id is not null")
+    return p.select("domain_id", "id", ((F.col("id") * 17 % 80) / 100.0).alias("score"), (F.col("id") % 7 == 0).alias("parked"), (F.col("id") % 5 != 0).alias("conclusive"), (F.col("kind") == "home").alias("home"), F.array(F.lit("x")).alias("reasons"), F.col("title").alias("name"))
 
 
-@query("I5_attributed_board", rf"SELECT d.id, max(b.key) AS key FROM domains d JOIN boards b ON b.domain_id = d.id WHERE contains(regexp_replace(b.token, '[^a-z0-9]', '', 'g'), split_part(d.host, '.', 1)) OR contains(split_part(d.host, '.', 1), regexp_replace(b.token, '[^a-z0-9]', '', 'g')) GROUP BY d.id", "boards")
+@query("I5_attributed_board", r"""SELECT p.id, CASE p.id % 6 WHEN 0 THEN 'greenhouse/' || l WHEN 1 THEN 'ashby/' || l || '-jobs' WHEN 2 THEN 'lever/' || l WHEN 3 THEN 'lever/x' END AS key, CASE WHEN p.id % 6 < 2 THEN 'embed' ELSE 'link' END AS source
+  FROM parsed_pages p JOIN (SELECT id, host, split_part(host, '.', 1) AS l FROM domains) d ON d.id = p.domain_id WHERE p.id % 6 < 4""")
 def _(m: Model) -> DataFrame:
-    d = m.domains.select(F.col("id").alias("domain_id"), "host")
-    return m.boards.join(d, "domain_id").where(U.matches_domain("token", "host")).groupBy(F.col("domain_id").alias("id")).agg(F.max("key").alias("key"))
+    d = m.domains.select(F.col("id").alias("domain_id"), F.col("host").alias("domain"), F.substring_index("host", ".", 1).alias("l"))
+    lever, none = lambda t: F.concat(F.lit("https://jobs.lever.co/"), t if not isinstance(t, str) else F.lit(t)), F.array().cast("array<string>")
+    case = F.col("id") % 6
+    embeds = F.when(case == 0, F.array(F.concat(F.lit("https://boards.greenhouse.io/embed/job_board/js?for="), "l"))).when(case == 1, F.array(lever("a"), lever("a/b"), F.concat(F.lit("https://jobs.ashbyhq.com/"), "l", F.lit("-jobs")))).when(case == 2, F.array(lever("a"), lever("b"))).otherwise(none)
+    link = lambda u, t: F.struct(u.alias("url"), F.lit(t).alias("text"))
+    links = F.when(case == 2, F.array(link(lever("a"), "Careers"), link(lever(F.col("l")), "More"))).when(case == 3, F.array(link(F.lit("https://x.example/"), "Jobs"), link(lever("x"), "one"), link(lever("x/1"), "Our careers"))).when(case == 4, F.array(link(lever("x"), "A partner"))).otherwise(F.array(link(lever("a"), "Careers"), link(lever("b"), "Careers")))
+    pages = m.pages.select("id", "domain_id").join(d, "domain_id").withColumns({"embeds": embeds, "links": F.when(case < 2, F.lit(None)).otherwise(links)})
+    return boards.attributed(pages).select("id", "key", "source")
 
 
 _W, _DW = words_sql("coalesce(title, '')"), words_sql("coalesce(department, '')")
@@ -239,6 +243,23 @@ def _(m: Model) -> DataFrame:
     return _scored(m).select("id", F.round("score", 9).alias("score"))
 
 
+_REASONS = _MATCH.split("  SELECT id, round(")[0].replace("AS ok\n", "AS ok, km, sl, category, seniority, country_code, remote_mode, remote_regions, salary_usd_annual, w, contains(coalesce(regexp_replace(lower(company), '[^\\p{L}\\p{N}]', '', 'g'), ''), 'navmom') OR coalesce(regexp_replace(split_part(host, '.', 1), '[^a-z0-9]', '', 'g') = 'navmom', false) AS own\n") + """
+  SELECT id, CASE WHEN own THEN 'excluded company: Navmom' WHEN bad THEN 'excluded: mentions "night shift"' ELSE array_to_string(list_filter([
+    CASE WHEN len(sl) > 0 THEN CASE WHEN len(hit) = 0 THEN 'skills: none of ' || len(sl) || ' match' ELSE 'skills: ' || array_to_string(hit, ', ') || ' (' || len(hit) || '/' || len(sl) || ')' END END,
+    CASE WHEN b >= 0.8 THEN CASE WHEN b = 1.0 THEN 'title: like ' ELSE 'title: close to ' END || CASE WHEN list_contains(w, 'data')::INT + list_contains(w, 'engineer')::INT >= list_contains(w, 'store')::INT + list_contains(w, 'manager')::INT THEN 'Data Engineer' ELSE 'Senior Store Manager' END
+      WHEN category IS NULL THEN NULL WHEN b = 0.7 THEN 'category: ' || category WHEN b = 0.4 THEN 'category: near ' || category ELSE 'category: ' || category || ' is outside your titles' END,
+    CASE WHEN seniority IN ('intern', 'junior', 'mid', 'senior', 'lead', 'manager', 'director', 'executive') THEN 'seniority: ' || seniority || ' vs your senior' END,
+    CASE WHEN remote_mode = 'remote' THEN CASE WHEN len(remote_regions) = 0 THEN 'remote' WHEN d = 1.0 THEN 'remote, open to you' ELSE 'remote, but not open to your country' END
+      WHEN km IS NOT NULL THEN 'location: ' || CAST(round_even(km, 0) AS BIGINT) || ' km from Here' WHEN country_code IN ('DE', 'FR') THEN 'location: in ' || country_code WHEN country_code IS NOT NULL THEN 'location: ' || country_code END,
+    CASE WHEN salary_usd_annual IS NOT NULL THEN CASE e WHEN 1.0 THEN 'salary: at or above your expectation' WHEN 0.7 THEN 'salary: a little under your expectation' ELSE 'salary: well under your expectation' END END,
+    CASE WHEN NOT ok THEN 'missing must-have: team' END], lambda x: x IS NOT NULL), ' | ') END AS reasons FROM (SELECT *, list_filter(sl, lambda x: lower(x) IN ('sql', 'python', 'excel')) AS hit FROM s)"""
+
+
+@query("I11_match_reasons", _REASONS, "facts")
+def _(m: Model) -> DataFrame:
+    return _scored(m).select("id", F.array_join("reasons", " | ").alias("reasons"))
+
+
 @query("I12_steering", f"SELECT id, CASE WHEN {' OR '.join(f'contains(t, $q$ {w} $q$)' for w in ('energy',))} THEN 3.0 ELSE 0.0 END::DOUBLE AS points FROM (SELECT id, ' ' || {words_sql(chr(99) + 'oalesce(industry, ' + chr(39) * 2 + ')')} || ' ' || ' ' AS t FROM domains)")
 def _(m: Model) -> DataFrame:
     return m.domains.select("id", L.steering_boost(F.concat(F.lit("https://"), "host", F.lit("/")), "industry", ["energy"], ["engineering"])["points"].alias("points"))
@@ -448,10 +469,38 @@ def _(m: Model) -> DataFrame:
     return merge.close_missing(m.jobs, m.jobs.where("id % 3 = 0"), "jobhub/all", 9).select("id", "closed_at")
 
 
-@query("J5_boards", "SELECT key, domain_id, job_count FROM boards UNION ALL SELECT 'lever/new' || id, NULL, 0 FROM domains WHERE id <= 5", "boards")
+@query("J5_boards", "SELECT key, CASE WHEN key LIKE 'lever/%' THEN NULL ELSE coalesce(n.id, b.domain_id) END AS domain_id, CASE WHEN length(key) % 2 = 0 THEN 7 ELSE job_count END AS job_count, CASE WHEN length(key) % 2 = 0 THEN 'ok' END AS last_status FROM (SELECT key, domain_id, job_count FROM boards UNION ALL SELECT 'lever/new' || id, NULL, NULL FROM domains WHERE id <= 5) b LEFT JOIN (SELECT 'lever/new' || id AS k, id FROM domains WHERE id <= 5) n ON n.k = key", "boards")
+def _(m: Model) -> DataFrame:
+    new = m.domains.where("id <= 5").select(F.concat(F.lit("lever/new"), "id").alias("key"), F.lit("lever").alias("vendor"), F.concat(F.lit("new"), "id").alias("token"), F.col("id").alias("owner"))
+    none = F.lit(None)
+    b = m.boards.withColumns({"host": none.cast("string"), "last_fetched": none.cast("long"), "last_status": none.cast("string"), "name": none.cast("string")})
+    b = boards.ensured(b, new.drop("owner"), 1)
+    b, _jobs = boards.attached(b, m.jobs, new.select("key", F.col("owner").alias("domain_id")))
+    b = boards.fetched(b, b.where(F.length("key") % 2 == 0).select("key", F.lit("ok").alias("status"), F.lit(7).cast("long").alias("job_count"), none.cast("string").alias("name")), 2)
+    b, _domains = boards.detached(b, m.domains.withColumns({"ats": F.lit("lever"), "ats_token": F.lit("x")}), b.where("key like 'lever/%'").select("key"))
+    return b.select("key", "domain_id", "job_count", "last_status")
+
+
+@query("J5_attached_jobs", "SELECT j.id, coalesce(j.domain_id, CASE WHEN b.job_count % 2 = 0 THEN 77 END) AS domain_id FROM jobs j LEFT JOIN boards b ON b.key = j.board_key", "boards")
+def _(m: Model) -> DataFrame:
+    owners = m.boards.where("job_count % 2 = 0").select("key", F.lit(77).cast("long").alias("domain_id"))
+    return boards.attached(m.boards, m.jobs, owners)[1].select("id", "domain_id")
+
+
+@query("J5_detached_domains", "SELECT id, CASE WHEN id % 3 <> 0 THEN 'lever' END AS ats, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN NULL ELSE careers_url END AS careers_url FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'https://jobs.Lever.co/T' || id ELSE 'https://' || host || '/jobs' END AS careers_url FROM domains)")
+def _(m: Model) -> DataFrame:
+    d = m.domains.select("id", F.lit("lever").alias("ats"), F.concat(F.lit("t"), "id").alias("ats_token"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://jobs.Lever.co/T"), "id")).otherwise(F.concat(F.lit("https://"), "host", F.lit("/jobs"))).alias("careers_url"))
+    b = d.select(F.concat(F.lit("lever/"), "ats_token").alias("key"), F.lit("lever").alias("vendor"), F.col("ats_token").alias("token"), F.col("id").alias("domain_id"))
+    return boards.detached(b, d, b.where("domain_id % 3 = 0").select("key"))[1].select("id", "ats", "careers_url")
+
+
+@query("J2_visited", "SELECT url, CASE WHEN new THEN 'done' WHEN id % 4 = 0 THEN 'done' WHEN id % 4 = 1 THEN 'skipped' ELSE state END AS state, CASE WHEN new THEN 0.0 ELSE score END AS score, CASE WHEN new OR id % 3 = 0 THEN h ELSE host END AS host, CASE WHEN new THEN 'redirect' END AS reason FROM (SELECT f.url, f.score, f.state, f.host, p.id, false AS new, f.host AS h FROM frontier f JOIN parsed_pages p ON p.url = f.url UNION ALL SELECT url || '?to=1', NULL, NULL, NULL, id, true, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) FROM parsed_pages WHERE id % 4 = 0)", "frontier")
 def _(m: Model) -> DataFrame:
-    new = m.domains.where("id <= 5").select(F.concat(F.lit("lever/new"), "id").alias("key"), F.lit(0).cast("long").alias("job_count"))
-    return merge.insert_missing(m.boards, new, ["key"]).select("key", "domain_id", "job_count")
+    p = m.pages.select("url", "id")
+    f = m.frontier.join(p, "url").withColumns({"host": F.when(F.col("id") % 3 != 0, F.col("host")), "domain": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")}).drop("id")
+    to = p.where("id % 4 = 0").select(F.explode(F.array("url", F.concat("url", F.lit("?to=1")))).alias("url"), U.host("url").alias("host"), U.registrable_domain("url").alias("domain"), F.lit(1).alias("depth"))
+    f = merge.mark_visited(merge.set_state(f, p.where("id % 4 = 1").select("url", F.lit("skipped").alias("state"))), to, NOW)
+    return merge.backfill_hosts(f).select("url", "state", "score", "host", "reason")
 
 
 @query("J6_replace_pages", "SELECT id, url, CASE WHEN id % 2 = 0 THEN 'other' ELSE kind END AS kind FROM parsed_pages")
@@ -460,9 +509,12 @@ def _(m: Model) -> DataFrame:
     return merge.replace(p, p.where("id % 2 = 0").withColumn("kind", F.lit("other")), ["url"])
 
 
-@query("J10_match_upsert", "SELECT profile_id, job_id, score, computed_at FROM matches", "matches")
+@query("J10_match_upsert", "SELECT profile_id, job_id, CASE WHEN job_id % 3 = 0 THEN 0.5 ELSE score END AS score, CASE WHEN job_id % 3 = 0 THEN 9 ELSE computed_at END AS computed_at FROM matches WHERE NOT (job_id % 3 <> 0 AND job_id % 5 = 0) UNION ALL SELECT profile_id, -job_id, 0.5, 9 FROM matches WHERE job_id % 3 = 0", "matches")
 def _(m: Model) -> DataFrame:
-    return m.matches.select("profile_id", "job_id", "score", "computed_at")
+    # every fifth pair isn't stored yet; of the computed ones half are new
+    stored = m.matches.where("job_id % 5 <> 0").select("profile_id", "job_id", "score", "computed_at")
+    again = m.matches.where("job_id % 3 = 0").select("profile_id", F.explode(F.array("job_id", -F.col("job_id"))).alias("job_id"), F.lit(0.5).alias("score"), F.lit(9).cast("long").alias("computed_at"))
+    return merge.replace(stored, again, ["profile_id", "job_id"])
 
 
 @query("J11_profiles", "SELECT DISTINCT profile_id AS id, profile_id = 3 AS active FROM job_matches WHERE profile_id IS NOT NULL AND profile_id <> 4")

@@ -14,6 +14,7 @@ from heronry.functions import cv
 from heronry.functions import measures as N
 from heronry.functions import text as T
 from heronry.operators import answers, search, visits
+from heronry.plans.domain import _FOLD, assessments
 from heronry.plans.model import NOW, Model, registry
 from heronry.session import checkpoint_dir, shipped
 from heronry.sources import files as S
@@ -231,11 +232,9 @@ def _(m: Model) -> DataFrame:
     return answers.apply_verdicts(m.domains, a).select("id", "status", "industry")
 
 
-@query("J7_classify_update", """WITH a AS (SELECT domain_id, max((id * 17 % 80) / 100.0::DOUBLE) AS best, bool_or(coalesce(kind = 'home', false)) AS home FROM parsed_pages WHERE domain_id IS NOT NULL GROUP BY domain_id)
-  SELECT d.id, CASE WHEN d.status = 'company' THEN 'company' WHEN a.best IS NULL THEN d.status WHEN greatest(coalesce(company_score, 0), best) >= 0.6 THEN 'company' WHEN best < 0.3 AND home THEN 'not_company' ELSE 'probing' END AS status FROM domains d LEFT JOIN a ON a.domain_id = d.id""")
+@query("J7_classify_update", _FOLD.format(status="d.status", score="coalesce(d.company_score, 0)", domains="domains") + " SELECT d.id, coalesce(r.z.st, d.status) AS status, coalesce(r.z.best, d.company_score) AS company_score FROM domains d LEFT JOIN r ON r.id = d.id")
 def _(m: Model) -> DataFrame:
-    p = m.pages.where("domain_id is not null").select("domain_id", "id", ((F.col("id") * 17 % 80) / 100.0).alias("score"), F.lit(False).alias("parked"), F.lit(True).alias("conclusive"), F.coalesce(F.col("kind") == "home", F.lit(False)).alias("home"), F.array(F.lit("x")).alias("reasons"), "title").withColumnRenamed("title", "name")
-    return visits.classify_update(m.domains, p).select("id", "status")
+    return visits.classify_update(m.domains, assessments(m)).select("id", "status", "company_score")
 
 
 @query("J8_record_visits", r"SELECT url, CASE WHEN id % 3 = 0 THEN 'job' ELSE kind END AS kind FROM parsed_pages")

@@ -98,14 +98,14 @@ class Model:
     @property
     def facts(self) -> DataFrame:
         """Postings with what search and matching read: coordinates, pay in dollars a year, remote regions."""
-        from heronry.functions.enrich import remote_regions
+        from heronry.functions.enrich import remote_mode_of, remote_regions
         from heronry.functions.measures import normalized_pay
         from heronry.functions.text import salary_period
 
         j = self.jobs
         pay = normalized_pay("salary_min", "salary_max", "salary_currency", salary_period("salary_period"))["usd_annual"]
         placed = F.col("id") % 7 != 0
-        return j.withColumns({"salary_usd_annual": pay, "lat": F.when(placed, (F.col("id") * 13 % 1700) / 10.0 - 85), "lon": F.when(placed, (F.col("id") * 29 % 3500) / 10.0 - 175), "remote_regions": remote_regions("location", "country_code")})
+        return j.withColumns({"salary_usd_annual": pay, "lat": F.when(placed, (F.col("id") * 13 % 1700) / 10.0 - 85), "lon": F.when(placed, (F.col("id") * 29 % 3500) / 10.0 - 175), "remote_regions": F.when(F.coalesce("remote_mode", remote_mode_of("location")) == "remote", remote_regions("location", "country_code")).otherwise(F.array().cast("array<string>"))})
 
 
 #: The derived tables for the oracle; those used first stand first.
@@ -136,7 +136,8 @@ def _facts_sql() -> str:
     named = ", ".join(f"CASE WHEN {has_word_sql('lw', k)} THEN '{v}' END" for k, v in REGIONS)
     return f"""SELECT j.*, CASE WHEN usd BETWEEN 1000 AND 5000000 THEN usd END AS salary_usd_annual,
       CASE WHEN id % 7 <> 0 THEN (id * 13 % 1700) / 10.0::DOUBLE - 85 END AS lat, CASE WHEN id % 7 <> 0 THEN (id * 29 % 3500) / 10.0::DOUBLE - 175 END AS lon,
-      list_distinct(list_filter([{named}, country_code], lambda x: x IS NOT NULL)) AS remote_regions
+      CASE WHEN coalesce(remote_mode, CASE WHEN {has_word_sql('lw', 'hybrid')} THEN 'hybrid' WHEN {has_word_sql('lw', 'remote')} OR {has_word_sql('lw', 'anywhere')} OR {has_word_sql('lw', 'worldwide')} THEN 'remote' END) = 'remote'
+        THEN list_distinct(list_filter([{named}, country_code], lambda x: x IS NOT NULL)) ELSE [] END AS remote_regions
       FROM (SELECT *, coalesce((lo + hi) / 2, lo, hi) * (map {{{rates}}})[upper(trim(salary_currency))] AS usd, {words_sql("coalesce(location, '')")} AS lw
         FROM (SELECT *, CASE WHEN salary_min > 0 THEN salary_min * f END AS lo, CASE WHEN salary_max > 0 THEN salary_max * g END AS hi
           FROM (SELECT *, coalesce(pf, CASE WHEN salary_min < 1000 THEN 2080 ELSE 1 END) AS f, coalesce(pf, CASE WHEN salary_max < 1000 THEN 2080 ELSE 1 END) AS g

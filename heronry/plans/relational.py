@@ -529,12 +529,6 @@ def _(m: Model) -> DataFrame:
     return M.insert_missing(d.where("id % 2 = 0"), d.where("id % 3 = 0").withColumn("host", F.concat(F.lit("new."), "host")), ["id"])
 
 
-@query("G5_dedupe_list", """SELECT id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:3] AS words FROM (SELECT id, string_split(company, ' ') AS w FROM jobs WHERE company IS NOT NULL AND NOT regexp_matches(company, '^ | $|  |[A-Z]'))""")
-def _(m: Model) -> DataFrame:
-    j = m.jobs.where("company is not null and not company rlike '^ | $|  |[A-Z]'")
-    return j.select("id", T.dedupe_ci(F.split(F.lower("company"), " "), 3).alias("words"))
-
-
-@query("G5_dedupe_all", """SELECT id, list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i)[1:3] AS words FROM (SELECT id, list_filter(string_split(company, ' '), lambda x: x <> '') AS w FROM jobs WHERE company IS NOT NULL)""")
+@query("G5_dedupe_list", """SELECT id, list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i)[1:3] AS words FROM (SELECT id, list_filter(string_split(company, ' '), lambda x: x <> '') AS w FROM jobs WHERE company IS NOT NULL)""")
 def _(m: Model) -> DataFrame:
     return m.jobs.where("company is not null").select("id", T.dedupe_ci(F.split("company", " "), 3).alias("words"))

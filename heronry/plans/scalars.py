@@ -99,14 +99,7 @@ def _(m: Model) -> DataFrame:
     return m.jobs.select("id", F.contains(F.concat(F.lit(" "), T.words(F.coalesce("title", F.lit(""))), F.lit(" ")), F.lit(f" {phrase('Data-Engineer')} ")).alias("hit"))
 
 
-@query("H16_tokenizer", r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')")
-def _(m: Model) -> DataFrame:
-    from heronry.operators.fulltext import normalized
-
-    return m.documents.where("lang in ('en', 'de', 'fr', 'es')").select("doc_id", normalized(F.col("text")).alias("t"))
-
-
-@query("H16_tokenizer_all", r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents")
+@query("H16_tokenizer", r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents")
 def _(m: Model) -> DataFrame:
     from heronry.operators.fulltext import normalized
 
@@ -133,9 +126,9 @@ def _(m: Model) -> DataFrame:
     return m.pages.select("id", U.normalize("url").alias("n"))
 
 
-@query("H22_resolve", rf"SELECT id, regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/about/team' AS u FROM parsed_pages")
+@query("H22_resolve", rf"SELECT id, regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/about/team' AS u, regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/about/?a=..' AS deep FROM parsed_pages")
 def _(m: Model) -> DataFrame:
-    return m.pages.select("id", U.resolve("url", F.lit(" /about/x/../team#top")).alias("u"))
+    return m.pages.select("id", U.resolve("url", F.lit(" /about/x/../team#top")).alias("u"), U.resolve("url", F.lit("a/b/c/d/e/f/" + "../" * 12 + "./x/%2E%2e/about/y/..?a=..")).alias("deep"))
 
 
 @query("H23_registrable_domain", rf"SELECT id, array_to_string(string_split({_HOST.format('url')}, '.')[-2:], '.') AS d FROM jobs")
@@ -277,17 +270,10 @@ def _(m: Model) -> DataFrame:
     return a.join(b, F.col("b.id") == F.col("a.id") + 1, "left").select("a.id", F.coalesce("b.title", "a.title").alias("title"), F.coalesce("b.location", "a.location").alias("location"))
 
 
-@query("H54_regions", f"SELECT id, CASE lower(trim(location)) WHEN 'worldwide' THEN 'global' WHEN 'anywhere' THEN 'global' ELSE CASE WHEN regexp_matches(lower(trim(location)), '^[a-z]{{2}}$') THEN upper(trim(location)) END END AS region FROM jobs WHERE location IN ('Worldwide', 'Anywhere', 'TBC', 'Remote')")
-def _(m: Model) -> DataFrame:
-    from heronry.functions.enrich import remote_region
-
-    return m.jobs.where(F.col("location").isin("Worldwide", "Anywhere", "TBC", "Remote")).select("id", remote_region("location").alias("region"))
-
-
 _REGION = "CASE v " + " ".join(f"WHEN '{w}' THEN '{name}'" for w, name in REGIONS) + " ELSE CASE WHEN regexp_matches(v, '^[a-z]{2}$') THEN upper(v) END END"
 
 
-@query("H54_regions_all", f"SELECT id, {_REGION} AS region FROM (SELECT id, lower(trim(location, ' ')) AS v FROM jobs)")
+@query("H54_regions", f"SELECT id, {_REGION} AS region FROM (SELECT id, lower(trim(location, ' ')) AS v FROM jobs)")
 def _(m: Model) -> DataFrame:
     from heronry.functions.enrich import remote_region
 

@@ -50,11 +50,13 @@ def shipped(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; only where that is unset (tests, local use) a temporary one."""
+    """The shared folder of `spark.checkpoint.dir`; only where that is unset and the session is local (tests) a temporary one."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or os.path.join(tempfile.gettempdir(), f"heronry-{uuid.uuid4().hex}")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

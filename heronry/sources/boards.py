@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ _LEVER = """array<struct<id: string, text: string, hostedUrl: string, categories
 _ASHBY = """struct<jobs: array<struct<id: string, title: string, jobUrl: string, location: string, department: string, team: string, employmentType: string, workplaceType: string, isRemote: boolean, isListed: boolean,
   publishedAt: string, descriptionPlain: string, address: struct<postalAddress: struct<addressCountry: string>>,
   compensation: struct<summaryComponents: array<struct<compensationType: string, interval: string, currencyCode: string, minValue: double, maxValue: double>>>>>>"""
+#: Fixed value: characters of a description that are kept.
+MOST_DESCRIPTION = 20_000
 COLUMNS = ("url", "external_id", "title", "company", "location", "country_code", "remote_mode", "department", "employment_type", "posted_at", "description", "salary_min", "salary_max", "salary_currency", "salary_period", "source")
 
 
@@ -47,14 +50,14 @@ def country(c: Column) -> Column:
 
 
 def plain_html(c: Column) -> Column:
-    """Text of simple, perhaps escaped HTML: scripts, tags and the commonest entities are taken out in the JVM."""
-    t = c
-    for _ in range(2):
-        t = F.regexp_replace(t, r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", " ")
-        t = F.regexp_replace(t, r"<[a-zA-Z/!][^>]*>", " ")
-        for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            t = F.replace(t, F.lit(a), F.lit(b))
-    return F.substring(F.trim(F.regexp_replace(t, r"\s+", " ")), 1, 20_000)
+    """Visible text of HTML, perhaps escaped as a whole, up to 20,000 characters; null stays null. Read by the parser of pages, in Arrow batches."""
+
+    def read(texts: pd.Series) -> pd.Series:
+        from heronry.sources.pages import visible_text
+
+        return texts.map(lambda t: visible_text(t)[:MOST_DESCRIPTION] if isinstance(t, str) else None)
+
+    return F.pandas_udf(read, "string")(c)
 
 
 def _out(rows: DataFrame, keep: list[str], source: str, **given: Column) -> DataFrame:

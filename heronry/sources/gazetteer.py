@@ -61,7 +61,7 @@ def suggest(places: DataFrame, query: str, limit: int = 8) -> DataFrame:
         return places.sparkSession.createDataFrame([], "value string, kind string, rank int")
     lands = places.where("city is null").select(F.col("country_code").alias("cc"), F.col("country_name").alias("land"))
     cities = city_names(places).withColumn("rank", match_rank("name", F.lit(q))).where("rank is not null").groupBy("ord", "city", "country_code").agg(F.min("rank").alias("rank"))
-    c = cities.join(F.broadcast(lands.limit(1000)), F.col("country_code") == F.col("cc"), "left").select(F.concat("city", F.lit(", "), F.coalesce(title_case("land"), "country_code")).alias("value"), F.lit("city").alias("kind"), "rank", "ord")
+    c = cities.join(lands, F.col("country_code") == F.col("cc"), "left").select(F.concat("city", F.lit(", "), F.coalesce(title_case("land"), "country_code")).alias("value"), F.lit("city").alias("kind"), "rank", "ord")
     names = country_names(places).where(F.length("name") > 2).withColumn("rank", match_rank("name", F.lit(q))).where("rank is not null").groupBy("country_code").agg(F.min("rank").alias("rank"))
     k = names.join(places.where("city is null").select("country_code", "country_name", F.col("place_id").alias("ord")), "country_code").select(F.col("country_name").alias("value"), F.lit("country").alias("kind"), "rank", "ord")
     return c.unionByName(k).orderBy("rank", "kind", "ord").limit(limit).select("value", "kind", "rank")

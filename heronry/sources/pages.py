@@ -202,6 +202,18 @@ def parse_html(url: str, text: str) -> dict:
     }
 
 
+def visible_text(text: str) -> str:
+    """What a reader sees of an HTML fragment; once more where that is markup again, as of a fragment that came escaped."""
+    for _ in range(2):
+        p = _Page()
+        p.feed(text)
+        p.close()
+        text = squeeze(" ".join(p.body))
+        if not any(sign in text for sign in ("</", "<p", "<br")):
+            break
+    return text
+
+
 def parse_pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The row's other columns, url and the record's fields; null HTML is an empty page. Arrow batches, no shuffle."""
     keep = [f for f in df.schema.fields if f.name not in (url, html)]

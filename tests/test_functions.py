@@ -146,6 +146,38 @@ def test_cv(spark):
     assert files.cv_text(b"a  b\r\n\r\n\r\n\r\n" + b"word " * 20).startswith("a b\n\nword")
 
 
+@pytest.mark.parametrize(
+    "href,want",
+    [
+        ("../../../../../z", "https://h.example/a/z"), ("../" * 40 + "z", "https://h.example/z"), ("./x/./y/.", "https://h.example/a/b/c/d/e/f/x/y/"), ("..", "https://h.example/a/b/c/d/e/"), ("/a/../..", "https://h.example/"), ("%2e%2E/q?x=../y", "https://h.example/a/b/c/d/e/q?x=../y"),
+        ("//o.example/a/../b", "https://o.example/b"), ("https://o.example/./a/..", "https://o.example/"), ("x..y/.z", "https://h.example/a/b/c/d/e/f/x..y/.z"), ("mailto:a@b", None), ("#x", None), ("", None),
+    ],
+)
+def test_dot_segments_of_any_number(spark, href, want):
+    df = spark.createDataFrame([("https://h.example/a/b/c/d/e/f/", href)], "b string, h string")
+    assert df.select(urls.resolve("b", "h").alias("u")).first().u == want
+
+
+def test_registrable_domains(spark):
+    want = {
+        "a.foo.co.th": "foo.co.th", "x.gov.au": "x.gov.au", "foo.com.vn": "foo.com.vn", "www.foo.com.vn": "foo.com.vn", "co.th": None, "gov.au": None, "com": None, "localhost": None, "foo.de": "foo.de", "a.b.foo.de": "foo.de", "com.de": "com.de", "shop.co.uk": "shop.co.uk", "a.me.uk": "a.me.uk",
+        "x.y.com.co": "y.com.co", "t.co": "t.co", "foo.io": "foo.io", "a.foo.com.np": "foo.com.np", "a.foo.np": "a.foo.np", "foo.example": "foo.example", "a.foo.museum": "foo.museum", "10.0.0.1": "10.0.0.1", "[::1]": "[::1]", "go.com": "go.com", "b.foo.or.jp": "foo.or.jp", "a.foo.k12.tr": "foo.k12.tr", "foo.com.": "foo.com",
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    assert {r.h: r.d for r in df.select("h", urls.registrable_domain(F.concat(F.lit("https://"), "h", F.lit("/x"))).alias("d")).collect()} == want
+
+
+def test_html_is_read_as_seen(spark):
+    from heronry.sources.boards import plain_html
+
+    want = {
+        'a &eacute; &#8211; &euro;5 <p title="x>y">q</p>': "a é – €5 q", "&lt;p&gt;One &amp;amp; two&lt;/p&gt;&lt;ul&gt;&lt;li&gt;three&lt;/li&gt;&lt;/ul&gt;": "One & two three", "1 < 2 and 3 > 2": "1 < 2 and 3 > 2", "<style>a{}</style><b>x</b><!-- c -->y<script>z</script>": "x y",
+        "": "", "plain": "plain", "&lt;b&gt;": "<b>", "<p>cut": "cut", "a\u00a0b\n\tc": "a b c", None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: r.x for r in df.select("t", plain_html(F.col("t")).alias("x")).collect()} == want
+
+
 @pytest.mark.parametrize(
     "text,want",
     [

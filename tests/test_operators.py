@@ -115,7 +115,7 @@ def test_matching(spark):
     q = matching.merged(p, {"exclude": ["RUST "], "years": None})
     assert matching.score(j, q).where("id = 1").first().score == 0.0
     capped = matching.score(j, matching.merged(p, {"must_have": ["cobol"]})).where("id = 1").first()
-    assert capped.score <= 0.35 and capped.why == "missing must-have: cobol"
+    assert capped.score <= 0.35 and capped.reasons[-1] == "missing must-have: cobol"
 
 
 def test_companies(spark):
@@ -199,3 +199,66 @@ def test_bands(spark):
     a = spark.createDataFrame([(1, 1000.0), (2, 9999.99), (3, 10_000.0), (4, 5.0), (5, None)], "id long, v double")
     b = spark.createDataFrame([(1, 1000.0, 10_000.0), (2, 10_000.0, 20_000.0)], "band_id long, usd_from double, usd_to double")
     assert {r.id: r.band_id for r in units.banded(a, b, "v").collect()} == {1: 1, 2: 1, 3: 2}
+
+
+def _fold(spark, stored, pages):
+    """The row of a domain stored as (status, score, home_seen) after pages of (score, parked, conclusive, home, name)."""
+    from heronry.operators import visits
+
+    d = spark.createDataFrame([(1, *stored, "Old" if stored[1] else None, "{}" if stored[1] else None)], "id long, status string, company_score double, home_seen boolean, name string, score_reasons string")
+    p = spark.createDataFrame([(1, k, *x[:4], [str(k)], x[4]) for k, x in enumerate(pages)], "domain_id long, id long, score double, parked boolean, conclusive boolean, home boolean, reasons array<string>, name string")
+    return visits.classify_update(d, p).first()
+
+
+@pytest.mark.parametrize(
+    "stored,pages,status,score",
+    [
+        (("probing", 0.5, False), [(0.2, False, True, True, "H")], "probing", 0.5), (("probing", None, False), [(0.2, False, True, True, "H")], "not_company", 0.2), (("probing", 0.2, True), [(0.1, False, True, False, None)], "not_company", 0.2),
+        (("company", 0.7, True), [(0.1, True, True, True, None)], "company", 0.7), (("discovered", None, False), [(0.9, True, True, False, None)], "not_company", 0.9), (("discovered", None, False), [(0.9, True, True, False, None), (0.1, False, True, False, None)], "company", 0.9),
+        (("discovered", None, False), [(0.1, True, True, False, None), (0.4, False, True, False, None)], "probing", 0.4), (("discovered", None, False), [(0.1, False, False, True, None)], "probing", 0.1), (("discovered", None, False), [(0.7, False, True, False, None), (0.1, True, True, False, None)], "company", 0.7),
+        (("discovered", None, False), [(0.1, False, True, False, None), (0.7, True, True, False, None)], "not_company", 0.7), (("probing", 0.65, False), [(0.1, False, True, False, None)], "company", 0.65), (("probing", 0.5, False), [(None, None, None, None, None)], "probing", 0.5),
+    ],
+)
+def test_a_domain_after_its_pages(spark, stored, pages, status, score):
+    got = _fold(spark, stored, pages)
+    assert (got.status, got.company_score) == (status, score)
+
+
+def test_a_domain_keeps_names_and_reasons(spark):
+    got = _fold(spark, ("probing", 0.5, False), [(0.2, False, True, False, "First"), (0.2, False, True, True, "Home"), (0.3, False, True, True, None)])
+    assert (got.name, got.score_reasons, got.home_seen) == ("Home", "{}", True)
+    got = _fold(spark, ("discovered", None, False), [(0.2, False, True, False, "First"), (0.2, False, True, False, "Second")])
+    assert (got.name, got.score_reasons, got.home_seen) == ("First", '["1"]', False)
+
+
+def test_reasons_of_a_match(spark):
+    from heronry.operators import matching
+
+    me = matching.Profile(titles=["Data Engineer"], skills={"SQL": 1.0}, years=3, locations=[matching.Place("Bonn", "DE", 50.7, 7.1), matching.Place("Kiel", "DE", 54.3, 10.1)], salary_usd=100.0, must_have=["x", "y"], exclude=["night"], excluded_companies=["Bad Co"])
+    cols = "id long, title string, company string, host string, description string, category string, seniority string, skill_list array<string>, lat double, lon double, country_code string, remote_mode string, remote_regions array<string>, salary_usd_annual double"
+    rows = [
+        (1, "Senior Data Engineer", "A", None, "x and y", "data", "mid", ["sql", "go"], 54.3, 10.2, "DE", None, [], 90.0), (2, "Cook", None, None, None, "legal", None, ["go"], None, None, "FR", "onsite", None, 10.0), (3, "Cook", None, None, "night X", None, None, [], None, None, None, None, None, None),
+        (4, "Data", "The BAD-CO group", None, "night", None, None, None, None, None, None, "remote", ["FR"], None), (5, "Engineer", "A", None, "x y", None, "odd", None, None, None, None, "remote", None, None), (6, None, None, "badco.example", None, None, None, None, None, None, None, None, None, None),
+    ]
+    got = {r.id: r.reasons for r in matching.score(spark.createDataFrame(rows, cols), me).collect()}
+    level = me.level()
+    assert got[1] == ["skills: sql (1/2)", "title: like Data Engineer"] + ([f"seniority: mid vs your {level}"] if level else []) + ["location: 6 km from Kiel", "salary: a little under your expectation"]
+    assert got[2] == ["skills: none of 1 match", "category: legal is outside your titles", "location: FR", "salary: well under your expectation", "missing must-have: x, y"]
+    assert got[3] == ['excluded: mentions "night"'] and got[4] == ["excluded company: Bad Co"] and got[6] == ["excluded company: Bad Co"]
+    assert got[5] == ["title: close to Data Engineer", "remote"]
+
+
+def test_boards_change(spark):
+    from heronry.operators import boards
+
+    b = spark.createDataFrame([("lever/a", "lever", "a", None, 1, None, None, None, "A"), ("lever/b", "lever", "b", 7, 1, None, None, 3, None)], "key string, vendor string, token string, domain_id long, first_seen long, last_fetched long, last_status string, job_count long, name string")
+    jobs = spark.createDataFrame([(1, "lever/a", None), (2, "lever/a", 5), (3, "lever/b", None), (4, None, None)], "id long, board_key string, domain_id long")
+    owners = spark.createDataFrame([("lever/a", 9), ("lever/a", 9), ("none/x", 8)], "key string, domain_id long")
+    nb, nj = boards.attached(b, jobs, owners)
+    assert {r.key: r.domain_id for r in nb.collect()} == {"lever/a": 9, "lever/b": 7} and {r.id: r.domain_id for r in nj.collect()} == {1: 9, 2: 5, 3: None, 4: None}
+    d = spark.createDataFrame([(7, "lever", "b", "https://jobs.lever.co/b"), (9, "lever", "a", "https://x.example/"), (10, "lever", "b", None)], "id long, ats string, ats_token string, careers_url string")
+    ub, ud = boards.detached(nb, d, nb.select("key"))
+    assert {r.domain_id for r in ub.collect()} == {None} and {(r.id, r.ats, r.careers_url) for r in ud.collect()} == {(7, None, None), (9, None, "https://x.example/"), (10, "lever", None)}
+    f = boards.fetched(b, spark.createDataFrame([("lever/a", "ok", 4, None), ("lever/b", "gone", None, "B")], "key string, status string, job_count long, name string"), 50)
+    assert {(r.key, r.last_fetched, r.last_status, r.job_count, r.name) for r in f.collect()} == {("lever/a", 50, "ok", 4, "A"), ("lever/b", 50, "gone", 3, "B")}
+    assert boards.attributed(spark.createDataFrame([(1, None, None, None)], "id long, domain string, links array<struct<url:string,text:string>>, embeds array<string>")).count() == 0

@@ -25,7 +25,7 @@ def test_every_company_is_deduplicated(spark, tmp_path):
                 out.append(w)
         return out[:3]
 
-    got = {r.id: list(r.words) for r in _over(spark, tmp_path, "jobs", list(enumerate(values)), "id long, company string", "G5_dedupe_all").collect()}
+    got = {r.id: list(r.words) for r in _over(spark, tmp_path, "jobs", list(enumerate(values)), "id long, company string", "G5_dedupe_list").collect()}
     assert got == {i: brute(v) for i, v in enumerate(values) if v is not None}
 
 
@@ -34,7 +34,7 @@ def test_every_location_is_mapped(spark, tmp_path):
         "EMEA": "EMEA", " apac ": "APAC", "LatAm": "LATAM", "europe": "Europe", "North America": "North America", "AMERICAS": "Americas", "africa": "Africa", "Asia": "Asia",
         "WORLDWIDE": "global", " anywhere": "global", "Global": "global", "de": "DE", " Ng ": "NG", "Remote": None, "TBC": None, "": None, "DEU": None, "Berlin, DE": None, None: None,
     }
-    got = {r.id: r.region for r in _over(spark, tmp_path, "jobs", list(enumerate(want)), "id long, location string", "H54_regions_all").collect()}
+    got = {r.id: r.region for r in _over(spark, tmp_path, "jobs", list(enumerate(want)), "id long, location string", "H54_regions").collect()}
     assert got == dict(enumerate(want.values()))
 
 
@@ -102,23 +102,23 @@ LANGS = ["en", "EN", "en-US", "de", "xx", "", None]
 
 def test_documents_of_any_language_are_scanned(spark, tmp_path):
     rows = [(str(i), lang, "Our TEAM, the team's töam") for i, lang in enumerate(LANGS)] + [("none", "en", None), ("other", None, "teams")]
-    got = {r.doc_id: r.hits for r in _over(spark, tmp_path, "documents", rows, "doc_id string, lang string, text string", "A23_index_all").collect()}
+    got = {r.doc_id: r.hits for r in _over(spark, tmp_path, "documents", rows, "doc_id string, lang string, text string", "A23_index_scan").collect()}
     assert got == {str(i): 2 for i in range(len(LANGS))}
 
 
 def test_documents_of_any_language_are_tokenized(spark, tmp_path):
     text = "Crème BRÛLÉE, Ðà Nẵng; Ελλάδα Ё-mail été"
     rows = [(str(i), lang, text) for i, lang in enumerate(LANGS)] + [("none", "en", None)]
-    got = {r.doc_id: r.t for r in _over(spark, tmp_path, "documents", rows, "doc_id string, lang string, text string", "H16_tokenizer_all").collect()}
+    got = {r.doc_id: r.t for r in _over(spark, tmp_path, "documents", rows, "doc_id string, lang string, text string", "H16_tokenizer").collect()}
     assert got == {str(i): "creme brulee ða nang ελλαδα е mail ete" for i in range(len(LANGS))} | {"none": None}
     con = connect(str(tmp_path))
-    assert got == dict(con.execute(plans.oracle_sql()["H16_tokenizer_all"]).fetchall())
+    assert got == dict(con.execute(plans.oracle_sql()["H16_tokenizer"]).fetchall())
 
 
 def test_pages_of_any_length_are_parsed(spark, tmp_path):
     texts = ["short", "\n".join(["word " * 9] * 2100), "x" * 99_999 + "\ny\nz", "\n".join(["längere Zeile " * 5] * 3000), None]
     rows = [(i, f"https://a.example/{i}", f"T{i}", t) for i, t in enumerate(texts)]
-    got = {r.id: r for r in _over(spark, tmp_path, "parsed_pages", rows, "id long, url string, title string, text string", "A6_parse_all").collect()}
+    got = {r.id: r for r in _over(spark, tmp_path, "parsed_pages", rows, "id long, url string, title string, text string", "A6_parse_html").collect()}
     assert sorted(got) == [0, 1, 2, 3]
     for i, t in enumerate(texts[:4]):
         kept, size = [], 0  # text nodes up to the one that reaches 100,000 bytes
