@@ -96,6 +96,12 @@ def sound(word: str) -> str:
     return (out + "000")[:4]
 
 
+@lru_cache(maxsize=200_000)
+def consonants(word: str, vowels: bool = False) -> str:
+    """Soundex's digits of all consonants of a word, also of the first and of repeated ones, with the vowels between them or without: no edit of the word changes more than one sign."""
+    return "".join(_SOUND.get(ch, ch if vowels or ch not in "aeiouhwy" else "") for ch in word)
+
+
 def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text).lower() if not unicodedata.combining(c))
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
+from functools import lru_cache
+from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm._company import EDITS, SAME, edits, head, jaro_winkler, read, sound
+from heronry.llm._company import EDITS, SAME, consonants, edits, head, jaro_winkler, read, sound
 from heronry.session import cut, shipped, table
 
 #: Forms of a block compared in one piece; larger blocks are cut, and every piece meets every other.
@@ -41,17 +42,31 @@ def _read_all(names: DataFrame) -> DataFrame:
     return names.transform(shipped).mapInPandas(run, "company string, node string, core string, kind string")
 
 
+@lru_cache(maxsize=200_000)
+def less(code: str, most: int) -> tuple[str, ...]:
+    """A code with up to `most` of its signs left out: two codes within so many edits have one in common."""
+    out = {code}
+    for _ in range(most):
+        out |= {c[:i] + c[i + 1 :] for c in out for i in range(len(c))}
+    return tuple(sorted(out))
+
+
 def block_keys(core: list[str], kind: str) -> set[str]:
-    """Phonetic codes of the sorted words; one word's code with the other's first letter; first two letters; first letters and kind;
-    one word's codes without its first or second letter (a wrong, missing or swapped one) with the other words' codes."""
-    codes = [sound(w) for w in core]
-    keys = {"s:" + " ".join(sorted(codes)), "f:" + " ".join(sorted(w[:2] for w in core))}
-    keys.add("k:" + "".join(sorted(w[0] for w in core)) + kind)
-    for k, c in enumerate(codes):
-        keys.add("l:" + c + " " + " ".join(sorted(w[0] for j, w in enumerate(core) if j != k)))
-        w, rest = core[k], " ".join(sorted(codes[:k] + codes[k + 1 :]))
-        if len(w) > 2:
-            keys |= {f"m:{sound(v)} {rest}" for v in (w, w[1:], w[0] + w[2:])}
+    """Keys of which two names of one kind within EDITS edits have one in common, whatever the edits, and others rarely, however many names there are.
+
+    One word may be off by two edits: its consonants' phonetic code less two signs, with the other words as they are. Or two words by one each: both words' codes with their vowels less one sign, with
+    the third word's. An edit of a word is one of its code at most, as codes have a sign for each letter and join none. In names of four words or more the words but two are as they are.
+    """
+    if len(core) > 3:
+        return {f"w:{kind} {len(core)} {' '.join(rest)}" for rest in combinations(core, len(core) - EDITS)}
+    codes, keys = [consonants(w) for w in core], set()
+    for k in range(len(core)):
+        rest = " ".join(core[:k] + core[k + 1 :])
+        keys |= {f"o:{kind} {len(core)} {rest} {c}" for c in less(codes[k], EDITS)}
+    full = [consonants(w, vowels=True) for w in core]
+    for j, k in combinations(range(len(core)), 2):
+        rest = " ".join(full[i] for i in range(len(core)) if i not in (j, k))
+        keys |= {f"t:{kind} {rest} {a} {b}" if a < b else f"t:{kind} {rest} {b} {a}" for a in less(full[j], 1) for b in less(full[k], 1)}
     return keys
 
 
@@ -145,19 +160,25 @@ def fits(short: list[str], skind: str, core: list[str], kind: str) -> float:
 
 
 def _keyed(forms: DataFrame, keys) -> DataFrame:
-    """(key, node, core, kind) for each key of each form."""
+    """(key, node) for each key of each form, keys as numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, n, c, d) for n, c, d in zip(b["node"], b["core"], b["kind"]) for k in keys(c.split(" "), d)]
-            yield pd.DataFrame(rows, columns=["key", "node", "core", "kind"])
+            for lo in range(0, len(b), 2000):
+                part = b.iloc[lo : lo + 2000]
+                rows = [(k, n) for n, c, d in zip(part["node"], part["core"], part["kind"]) for k in keys(c.split(" "), d)]
+                yield pd.DataFrame(rows, columns=["key", "node"])
+
+    return forms.transform(shipped).mapInPandas(run, "key string, node string").select(F.xxhash64("key").alias("key"), "node")
+
 
-    return forms.transform(shipped).mapInPandas(run, "key string, node string, core string, kind string")
+def _read_node(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"core": F.substring_index("node", "|", 1), "kind": F.substring_index("node", "|", -1)})
 
 
-def _pieces(rows: DataFrame, side: str) -> DataFrame:
-    """`piece` a row belongs to within its block: blocks up to PIECE rows have one."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+def _pieces(rows: DataFrame, side: str, least: int = 1) -> DataFrame:
+    """`piece` a row belongs to within its block: blocks up to PIECE rows have one. Blocks of under `least` rows are left out."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     n = F.ceil(F.col("size") / PIECE).cast("int")
     return rows.join(sizes, "key").withColumn("pieces", n).withColumn(side, F.pmod(F.xxhash64("node"), n).cast("int")).drop("size")
 
@@ -203,7 +224,7 @@ def pairs(forms: DataFrame) -> DataFrame:
 
     A block larger than PIECE is cut into pieces, and each two pieces meet in a task of their own, so no task holds a large block.
     """
-    rows = _pieces(_keyed(forms, block_keys), "piece")
+    rows = _read_node(_pieces(_keyed(forms, block_keys).repartition("key"), "piece", least=2))
     # a row of piece i goes to the tasks (i, j) and (j, i) of every j
     meet = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     meet = meet.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", "node", "core", "kind")
@@ -248,13 +269,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def attach(short: DataFrame, forms: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label) of each shortened name that fits exactly one cluster best."""
-    right = _keyed(forms, full_keys)
     left = _keyed(short, short_keys)
+    right = _keyed(forms, full_keys).join(left.select("key").distinct(), "key", "left_semi")  # most keys of full names are looked up by none
     # both sides of a key meet in pieces of the full names: a shortened name goes to each of them
     right = _pieces(right, "piece")
     n = right.groupBy("key").agg(F.max("pieces").alias("pieces"))
     left = left.join(n, "key").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cols = ["key", "piece", "node", "core", "kind"]
+    cols = ["key", "piece", "node"]
     both = left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
     # full names first; the shortened ones then pass by one at a time and aren't held
     both = both.repartition("key", "piece").sortWithinPartitions("key", "piece", F.desc("side"))
@@ -262,7 +283,8 @@ def attach(short: DataFrame, forms: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, fulls, out = None, [], []
         for b in batches:
-            for key, piece, node, core, kind, side in b.itertuples(index=False, name=None):
+            for key, piece, node, side in b.itertuples(index=False, name=None):
+                core, kind = node.rsplit("|", 1)
                 if (key, piece) != at:
                     at, fulls = (key, piece), []
                 if side:
