@@ -22,6 +22,8 @@ from heronry.session import cut, shipped, table
 
 #: Forms of a block compared in one piece; larger blocks are cut, and every piece meets every other.
 PIECE = 256
+#: Groups of fewer forms are compared outright.
+FEW = 12
 #: Likeness of names that differ by more edits than allowed.
 ENOUGH = 1.0 - (EDITS + 0.5) / 10
 
@@ -105,6 +107,12 @@ def alike(a: list[str], b: list[str]) -> float:
     return best if best > ENOUGH else 0.0
 
 
+@lru_cache(maxsize=500_000)
+def _alike(a: str, b: str) -> float:
+    """`alike` of two names as written: most pairs share several keys."""
+    return alike(a.split(" "), b.split(" "))
+
+
 def short_keys(core: list[str], kind: str) -> set[str]:
     """What a shortened name looks up."""
     if len(core) == 1:
@@ -169,7 +177,13 @@ def _keyed(forms: DataFrame, keys) -> DataFrame:
                 rows = [(k, n) for n, c, d in zip(part["node"], part["core"], part["kind"]) for k in keys(c.split(" "), d)]
                 yield pd.DataFrame(rows, columns=["key", "node"])
 
-    return forms.transform(shipped).mapInPandas(run, "key string, node string").select(F.xxhash64("key").alias("key"), "node")
+    # few forms have many keys: a partition that is small for a shuffle isn't for them
+    return _many(forms, "node").transform(shipped).mapInPandas(run, "key string, node string").select(F.xxhash64("key").alias("key"), "node")
+
+
+def _many(rows: DataFrame, *by: str) -> DataFrame:
+    """`rows` in as many partitions as keep the cores busy, which aren't put together again for being small."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *by)
 
 
 def _read_node(rows: DataFrame) -> DataFrame:
@@ -205,6 +219,11 @@ def near(group: list[tuple], same_piece: bool) -> Iterator[tuple[int, int]]:
     """
     if len(group) < 2:
         return
+    if len(group) < FEW:
+        for (i, a), (j, b) in combinations(enumerate(group), 2):
+            if a[6] == b[6] and abs(len(a[5]) - len(b[5])) <= EDITS and (same_piece or a[3] != b[3]):
+                yield i, j
+        return
     counts = np.stack([letters(r[5]) for r in group])
     sizes = np.array([len(r[5]) for r in group])
     kinds = np.unique([r[6] for r in group], return_inverse=True)[1]
@@ -236,13 +255,13 @@ def pairs(forms: DataFrame) -> DataFrame:
             out = []
             for i, j in near(group, same_piece=group[0][1] == group[0][2]):
                 n, m = group[i][4], group[j][4]
-                if n != m and alike(group[i][5].split(" "), group[j][5].split(" ")):
+                if n != m and _alike(group[i][5], group[j][5]):
                     out.append((n, m) if n < m else (m, n))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     by = ["key", "lo", "hi"]
-    return meet.repartition(*by).sortWithinPartitions(*by).transform(shipped).mapInPandas(run, "a string, b string").distinct()
+    return _many(meet, *by).sortWithinPartitions(*by).transform(shipped).mapInPandas(run, "a string, b string").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
