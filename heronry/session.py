@@ -70,10 +70,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str, factor: int = 3) -> DataFrame:
-    """Hash-repartition by `key` only where the scan has fewer splits than would keep the cores busy with Python work."""
+    """Hash-repartition by `key` only where the scan has fewer splits than would keep the cores busy with Python work.
+
+    Splits of fewer files than cores may have nothing to read, as a row group isn't split: these must be twice the cores.
+    """
     ship(df.sparkSession)
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * par else df.repartition(factor * par, key)
+    splits = df.rdd.getNumPartitions()
+    busy = splits >= 2 * par or (splits >= par and len(df._jdf.inputFiles()) >= par)
+    return df if busy else df.repartition(factor * par, key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
