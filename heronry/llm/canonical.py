@@ -23,16 +23,20 @@ def _norm(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(translate(lower({c}), '{_ACCENTED}', '{_PLAIN}'), '\\pM', ''), '[\\s\\u00a0\\u200b]+', ' '))"
 
 
+#: Edits allowed for names from a length on; shorter ones, codes mostly, must be exact.
+ALLOWED = ((9, 3), (6, 2), (4, 1))
+
+
 def edits(length: str) -> str:
-    """Edits allowed for a name of this length: names of under six letters, codes mostly, must be exact."""
-    return f"CASE WHEN {length} >= 9 THEN 3 WHEN {length} >= 6 THEN 2 ELSE 0 END"
+    """Edits allowed for a name of this length."""
+    return f"CASE {' '.join(f'WHEN {length} >= {n} THEN {k}' for n, k in ALLOWED)} ELSE 0 END"
 
 
 def pigeonhole(spark: SparkSession, values: DataFrame, names: DataFrame) -> DataFrame:
     """(value, name, dist): all pairs of a value and a name within the edits that the name's length allows.
 
     `values` has `value`, `names` has `name`; nulls match nothing and repeated ones count once. Equal strings are pairs of distance 0.
-    Names of under six characters match only as they are. The join's keys are short substrings; both sides may be large.
+    Names of under four characters match only as they are. The join's keys are short substrings; both sides may be large.
     """
     return spark.sql(
         f"""
@@ -42,7 +46,7 @@ def pigeonhole(spark: SparkSession, values: DataFrame, names: DataFrame) -> Data
           FROM (SELECT *, explode(sequence(0, k)) AS i FROM n WHERE k > 0)),
         -- for each length and piece, the places where the piece can stand if the edits left of it and right of it are at most k in all
         place AS (SELECT value, l, len, k, i, CAST(floor(i * len / (k + 1)) AS INT) AS s, CAST(floor((i + 1) * len / (k + 1)) - floor(i * len / (k + 1)) AS INT) AS w
-          FROM (SELECT *, explode(sequence(0, k)) AS i FROM (SELECT *, {edits("len")} AS k FROM (SELECT *, explode(sequence(greatest(6, l - 3), l + 3)) AS len FROM v WHERE l >= 4)) WHERE abs(l - len) <= k)),
+          FROM (SELECT *, explode(sequence(0, k)) AS i FROM (SELECT *, {edits("len")} AS k FROM (SELECT *, explode(sequence(greatest({ALLOWED[-1][0]}, l - {ALLOWED[0][1]}), l + {ALLOWED[0][1]})) AS len FROM v WHERE l >= {ALLOWED[-1][0] - ALLOWED[-1][1]})) WHERE abs(l - len) <= k)),
         start AS (SELECT value, l, len, k, i, w, explode(sequence(lo, hi)) AS at
           FROM (SELECT *, greatest(0, s - i, s + (l - len) - (k - i)) AS lo, least(l - w, s + i, s + (l - len) + (k - i)) AS hi FROM place) WHERE lo <= hi),
         met AS (SELECT DISTINCT x.value, p.name, p.k FROM (SELECT value, len, i, substring(value, at + 1, w) AS part FROM start) x JOIN piece p ON x.len = p.len AND x.i = p.i AND x.part = p.part)
@@ -83,8 +87,7 @@ def place_of(spark: SparkSession, typed: DataFrame, places: DataFrame) -> DataFr
     return spark.sql(
         """
         WITH best AS (SELECT value, name, dist FROM (SELECT *, min(dist) OVER (PARTITION BY value) AS low FROM {near}) WHERE dist = low),
-        hit AS (SELECT p.location, n.kind, n.place_id, n.region, n.country_code, b.dist FROM {parts} p JOIN best b ON p.value = b.value JOIN {names} n ON b.name = n.name
-          WHERE n.kind = 'city' OR b.dist <= CASE WHEN length(n.name) >= 6 THEN 1 ELSE 0 END),
+        hit AS (SELECT p.location, n.kind, n.place_id, n.region, n.country_code, b.dist FROM {parts} p JOIN best b ON p.value = b.value JOIN {names} n ON b.name = n.name),
         said AS (SELECT location, collect_set(upper(value)) AS codes FROM {parts} WHERE length(value) = 2 GROUP BY location),
         land AS (SELECT location, collect_set(country_code) AS lands, min(place_id) AS land_id FROM hit WHERE kind = 'country' GROUP BY location),
         city AS (SELECT h.location, h.place_id, h.dist, CASE WHEN array_contains(s.codes, h.region) THEN 0 ELSE 1 END AS off
@@ -102,7 +105,7 @@ def canonical(spark: SparkSession, jobs: DataFrame, places: DataFrame) -> DataFr
     """(id, place_id): the listed place each posting's location names, 0 where it names none.
 
     Locations that are null or blank give no row. The nearest listed name counts, at most 3 edits off (2 under nine
-    letters, none under six); of several cities of a name one in a stated country counts, then one in a stated region, then
+    letters, 1 under six, none under four); of several cities of a name one in a stated country counts, then one in a stated region, then
     the smallest place_id. If the country named doesn't list the city, or only a country can be told, the country's row. Repeated rows give
     one row; other columns are ignored; with an empty list every row is 0. Locations are made distinct before anything is compared.
     """

@@ -321,7 +321,7 @@ def test_pigeonhole_loses_nothing(spark):
     v = spark.createDataFrame([(x,) for x in [*typed, None, ""]], "value string")
     n = spark.createDataFrame([(x,) for x in [*listed, None, listed[0]]], "name string")
     got = {(r.value, r.name): r.dist for r in canonical.pigeonhole(spark, v, n).collect()}
-    k = lambda s: 3 if len(s) >= 9 else 2 if len(s) >= 6 else 0
+    k = lambda s: next((k for n, k in canonical.ALLOWED if len(s) >= n), 0)
     want = {(a, b): _lev(a, b) for a in set(typed) for b in set(listed) if _lev(a, b) <= k(b)}
     assert got == want
 
@@ -329,6 +329,16 @@ def test_pigeonhole_loses_nothing(spark):
 PLACES = "place_id long, city string, region string, country_code string, country_name string, alt_names string"
 
 
+def test_short_names_may_be_misspelt(spark):
+    names_ = spark.createDataFrame([("paris",), ("peru",), ("usa",), ("lagos",)], "name string")
+    values = spark.createDataFrame([("pariss",), ("pars",), ("perru",), ("per",), ("usb",), ("usa",), ("lag0s",), ("prs",), (None,)], "value string")
+    got = {(r.value, r.name, r.dist) for r in canonical.pigeonhole(spark, values, names_).collect()}
+    assert got == {("pariss", "paris", 1), ("pars", "paris", 1), ("perru", "peru", 1), ("per", "peru", 1), ("usa", "usa", 0), ("lag0s", "lagos", 1)}
+    lists = spark.createDataFrame([(1, "Delhi", "DL", "IN", "India", None), (9001, None, None, "IN", "India", None), (9002, None, None, "JP", "Japan", None)], "place_id long, city string, region string, country_code string, country_name string, alt_names string")
+    jobs = spark.createDataFrame([(1, "Indai x"), (2, "Inda"), (3, "Jappan"), (4, "Dehli, India"), (5, "Delhl, Inndia"), (6, "jp")], "id long, location string")
+    assert {r.id: r.place_id for r in canonical.canonical(spark, jobs, lists).collect()} == {1: 0, 2: 9001, 3: 9002, 4: 9001, 5: 1, 6: 9002}
+
+
 def test_places(spark):
     p = spark.createDataFrame([(1, "Brebkumdreb", "NF", "SE", "Sweden", "RHD"), (2, "Brebkumdreb", "WW", "ES", "Spain", None), (3, "Port Manbrarten", "NX", "JP", "Japan", None), (9001, None, None, "SE", "Sweden", "Sverige"), (9002, None, None, "ES", "Spain", "España"), (9003, None, None, "JP", "Japan", None), (9004, None, None, "FR", "France", None)], PLACES)
     cases = {"Brebkumdreb": 1, "brebkumdrib , ES": 2, "Brebkumderb, WW": 2, "12345 BREBKUMDREB, Sverige": 1, "RHD": 1, "Brebkumdreb, France": 9004, "Hybrid - Greater Port Manbarten (2 days on site)": 3, "Remote - España": 9002, "Nowhere, SE": 9001, "Remote": 0, "TBC": 0, "Port  Manbrarten office; Port Manbrarten": 3}
