@@ -253,9 +253,12 @@ def _(m: Model) -> DataFrame:
     return visits.record_board(j.drop("id"), listing, "jobhub/all", None, NOW)[1].select("total", "new", "closed")
 
 
-@query("K9_micro_batches", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+@query("K9_micro_batches", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def _(m: Model) -> DataFrame:
-    from heronry.plans.live import _once, _stream
-    from heronry.streaming.live import latest_status
+    from heronry.plans.live import _fresh, _stream
+    from heronry.streaming.live import last_batch, merge_batch, run_once
 
-    return _once(m, "micro", latest_status(_stream(m)), "complete").select("user_id", "event_id")
+    name = _fresh("micro")
+    target = f"{checkpoint_dir(m.spark)}/{name}-snapshot"
+    run_once(_stream(m).select("user_id", "event_id", "event_type", "value"), name, merge_batch(target, ["user_id"], "event_id"))
+    return last_batch(m.spark, target)

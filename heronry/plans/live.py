@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,6 @@ from heronry.plans.model import Model, registry
 from heronry.streaming import live
 
 QUERIES, SQL, query = registry()
-_COUNT = 0
 
 
 def _stream(m: Model, after: int = -1) -> DataFrame:
@@ -25,39 +24,36 @@ def _stream(m: Model, after: int = -1) -> DataFrame:
     return live.tail(m.spark, path, after=after)
 
 
-def _once(m: Model, name: str, stream: DataFrame, mode: str = "append") -> DataFrame:
-    global _COUNT
-    _COUNT += 1
-    return live.run_once(stream, f"{name}_{os.getpid()}_{_COUNT}_{abs(hash(re.sub(r'[^a-z0-9]', '', m.dir))) % 10**8}", mode=mode)
+def _fresh(name: str) -> str:
+    return f"{name}_{uuid.uuid4().hex}"
 
 
 @query("K1_tail", "SELECT event_id, event_type FROM events WHERE event_id > 100")
 def _(m: Model) -> DataFrame:
-    return _once(m, "tail", _stream(m, 100).select("event_id", "event_type"))
+    return live.run_once(_stream(m, 100).select("event_id", "event_type"), _fresh("tail"))
 
 
 @query("K2_carried_rates", "SELECT event_id, user_id, round(greatest(value, 0) / (dt / 1000.0::DOUBLE), 9) AS rate FROM (SELECT *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS dt FROM events) WHERE dt > 0")
 def _(m: Model) -> DataFrame:
-    return _once(m, "rates", live.carried_rates(_stream(m))).select("event_id", "user_id", F.round("rate", 9).alias("rate"))
+    return live.carried_rates(_stream(m), _fresh("rates")).select("event_id", "user_id", F.round("rate", 9).alias("rate"))
 
 
 @query("K4_buckets", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS t, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(m: Model) -> DataFrame:
-    # complete mode also gives the windows that the watermark hasn't passed at the end
-    b = _once(m, "buckets", live.bucket_activity(_stream(m)), "complete")
+    # updates also tell of the windows that the watermark hasn't passed at the end
+    b = live.run_once(live.bucket_activity(_stream(m)), _fresh("buckets"), keys=["start", "event_type"])
     return b.select(F.unix_millis("start").alias("t"), "event_type", "n")
 
 
 @query("K5_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS t, count(*) AS n FROM s GROUP BY user_id, k")
 def _(m: Model) -> DataFrame:
-    # sessions over the finished table: the same expression as in the stream
-    e = m.events.withColumn("at", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.min("at").alias("first")).select("user_id", F.unix_millis("first").alias("t"), "n")
+    # session windows give no updates; the whole result also has the sessions that are still open at the end
+    return live.run_once(live.sessions(_stream(m)), _fresh("sessions"), whole=True).select("user_id", F.unix_millis("start").alias("t"), "n")
 
 
 @query("K6_latest_status", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def _(m: Model) -> DataFrame:
-    return _once(m, "status", live.latest_status(_stream(m)), "complete")
+    return live.run_once(live.latest_status(_stream(m)), _fresh("status"), keys=["user_id"])
 
 
 @query("K8_by_id", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")

@@ -131,7 +131,11 @@ def test_streams_equal_batches(spark, tmp_path):
     rows = spark.range(300).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 600).cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 1.5).alias("value"), F.lit("{}").alias("props"))
     for k in range(3):
         rows.where(f"event_id div 100 = {k}").coalesce(1).write.mode("append").parquet(src)
-    got = live.run_once(live.carried_rates(live.tail(spark, src, files=1)), f"t{tmp_path.name.replace('-', '_')}")
+    got = live.carried_rates(live.tail(spark, src, files=1), f"t{tmp_path.name.replace('-', '_')}")
+    assert live.run_once(live.latest_status(live.tail(spark, src, files=1)), "s" + tmp_path.name, keys=["user_id"]).count() == len({r.user_id for r in spark.read.parquet(src).collect()})
+    whole = spark.read.parquet(src).withColumn("at", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("at", "6 hours")).agg(F.count("*").alias("n"))
+    assert sorted((r.user_id, r.n) for r in live.run_once(live.sessions(live.tail(spark, src, files=1)), "w" + tmp_path.name, whole=True).collect()) == sorted((r.user_id, r.n) for r in whole.collect())
+    assert live.carried_rates(live.tail(spark, src, after=10**9), "none" + tmp_path.name).count() == 0
     assert got.count() == 300 - 7
     target = str(tmp_path / "snap")
     live.run_once(live.tail(spark, src, files=1), "snap" + tmp_path.name, each=live.merge_batch(target, ["user_id"], "event_id"))
