@@ -266,3 +266,27 @@ def test_boards_change(spark):
     f = boards.fetched(b, spark.createDataFrame([("lever/a", "ok", 4, None), ("lever/b", "gone", None, "B")], "key string, status string, job_count long, name string"), 50)
     assert {(r.key, r.last_fetched, r.last_status, r.job_count, r.name) for r in f.collect()} == {("lever/a", 50, "ok", 4, "A"), ("lever/b", 50, "gone", 3, "B")}
     assert boards.attributed(spark.createDataFrame([(1, None, None, None)], "id long, domain string, links array<struct<url:string,text:string>>, embeds array<string>")).count() == 0
+
+
+def test_text_index_follows_changes(spark, tmp_path):
+    """Whatever is added, changed and taken out, a search finds what one without an index finds in the texts as they are."""
+    from heronry.operators import fulltext
+
+    texts = {1: ("Data Engineer", "data data engineer"), 2: ("Engineer of data", None), 3: ("", "x"), 4: ("Café data-engineer", "data engineer data engineer"), 5: (None, None)}
+    cols = "id long, title string, description string"
+    fields = {c: F.col(c) for c in ("title", "description")}
+    rows = lambda t: spark.createDataFrame([(k, *v) for k, v in t.items()], cols)
+    index = fulltext.TextIndex(spark, str(tmp_path / "i"), fields).add(rows(texts))
+
+    def same(now: dict) -> None:
+        for words in (["data engineer"], ["cafe", "engineer"], ["data", "nothing"], ["..."], []):
+            found = {r.id for r in fulltext.hits(rows(now), fields, words).collect()}
+            assert {r.doc_id for r in index.hits(words).collect()} == found
+            want = {r.id: round(r.relevance, 9) for r in fulltext.bm25(rows(now), fields, words).collect()}
+            assert {r.doc_id: round(r.relevance, 9) for r in index.ranked(words).collect()} == want
+
+    same(texts)
+    index.add(rows({2: ("Data engineer", "cafe"), 6: ("data", "engineer")}), rows({4: ("", "")}))
+    same({k: v for k, v in texts.items() if k != 4} | {2: ("Data engineer", "cafe"), 6: ("data", "engineer")})
+    plan = index.postings(["data"])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:80]
