@@ -32,7 +32,8 @@ def upsert_jobs(current: DataFrame, seen: DataFrame, now: int) -> DataFrame:
     """Postings by url after a listing was seen: refreshed, reopened, or new; a domain or board that the listing lacks stays.
 
     Result: the columns of `seen` that `current` has, first_seen, last_seen, closed_at, is_new, and unchanged (whether what
-    was derived from the posting holds). Postings that weren't seen stay as they are, with both flags false.
+    was derived from the posting holds). Postings that weren't seen stay as they are, with both flags false. Where `current` has them, country_code and remote_mode of an unchanged posting stay if the listing has
+    none, and enrich_state and enrich_attempts of a changed one start again.
     """
     fields = [c for c in seen.columns if c in current.columns and c not in ("url", "id", "first_seen", "last_seen", "closed_at")]
     c, n = current.alias("c"), seen.dropDuplicates(["url"]).alias("n")
@@ -47,12 +48,32 @@ def upsert_jobs(current: DataFrame, seen: DataFrame, now: int) -> DataFrame:
         if f in fields:
             same = same & F.col(f"n.{f}").eqNullSafe(F.col(f"c.{f}"))
     was = F.col("c.first_seen")
+    for f in ("country_code", "remote_mode"):
+        if f in fields:
+            out[f] = F.when(~hit, F.col(f"c.{f}")).otherwise(F.coalesce(F.col(f"n.{f}"), F.when(same, F.col(f"c.{f}"))))
+    for f, start in (("enrich_state", "pending"), ("enrich_attempts", 0)):
+        if f in current.columns and f not in fields:
+            kept = ~hit | (was.isNotNull() & same)
+            out[f] = F.when(kept, F.col(f"c.{f}")).otherwise(F.lit(start))
     return both.select(
         "url", *[v.alias(k) for k, v in out.items()], F.coalesce(was, F.lit(now)).alias("first_seen"), F.when(hit, F.lit(now)).otherwise(F.col("c.last_seen")).alias("last_seen"),
         F.when(~hit, F.col("c.closed_at")).alias("closed_at"), (hit & was.isNull()).alias("is_new"), (hit & was.isNotNull() & same).alias("unchanged"),
     )
 
 
+#: What enrichment writes of a posting.
+ENRICHED = ("category", "seniority", "skills", "city", "region", "country_code", "lat", "lon", "remote_mode", "remote_regions", "salary_annual_min", "salary_annual_max", "salary_usd_annual")
+
+
+def write_enrichment(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """`jobs` after enrichment (id, the fields ENRICHED, state, counts): all fields and the state are replaced, also by nulls; an attempt that counts raises enrich_attempts."""
+    r = results.dropDuplicates(["id"]).select("id", F.struct(*ENRICHED, "state", "counts").alias("__r"))
+    j = jobs.join(r, "id", "left")
+    hit = F.col("__r").isNotNull()
+    new = {f: F.when(hit, F.col(f"__r.{f}")).otherwise(F.col(f)) for f in ENRICHED} | {"enrich_state": F.coalesce("__r.state", "enrich_state"), "enrich_attempts": F.col("enrich_attempts") + F.coalesce(F.col("__r.counts").cast("int"), F.lit(0))}
+    return j.withColumns(new).select(*jobs.columns)
+
+
 def close_missing(current: DataFrame, listing: DataFrame, board_key: str, now: int) -> DataFrame:
     """Open postings of a board whose url isn't in its listing are closed."""
     there = listing.select("url").distinct().withColumn("__there", F.lit(True))
@@ -127,9 +148,41 @@ def replace_boost(frontier: DataFrame, boosts: DataFrame) -> DataFrame:
     return j.withColumn("score", F.when(hit, F.col("score") - F.col("profile_boost") + F.col("__b")).otherwise(F.col("score"))).withColumn("profile_boost", F.when(hit, F.col("__b")).otherwise(F.col("profile_boost"))).drop("__b")
 
 
-def activate(profiles: DataFrame, profile_id: int | None) -> DataFrame:
-    """One profile is active, or none."""
-    return profiles.withColumn("active", F.col("id").eqNullSafe(F.lit(profile_id)))
+def _set(df: DataFrame, hit: Column, values: dict[str, Column]) -> DataFrame:
+    """`df` with new values where `hit` is true; null counts as false."""
+    return df.withColumns({k: F.when(F.coalesce(hit, F.lit(False)), v).otherwise(F.col(k)) for k, v in values.items() if k in df.columns})
+
+
+def activate(profiles: DataFrame, profile_id: int | None, now: int | None = None) -> DataFrame:
+    """One profile is active, or none. With a time, the one that is has it as updated_at, so that its ranking is stale."""
+    mine = F.col("id").eqNullSafe(F.lit(profile_id))
+    p = profiles.withColumn("active", mine)
+    return p if now is None else _set(p, mine, {"updated_at": F.lit(now)})
+
+
+def insert_profile(profiles: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """`profiles` with the one row of `new`, which is the active one then."""
+    rest = profiles.withColumn("active", F.lit(False))
+    return rest.unionByName(new.withColumns({"active": F.lit(True), "created_at": F.lit(now), "updated_at": F.lit(now)}), allowMissingColumns=True)
+
+
+def rename_profile(profiles: DataFrame, profile_id: int, name: str) -> DataFrame:
+    """A name doesn't affect ranking, so updated_at stays."""
+    return _set(profiles, F.col("id") == profile_id, {"name": F.lit(name)})
+
+
+def override_profile(profiles: DataFrame, profile_id: int, overrides: str | None, now: int) -> DataFrame:
+    return _set(profiles, F.col("id") == profile_id, {"overrides": F.lit(overrides), "updated_at": F.lit(now)})
+
+
+def mark_matched(profiles: DataFrame, profile_id: int, updated_at: int) -> DataFrame:
+    """Matches are those of the profile as it was at `updated_at`."""
+    return _set(profiles, F.col("id") == profile_id, {"matched_at": F.lit(updated_at)})
+
+
+def stale_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles whose matches are of an older version, or missing."""
+    return profiles.where("matched_at is null or matched_at < updated_at")
 
 
 def delete_cascade(profiles: DataFrame, matches: DataFrame, profile_id: int) -> tuple[DataFrame, DataFrame]:
@@ -171,3 +224,20 @@ def control(commands: DataFrame, started_at: int, done: DataFrame) -> DataFrame:
     j = commands.join(d, "id", "left")
     status = F.when(F.col("__s").isNotNull(), F.col("__s")).when((F.col("status") == "pending") & (F.col("ts") < started_at), "expired").otherwise(F.col("status"))
     return j.withColumn("status", status).drop("__s")
+
+
+#: What can be asked of a crawler.
+COMMANDS = ("pause", "resume", "stop")
+
+
+def submit(commands: DataFrame, command: str, now: int) -> DataFrame:
+    """`commands` with one more, pending, of the next id."""
+    if command not in COMMANDS:
+        raise ValueError(f"unknown command: {command}")
+    new = commands.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select("id", F.lit(now).alias("ts"), F.lit(command).alias("command"), F.lit("pending").alias("status"))
+    return commands.unionByName(new, allowMissingColumns=True)
+
+
+def pending(commands: DataFrame, limit: int = 100) -> DataFrame:
+    """(id, command) of what waits, oldest first; the command is null where it isn't known."""
+    return commands.where("status = 'pending'").select("id", F.when(F.col("command").isin(*COMMANDS), F.col("command")).alias("command")).orderBy("id").limit(limit)

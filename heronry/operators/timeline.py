@@ -52,11 +52,17 @@ def feed(log: DataFrame, newest: int = 300) -> DataFrame:
 
 
 def crawler_status(log: DataFrame, samples: DataFrame, now: int, stale_ms: int = STALE_MS) -> DataFrame:
-    """One row: running (started last, and a fresh sample) and the last start and stop."""
-    marks = log.agg(F.max(F.when(F.col("kind") == "crawler_started", F.col("id"))).alias("last_start"), F.max(F.when(F.col("kind") == "crawler_stopped", F.col("id"))).alias("last_stop"))
+    """One row: running (started last, and a fresh sample), paused (the last pause or resume since the start is a pause; with a `command` in the log), and the last start and stop."""
+    command = F.col("command") if "command" in log.columns else F.lit(None).cast("string")
+    asked = (F.col("kind") == "control_applied") & command.isin("pause", "resume")
+    marks = log.agg(
+        F.max(F.when(F.col("kind") == "crawler_started", F.col("id"))).alias("last_start"), F.max(F.when(F.col("kind") == "crawler_stopped", F.col("id"))).alias("last_stop"), F.max(F.when(asked, F.struct("id", command.alias("c")))).alias("asked"),
+    )
     fresh = samples.agg(F.max("ts").alias("last_sample"))
     started = F.col("last_start").isNotNull() & (F.col("last_start") > F.coalesce("last_stop", F.lit(-1)))
-    return marks.crossJoin(fresh).withColumn("running", F.coalesce(started & (F.col("last_sample") >= now - stale_ms), F.lit(False)))
+    both = marks.crossJoin(fresh).withColumn("running", F.coalesce(started & (F.col("last_sample") >= now - stale_ms), F.lit(False)))  # one row each
+    held = F.col("running") & (F.col("asked.c") == "pause") & (F.col("asked.id") > F.col("last_start"))
+    return both.withColumn("paused", F.coalesce(held, F.lit(False))).drop("asked")
 
 
 def stop_at_bytes(samples: DataFrame, most: int) -> DataFrame:

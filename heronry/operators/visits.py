@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronry.operators.merge import close_missing, fold_domains, latest_per_key, replace, upsert_jobs
+from heronry.operators.merge import close_missing, enqueue, fold_domains, insert_missing, latest_per_key, replace, upsert_jobs
 
 
 def classify_update(domains: DataFrame, pages: DataFrame) -> DataFrame:
@@ -40,6 +40,33 @@ def record(pages: DataFrame, domains: DataFrame, visits: DataFrame, now: int) ->
     return replace(pages, rows, ["url"]), doms, events
 
 
+def domain_id(host: Column) -> Column:
+    """The id of a domain that is seen first: a number of its host, so that it's the same wherever it's made."""
+    return F.abs(F.xxhash64(host) % (2**62))
+
+
+def record_links(pages: DataFrame, domains: DataFrame, page_links: DataFrame, edges: DataFrame, frontier: DataFrame, now: int, most: int = 500) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(domains, page_links, edges, frontier) after the links of pages (page_id, domain, depth, links: structs url, text, target, score) were found.
+
+    Of a page's links the first `most` count (the reference's bound); each is kept once a page. Other domains that are linked to become known, and the edge from the page's domain to each gets one more for every link; links with a
+    score are queued, one deeper, and raise the score of those that wait. `target` is null for blocked sites and what has no domain.
+    """
+    each = pages.select("page_id", "domain", "depth", F.posexplode(F.slice("links", 1, most)).alias("pos", "l")).select("page_id", "domain", "depth", "pos", "l.*")
+    outside = each.where("target is not null and target <> domain")
+    hosts = each.select(F.col("domain").alias("host")).unionByName(outside.select(F.col("target").alias("host"))).distinct()
+    new = hosts.join(domains.select("host"), "host", "left_anti").select(domain_id(F.col("host")).alias("id"), "host", F.lit("discovered").alias("status"), F.lit(now).alias("first_seen"))
+    doms = domains.unionByName(new, allowMissingColumns=True)
+    ids = doms.select("id", "host")
+    pairs = outside.groupBy("domain", "target").agg(F.count("*").alias("n"))
+    src, dst = ids.select(F.col("id").alias("src_domain_id"), F.col("host").alias("domain")), ids.select(F.col("id").alias("dst_domain_id"), F.col("host").alias("target"))
+    more = pairs.join(src, "domain").join(dst, "target").select("src_domain_id", "dst_domain_id", F.col("n").alias("weight"), F.lit(now).alias("first_seen"))
+    after = edges.select("src_domain_id", "dst_domain_id", "weight", "first_seen").unionByName(more).groupBy("src_domain_id", "dst_domain_id").agg(F.sum("weight").alias("weight"), F.min("first_seen").alias("first_seen"))
+    found = each.groupBy(F.col("page_id").alias("src_page_id"), F.col("url").alias("dst_url")).agg(F.min_by(F.struct(F.col("text").alias("anchor"), F.col("score").alias("link_score")), "pos").alias("r")).select("src_page_id", "dst_url", "r.*")
+    links = insert_missing(page_links, found, ["src_page_id", "dst_url"])
+    queue = enqueue(frontier, each.where("score is not null").select("url", "score", (F.col("depth") + 1).alias("depth")))
+    return doms, links, after, queue
+
+
 def record_board(jobs: DataFrame, listing: DataFrame, board_key: str, domain_id: int | None, now: int) -> tuple[DataFrame, DataFrame]:
     """(jobs, event) after a board's listing: postings refreshed or added, missing ones closed; the event has total, new and closed."""
     seen = listing.withColumn("board_key", F.lit(board_key)).withColumn("domain_id", F.lit(domain_id).cast("long"))

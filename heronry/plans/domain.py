@@ -11,7 +11,7 @@ from heronry.functions import enrich as E
 from heronry.functions import links as L
 from heronry.functions import urls as U
 from heronry.functions.text import json_list
-from heronry.operators import boards, catalog, graph, matching, merge, search, timeline
+from heronry.operators import boards, catalog, graph, matching, merge, search, timeline, visits
 from heronry.operators.sequences import pair_runs
 from heronry.plans.model import NOW, Model, first_match_sql, has_word_sql, registry, words_sql
 from heronry.session import checkpoint_dir
@@ -351,7 +351,14 @@ def _(m: Model) -> DataFrame:
 
 @query("I21_crawler_status", "SELECT (SELECT max(id) FROM log WHERE kind = 'crawler_started') AS last_start, (SELECT max(id) FROM log WHERE kind = 'crawler_stopped') AS last_stop, (SELECT max(ts) FROM samples) AS last_sample, (SELECT max(id) FROM log WHERE kind = 'crawler_started') > (SELECT max(id) FROM log WHERE kind = 'crawler_stopped') AND (SELECT max(ts) FROM samples) >= 1706000000000 - 15000 AS running", "log", "samples")
 def _(m: Model) -> DataFrame:
-    return timeline.crawler_status(m.log, m.samples, 1_706_000_000_000)
+    return timeline.crawler_status(m.log, m.samples, 1_706_000_000_000).drop("paused")
+
+
+@query("I21_paused", "WITH c AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'control_applied' ELSE kind END AS kind, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 8 = 0 THEN 'pause' ELSE 'resume' END END AS command FROM log), s AS (SELECT max(id) AS s FROM c WHERE kind = 'crawler_started') SELECT (SELECT max(id) FROM c WHERE kind = 'crawler_stopped') < s AS running, coalesce((SELECT max(id) FROM c WHERE kind = 'crawler_stopped') < s AND (SELECT arg_max(command, id) FROM c WHERE command IS NOT NULL AND id > s) = 'pause', false) AS paused FROM s", "log")
+def _(m: Model) -> DataFrame:
+    applied = F.col("id") % 4 == 0
+    log = m.log.withColumns({"kind": F.when(applied, "control_applied").otherwise(F.col("kind")), "command": F.when(applied, F.when(F.col("id") % 8 == 0, "pause").otherwise("resume"))})
+    return timeline.crawler_status(log, m.samples, 0).select("running", "paused")
 
 
 @query("I22_domain_detail", "SELECT (SELECT count(*) FROM parsed_pages WHERE domain_id = 2) AS pages, (SELECT count(*) FROM jobs WHERE domain_id = 2 AND closed_at IS NULL) AS open_jobs, (SELECT count(*) FROM edges WHERE dst_domain_id = 2) AS inbound, (SELECT count(*) FROM edges WHERE src_domain_id = 2) AS outbound", "edges")
@@ -473,13 +480,19 @@ def _(m: Model) -> DataFrame:
     return merge.reset_in_flight(merge.revive_deferred(f, 2)).select("url", "score", "state")
 
 
-@query("J3_upsert_jobs", "SELECT j.url, CASE WHEN id % 4 = 0 THEN j.title || ' (new)' ELSE j.title END AS title, coalesce(first_seen, 5) AS first_seen, CASE WHEN id % 4 IN (0, 1) THEN 5 ELSE last_seen END AS last_seen, CASE WHEN id % 4 IN (0, 1) THEN NULL ELSE closed_at END AS closed_at, id % 4 = 1 AS unchanged FROM jobs j WHERE url IS NOT NULL UNION ALL SELECT 'n' || id, 'fresh', 5, 5, NULL, false FROM domains")
+_CHANGED = ("title", "location", "department", "salary_min", "salary_max", "salary_currency", "salary_period")
+
+
+@query("J3_upsert_jobs", "SELECT url, title, coalesce(first_seen, 5) AS first_seen, CASE WHEN k < 8 THEN 5 ELSE last_seen END AS last_seen, CASE WHEN k >= 8 THEN closed_at END AS closed_at, k = 7 AS unchanged, CASE WHEN k < 7 THEN 'pending' ELSE 'done' END AS enrich_state, CASE WHEN k < 7 THEN 0 ELSE 2 END AS enrich_attempts, CASE WHEN k < 7 THEN NULL ELSE country_code END AS country_code, department, salary_max, domain_id FROM (SELECT url, CASE WHEN id % 9 = 0 THEN coalesce(title, '') || ' (new)' ELSE title END AS title, first_seen, last_seen, closed_at, id % 9 AS k, country_code, CASE WHEN id % 9 = 2 THEN 'moved' ELSE department END AS department, CASE WHEN id % 9 = 4 THEN -1.0 ELSE salary_max END AS salary_max, domain_id FROM jobs WHERE url IS NOT NULL) UNION ALL SELECT 'n' || id, 'fresh', 5, 5, NULL, false, 'pending', 0, 'XX', NULL, NULL, NULL FROM domains")
 def _(m: Model) -> DataFrame:
-    j = m.jobs.where("url is not null").select("url", "title", "domain_id", "location", "first_seen", "last_seen", "closed_at", "id")
-    seen = j.where("id % 4 in (0, 1)").select("url", F.when(F.col("id") % 4 == 0, F.concat("title", F.lit(" (new)"))).otherwise(F.col("title")).alias("title"), F.lit(None).cast("long").alias("domain_id"), "location")
-    new = m.domains.select(F.concat(F.lit("n"), "id").alias("url"), F.lit("fresh").alias("title"), F.lit(None).cast("long").alias("domain_id"), F.lit(None).cast("string").alias("location"))
-    out = merge.upsert_jobs(j.drop("id"), seen.unionByName(new), 5)
-    return out.select("url", "title", "first_seen", "last_seen", "closed_at", "unchanged")
+    # of each nine postings one has each of the watched fields changed, one is seen unchanged, one isn't seen
+    j = m.jobs.where("url is not null").select("id", "url", *_CHANGED, "domain_id", "country_code", "first_seen", "last_seen", "closed_at").withColumns({"enrich_state": F.lit("done"), "enrich_attempts": F.lit(2)})
+    to = {"title": F.concat(F.coalesce("title", F.lit("")), F.lit(" (new)")), "location": F.lit("?"), "department": F.lit("moved"), "salary_min": F.lit(-1.0), "salary_max": F.lit(-1.0), "salary_currency": F.lit("?"), "salary_period": F.lit("?")}
+    seen = j.where("id % 9 < 8").withColumns({f: F.when(F.col("id") % 9 == k, to[f]).otherwise(F.col(f)) for k, f in enumerate(_CHANGED)}).withColumns({"domain_id": F.lit(None).cast("long"), "country_code": F.lit(None).cast("string")})
+    cols = ["url", *_CHANGED, "domain_id", "country_code"]
+    new = m.domains.select(F.concat(F.lit("n"), "id").alias("url"), F.lit("fresh").alias("title"), F.lit("XX").alias("country_code"))
+    out = merge.upsert_jobs(j.drop("id"), seen.select(*cols).unionByName(new, allowMissingColumns=True), 5)
+    return out.select("url", "title", "first_seen", "last_seen", "closed_at", "unchanged", "enrich_state", "enrich_attempts", "country_code", "department", "salary_max", "domain_id")
 
 
 @query("J4_close_missing", "SELECT id, CASE WHEN board_key = 'jobhub/all' AND closed_at IS NULL AND id % 3 <> 0 THEN 9 ELSE closed_at END AS closed_at FROM jobs")
@@ -535,16 +548,53 @@ def _(m: Model) -> DataFrame:
     return merge.replace(stored, again, ["profile_id", "job_id"])
 
 
-@query("J11_profiles", "SELECT DISTINCT profile_id AS id, profile_id = 3 AS active FROM job_matches WHERE profile_id IS NOT NULL AND profile_id <> 4")
+@query("J11_profiles", "WITH p AS (SELECT DISTINCT profile_id AS id FROM job_matches WHERE profile_id IS NOT NULL AND profile_id <> 4) SELECT id, false AS active, CASE WHEN id = 5 THEN 'Renamed' ELSE 'p' || id END AS name, CASE WHEN id = 6 THEN '{}' END AS overrides, CASE WHEN id = 6 THEN 20 WHEN id = 3 THEN 30 ELSE 1 END AS updated_at, CASE WHEN id = 7 THEN 1 END AS matched_at FROM p UNION ALL SELECT -1, true, 'New', NULL, 40, NULL")
 def _(m: Model) -> DataFrame:
+    none = F.lit(None)
     p = m.job_matches.where("profile_id is not null").select(F.col("profile_id").alias("id")).distinct()
-    return merge.activate(merge.delete_cascade(p, m.matches, 4)[0], 3).select("id", "active")
-
-
-@query("J12_enrich_write", "SELECT id, CASE WHEN id % 2 = 0 THEN 'x' ELSE category END AS category FROM jobs")
-def _(m: Model) -> DataFrame:
-    j = m.jobs.select("id", "category")
-    return merge.replace(j, j.where("id % 2 = 0").withColumn("category", F.lit("x")), ["id"])
+    p = p.withColumns({"active": F.lit(False), "name": F.concat(F.lit("p"), "id"), "overrides": none.cast("string"), "updated_at": F.lit(1), "matched_at": none.cast("int")})
+    p = merge.override_profile(merge.rename_profile(merge.delete_cascade(p, m.matches, 4)[0], 5, "Renamed"), 6, "{}", 20)
+    p = merge.mark_matched(merge.activate(p, 3, 30), 7, 1)
+    new = m.spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("New").alias("name"))
+    return merge.insert_profile(p, new, 40).select("id", "active", "name", "overrides", "updated_at", "matched_at")
+
+
+@query("J12_enrich_write", "SELECT id, CASE WHEN id % 2 = 0 THEN 'x' ELSE category END AS category, CASE WHEN id % 2 <> 0 THEN skills END AS skills, CASE WHEN id % 2 = 0 THEN 1.5 END AS lat, CASE WHEN id % 2 = 0 THEN 9.0 END AS salary_usd_annual, CASE WHEN id % 6 = 0 THEN 'rules' WHEN id % 2 = 0 THEN 'done' ELSE 'pending' END AS enrich_state, CASE WHEN id % 6 = 0 THEN 2 ELSE 1 END AS enrich_attempts FROM jobs")
+def _(m: Model) -> DataFrame:
+    none = {f: F.lit(None) for f in ("city", "region", "remote_regions")} | {f: F.lit(None).cast("double") for f in ("lat", "lon", "salary_annual_min", "salary_annual_max", "salary_usd_annual")}
+    j = m.jobs.withColumns(none | {"enrich_state": F.lit("pending"), "enrich_attempts": F.lit(1)})
+    values = {f: F.lit(None).cast(j.schema[f].dataType) for f in merge.ENRICHED} | {"category": F.lit("x"), "lat": F.lit(1.5), "salary_usd_annual": F.lit(9.0)}
+    r = j.where("id % 2 = 0").select("id", *[v.alias(f) for f, v in values.items()], F.when(F.col("id") % 3 == 0, "rules").otherwise("done").alias("state"), (F.col("id") % 3 == 0).alias("counts"))
+    return merge.write_enrichment(j, r).select("id", "category", "skills", "lat", "salary_usd_annual", "enrich_state", "enrich_attempts")
+
+
+@query("J13_submitted", f"SELECT id, command FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'pause' WHEN 1 THEN 'stop' END AS command FROM log WHERE id % 5 <> 0 UNION ALL SELECT max(id) + 1, 'resume' FROM log) ORDER BY id DESC LIMIT 100000", "log")
+def _(m: Model) -> DataFrame:
+    c = m.log.select("id", "ts", F.when(F.col("id") % 3 == 0, "pause").when(F.col("id") % 3 == 1, "stop").otherwise("dance").alias("command"), F.when(F.col("id") % 5 == 0, "done").otherwise("pending").alias("status"))
+    return merge.pending(merge.submit(c, "resume", NOW), 100_000)
+
+
+@query("J6_record_links", r"""WITH l AS (SELECT p.id, d.host, p.kind, t.k, CASE WHEN t.k % 3 = 0 THEN d.host WHEN t.k % 3 = 1 THEN 'to' || (p.id % 7) || '.example' END AS target FROM parsed_pages p JOIN domains d ON d.id = p.domain_id, range(0, 4) t(k))
+  SELECT 'edge' AS what, host AS a, target AS b, CAST(count(*) AS BIGINT) AS n FROM l WHERE target <> host GROUP BY host, target
+  UNION ALL SELECT 'link', CAST(id AS VARCHAR), NULL, 3 FROM (SELECT DISTINCT id FROM l) UNION ALL SELECT 'queued', 'https://x.example/' || (id % 50), NULL, max(id) FROM l GROUP BY id % 50
+  UNION ALL SELECT 'domain', host, NULL, 1 FROM (SELECT host FROM domains UNION SELECT target FROM l WHERE target IS NOT NULL)""")
+def _(m: Model) -> DataFrame:
+    # four links a page: to itself and to a queued page, to another site, to nothing, and the first again
+    own = F.concat(F.lit("https://x.example/"), F.col("id") % 50)
+    link = lambda u, target, score: F.struct(u.alias("url"), F.lit("go").alias("text"), target.alias("target"), score.alias("score"))
+    none = F.lit(None).cast("double")
+    other, host = F.concat(F.lit("to"), F.col("id") % 7, F.lit(".example")), F.col("domain")
+    links = F.array(link(own, host, F.col("id").cast("double")), link(F.concat(F.lit("https://"), other), other, none), link(F.lit("https://blocked/"), F.lit(None).cast("string"), none), link(own, host, none))
+    d = m.domains.select("id", "host")
+    pages = m.pages.join(d.select(F.col("id").alias("domain_id"), F.col("host").alias("domain")), "domain_id").select(F.col("id").alias("page_id"), "domain", F.lit(0).alias("depth"), links.alias("links"))
+    empty = lambda schema: m.spark.createDataFrame([], schema)
+    doms, found, edges, queue = visits.record_links(pages, d, empty("src_page_id long, dst_url string, anchor string, link_score double"), empty("src_domain_id long, dst_domain_id long, weight long, first_seen int"), empty("url string, score double, depth int, state string"), 1)
+    names = lambda side: doms.select(F.col("id").alias(f"{side}_domain_id"), F.col("host").alias(side))
+    no = F.lit(None).cast("string")
+    out = edges.join(names("src"), "src_domain_id").join(names("dst"), "dst_domain_id").select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("n"))
+    out = out.unionByName(found.groupBy("src_page_id").agg(F.count("*").alias("n")).select(F.lit("link").alias("what"), F.col("src_page_id").cast("string").alias("a"), no.alias("b"), "n"))
+    out = out.unionByName(queue.select(F.lit("queued").alias("what"), F.col("url").alias("a"), no.alias("b"), F.col("score").cast("long").alias("n")))
+    return out.unionByName(doms.select(F.lit("domain").alias("what"), F.col("host").alias("a"), no.alias("b"), F.lit(1).cast("long").alias("n")))
 
 
 @query("J13_control", f"SELECT id, CASE WHEN id % 5 = 0 THEN 'done' WHEN ts < {T0} THEN 'expired' ELSE 'pending' END AS status FROM log", "log")
