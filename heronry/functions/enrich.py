@@ -87,10 +87,11 @@ def skills(title: Column | str, description: Column | str) -> Column:
     Tokens are looked up in a small map, so the text is split once and the plan stays small.
     """
     text = skill_words(F.concat_ws(" ", F.coalesce(col(title), F.lit("")), F.substring(F.coalesce(col(description), F.lit("")), 1, SCAN_CHARS)))
-    tokens = F.array_distinct(F.split(text, " "))
     order = {s: k for k, s in enumerate(SKILLS)}
     single = F.create_map(*[F.lit(x) for name, signs in SKILLS.items() for s in signs if " " not in s for x in (s, order[name])])
-    hits = F.transform(F.filter(tokens, lambda x: x.isin(*[s for signs in SKILLS.values() for s in signs if " " not in s])), lambda x: F.try_element_at(single, x))
+    # an intersection hashes the list once; what is left to look up are a few words
+    named = F.array_intersect(F.split(text, " "), F.array(*[F.lit(s) for signs in SKILLS.values() for s in signs if " " not in s]))
+    hits = F.transform(named, lambda x: F.try_element_at(single, x))
     padded = F.concat(F.lit(" "), text, F.lit(" "))
     phrases = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {s} ")), F.lit(order[name])) for name, signs in SKILLS.items() for s in signs if " " in s]))
     names = F.array(*[F.lit(s) for s in SKILLS])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions import urls as U
@@ -38,13 +38,13 @@ def _any_in(segs: Column, listed: Sequence[str]) -> Column:
     return F.arrays_overlap(segs, F.array(*[F.lit(x) for x in listed])) & (F.size(segs) > 0)
 
 
-def score_link(url: Column | str, anchor: Column | str, nofollow: Column | str, source_domain: Column | str, depth: Column | str, pages: Column | str, status: Column | str) -> Column:
+def score_link(url: Column | str | U.Parsed, anchor: Column | str, nofollow: Column | str, source_domain: Column | str, depth: Column | str, pages: Column | str, status: Column | str) -> Column:
     """Struct of score and reasons of a discovered link; null for a link never to be followed."""
     segs, target = U.segments(url), U.registrable_domain(url)
     last = F.try_element_at(segs, F.lit(-1))
     ending = F.when(F.contains(last, F.lit(".")), F.substring_index(last, ".", -1))
     looped = F.exists(segs, lambda s: F.size(F.filter(segs, lambda o: o == s)) >= 3)
-    never = (F.length(col(url)) > 2000) | U.is_blocked(url, target) | (F.size(segs) > 12) | looped | F.coalesce(ending.isin(*SKIPPED), F.lit(False)) | _any_in(segs, DROPPED)
+    never = (F.length(U.text_of(url)) > 2000) | U.is_blocked(url) | (F.size(segs) > 12) | looped | F.coalesce(ending.isin(*SKIPPED), F.lit(False)) | _any_in(segs, DROPPED)
     board = U.board(url).isNotNull()
     cm = U.careers_match(url, anchor)
     inside = target.eqNullSafe(col(source_domain)) & target.isNotNull()
@@ -114,8 +114,21 @@ TERMS = (
 WEIGHTS = {"org_json_ld": 0.25, "site_name": 0.05, "legal_suffix": 0.2, "copyright": 0.1, "careers_link": 0.2, "about_link": 0.1, "contact_link": 0.05, "privacy_link": 0.1, "terms_link": 0.05, "https": 0.05, "many_inbound": 0.1, "some_inbound": 0.05}
 
 
-def assess(url: Column, domain: Column, title: Column, text: Column, footer: Column, links: Column, has_org: Column, site_name: Column, inbound: Column) -> Column:
-    """Struct of score in [0, 1], signals, parked and conclusive of one page. `links` is an array of structs url, text."""
+def link_signals(pages: DataFrame) -> DataFrame:
+    """(id, found) of pages (id, domain, links: structs url, text): found tells whether a link leads to careers, about, contact, privacy and terms pages. Each link's url is taken apart once; flags are combined by page before the shuffle."""
+    each = pages.select("id", "domain", F.explode("links").alias("l")).select("id", "domain", F.col("l.url").alias("url"), F.lower(F.coalesce("l.text", F.lit(""))).alias("t"))
+    each, u = U.staged(each, "url")
+    inside, has, m = U.registrable_domain(u).eqNullSafe(F.col("domain")), lambda w: F.contains("t", F.lit(w)), U.careers_match(u, "t")
+    flags = {
+        "careers": (m["in_url"] | m["in_anchor"]) & (inside | U.board(u).isNotNull()), "about": inside & (has("about") | _any_in(U.segments(u), ABOUT)), "contact": inside & (has("contact") | _any_in(U.segments(u), CONTACT)),
+        "privacy": has("privacy") | F.exists(U.segments(u), lambda s: F.contains(s, F.lit("privacy"))), "terms": has("terms") | _any_in(U.segments(u), TERMS),
+    }
+    told = each.select("id", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
+    return told.groupBy("id").agg(*[F.max(k).alias(k) for k in flags]).select("id", F.struct(*flags).alias("found"))
+
+
+def assess(url: Column | str | U.Parsed, title: Column, text: Column, footer: Column, found: Column, links: Column, has_org: Column, site_name: Column, inbound: Column) -> Column:
+    """Struct of score in [0, 1], signals, parked and conclusive of one page. `found` is that of `link_signals`, null without any; `links` the number of its links."""
     empty = F.lit("")
     scan = F.lower(F.concat_ws(" ", F.substring(F.coalesce(text, empty), 1, 5000), F.coalesce(title, empty)))
     parked = F.lit(False)
@@ -124,30 +137,23 @@ def assess(url: Column, domain: Column, title: Column, text: Column, footer: Col
     foot = F.lower(F.coalesce(footer, empty))
     legal = _any_in(F.split(foot, r"[^\p{L}\p{N}]+"), LEGAL)
     rights = F.contains(foot, F.lit("©")) | F.contains(foot, F.lit("copyright")) | F.contains(foot, F.lit("(c) 20"))
-
-    def linked(test) -> Column:
-        return F.coalesce(F.exists(links, lambda x: F.coalesce(test(x["url"], F.lower(F.coalesce(x["text"], empty)), U.registrable_domain(x["url"]).eqNullSafe(domain)), F.lit(False))), F.lit(False))
-
-    def careers(u: Column, t: Column, inside: Column) -> Column:
-        m = U.careers_match(u, t)
-        return (m["in_url"] | m["in_anchor"]) & (inside | U.board(u).isNotNull())
-
+    linked = lambda k: F.coalesce(found[k], F.lit(False))
     inb = F.coalesce(inbound, F.lit(0))
     on = {
         "org_json_ld": F.coalesce(has_org, F.lit(False)),
         "site_name": site_name.isNotNull(),
         "legal_suffix": legal,
         "copyright": rights,
-        "careers_link": linked(careers),
-        "about_link": linked(lambda u, t, i: i & (F.contains(t, F.lit("about")) | _any_in(U.segments(u), ABOUT))),
-        "contact_link": linked(lambda u, t, i: i & (F.contains(t, F.lit("contact")) | _any_in(U.segments(u), CONTACT))),
-        "privacy_link": linked(lambda u, t, i: F.contains(t, F.lit("privacy")) | F.exists(U.segments(u), lambda s: F.contains(s, F.lit("privacy")))),
-        "terms_link": linked(lambda u, t, i: F.contains(t, F.lit("terms")) | _any_in(U.segments(u), TERMS)),
+        "careers_link": linked("careers"),
+        "about_link": linked("about"),
+        "contact_link": linked("contact"),
+        "privacy_link": linked("privacy"),
+        "terms_link": linked("terms"),
         "https": U.scheme(url) == "https",
         "many_inbound": inb >= 5,
         "some_inbound": (inb >= 2) & (inb < 5),
     }
-    thin = (F.octet_length(F.coalesce(text, empty)) < 300) & (F.coalesce(F.size(links), F.lit(0)) < 5)
+    thin = (F.octet_length(F.coalesce(text, empty)) < 300) & (F.coalesce(links, F.lit(0)) < 5)
     score = F.lit(0.0)
     for k, c in on.items():
         score = score + F.when(c, F.lit(WEIGHTS[k])).otherwise(0.0)

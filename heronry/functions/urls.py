@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.text import col, simplify
@@ -50,9 +52,46 @@ BLOCKED_BRANDS = (
 BLOCKED_HOSTS = ("apps.apple.com", "itunes.apple.com", "play.google.com")
 
 
-def part(url: Column | str, group: int) -> Column:
+class Parsed:
+    """A URL that is taken apart in a column of its own: what functions of URLs ask for are its fields, so that nothing is parsed twice."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.done: set[str] = set()  # fields that there are besides the parts
+
+    def __getitem__(self, field: str) -> Column:
+        return F.col(f"{self.name}.{field}")
+
+
+def staged(df: DataFrame, url: str, name: str = "__url") -> tuple[DataFrame, Parsed]:
+    """`df` with a column `name`, and the URL that functions of this module take instead of the column `url`."""
+    # one search for all parts: they stand in the result between signs that no URL has
+    raw = F.split(F.when(F.col(url).rlike(_URL), F.regexp_replace(F.col(url), _URL, "$1\u0001$2\u0001$3\u0001$4\u0001$5")), "\u0001")
+    bare = df.withColumn(name, raw)
+    get = lambda k: F.coalesce(F.try_element_at(name, F.lit(k)), F.lit(""))
+    parts = F.struct(F.col(url).alias("url"), *[get(k).alias(n) for k, n in enumerate(("scheme", "host", "port", "path", "query"), 1)])
+    out, u = bare.withColumn(name, parts), Parsed(name)
+    for fields in ({"segments": segments, "labels": labels, "params": param_names}, {"domain": registrable_domain, "board": board}, {"blocked": is_blocked}):
+        out = out.withColumn(name, F.struct(f"{name}.*", *[f(u).alias(n) for n, f in fields.items()]))
+        u.done |= set(fields)
+    return out, u
+
+
+_FIELDS = {1: "scheme", 2: "host", 3: "port", 4: "path", 5: "query"}
+
+
+def part(url: Column | str | Parsed, group: int) -> Column:
     """1 scheme, 2 host, 3 port, 4 path, 5 query, as they stand; empty where missing or no URL."""
-    return F.regexp_extract(col(url), _URL, group)
+    return url[_FIELDS[group]] if isinstance(url, Parsed) else F.regexp_extract(col(url), _URL, group)
+
+
+def text_of(url: Column | str | Parsed) -> Column:
+    return url["url"] if isinstance(url, Parsed) else col(url)
+
+
+def known(url: Column | str | Parsed, field: str, made: Callable[[], Column]) -> Column:
+    """A field of a URL that was taken apart, once all of them are there; else what makes it."""
+    return url[field] if isinstance(url, Parsed) and field in url.done else made()
 
 
 def scheme(url: Column | str) -> Column:
@@ -82,11 +121,11 @@ def path(url: Column | str) -> Column:
 
 def segments(url: Column | str) -> Column:
     """Non-empty path segments in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(part(url, 4), F.lit(""))), "/"), lambda s: s != "")
+    return known(url, "segments", lambda: F.filter(F.split(F.lower(F.coalesce(part(url, 4), F.lit(""))), "/"), lambda s: s != ""))
 
 
 def param_names(url: Column | str) -> Column:
-    return F.transform(F.filter(F.split(F.coalesce(part(url, 5), F.lit("")), "&"), lambda p: p != ""), lambda p: F.lower(F.substring_index(p, "=", 1)))
+    return known(url, "params", lambda: F.transform(F.filter(F.split(F.coalesce(part(url, 5), F.lit("")), "&"), lambda p: p != ""), lambda p: F.lower(F.substring_index(p, "=", 1))))
 
 
 def normalize(url: Column | str) -> Column:
@@ -127,13 +166,19 @@ def resolve(base: Column | str, href: Column | str) -> Column:
     return F.when(ok, normalize(joined))
 
 
+def labels(url: Column | str | Parsed) -> Column:
+    """The labels of the host, without a dot at its end; null for what is no URL."""
+    return known(url, "labels", lambda: F.split(F.regexp_replace(host(url), r"\.$", ""), r"\."))
+
+
 def registrable_domain(url: Column | str) -> Column:
     """The host's public suffix and one label before it; addresses as they are; null for a bare suffix.
 
     Suffixes have one label, or two where a country has registries of its own, by rule and fixed values; private suffixes count as names.
     """
-    h = F.regexp_replace(host(url), r"\.$", "")
-    n = F.split(h, r"\.")
+    if isinstance(url, Parsed) and "domain" in url.done:
+        return url["domain"]
+    h, n = F.regexp_replace(host(url), r"\.$", ""), labels(url)
     two = F.array_join(F.slice(n, F.greatest(F.size(n) - 1, F.lit(1)), 2), ".")
     three = F.array_join(F.slice(n, F.greatest(F.size(n) - 2, F.lit(1)), 3), ".")
     last, own = F.try_element_at(n, F.lit(-1)), F.try_element_at(n, F.lit(-2))
@@ -146,6 +191,8 @@ def registrable_domain(url: Column | str) -> Column:
 
 def board(url: Column | str) -> Column:
     """Struct of vendor, token and host of the job board a URL belongs to; null where it belongs to none."""
+    if isinstance(url, Parsed) and "board" in url.done:
+        return url["board"]
     h, segs = host(url), segments(url)
     first = F.try_element_at(segs, F.lit(1))
     asked = F.nullif(F.lower(F.regexp_extract(part(url, 5), r"(?:^|&)for=([^&]*)", 1)), F.lit(""))
@@ -240,6 +287,8 @@ def probe_urls(url: Column | str, domain: Column | str) -> Column:
 
 
 def is_blocked(url: Column | str, domain: Column | str | None = None) -> Column:
+    if isinstance(url, Parsed) and "blocked" in url.done and domain is None:
+        return url["blocked"]
     d = registrable_domain(url) if domain is None else col(domain)
     return F.coalesce(host(url).isin(*BLOCKED_HOSTS), F.lit(False)) | F.coalesce(d.isin(*BLOCKED_DOMAINS) | F.substring_index(d, ".", 1).isin(*BLOCKED_BRANDS), F.lit(False))
 

@@ -129,16 +129,25 @@ _LINK = rf"""WITH b AS (SELECT p.id, p.url, lower(coalesce(p.title, '')) AS t, d
 def _(m: Model) -> DataFrame:
     d = m.domains.select(F.col("id").alias("domain_id"), "host", "status")
     p = m.pages.select("id", "url", "title", "domain_id").join(d, "domain_id", "left")
-    s = L.score_link("url", "title", F.col("id") % 5 == 0, "host", F.col("id") % 4, F.col("id") % 30, "status")
-    return p.select("id", s["score"].alias("score"))
-
-
-@query("I3_assess_pages", rf"""SELECT id, round(least(1.0, (CASE WHEN len(list_intersect(regexp_split_to_array(f, '[^\p{{L}}\p{{N}}]+'), ['{"','".join(L.LEGAL)}'])) > 0 THEN 0.2 ELSE 0 END) + (CASE WHEN contains(f, '©') OR contains(f, 'copyright') OR contains(f, '(c) 20') THEN 0.1 ELSE 0 END)
-  + (CASE WHEN starts_with(url, 'https://') THEN 0.05 ELSE 0 END) + (CASE WHEN id % 7 >= 5 THEN 0.1 WHEN id % 7 >= 2 THEN 0.05 ELSE 0 END))::DOUBLE, 6) AS score, NOT (octet_length(encode(coalesce(text, ''))) < 300) AS conclusive FROM (SELECT *, lower(coalesce(footer_text, '')) AS f FROM parsed_pages)""")
-def _(m: Model) -> DataFrame:
-    none = F.array().cast("array<struct<url:string,text:string>>")
-    a = L.assess(F.col("url"), U.registrable_domain("url"), F.col("title"), F.col("text"), F.col("footer_text"), none, F.lit(False), F.lit(None).cast("string"), F.col("id") % 7)
-    return m.pages.select("id", F.round(a["score"], 6).alias("score"), a["conclusive"].alias("conclusive"))
+    p, u = U.staged(p, "url")
+    s = L.score_link(u, "title", F.col("id") % 5 == 0, "host", F.col("id") % 4, F.col("id") % 30, "status")
+    return p.select("id", s.alias("s")).select("id", F.col("s.score").alias("score"))
+
+
+@query("I3_assess_pages", rf"""SELECT id, round(CASE WHEN parked THEN 0 ELSE least(1.0, (CASE WHEN len(list_intersect(regexp_split_to_array(f, '[^\p{{L}}\p{{N}}]+'), ['{"','".join(L.LEGAL)}'])) > 0 THEN 0.2 ELSE 0 END) + (CASE WHEN contains(f, '©') OR contains(f, 'copyright') OR contains(f, '(c) 20') THEN 0.1 ELSE 0 END)
+  + (CASE WHEN starts_with(url, 'https://') THEN 0.05 ELSE 0 END) + (CASE WHEN id % 7 >= 5 THEN 0.1 WHEN id % 7 >= 2 THEN 0.05 ELSE 0 END) + (id % 2 = 0)::INT * 0.2 + (id % 3 = 0)::INT * 0.1 + (id % 5 = 0)::INT * 0.05 + (id % 11 = 0)::INT * 0.1 + (id % 13 = 0)::INT * 0.05 + (id % 17 = 0)::INT * 0.25 + (id % 4 = 0)::INT * 0.05) END::DOUBLE, 6) AS score,
+  parked OR NOT (octet_length(encode(coalesce(text, ''))) < 300 AND n < 5) AS conclusive, parked FROM (SELECT *, lower(coalesce(footer_text, '')) AS f, id % 19 = 0 AS parked, 2 + (id % 2 = 0)::INT + (id % 3 = 0)::INT + (id % 5 = 0)::INT + (id % 11 = 0)::INT + (id % 13 = 0)::INT AS n FROM parsed_pages)""")
+def _(m: Model) -> DataFrame:
+    # two links elsewhere, and by the page's number one to each kind of page, by its path or by its text
+    at = lambda path, text: F.struct(F.concat(F.lit("https://www."), "domain", F.lit(path)).alias("url"), F.lit(text).alias("text"))
+    other = lambda path, text: F.struct(F.lit(f"https://o.example{path}").alias("url"), F.lit(text).alias("text"))
+    when = lambda k, x: F.when(F.col("id") % k == 0, x)
+    links = F.array_compact(F.array(other("/about", "About them"), other("/jobs", "Contact"), when(2, at("/x", "We are hiring")), when(3, at("/team", "x")), when(5, at("/y", "Contact us")), when(11, other("/privacy-policy", "x")), when(13, other("/z", "Terms of use"))))
+    p, u = U.staged(m.pages.withColumn("title", F.when(F.col("id") % 19 == 0, "Buy this domain").otherwise(F.col("title"))), "url")
+    p = p.withColumn("domain", U.registrable_domain(u)).withColumn("links", links)
+    p = p.join(L.link_signals(p.select("id", "domain", "links")), "id", "left")
+    a = L.assess(u, F.col("title"), F.col("text"), F.col("footer_text"), F.col("found"), F.size("links"), F.col("id") % 17 == 0, F.when(F.col("id") % 4 == 0, "Site"), F.col("id") % 7)
+    return p.select("id", a.alias("a")).select("id", F.round("a.score", 6).alias("score"), "a.conclusive", "a.parked")
 
 
 _FOLD = """WITH p AS (SELECT domain_id, list({{'s': (id * 17 % 80) / 100.0::DOUBLE, 'parked': id % 7 = 0, 'home': coalesce(kind = 'home', false) AND id % 5 <> 0}} ORDER BY id) AS l FROM parsed_pages WHERE domain_id IS NOT NULL GROUP BY domain_id),
