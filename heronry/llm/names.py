@@ -24,8 +24,6 @@ from heronry.session import cut, shipped, table
 PIECE = 256
 #: Groups of fewer forms are compared outright.
 FEW = 12
-#: Likeness of names that differ by more edits than allowed.
-ENOUGH = 1.0 - (EDITS + 0.5) / 10
 
 
 def _read_all(names: DataFrame) -> DataFrame:
@@ -73,13 +71,21 @@ def block_keys(core: list[str], kind: str) -> set[str]:
 
 
 def likeness(a: str, b: str) -> float:
-    """1 for equal words, 0.1 less for each edit of words that Jaro-Winkler finds alike, 0 for others."""
+    """Jaro-Winkler likeness of two words; 0 under SAME, and for words of more than EDITS edits."""
     if a == b:
         return 1.0
-    if jaro_winkler(a, b) < SAME:
-        return 0.0
-    d = edits(a, b)
-    return 1.0 - d / 10 if d <= EDITS else 0.0
+    near = jaro_winkler(a, b)
+    return near if near >= SAME and edits(a, b) <= EDITS else 0.0
+
+
+def paired(a: list[str], b: list[str], like=likeness) -> float:
+    """Mean likeness of two names' words under the pairing that is best, 0 where none has words that are all alike and EDITS edits in all at most."""
+    best = 0.0
+    for p in permutations(b):
+        each = [like(x, y) for x, y in zip(a, p)]
+        if min(each, default=1.0) > 0 and sum(edits(x, y) for x, y in zip(a, p) if len(x) > 1) <= EDITS:
+            best = max(best, sum(each) / len(each) if each else 1.0)
+    return best
 
 
 def letters(text: str) -> np.ndarray:
@@ -88,23 +94,21 @@ def letters(text: str) -> np.ndarray:
 
 
 def alike(a: list[str], b: list[str]) -> float:
-    """Likeness of two names under the best pairing of their words: 1 less 0.1 for each edit in all words together, 0 from more than EDITS on.
+    """Likeness of two names: the mean Jaro-Winkler likeness of their words under the best pairing; 0 from more than EDITS edits in all words together on.
 
-    Names of other companies can be near in every word, so the words are judged together; words that merely sound alike don't count.
+    Names of other companies can be near in every word, so the edits are counted together; words that merely sound alike don't count.
     """
     if len(a) != len(b):
         return 0.0
-    best = 0.0
+    same = 0
     if len(b) > 4:  # equal words pair up, each of the others takes an edit at least
         both = Counter(a) & Counter(b)
         a, b = (sorted((Counter(x) - both).elements()) for x in (a, b))
+        same = sum(both.values())
         if len(b) > EDITS:
             return 0.0
-    for p in permutations(b):
-        each = [likeness(x, y) for x, y in zip(a, p)]
-        if min(each, default=1.0) > 0:
-            best = max(best, 1.0 - sum(1.0 - x for x in each))
-    return best if best > ENOUGH else 0.0
+    got = paired(a, b)
+    return (got * len(a) + same) / (len(a) + same) if got else 0.0
 
 
 @lru_cache(maxsize=500_000)
@@ -157,14 +161,9 @@ def fits(short: list[str], skind: str, core: list[str], kind: str) -> float:
         if skind and skind == kind:
             best = max(best, *(likeness(w, c) for c in core))
         return best
-    if len(short) != len(core):
-        return 0.0
-    best = 0.0
-    for p in permutations(core) if len(core) <= 4 else [core]:
-        each = [1.0 if len(x) == 1 and x == y[0] else 0.0 if len(x) == 1 else likeness(x, y) for x, y in zip(short, p)]
-        if min(each) > 0:
-            best = max(best, 1.0 - sum(1.0 - x for x in each))
-    return best if best > ENOUGH else 0.0
+    if len(short) != len(core) or len(core) > 4:
+        return 1.0 if sorted(short) == sorted(core) else 0.0
+    return paired(short, core, lambda x, y: float(x == y[0]) if len(x) == 1 else likeness(x, y))
 
 
 def _keyed(forms: DataFrame, keys) -> DataFrame:
