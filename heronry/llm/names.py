@@ -22,6 +22,8 @@ from heronry.session import cut, shipped, table
 
 #: Forms of a block compared in one piece; larger blocks are cut, and every piece meets every other.
 PIECE = 256
+#: How well both words' first syllables in one word fit; less than the name itself, more than any misspelling of it or of one of its words.
+BLEND = 0.95
 #: Groups of fewer forms are compared outright.
 FEW = 12
 
@@ -155,11 +157,11 @@ def fits(short: list[str], skind: str, core: list[str], kind: str) -> float:
         if len(core) == 2:
             stem = w.rstrip("aeiouy")
             for a, b in (core, core[::-1]):
-                best = max(best, likeness(w, a + b))
+                best = max(best, BLEND * likeness(w, a + b) if w != a + b else 1.0)
                 if stem != w and stem == head(a) + head(b):
-                    best = max(best, 0.95)
+                    best = max(best, BLEND)
         if skind and skind == kind:
-            best = max(best, *(likeness(w, c) for c in core))
+            best = max(best, *(BLEND * likeness(w, c) if w != c else 1.0 for c in core))
         return best
     if len(short) != len(core) or len(core) > 4:
         return 1.0 if sorted(short) == sorted(core) else 0.0
