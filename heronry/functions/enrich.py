@@ -81,6 +81,12 @@ def skill_counts(text: Column) -> Column:
     return F.filter(F.array(*entries), lambda x: x["count"] > 0)
 
 
+def top_skills(text: Column, most: int = MOST_SKILLS) -> Column:
+    """The most mentioned skills of a text, equal ones in table order."""
+    ranked = F.array_sort(F.transform(skill_counts(text), lambda x, i: F.struct((-x["count"]).alias("n"), i.alias("i"), x["name"].alias("name"))))
+    return F.transform(F.slice(ranked, 1, most), lambda x: x["name"])
+
+
 def skills(title: Column | str, description: Column | str) -> Column:
     """The first twelve known skills in table order, from the title and the beginning of the description.
 

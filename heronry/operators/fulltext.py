@@ -49,6 +49,12 @@ def phrase(keyword: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", t))
 
 
+def has_phrase(text: Column, keyword: Column) -> Column:
+    """Whether a text holds a keyword as whole words in a row, both as the index sees them."""
+    padded = lambda c: F.concat(F.lit(" "), normalized(F.coalesce(c, F.lit(""))), F.lit(" "))
+    return F.contains(padded(text), padded(keyword))
+
+
 def term_index(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(doc_id, field, term, pos): one row for each word."""
     rows = [F.struct(F.lit(k).alias("field"), F.split(normalized(F.coalesce(c, F.lit(""))), " ").alias("words")) for k, c in fields.items()]

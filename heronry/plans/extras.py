@@ -70,7 +70,11 @@ def _(m: Model) -> DataFrame:
     return S.robots_filter(df, "heron").select("id", "allowed")
 
 
-@query("A17_cv_text")
+_BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x0B]"
+
+
+@query("A17_cv_text", rf"""SELECT doc_id, CASE WHEN n >= 40 THEN length(t) END AS chars, CASE WHEN n < 40 THEN 'there is too little text' END AS refused FROM (SELECT doc_id, t, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS n
+  FROM (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(regexp_replace(x, '{_BLANK}+', ' ', 'g'), '^ | $', '', 'g')), chr(10)), '^\n+|\n+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM documents))""")
 def _(m: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -80,9 +84,10 @@ def _(m: Model) -> DataFrame:
                     out.append((i, len(S.cv_text((t or "").encode())), None))
                 except ValueError as e:
                     out.append((i, None, str(e)))
-            yield pd.DataFrame(out, columns=["doc_id", "chars", "refused"])
+            got = pd.DataFrame(out, columns=["doc_id", "chars", "refused"])
+            yield got.astype({"chars": "Int64"})
 
-    return m.documents.select("doc_id", "text").transform(shipped).mapInPandas(run, "doc_id long, chars double, refused string")
+    return m.documents.select("doc_id", "text").transform(shipped).mapInPandas(run, "doc_id long, chars long, refused string")
 
 
 @query("A18_append_events", "SELECT id, ts, kind FROM log", "log")
@@ -149,10 +154,14 @@ def _(m: Model) -> DataFrame:
     return _values(m, rows, "keywords boolean, profile boolean, sort string, notes int")
 
 
-@query("F17_suggestion_order", "WITH r AS (SELECT place_id, city, CASE WHEN lower(city) = 'port' THEN 0 WHEN starts_with(lower(city), 'port') THEN 1 WHEN contains(lower(city), ' port') THEN 2 END AS rank FROM places WHERE city IS NOT NULL) SELECT place_id, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, place_id LIMIT 12")
+@query("F17_suggestion_order", """WITH n AS (SELECT place_id, city, country_code, lower(trim(unnest(string_split(city || coalesce(',' || alt_names, ''), ',')))) AS name FROM places WHERE city IS NOT NULL),
+  c AS (SELECT any_value(city) || ', ' || coalesce(any_value(l.country_name), any_value(n.country_code)) AS value, 'city' AS kind, min(CASE WHEN name = 'in' THEN 0 WHEN starts_with(name, 'in') THEN 1 WHEN contains(name, ' in') THEN 2 END) AS rank, n.place_id AS ord FROM n LEFT JOIN (SELECT country_code, country_name FROM places WHERE city IS NULL) l ON l.country_code = n.country_code GROUP BY n.place_id),
+  k AS (SELECT country_name AS value, 'country' AS kind, min(CASE WHEN name = 'in' THEN 0 WHEN starts_with(name, 'in') THEN 1 WHEN contains(name, ' in') THEN 2 END) AS rank, any_value(place_id) AS ord FROM (SELECT country_name, place_id, lower(trim(unnest(string_split(country_name || coalesce(',' || alt_names, ''), ',')))) AS name FROM places WHERE city IS NULL) WHERE length(name) > 2 GROUP BY country_name)
+  SELECT value, kind, CAST(rank AS INTEGER) AS rank FROM (SELECT * FROM c UNION ALL SELECT * FROM k) WHERE rank IS NOT NULL ORDER BY rank, kind, ord LIMIT 12""")
 def _(m: Model) -> DataFrame:
-    r = T.match_rank(T.fold("city"), F.lit("port"))
-    return m.places.where("city is not null").select("place_id", r.alias("rank")).where("rank is not null").orderBy("rank", "place_id").limit(12)
+    from heronry.sources.gazetteer import suggest
+
+    return suggest(m.places, " In ", 12)
 
 
 @query("H17_keywords", "SELECT unnest(['data', 'engineer', 'c++', 'remote']) AS keyword")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.functions.enrich import SKILLS
 from heronry.functions import text as T
 from heronry.functions.measures import DAY_MS, bbox
 from heronry.operators import aggregates as A
@@ -327,9 +328,16 @@ def _(m: Model) -> DataFrame:
     return m.links.groupBy("src_page_id", "dst_url").agg(F.count("*").alias("n"))
 
 
-@query("D17_skill_mentions", "SELECT s AS skill, count(*) AS jobs FROM (SELECT unnest(CAST(from_json(skills, '[\"VARCHAR\"]') AS VARCHAR[])) AS s FROM jobs WHERE json_valid(skills)) GROUP BY s")
+_SKILL_TEXT = r"SELECT id, ' ' || t || ' ' AS p, string_split(t, ' ') AS w FROM (SELECT id, trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(coalesce(description, '')), '[^\p{L}\p{N}+#.]+', ' ', 'g')), '\.+( |$)', ' ', 'g'), ' +', ' ', 'g')) AS t FROM jobs)"
+_SKILL_COUNTS = "SELECT id, k AS place, skill, CAST(sum(CASE WHEN contains(sign, ' ') THEN (length(p) - length(replace(p, ' ' || sign || ' ', ''))) // (length(sign) + 2) ELSE len(list_filter(w, lambda x: x = sign)) END) AS BIGINT) AS n FROM (" + _SKILL_TEXT + ") t, (VALUES " + ", ".join(f"({k}, '{name}', '{s}')" for k, (name, signs) in enumerate(SKILLS.items()) for s in signs) + ") s(k, skill, sign) GROUP BY id, k, skill"
+
+
+@query("D17_skill_mentions", f"SELECT skill, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS jobs FROM ({_SKILL_COUNTS}) WHERE n > 0 GROUP BY skill")
 def _(m: Model) -> DataFrame:
-    return m.jobs.select(F.explode(T.json_list("skills")).alias("skill")).groupBy("skill").agg(F.count("*").alias("jobs"))
+    from heronry.functions.enrich import skill_counts
+
+    each = m.jobs.select(F.explode(skill_counts(F.col("description"))).alias("s"))
+    return each.groupBy(F.col("s.name").alias("skill")).agg(F.sum("s.count").alias("mentions"), F.count("*").alias("jobs"))
 
 
 @query("D18_budget_counts", "SELECT host AS budget, count(*) AS n FROM frontier WHERE state IN ('in_flight', 'done') GROUP BY host", "frontier")
@@ -503,9 +511,11 @@ def _(m: Model) -> DataFrame:
     return K.ordered(m.facts.where(P.in_box("lat", "lon", BOX)), "recent", 2000).select("id")
 
 
-@query("F21_top_skills", "SELECT s AS skill, n FROM (SELECT s, count(*) AS n FROM (SELECT unnest(CAST(from_json(skills, '[\"VARCHAR\"]') AS VARCHAR[])) AS s FROM jobs WHERE json_valid(skills)) GROUP BY s) ORDER BY n DESC, s LIMIT 12")
+@query("F21_top_skills", f"SELECT id, list(skill ORDER BY n DESC, place)[1:12] AS skills FROM ({_SKILL_COUNTS}) WHERE n > 0 GROUP BY id")
 def _(m: Model) -> DataFrame:
-    return m.jobs.select(F.explode(T.json_list("skills")).alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(12)
+    from heronry.functions.enrich import top_skills
+
+    return m.jobs.select("id", top_skills(F.col("description")).alias("skills")).where("size(skills) > 0")
 
 
 @query("G1_union_all", "SELECT src_domain_id AS id, 'out' AS way FROM edges UNION ALL SELECT dst_domain_id, 'in' FROM edges", "edges")

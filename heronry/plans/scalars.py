@@ -92,11 +92,12 @@ def _(m: Model) -> DataFrame:
     return m.jobs.select("id", plain_html(F.col("description")).alias("text"))
 
 
-@query("H15_phrases", "SELECT id, contains(' ' || " + words_sql("coalesce(title, '')") + " || ' ', ' data engineer ') AS hit FROM jobs")
+@query("H15_phrases", "SELECT id, contains(' ' || " + words_sql("coalesce(title, '')") + " || ' ', ' ' || " + words_sql("coalesce(department, '')") + " || ' ') AS hit, " + words_sql("'«C++ & Data--Engineer»'") + " AS phrase FROM jobs WHERE department IS NOT NULL AND " + words_sql("department") + " <> ''")
 def _(m: Model) -> DataFrame:
-    from heronry.operators.fulltext import phrase
+    from heronry.operators.fulltext import has_phrase, phrase
 
-    return m.jobs.select("id", F.contains(F.concat(F.lit(" "), T.words(F.coalesce("title", F.lit(""))), F.lit(" ")), F.lit(f" {phrase('Data-Engineer')} ")).alias("hit"))
+    j = m.jobs.where(F.col("department").isNotNull() & (T.words("department") != ""))
+    return j.select("id", has_phrase(F.col("title"), F.col("department")).alias("hit"), F.lit(phrase("«C++ & Data--Engineer»")).alias("phrase"))
 
 
 @query("H16_tokenizer", r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\p{M}', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents")
@@ -165,14 +166,19 @@ def _(m: Model) -> DataFrame:
     return m.jobs.select("id", U.is_careers_page("url", U.registrable_domain("url")).alias("careers"))
 
 
-@query("H29_careers_match", "SELECT id, contains(lower(coalesce(title, '')), 'career') OR contains(lower(coalesce(title, '')), 'jobs') OR contains(lower(coalesce(title, '')), 'vacancies') OR contains(lower(coalesce(title, '')), 'join us') AS in_anchor FROM parsed_pages")
+@query("H29_careers_match", "SELECT id, " + " OR ".join(f"contains(lower(coalesce(a, '')), '{p.replace(chr(39), chr(39) * 2)}')" for p in U.CAREERS_PHRASES) + " AS in_anchor FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'See ' || upper(['career', 'jobs', 'job openings', 'join us', 'join our team', 'we''re hiring', 'we are hiring', 'work with us', 'open roles', 'open positions', 'vacancies', 'karriere'][id % 12 + 1]) || '!' ELSE title END AS a FROM parsed_pages)")
 def _(m: Model) -> DataFrame:
-    return m.pages.select("id", U.careers_match("url", "title")["in_anchor"].alias("in_anchor"))
+    said = F.concat(F.lit("See "), F.upper(F.element_at(F.array(*map(F.lit, U.CAREERS_PHRASES)), (F.col("id") % 12 + 1).cast("int"))), F.lit("!"))
+    return m.pages.select("id", U.careers_match("url", F.when(F.col("id") % 3 == 0, said).otherwise(F.col("title")))["in_anchor"].alias("in_anchor"))
 
 
-@query("H30_probe_urls", "SELECT id, ['https://' || host || '/careers', 'https://' || host || '/jobs', 'https://careers.' || host || '/'] AS probes FROM domains")
+@query("H30_probe_urls", "SELECT id, CASE id % 3 WHEN 0 THEN 'https://www.' || host || '/' WHEN 1 THEN 'https://' || host || ':8443/' ELSE 'https://' || host || '/' END AS home, [home || 'careers', home || 'jobs', 'https://careers.' || host || '/'] AS probes, id % 3 = 0 AS is_home, id % 2 = 0 AS better FROM domains")
 def _(m: Model) -> DataFrame:
-    return m.domains.select("id", U.probe_urls(F.concat(F.lit("https://www."), "host", F.lit("/x?y=1")), "host").alias("p"), "host").select("id", F.transform("p", lambda x: F.replace(x, F.lit("//www."), F.lit("//"))).alias("probes"))
+    # pages on www., on a port, and on another host of the domain
+    page = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://www."), "host", F.lit("/"))).when(F.col("id") % 3 == 1, F.concat(F.lit("https://"), "host", F.lit(":8443/x?y=1"))).otherwise(F.concat(F.lit("https://blog."), "host", F.lit("/z")))
+    other = F.concat(F.lit("https://"), "host", F.when(F.col("id") % 2 == 0, "/careers").otherwise("/a/careers"))
+    better = U.is_better_careers_url(F.concat(F.lit("https://"), "host", F.lit("/careers/team")), other)
+    return m.domains.withColumn("u", page).select("id", U.main_home_url("u", "host").alias("home"), U.probe_urls("u", "host").alias("probes"), U.is_main_home("u", "host").alias("is_home"), better.alias("better"))
 
 
 @query("H31_blocked", "SELECT i, i IN (1, 2, 4) AS blocked FROM (VALUES (1), (2), (3), (4)) t(i)")

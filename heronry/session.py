@@ -22,6 +22,7 @@ def session(app: str = "heronry", master: str | None = None, **conf: object) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (defaults | {k.replace("__", "."): str(v) for k, v in conf.items()}).items():
         b = b.config(k, v)
