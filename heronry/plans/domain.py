@@ -411,13 +411,6 @@ def _(m: Model) -> DataFrame:
     return _index(m, "open", m.jobs.where("closed_at is null"), ["title", "description", "skills"]).ranked(["Engineer"]).select(F.col("doc_id").alias("id"), F.round("relevance", 6).alias("relevance"))
 
 
-@query("F4_without_index", _FT)
-def _(m: Model) -> DataFrame:
-    from heronry.operators.fulltext import bm25
-
-    return bm25(m.jobs.where("closed_at is null"), {c: F.col(c) for c in ("title", "description", "skills")}, ["Engineer"]).select("id", F.round("relevance", 6).alias("relevance"))
-
-
 _INDEXES: dict = {}
 
 

@@ -8,7 +8,7 @@ from heronry import plans
 
 QUERIES = plans.queries()
 #: Queries that join results of one row.
-SINGLE_ROWS = {"C16_dashboard", "D15_row_counts", "A20_api_stats", "I18_graph_counts", "I21_crawler_status", "I22_domain_detail", "D9_percentile", "F4_relevance", "I24_search_salary"}
+SINGLE_ROWS = {"C16_dashboard", "D15_row_counts", "A20_api_stats", "I18_graph_counts", "I21_crawler_status", "I21_paused", "I22_domain_detail", "D9_percentile", "F4_relevance", "I24_search_salary"}
 
 
 def plan(spark, folder, name):
@@ -35,7 +35,7 @@ def test_limits_before_shuffles(spark, small):
 
 
 def test_scalars_stay_in_the_jvm(spark, small):
-    for name in (n for n in QUERIES if n.startswith("H") and n not in ("H35_years", "H50_organizations", "H51_replies")):
+    for name in (n for n in QUERIES if n.startswith("H") and n not in ("H14_html_to_text", "H50_organizations", "H51_replies")):
         assert "Python" not in plan(spark, small, name) and "MapInPandas" not in plan(spark, small, name)
     for name in ("I2_score_links", "I3_assess_pages", "I6_category_seniority", "I7_skills", "I8_geocode", "I9_rules", "I11_match_scores"):
         assert "InPandas" not in plan(spark, small, name)
