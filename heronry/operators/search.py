@@ -99,11 +99,12 @@ def resolve_sort(q: JobQuery, has_profile: bool) -> tuple[str, list[str]]:
     return wanted, []
 
 
-def run(jobs: DataFrame, domains: DataFrame, query: JobQuery, now: int, places: DataFrame | None = None, matches: DataFrame | None = None, profile_id: int | None = None, relevance_compat: bool = False) -> tuple[DataFrame, list[str], str]:
+def run(jobs: DataFrame, domains: DataFrame, query: JobQuery, now: int, places: DataFrame | None = None, matches: DataFrame | None = None, profile_id: int | None = None, relevance_compat: bool = False, placed_only: bool = False) -> tuple[DataFrame, list[str], str]:
     """(hits, notes, sort). Nothing runs but the lookup of the place; a salary percentile stays a join with one row.
 
     The percentile is of the postings that fit all other filters, before the exact circle is cut. `relevance_compat` orders relevance by
-    id alone, as an engine does whose rank function sees no match.
+    id alone, as an engine does whose rank function sees no match. Hits always have `distance_km`, null without coordinates on either side.
+    `placed_only` finds nothing around a place that has none, instead of searching its country or everywhere.
     """
     q, notes = sanitized(query)
     spot = find_place(places, q.near) if q.near and places is not None else None
@@ -129,6 +130,8 @@ def run(jobs: DataFrame, domains: DataFrame, query: JobQuery, now: int, places:
         j = j.where(P.place(bbox(centre["lat"], centre["lon"], q.radius_km), centre["country_code"]))
     elif spot:
         j = j.where((F.col("country_code") == spot["country_code"]) | P.remote_open(spot["country_code"]))
+    if q.near and placed_only and not centre:
+        j = j.where(F.lit(False))
     if profile_id is not None and matches is not None:
         mine = matches.where(F.col("profile_id") == profile_id).select(F.col("job_id").alias("id"), F.col("score").alias("match_score"))
         j = j.join(mine, "id", "left")
@@ -143,6 +146,8 @@ def run(jobs: DataFrame, domains: DataFrame, query: JobQuery, now: int, places:
         j = ordered(j, by, max(CANDIDATES, q.limit))
         km = distance_km(F.lit(centre["lat"]), F.lit(centre["lon"]), F.col("lat"), F.col("lon"))
         j = j.withColumn("km", km).where(F.col("km").isNull() | (F.col("km") <= q.radius_km)).withColumn("distance_km", F.round("km", 1)).drop("km")
+    else:
+        j = j.withColumn("distance_km", F.lit(None).cast("double"))
     if sort == "relevance" and relevance_compat:
         return j.orderBy(F.desc("id")).limit(q.limit), notes, sort
     return ordered(j, by, q.limit), notes, sort

@@ -395,7 +395,7 @@ _NEAR = """WITH p AS (SELECT lat AS here_lat, lon AS here_lon, 500 / 111.32 AS d
 @query("I24_search_near", _NEAR, "facts")
 def _(m: Model) -> DataFrame:
     q = search.JobQuery(near="Vivvuvval, Japan", radius_km=500, sort="recent")
-    return search.run(m.facts, m.domains, q, NOW, places=m.places)[0].select("id", "distance_km")
+    return search.run(m.facts, m.domains, q, NOW, places=m.places, placed_only=True)[0].select("id", "distance_km")
 
 
 _FT = r"""WITH w AS (SELECT id, string_split({t}, ' ') AS a, string_split({d}, ' ') AS b, string_split({s}, ' ') AS c FROM jobs WHERE closed_at IS NULL),

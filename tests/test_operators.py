@@ -99,6 +99,23 @@ def test_search(spark):
     assert len(q.keywords) == 8 and q.categories == ["data"] and q.limit == 200 and q.posted_within_days == 3650 and len(notes) == 4
 
 
+def _near(spark, jobs):
+    """(facts, domains, places): postings (id, lat, lon, country, mode) by time of id; Here lies at 10, 20 in Japan."""
+    cols = "id long, title string, domain_id long, lat double, lon double, country_code string, remote_mode string, remote_regions array<string>, posted_at long, first_seen long, closed_at long"
+    j = spark.createDataFrame([(i, "x", 1, lat, lon, land, mode, [], i, 0, None) for i, lat, lon, land, mode in jobs], cols)
+    d = spark.createDataFrame([(1, "a.example", None, None)], "id long, host string, name string, industry string")
+    p = spark.createDataFrame([(1, "Here", "JP", None, None, 10.0, 20.0, None), (2, None, "JP", None, "Japan", None, None, None)], "place_id long, city string, country_code string, region string, country_name string, lat double, lon double, alt_names string")
+    return j, d, p
+
+
+def test_search_near_a_place_that_is_not_listed(spark):
+    j, d, p = _near(spark, [(1, 10.0, 20.0, "JP", None), (2, None, None, "JP", None), (3, 50.0, 50.0, "FR", None), (4, 50.0, 50.0, "FR", "remote")])
+    found = lambda near, **k: {r.id: r.distance_km for r in search.run(j, d, search.JobQuery(near=near, radius_km=50, sort="recent"), 9, places=p, **k)[0].collect()}
+    assert found("Here, Japan") == {1: 0.0, 2: None} == found("Here, Japan", placed_only=True)
+    assert found("There, Japan") == {1: None, 2: None, 4: None} and found("There") == dict.fromkeys([1, 2, 3, 4])
+    assert found("There, Japan", placed_only=True) == {} == found("There", placed_only=True)
+
+
 def test_bm25_order(spark):
     j = spark.createDataFrame([(1, "rust", "a b c"), (2, "other", "rust rust"), (3, "x", "y")], "id long, title string, description string")
     r = fulltext.bm25(j, {"title": F.col("title"), "description": F.col("description")}, ["Rust"]).orderBy(F.desc("relevance")).collect()
