@@ -16,7 +16,7 @@ from heronry.operators.topk import ordered, with_domain
 from heronry.sources.gazetteer import find_place
 
 #: Limits of a query.
-MOST_KEYWORDS, KEYWORD_CHARS, MOST_CATEGORIES, MOST_INDUSTRIES, RADIUS, PERCENTILE, MOST_SALARY, MOST_DAYS, LIMIT, CANDIDATES = 8, 40, 5, 3, (1.0, 500.0, 50.0), (0.01, 0.9), 1e7, 3650, (1, 200, 50), 2000
+MOST_KEYWORDS, KEYWORD_CHARS, MOST_CATEGORIES, MOST_INDUSTRIES, RADIUS, PERCENTILE, MOST_SALARY, MOST_DAYS, LIMIT = 8, 40, 5, 3, (1.0, 500.0, 50.0), (0.01, 0.9), 1e7, 3650, (1, 200, 50)
 SORTS = ("match", "relevance", "recent", "salary_desc")
 REMOTE = ("remote", "hybrid", "onsite", "any")
 KNOWN = tuple(c for c, _ in CATEGORIES) + ("other",)
@@ -143,7 +143,6 @@ def run(jobs: DataFrame, domains: DataFrame, query: JobQuery, now: int, places:
         j = j.crossJoin(F.broadcast(percentile_threshold(j, "salary_usd_annual", q.salary_value))).where("salary_usd_annual >= threshold").drop("threshold")
     by = "recent" if sort == "relevance" and "relevance" not in j.columns else sort
     if centre:
-        j = ordered(j, by, max(CANDIDATES, q.limit))
         km = distance_km(F.lit(centre["lat"]), F.lit(centre["lon"]), F.col("lat"), F.col("lon"))
         j = j.withColumn("km", km).where(F.col("km").isNull() | (F.col("km") <= q.radius_km)).withColumn("distance_km", F.round("km", 1)).drop("km")
     else:

@@ -116,6 +116,13 @@ def test_search_near_a_place_that_is_not_listed(spark):
     assert found("There, Japan", placed_only=True) == {} == found("There", placed_only=True)
 
 
+def test_search_near_looks_at_all_in_the_box(spark):
+    """3,000 newer postings in the corners of the box, outside the circle, don't hide the older ones inside."""
+    j, d, p = _near(spark, [(1, 10.0, 20.0, "JP", None), (2, None, None, "JP", None)] + [(i, 10.44, 20.45, "JP", None) for i in range(3, 3003)])
+    found = search.run(j, d, search.JobQuery(near="Here, Japan", radius_km=50, sort="recent"), 9, places=p)[0]
+    assert [(r.id, r.distance_km) for r in found.collect()] == [(2, None), (1, 0.0)]
+
+
 def test_bm25_order(spark):
     j = spark.createDataFrame([(1, "rust", "a b c"), (2, "other", "rust rust"), (3, "x", "y")], "id long, title string, description string")
     r = fulltext.bm25(j, {"title": F.col("title"), "description": F.col("description")}, ["Rust"]).orderBy(F.desc("relevance")).collect()
