@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heronry.functions.text import col, first_match, has_word, skill_words, words
+from heronry.functions.text import bound, col, first_match, has_word, skill_words, words
 
 #: Categories and their words; the first that fits counts.
 CATEGORIES = (
@@ -64,21 +64,21 @@ def _among(listed: list[str]):
 def skill_counts(text: Column) -> Column:
     """Array of structs name, count in table order: mentions of each skill that occurs.
 
-    Single words are counted in the token array, phrases by removing them from the padded text.
+    Single words are looked up in the token array, phrases are counted by removing them from the padded text; only skills that occur are
+    counted, and the text is cleaned and split once.
     """
-    t = skill_words(text)
-    tokens, padded = F.split(t, " "), F.concat(F.lit(" "), t, F.lit(" "))
-    entries = []
-    for name, signs in SKILLS.items():
-        n = F.lit(0)
-        single = [s for s in signs if " " not in s]
-        if single:
-            n = n + F.size(F.filter(tokens, _among(single)))
-        for s in signs:
-            if " " in s:
-                n = n + ((F.length(padded) - F.length(F.replace(padded, F.lit(f" {s} "), F.lit("")))) / (len(s) + 2)).cast("int")
-        entries.append(F.struct(F.lit(name).alias("name"), n.alias("count")))
-    return F.filter(F.array(*entries), lambda x: x["count"] > 0)
+    order = {name: k for k, name in enumerate(SKILLS)}
+    single = {s: order[name] for name, signs in SKILLS.items() for s in signs if " " not in s}
+    places, names = F.create_map(*[F.lit(x) for kv in single.items() for x in kv]), F.array(*map(F.lit, SKILLS))
+
+    def mentions(t: Column) -> Column:
+        padded = F.concat(F.lit(" "), t, F.lit(" "))
+        times = lambda s: ((F.length(padded) - F.length(F.replace(padded, F.lit(f" {s} "), F.lit("")))) / (len(s) + 2)).cast("int")
+        phrases = [F.when(F.contains(padded, F.lit(f" {s} ")), F.array_repeat(F.lit(order[name]), times(s))).otherwise(F.array().cast("array<int>")) for name, signs in SKILLS.items() for s in signs if " " in s]
+        return F.concat(F.transform(F.filter(F.split(t, " "), _among(list(single))), lambda x: F.try_element_at(places, x)), *phrases)
+
+    counted = lambda m: F.transform(F.sort_array(F.array_distinct(m)), lambda k: F.struct(F.element_at(names, k + 1).alias("name"), F.size(F.filter(m, lambda x: x == k)).alias("count")))
+    return bound(skill_words(text), lambda t: bound(mentions(t), counted))
 
 
 def top_skills(text: Column, most: int = MOST_SKILLS) -> Column:

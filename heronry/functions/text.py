@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: what a lambda names is otherwise computed again for each of its elements."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def words(c: Column | str) -> Column:
     """Lower case; everything but letters and digits is a space; single spaces."""
     return F.trim(F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", " "))

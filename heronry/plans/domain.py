@@ -14,7 +14,7 @@ from heronry.functions.text import json_list
 from heronry.operators import boards, catalog, graph, matching, merge, search, timeline, visits
 from heronry.operators.sequences import pair_runs
 from heronry.plans.model import NOW, Model, first_match_sql, has_word_sql, registry, words_sql
-from heronry.session import checkpoint_dir
+from heronry.session import checkpoint_dir, spread
 from heronry.sources import boards as B
 from heronry.sources import files as S
 from heronry.sources import gazetteer as G
@@ -281,7 +281,7 @@ def _(m: Model) -> DataFrame:
 def _(m: Model) -> DataFrame:
     from heronry.functions.cv import profiles
 
-    return profiles(m.documents.select("doc_id", "text"), 2026).select("doc_id", "titles", "years", F.map_keys("skills").alias("skills"))
+    return profiles(spread(m.documents.select("doc_id", "text"), "doc_id"), 2026).select("doc_id", "titles", "years", F.map_keys("skills").alias("skills"))
 
 
 @query("I17_suggest", """WITH n AS (SELECT place_id, city, country_code, lower(trim(unnest(string_split(city || coalesce(',' || alt_names, ''), ',')))) AS name FROM places WHERE city IS NOT NULL),

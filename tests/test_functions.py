@@ -199,6 +199,20 @@ def test_cv_columns(spark):
     assert got[3].skills == {"sql": 0.71} and got[3].industries == ["fintech", "healthcare"] and got[3].remote == "remote" and cv.profiles(df.limit(0), 2025).count() == 0
 
 
+def test_long_cvs_are_read_in_one_pass(spark):
+    """Lines, titles and mentions are computed once a text: with work for each line over all lines these 8,000 lines take many minutes."""
+    import time
+
+    t = "\n".join(["Skills", *["Python, machine learning; SQL."] * 4000, "Experience", *["Engineer, Acme", "ANALYST | Beta", "engineer at Home"] * 1334])
+    df = cv.profiles(spark.createDataFrame([(1, t)], "id long, text string"), 2025)
+    began = time.monotonic()
+    got = df.collect()[0]
+    assert time.monotonic() - began < 60
+    assert got.titles == ["Engineer", "ANALYST"] and got.skills == {"python": 0.83, "sql": 0.83, "machine learning": 0.83}
+    one = spark.createDataFrame([("sql",)], "t string").select(enrich.skill_counts(F.col("t")).alias("n"))
+    assert one._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
 def test_geocode(spark, small):
     places = spark.createDataFrame(
         [(1, "Lagos", "LA", "NG", "Nigeria", 6.45, 3.39, "Eko"), (2, "Birmingham", "AL", "US", "United States", 33.5, -86.8, None), (3, "Birmingham", None, "GB", "United Kingdom", 52.5, -1.9, None), (9001, None, None, "NG", "Nigeria", None, None, None), (9002, None, None, "GB", "United Kingdom", None, None, "UK"), (9003, None, None, "PT", "Portugal", None, None, None)],
